@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -29,9 +30,16 @@ def cut(df: DataFrame) -> DataFrame:
     and the loss of an executor does not lose it."""
     path = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    release(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished jobs now: it does so when the driver's garbage is collected."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def slices(sizes, most: int):
     """(start, stop) runs of rows whose sizes add up to about `most`; a larger row is a run of its own."""
     start, total = 0, 0

@@ -127,7 +127,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     id_type = docs.schema[id_col].dataType.simpleString()
     found = cut(known.mapInPandas(suspects, f"__id {id_type}, digest binary"))
-    first = found.groupBy("digest").agg(F.min("__id").alias("first"), F.max("__id").alias("last")).where("first < last").drop("last")
+    first = cut(found.groupBy("digest").agg(F.min("__id").alias("first"), F.max("__id").alias("last")).where("first < last").drop("last"))
     drops = found.join(first, "digest").where("__id > first").groupBy("__id").agg(F.collect_set("digest").alias("__drops")).withColumnRenamed("__id", "__drop_id")
 
     @F.pandas_udf("text string, dropped long")
