@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import cut, slices
 
 GRAM = 25
-CHUNK = 4_000_000
+CHUNK = 200_000
 #: Bytes of fragments whose suffixes are sorted together.
 SORTED = 1_000_000
 #: Different fragments of one anchor beyond which they are dealt over several tasks.
@@ -82,7 +82,8 @@ def fragments(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarr
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(at)) - 1
     begin = at[first]
-    return h[a[first]], begin, at[last] + length, np.searchsorted(ends, begin, side="right")
+    own = h[a[first]] * np.uint64(_A)  # small hashes are chosen more often: spread them again
+    return own ^ (own >> np.uint64(29)), begin, at[last] + length, np.searchsorted(ends, begin, side="right")
 
 
 def suffix_order(data: np.ndarray, depth: int) -> np.ndarray:
@@ -218,6 +219,7 @@ def find_fragments(docs: DataFrame, length: int, parts: int) -> DataFrame:
     n = shared.agg(F.sum("n")).first()[0] or 0
     per = 1 << max(10, (12 * n // BUCKETS).bit_length())  # bits of a bucket's part of the filter
     small = per * BUCKETS <= MAX_FILTER_BITS
+    sent = None
     if small:
 
         def bits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -235,6 +237,7 @@ def find_fragments(docs: DataFrame, length: int, parts: int) -> DataFrame:
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
+            out = []
             for ids, data, ends in laid_out(pdf):
                 h, begin, end, text = fragments(np.frombuffer(data, np.uint8), ends, length)
                 if small:
@@ -243,9 +246,13 @@ def find_fragments(docs: DataFrame, length: int, parts: int) -> DataFrame:
                     for place in places(key, per):
                         hit &= (sent.value[(key >> np.uint64(38)).astype(np.int64), place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1 == 1
                     h, begin, end, text = h[hit], begin[hit], end[hit], text[hit]
-                if len(h):
-                    pos = begin - np.concatenate([[0], ends[:-1]])[text]
-                    yield pd.DataFrame({"doc": ids[text], "pos": pos, "h": h.view(np.int64), "frag": [data[a:b] for a, b in zip(begin, end, strict=True)]})
+                pos = begin - np.concatenate([[0], ends[:-1]])[text]
+                out.append(pd.DataFrame({"doc": ids[text], "pos": pos, "h": h.view(np.int64), "frag": [data[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)]}))
+                if sum(map(len, out)) > 200_000:
+                    yield pd.concat(out)
+                    out = []
+            if out:
+                yield pd.concat(out)
 
     found = docs.mapInPandas(emit, "doc long, pos long, h long, frag binary")
     if small:
@@ -271,7 +278,7 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str, length: int) ->
     """doc, spans: for each document with bytes to remove, (pos, mask): the windows pos + i with bit i of the mask."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     base = docs.where(F.col(id_col).isNotNull() & (F.octet_length(F.col(text_col)) >= length)).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
-    found = cut(find_fragments(base, length, parts))
+    found = find_fragments(base, length, parts)
     unique = cut(found.groupBy("h", "frag").agg(F.min("doc").alias("low"), F.max("doc").alias("top")))
     wide = unique.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("low").alias("l"), F.max("top").alias("t")).where("l < t").select(F.col("h").alias("wh"), F.ceil(F.col("n") / WIDE).alias("lots"))
     dealt = unique.join(wide, F.col("h") == F.col("wh")).select("h", "frag", "low", "top", (F.col("lots") > 1).alias("split"), F.when(F.col("lots") > 1, F.pmod(F.xxhash64("frag"), F.col("lots"))).otherwise(0).alias("lot"))
@@ -306,9 +313,11 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str, length: int) ->
     each = classed.where("split").select("h", "frag", "top", F.posexplode("minima").alias("i", "own")).withColumn("window", F.expr(f"substring(frag, i + 1, {length})"))
     lowest = each.groupBy("window").agg(F.min("own").alias("least"))
     merged = each.join(lowest, "window").groupBy("h", "frag", "top").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "least"))), lambda x: x["least"]).alias("minima"))
-    minima = classed.where("not split").select("h", "frag", "top", "minima").unionByName(merged).where(F.exists("minima", lambda m: m < F.col("top"))).drop("top")
+    minima = classed.where("not split").select("h", "frag", "top", "minima").unionByName(merged).where(F.exists("minima", lambda m: m < F.col("top")))
+    minima = minima.select("h", F.xxhash64("frag").alias("f"), "minima")
     mask = F.aggregate(F.transform("minima", lambda m, i: F.when(m < F.col("doc"), F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda a, x: a + x)
-    hits = found.join(minima, ["h", "frag"]).select("doc", "pos", mask.alias("mask")).where("mask <> 0")
+    places_ = found.select("doc", F.col("pos").cast("int"), "h", F.xxhash64("frag").alias("f"))
+    hits = places_.join(minima, ["h", "f"]).select("doc", "pos", mask.alias("mask")).where("mask <> 0")
     return hits.groupBy("doc").agg(F.collect_set(F.struct("pos", "mask")).alias("spans"))
 
 
