@@ -86,6 +86,22 @@ def fragments(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarr
     return own ^ (own >> np.uint64(29)), begin, at[last] + length, np.searchsorted(ends, begin, side="right")
 
 
+def ranks(key: np.ndarray) -> np.ndarray:
+    order = np.argsort(key)
+    new = np.zeros(len(key), np.uint64)
+    new[1:] = key[order][1:] != key[order][:-1]
+    out = np.empty(len(key), np.uint64)
+    out[order] = np.cumsum(new)
+    return out
+
+
+def joined(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Three ranks as one number that sorts as they do."""
+    if max(x.max(initial=0) for x in (a, b, c)) < 1 << 21:
+        return (a << np.uint64(42)) | (b << np.uint64(21)) | c
+    return ranks((ranks((a << np.uint64(32)) | b) << np.uint64(32)) | c)
+
+
 def suffix_order(data: np.ndarray, depth: int) -> np.ndarray:
     """Places of all suffixes in the order of their first `depth` bytes, by two-stage sorting."""
     n = len(data)
@@ -93,17 +109,17 @@ def suffix_order(data: np.ndarray, depth: int) -> np.ndarray:
     nxt = np.where(step != 0, np.arange(n), n)
     nxt = np.minimum.accumulate(nxt[::-1])[::-1]
     rises = step[nxt] > 0
-    # stage one: suffixes smaller than their successor
-    padded = np.concatenate([data, np.zeros(depth + 16, np.uint8)])
-    word = np.zeros(n + depth + 8, np.uint64)
+    # stage one: suffixes smaller than their successor, by ranks of their 24-byte parts
+    padded = np.concatenate([data, np.zeros(depth + 96, np.uint8)])
+    word = np.zeros(n + depth + 80, np.uint64)
     for k in range(8):
         word = (word << np.uint64(8)) | padded[k : k + len(word)]
+    r8 = ranks(word)
+    part = joined(r8[:-16], r8[8:-8], r8[16:])
+    r24 = ranks(part)
     direct = np.flatnonzero(rises)
-    keys = []
-    for k in range(0, depth, 8):
-        w = word[direct + k]
-        keys.append(w if depth - k >= 8 else w >> np.uint64(8 * (8 - depth + k)))
-    direct = direct[np.lexsort(keys[::-1])] if len(direct) else direct
+    key = joined(*(r24[direct + k] if k < depth else np.zeros(len(direct), np.uint64) for k in (0, 24, 48)))
+    direct = direct[np.argsort(key)]
     heads = np.searchsorted(data[direct], np.arange(257))
     # stage two: one scan over the buckets places every other suffix after its successor
     induced: list[list[np.ndarray]] = [[] for _ in range(256)]
@@ -179,7 +195,7 @@ def shared_anchors(docs: DataFrame, length: int, parts: int) -> DataFrame:
             if not keys or not sum(map(len, keys)):
                 continue
             key, doc = np.concatenate(keys), np.concatenate(docs_)
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key)
             key, doc = key[order], doc[order]
             first = np.flatnonzero(np.diff(key, prepend=key[:1] ^ np.uint64(1)))
             many = np.minimum.reduceat(doc, first) < np.maximum.reduceat(doc, first)
@@ -280,41 +296,58 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str, length: int) ->
     base = docs.where(F.col(id_col).isNotNull() & (F.octet_length(F.col(text_col)) >= length)).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
     found = find_fragments(base, length, parts)
     unique = cut(found.groupBy("h", "frag").agg(F.min("doc").alias("low"), F.max("doc").alias("top")))
-    wide = unique.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("low").alias("l"), F.max("top").alias("t")).where("l < t").select(F.col("h").alias("wh"), F.ceil(F.col("n") / WIDE).alias("lots"))
-    dealt = unique.join(wide, F.col("h") == F.col("wh")).select("h", "frag", "low", "top", (F.col("lots") > 1).alias("split"), F.when(F.col("lots") > 1, F.pmod(F.xxhash64("frag"), F.col("lots"))).otherwise(0).alias("lot"))
+    wide = cut(unique.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > WIDE).select(F.col("h").alias("wh"), F.ceil(F.col("n") / WIDE).alias("lots")))
+    dealt = unique.join(wide, F.col("h") == F.col("wh"), "left").select("h", "frag", "low", "top", F.col("lots").isNotNull().alias("split"), F.coalesce(F.pmod(F.xxhash64("frag"), F.col("lots")), F.lit(0)).alias("lot"))
 
     def classes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
         size = 0
 
         def result(pdf):
-            minima = window_minima(pdf["frag"].tolist(), pdf["low"].to_numpy(np.int64), length)
-            return pd.DataFrame({"h": pdf["h"], "frag": pdf["frag"], "top": pdf["top"], "split": pdf["split"], "minima": minima})
+            """Smallest documents of the windows of whole anchors. An anchor of one document matches nothing;
+            one with a single fragment is a class without sorting; suffixes of all others are sorted."""
+            new = ((pdf["h"].diff() != 0) | (pdf["lot"].diff() != 0)).to_numpy()
+            first, group = np.flatnonzero(new), np.cumsum(new) - 1
+            low, top = pdf["low"].to_numpy(np.int64), pdf["top"].to_numpy(np.int64)
+            shared = (np.minimum.reduceat(low, first) < np.maximum.reduceat(top, first))[group] | pdf["split"].to_numpy(bool)
+            several = (np.bincount(group) > 1)[group]
+            sort = np.flatnonzero(shared & several)
+            minima = [None] * len(pdf)
+            if len(sort):
+                for i, m in zip(sort, window_minima(pdf["frag"].iloc[sort].tolist(), low[sort], length), strict=True):
+                    minima[i] = m
+            for i in np.flatnonzero(shared & ~several):
+                minima[i] = np.full(len(pdf["frag"].iat[i]) - length + 1, low[i])
+            pdf = pdf.assign(minima=minima)[shared]
+            return pdf[["h", "frag", "top", "split", "minima"]]
 
         for pdf in batches:
             held.append(pdf)
             size += pdf["frag"].map(len).sum()
-            while size >= SORTED:
+            if size >= SORTED:
                 pdf = pd.concat(held, ignore_index=True)
-                new = np.flatnonzero(((pdf["h"].diff() != 0) | (pdf["lot"].diff() != 0)).to_numpy())
-                upto = np.concatenate([[0], np.cumsum(pdf["frag"].map(len))])[new]
-                k = new[np.searchsorted(upto, SORTED)] if upto[-1] >= SORTED else new[-1]
-                if not k:  # one anchor so far
-                    held = [pdf]
-                    break
-                yield result(pdf[:k].reset_index(drop=True))
+                # up to the last anchor, which the next batch may continue
+                k = np.flatnonzero(((pdf["h"].diff() != 0) | (pdf["lot"].diff() != 0)).to_numpy())[-1]
+                upto = np.cumsum(pdf["frag"].map(len).to_numpy())
+                begin = 0
+                while k and begin < k:
+                    stop = min(k, int(np.searchsorted(upto, (upto[begin - 1] if begin else 0) + SORTED)) + 1)
+                    while stop < k and pdf["h"].iat[stop] == pdf["h"].iat[stop - 1] and pdf["lot"].iat[stop] == pdf["lot"].iat[stop - 1]:
+                        stop += 1
+                    yield result(pdf[begin:stop].reset_index(drop=True))
+                    begin = stop
                 held = [pdf[k:].reset_index(drop=True)]
                 size = held[0]["frag"].map(len).sum()
         if held and len(pdf := pd.concat(held, ignore_index=True)):
             yield result(pdf)
 
     sorted_ = dealt.repartition(parts, "h", "lot").sortWithinPartitions("h", "lot")
-    classed = cut(sorted_.mapInPandas(classes, "h long, frag binary, top long, split boolean, minima array<long>"))
-    each = classed.where("split").select("h", "frag", "top", F.posexplode("minima").alias("i", "own")).withColumn("window", F.expr(f"substring(frag, i + 1, {length})"))
+    classed = sorted_.mapInPandas(classes, "h long, frag binary, top long, split boolean, minima array<long>")
+    classed = cut(classed.where(F.col("split") | F.exists("minima", lambda m: m < F.col("top"))).select("h", F.xxhash64("frag").alias("f"), "top", "split", "minima", F.when(F.col("split"), F.col("frag")).alias("frag")))
+    each = classed.where("split").select("h", "f", "frag", "top", F.posexplode("minima").alias("i", "own")).withColumn("window", F.expr(f"substring(frag, i + 1, {length})"))
     lowest = each.groupBy("window").agg(F.min("own").alias("least"))
-    merged = each.join(lowest, "window").groupBy("h", "frag", "top").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "least"))), lambda x: x["least"]).alias("minima"))
-    minima = classed.where("not split").select("h", "frag", "top", "minima").unionByName(merged).where(F.exists("minima", lambda m: m < F.col("top")))
-    minima = minima.select("h", F.xxhash64("frag").alias("f"), "minima")
+    merged = each.join(lowest, "window").groupBy("h", "f", "top").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "least"))), lambda x: x["least"]).alias("minima"))
+    minima = classed.where("not split").select("h", "f", "top", "minima").unionByName(merged.where(F.exists("minima", lambda m: m < F.col("top")))).drop("top")
     mask = F.aggregate(F.transform("minima", lambda m, i: F.when(m < F.col("doc"), F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda a, x: a + x)
     places_ = found.select("doc", F.col("pos").cast("int"), "h", F.xxhash64("frag").alias("f"))
     hits = places_.join(minima, ["h", "f"]).select("doc", "pos", mask.alias("mask")).where("mask <> 0")
