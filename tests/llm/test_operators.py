@@ -20,7 +20,7 @@ SCHEMA = "doc_id long, text string, source string, n_lines int, t string, id int
 def corpus(n=120, seed=3):
     rng = random.Random(seed)
     para = [" ".join(rng.choices(WORDS, k=rng.randint(8, 40))) for _ in range(30)]
-    texts = [None, "", " \n\t", "one", "x" * 300, "y" * 300 + "x" * 300, "ab " * 4000]
+    texts = [None, "", " \n\t", "one", "x" * 300, "y" * 300 + "x" * 300, "ab " * 1500]
     while len(texts) < n:
         r = rng.random()
         if r < 0.15 and len(texts) > 10:
