@@ -25,15 +25,25 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
+def write_cut(df: DataFrame) -> tuple[DataFrame, str]:
     """Write df to the shared folder and read it back: later jobs do not recompute what made it,
-    and the loss of an executor does not lose it."""
+    and the loss of an executor does not lose it. Also gives the path."""
     spark, schema = df.sparkSession, df.schema
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     del df
     release(spark)
-    return spark.read.schema(schema).parquet(path)
+    return spark.read.schema(schema).parquet(path), path
+
+
+def cut(df: DataFrame) -> DataFrame:
+    return write_cut(df)[0]
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table of write_cut that no later job reads."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def release(spark: SparkSession) -> None:

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, slices
+from .common import cut, remove, slices, write_cut
 
 GRAM = 25
 CHUNK = 200_000
@@ -295,7 +295,7 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str, length: int) ->
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     base = docs.where(F.col(id_col).isNotNull() & (F.octet_length(F.col(text_col)) >= length)).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
     found = find_fragments(base, length, parts)
-    unique = cut(found.groupBy("h", "frag").agg(F.min("doc").alias("low"), F.max("doc").alias("top")))
+    unique, unique_path = write_cut(found.groupBy("h", "frag").agg(F.min("doc").alias("low"), F.max("doc").alias("top")))
     wide = cut(unique.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > WIDE).select(F.col("h").alias("wh"), F.ceil(F.col("n") / WIDE).alias("lots")))
     dealt = unique.join(wide, F.col("h") == F.col("wh"), "left").select("h", "frag", "low", "top", F.col("lots").isNotNull().alias("split"), F.coalesce(F.pmod(F.xxhash64("frag"), F.col("lots")), F.lit(0)).alias("lot"))
 
@@ -344,6 +344,7 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str, length: int) ->
     sorted_ = dealt.repartition(parts, "h", "lot").sortWithinPartitions("h", "lot")
     classed = sorted_.mapInPandas(classes, "h long, frag binary, top long, split boolean, minima array<long>")
     classed = cut(classed.where(F.col("split") | F.exists("minima", lambda m: m < F.col("top"))).select("h", F.xxhash64("frag").alias("f"), "top", "split", "minima", F.when(F.col("split"), F.col("frag")).alias("frag")))
+    remove(docs.sparkSession, unique_path)
     each = classed.where("split").select("h", "f", "frag", "top", F.posexplode("minima").alias("i", "own")).withColumn("window", F.expr(f"substring(frag, i + 1, {length})"))
     lowest = each.groupBy("window").agg(F.min("own").alias("least"))
     merged = each.join(lowest, "window").groupBy("h", "f", "top").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "least"))), lambda x: x["least"]).alias("minima"))

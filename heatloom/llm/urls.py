@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Rows of the sample from which slice borders are taken.
-BORDER_SAMPLE = 20_000
+BORDER_SAMPLE = 4_000
 OUT = ("host", "path", "rule", "verdict")
 
 
