@@ -7,11 +7,11 @@ later than all registers of the document. Two documents agree in a register with
 similarity of their weighted shingles (the Jaccard similarity, where all counts are one).
 
 Registers are banded; documents that share a band value are candidates. Copies (same words in the same order) are
-one class member from the start. In each bucket every member is compared with the smallest and with the member
-before it; links that verify (exact similarity of the whole texts at least `threshold`) give components. Pairs of a
-bucket that are then still in different components are compared too, each member outside the bucket's largest component
-with all members of other components, so that no candidate pair of different classes stays unseen, while pairs within
-a component are never formed.
+one class member from the start. In each bucket every member is compared with the one that meets most others over all bands;
+links that verify (exact similarity of the whole texts at least `threshold`) give components. Members of a
+bucket outside its largest component are then compared with all members of other components, so that no candidate pair
+of different classes stays unseen: blocks of texts meet blocks of texts, overlaps come from one matrix product a block,
+and only links leave a task.
 
 Defined results: a text of one to four words is one shingle; texts without words (null, empty, white space)
 are each a class of their own; a class's id is its smallest id; rows that repeat an id have one class; rows
@@ -33,6 +33,7 @@ from .common import cut, slices
 
 BANDS, ROWS = 25, 5
 SHINGLE = 5
+BLOCK = 256
 CHARS = 2_000_000
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _MIX = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -125,6 +126,36 @@ def similarity(a: str | None, b: str | None) -> float:
     return float((1.0 / (above / x + below / y)).sum())
 
 
+def weight_matrix(texts: list[str], column: dict[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Weights by text and shingle (of those in column), each text's sum, and whether all its weights are 1."""
+    h, d, w = weighted(*shingle_hashes(texts))
+    out = np.zeros((len(texts), max(1, len(column))), np.float32)
+    at = np.array([column.get(x, -1) for x in h.tolist()], np.int64)
+    out[d[at >= 0], at[at >= 0]] = w[at >= 0]
+    total, most = np.bincount(d, w, len(texts)), np.zeros(len(texts))
+    np.maximum.at(most, d, w)
+    return out, total, most <= 1
+
+
+def block_links(a: list, b: list, threshold: float) -> list[tuple[int, int]]:
+    """Links between two blocks of (id, root, text) of different components."""
+    column: dict[int, int] = {}
+    for x in shingle_hashes([r["t"] for r in a])[0].tolist():
+        column.setdefault(x, len(column))
+    wa, na, ua = weight_matrix([r["t"] for r in a], column)
+    wb, nb, ub = weight_matrix([r["t"] for r in b], column)
+    root_a, root_b = (np.array([r["root"] for r in x]) for x in (a, b))
+    differ = root_a[:, None] != root_b[None, :]
+    shared = (wa @ wb.T).astype(np.float64)
+    unit = ua[:, None] & ub[None, :]
+    sure = differ & unit & (shared >= (threshold - 1e-9) * (na[:, None] + nb[None, :] - shared))
+    # sum of min(p, q) bounds the similarity, and is at most the sum of sqrt(p * q)
+    near = np.sqrt(wa) @ np.sqrt(wb).T / np.sqrt(na[:, None] * nb[None, :])
+    maybe = differ & ~unit & (near >= threshold - 1e-4)
+    found = list(zip(*np.nonzero(sure), strict=True)) + [(i, j) for i, j in zip(*np.nonzero(maybe), strict=True) if similarity(a[i]["t"], b[j]["t"]) >= threshold]
+    return [(min(a[i]["id"], b[j]["id"]), max(a[i]["id"], b[j]["id"])) for i, j in found]
+
+
 def smallest_in_reach(links: DataFrame) -> DataFrame:
     """Connected components of links (a, b): id, root (the smallest id). Large stars and small stars
     in turn, until no link changes; each turn only groups and joins by one end of a link."""
@@ -170,8 +201,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     drawn = cut(base.mapInPandas(sketch, "id long, digest binary, bands array<long>"))
     copies = cut(drawn.where("digest is not null").groupBy("digest").agg(F.min("id").alias("text_id"), F.count(F.lit(1)).alias("n")))
     unique = drawn.where("digest is not null").join(copies, "digest").where("id = text_id").select("id", F.explode("bands").alias("band"))
-    shared = unique.groupBy("band").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = cut(unique.join(shared, "band").select("band", "id", "low"))
+    shared = unique.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = cut(unique.join(shared, "band"))
+    popular = met.groupBy("id").agg(F.sum("n").alias("met"))
+    members = cut(met.join(popular, "id").select("band", "id", "met"))
+    centres = members.groupBy("band").agg(F.max(F.struct("met", (-F.col("id")).alias("minus"))).alias("top")).select("band", (-F.col("top.minus")).alias("low"))
 
     texts = base.join(members.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
 
@@ -183,16 +217,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         left, right = texts.select(F.col("id").alias("a"), F.col("t").alias("ta")), texts.select(F.col("id").alias("b"), F.col("t").alias("tb"))
         return pairs.distinct().join(left, "a").join(right, "b").where(alike("ta", "tb")).select("a", "b")
 
-    stars = members.where("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b"))
+    stars = members.join(cut(centres), "band").where("id <> low").select(F.least("low", "id").alias("a"), F.greatest("low", "id").alias("b"))
     links = cut(verified(stars))
     roots = smallest_in_reach(links)
     held = cut(members.join(roots, "id", "left").select("band", "id", F.coalesce("root", "id").alias("root")))
     per = held.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"))
     most = per.groupBy("band").agg(F.max(F.struct("n", "root")).alias("top"), F.count(F.lit(1)).alias("classes")).where("classes > 1").select("band", F.col("top.root").alias("top"))
     open_ = cut(held.join(most, "band"))
-    outside = open_.where("root <> top").select("band", F.col("id").alias("x"), F.col("root").alias("rx"))
-    pairs = outside.join(open_.select("band", "id", "root", "top"), "band").where("rx <> root and (root = top or x < id)").select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b"))
-    more = cut(verified(pairs.distinct().join(links, ["a", "b"], "left_anti")))
+    # blocks of at most about BLOCK members and CHARS characters; an outsider meets the blocks of its bucket
+    told = open_.join(texts, "id").withColumn("size", F.length("t"))
+    lots = cut(told.groupBy("band").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("size") / CHARS)).alias("lots")))
+    told = told.join(lots, "band").withColumn("lot", F.pmod(F.xxhash64("id"), F.col("lots")))
+    one = F.collect_list(F.struct("id", "root", "t"))
+    blocks = cut(told.groupBy("band", "lot").agg(one.alias("all"), F.first("top").alias("top")).select("band", "lot", "all", F.expr("filter(all, m -> m.root <> top)").alias("out")))
+
+    @F.pandas_udf("array<struct<a:long,b:long>>")
+    def linked(out: pd.Series, all_: pd.Series) -> pd.Series:
+        return pd.Series([[{"a": a, "b": b} for a, b in block_links(list(x), list(y), threshold)] for x, y in zip(out, all_, strict=True)])
+
+    meets = blocks.where("size(out) > 0").select("band", "out").join(blocks.select("band", "all"), "band")
+    more = cut(meets.select(F.explode(linked("out", "all")).alias("l")).select("l.a", "l.b").distinct())
     if more.limit(1).count():
         roots = smallest_in_reach(links.union(more))
     out = drawn.select("id", "digest").join(copies.select("digest", "text_id"), "digest", "left").withColumn("text_id", F.coalesce("text_id", "id"))
