@@ -106,35 +106,42 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    def blocks(kind: str, size: int):
+    def blocks(size: int | None):
+        """Rows in blocks of `size`, or by their q."""
+
         def lay_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             from pyspark import TaskContext
 
-            part, n, held = TaskContext.get().partitionId(), 0, pd.DataFrame()
-            def row(own):
-                return pd.DataFrame({"block": [(part << 24) + n], "norm": [float(np.sqrt(own["norm2"].max()))], "ids": [own["id"].to_numpy(np.int64).tobytes()], "x": [matrix(own["x"].tolist(), dim).tobytes()], "n": [len(own)]})
+            n, held = TaskContext.get().partitionId() << 24, pd.DataFrame()
+
+            def row(own, block):
+                return pd.DataFrame({"block": [block], "norm": [float(np.sqrt(own["norm2"].max()))], "ids": [own["id"].to_numpy(np.int64).tobytes()], "x": [matrix(own["x"].tolist(), dim).tobytes()], "n": [len(own)]})
+
             for pdf in batches:
                 held = pd.concat([held, pdf], ignore_index=True)
-                while len(held) >= size:
-                    yield row(held[:size])
+                if size is None:
+                    last = held["q"].iat[-1] if len(held) else None
+                    for q, own in held[held["q"] != last].groupby("q"):
+                        yield row(own, q)
+                    held = held[held["q"] == last]
+                while size is not None and len(held) >= size:
+                    yield row(held[:size], n)
                     held, n = held[size:], n + 1
             if len(held):
-                yield row(held)
+                yield row(held, n if size else held["q"].iat[0])
 
         return lay_out
 
     schema = "block long, norm double, ids binary, x binary, n int"
     ordered = rows.repartitionByRange(parts, F.desc("norm2"), "id").sortWithinPartitions(F.desc("norm2"), "id")
-    candidates = cut(ordered.mapInPandas(blocks("c", CANDIDATES), schema))
-    asked = rows.where("asks")
-    many = max(1, -(-asked.count() // QUERIES))
-    asked = asked.repartition(many, F.pmod(F.xxhash64("id"), F.lit(many)))
-    queries = cut(asked.mapInPandas(blocks("q", QUERIES), schema))
-    numbers = queries.select(F.col("block").alias("q"))
-    # every candidate block to every query block, by an equal key: the list of query blocks is one short row
-    listed = numbers.agg(F.sort_array(F.collect_list("q")).alias("qs")).withColumn("all", F.lit(1))
-    meets = candidates.withColumn("all", F.lit(1)).join(F.broadcast(listed), "all").select(F.explode("qs").alias("q"), F.lit(1).alias("kind"), *schema_names(schema))
-    both = queries.select(F.col("block").alias("q"), F.lit(0).alias("kind"), *schema_names(schema)).unionByName(meets)
+    candidates = cut(ordered.mapInPandas(blocks(CANDIDATES), schema))
+    many = max(1, -(-rows.where("asks").count() // QUERIES))
+    asked = rows.where("asks").withColumn("q", F.pmod(F.xxhash64("id"), F.lit(many)))
+    asked = asked.repartition(many, "q").sortWithinPartitions("q", "id")
+    queries = cut(asked.mapInPandas(blocks(None), schema)).withColumnRenamed("block", "q")
+    # every candidate block goes to every query block
+    meets = candidates.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(many - 1).cast("long"))).alias("q"), F.lit(1).alias("kind"), *schema_names(schema))
+    both = queries.select("q", F.lit(0).alias("kind"), F.col("q").alias("block"), *schema_names(schema)[1:]).unionByName(meets)
     both = both.repartition(max(parts, 1), "q").sortWithinPartitions("q", "kind", "block")
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
