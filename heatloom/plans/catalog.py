@@ -2,10 +2,93 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from heatloom.operators import graph, joins
+from heatloom.plans.shared import PRELUDE, SHARED
+from heatloom.streaming import windows
+
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def with_prelude(sql: str, first: int) -> str:
+    """sql behind the views of PRELUDE that it uses, in their order."""
+    used: list[str] = []
+    text = sql
+    for name in reversed(PRELUDE):
+        if any(w == name for w in text.replace("(", " ").replace(")", " ").split()):
+            used.append(name)
+            text += " " + PRELUDE[name]
+    return ("WITH " + ", ".join(f"{n} AS ({PRELUDE[n]})" for n in reversed(used)) + " " if used else "").replace("{first}", str(first)) + sql
+
+
+def shared_query(name: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        sql = with_prelude(SHARED[name], 0)
+        words = set(sql.replace("(", " ").replace(")", " ").replace(",", " ").split())
+        for t in TABLES:
+            if t in words:
+                table(spark, sf_dir, t).createOrReplaceTempView(t)
+        return spark.sql(sql)
+
+    return run
+
+
+def readings(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "ts", "value")
+
+
+def points(spark, sf_dir):
+    e = F.col("embedding")
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), (e[0].cast("double") * 100).alias("x"), (e[1].cast("double") * 100).alias("y"))
+
+
+def join_asof_backward(spark, sf_dir):
+    all_ = readings(spark, sf_dir)
+    left = all_.where("event_id % 2 = 0").select("event_id", "user_id", "ts")
+    right = all_.where("event_id % 2 = 1").groupBy("user_id", "ts").agg(F.max("value").alias("value"))
+    return joins.asof_backward(left, right, "user_id", "ts", "value").select("event_id", F.round("value", 4).alias("value"))
+
+
+def join_radius_bucket(spark, sf_dir):
+    p = points(spark, sf_dir)
+    return joins.within_radius(p, p, 2.0).where("id < id2").select("id", "id2", F.round("d", 4).alias("d"))
+
+
+def join_nn_snap(spark, sf_dir):
+    p = points(spark, sf_dir)
+    return joins.nearest_within(p.where("id % 5 = 0"), p.where("id % 5 <> 0"), 3.0).select("id", "id2", F.round("d", 4).alias("d"))
+
+
+def graph_hops(spark, sf_dir):
+    l = table(spark, sf_dir, "supplier").select((F.col("s_nationkey") + 0).cast("long").alias("a"), (100 + F.col("s_suppkey") % 40).cast("long").alias("b"))
+    return graph.hops(l, 0, 4)
+
+
+def stream_window_mean(spark, sf_dir):
+    """The streaming plan on the table read as a batch; tests run it as a stream."""
+    out = windows.window_mean(readings(spark, sf_dir))
+    return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", F.round("value", 4).alias("value"), "n")
+
+
+POINTS = "p AS (SELECT vec_id AS id, embedding[1]::DOUBLE * 100 AS x, embedding[2]::DOUBLE * 100 AS y FROM embeddings)"
+PLANS = {
+    "join_asof_backward": (join_asof_backward, "WITH r AS (SELECT user_id, ts, max(value) AS value FROM events WHERE event_id % 2 = 1 GROUP BY user_id, ts) SELECT l.event_id, round(r.value, 4) AS value FROM (SELECT * FROM events WHERE event_id % 2 = 0) l ASOF LEFT JOIN r ON l.user_id = r.user_id AND l.ts >= r.ts"),
+    "join_radius_bucket": (join_radius_bucket, f"WITH {POINTS} SELECT a.id, b.id AS id2, round(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), 4) AS d FROM p a JOIN p b ON a.id < b.id AND sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 2.0"),
+    "join_nn_snap": (join_nn_snap, f"WITH {POINTS}, c AS (SELECT a.id, b.id AS id2, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS d FROM p a JOIN p b ON a.id % 5 = 0 AND b.id % 5 <> 0) SELECT id, id2, round(d, 4) AS d FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, id2) AS rn FROM c WHERE d <= 3.0) WHERE rn = 1"),
+    "graph_hops": (graph_hops, "WITH RECURSIVE e AS (SELECT s_nationkey::BIGINT AS a, (100 + s_suppkey % 40)::BIGINT AS b FROM supplier), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(node, hops) AS (SELECT 0::BIGINT, 0 UNION SELECT u.b, r.hops + 1 FROM r JOIN u ON r.node = u.a WHERE r.hops < 4) SELECT node, min(hops)::INTEGER AS hops FROM r GROUP BY node"),
+    "stream_window_mean": (stream_window_mean, "SELECT date_trunc('hour', ts) AS start, event_type, round(avg(value), 4) AS value, count(*) AS n FROM events GROUP BY 1, 2"),
+}
+
 
 def queries() -> dict:
-    return {}
+    return {name: shared_query(name) for name in SHARED} | {name: f for name, (f, _) in PLANS.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: with_prelude(sql, 1) for name, sql in SHARED.items()} | {name: sql for name, (_, sql) in PLANS.items()}
