@@ -225,17 +225,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     most = per.groupBy("band").agg(F.max(F.struct("n", "root")).alias("top"), F.count(F.lit(1)).alias("classes")).where("classes > 1").select("band", F.col("top.root").alias("top"))
     open_ = cut(held.join(most, "band"))
     # blocks of at most about BLOCK members and CHARS characters; an outsider meets the blocks of its bucket
-    told = open_.join(texts, "id").withColumn("size", F.length("t"))
-    lots = cut(told.groupBy("band").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("size") / CHARS)).alias("lots")))
-    told = told.join(lots, "band").withColumn("lot", F.pmod(F.xxhash64("id"), F.col("lots")))
+    # (buckets with one largest component are taken together: what shares several is compared once)
+    told = cut(open_.select("top", "id", "root").distinct()).join(texts, "id").withColumn("size", F.length("t"))
+    lots = cut(told.groupBy("top").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("size") / CHARS)).alias("lots")))
+    told = told.join(lots, "top").withColumn("lot", F.pmod(F.xxhash64("id"), F.col("lots")))
     one = F.collect_list(F.struct("id", "root", "t"))
-    blocks = cut(told.groupBy("band", "lot").agg(one.alias("all"), F.first("top").alias("top")).select("band", "lot", "all", F.expr("filter(all, m -> m.root <> top)").alias("out")))
+    blocks = cut(told.groupBy("top", "lot").agg(one.alias("all")).select("top", "all", F.expr("filter(all, m -> m.root <> top)").alias("out")))
 
     @F.pandas_udf("array<struct<a:long,b:long>>")
     def linked(out: pd.Series, all_: pd.Series) -> pd.Series:
         return pd.Series([[{"a": a, "b": b} for a, b in block_links(list(x), list(y), threshold)] for x, y in zip(out, all_, strict=True)])
 
-    meets = blocks.where("size(out) > 0").select("band", "out").join(blocks.select("band", "all"), "band")
+    meets = blocks.where("size(out) > 0").select("top", "out").join(blocks.select("top", "all"), "top")
     more = cut(meets.select(F.explode(linked("out", "all")).alias("l")).select("l.a", "l.b").distinct())
     if more.limit(1).count():
         roots = smallest_in_reach(links.union(more))
