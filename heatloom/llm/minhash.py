@@ -168,7 +168,8 @@ def smallest_in_reach(links: DataFrame) -> DataFrame:
         out = joined.select(F.col("v"), "m") if small else joined.where("v > u").select("v", "m")
         if small:
             out = out.union(low.select(F.col("u").alias("v"), "m"))
-        return out.where("v <> m").select(F.col("m").alias("a"), F.col("v").alias("b")).distinct()
+        out = out.where("v <> m").select(F.col("m").alias("a"), F.col("v").alias("b"))
+        return out.distinct() if small else out
 
     edges = cut(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     mark = lambda e: tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
@@ -239,7 +240,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     meets = blocks.where("size(out) > 0").select("top", "out").join(blocks.select("top", "all"), "top")
     more = cut(meets.select(F.explode(linked("out", "all")).alias("l")).select("l.a", "l.b").distinct())
     if more.limit(1).count():
-        roots = smallest_in_reach(links.union(more))
+        roots = smallest_in_reach(roots.select(F.col("root").alias("a"), F.col("id").alias("b")).union(more))
     out = drawn.select("id", "digest").join(copies.select("digest", "text_id"), "digest", "left").withColumn("text_id", F.coalesce("text_id", "id"))
     out = out.join(roots.withColumnRenamed("id", "rid"), F.col("text_id") == F.col("rid"), "left")
     return out.groupBy(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col)).agg(F.min(F.coalesce("root", "text_id")).alias("class_id"), F.min("text_id").alias("text_id"))
