@@ -126,32 +126,34 @@ def similarity(a: str | None, b: str | None) -> float:
     return float((1.0 / (above / x + below / y)).sum())
 
 
-def weight_matrix(texts: list[str], column: dict[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Weights by text and shingle (of those in column), each text's sum, and whether all its weights are 1."""
-    h, d, w = weighted(*shingle_hashes(texts))
-    out = np.zeros((len(texts), max(1, len(column))), np.float32)
-    at = np.array([column.get(x, -1) for x in h.tolist()], np.int64)
-    out[d[at >= 0], at[at >= 0]] = w[at >= 0]
-    total, most = np.bincount(d, w, len(texts)), np.zeros(len(texts))
-    np.maximum.at(most, d, w)
-    return out, total, most <= 1
-
-
 def block_links(a: list, b: list, threshold: float) -> list[tuple[int, int]]:
     """Links between two blocks of (id, root, text) of different components."""
-    column: dict[int, int] = {}
-    for x in shingle_hashes([r["t"] for r in a])[0].tolist():
-        column.setdefault(x, len(column))
-    wa, na, ua = weight_matrix([r["t"] for r in a], column)
-    wb, nb, ub = weight_matrix([r["t"] for r in b], column)
+    if not a or not b:
+        return []
+    parts = [weighted(*shingle_hashes([r["t"] for r in x])) for x in (a, b)]
+    column = np.intersect1d(parts[0][0], parts[1][0])  # only what both blocks hold adds to an overlap
+
+    def weights(part, n):
+        """Weights by text and shared shingle, each text's sum, and whether all its weights are 1."""
+        h, d, w = part
+        out = np.zeros((n, max(1, len(column))), np.float32)
+        held = np.isin(h, column)
+        out[d[held], np.searchsorted(column, h[held])] = w[held]
+        most = np.zeros(n)
+        np.maximum.at(most, d, w)
+        return out, np.bincount(d, w, n), most <= 1
+
+    (wa, na, ua), (wb, nb, ub) = (weights(p, len(x)) for p, x in zip(parts, (a, b), strict=True))
     root_a, root_b = (np.array([r["root"] for r in x]) for x in (a, b))
     differ = root_a[:, None] != root_b[None, :]
     shared = (wa @ wb.T).astype(np.float64)
     unit = ua[:, None] & ub[None, :]
     sure = differ & unit & (shared >= (threshold - 1e-9) * (na[:, None] + nb[None, :] - shared))
     # sum of min(p, q) bounds the similarity, and is at most the sum of sqrt(p * q)
-    near = np.sqrt(wa) @ np.sqrt(wb).T / np.sqrt(na[:, None] * nb[None, :])
-    maybe = differ & ~unit & (near >= threshold - 1e-4)
+    maybe = differ & ~unit
+    if maybe.any():
+        near = np.sqrt(wa) @ np.sqrt(wb).T / np.sqrt(na[:, None] * nb[None, :])
+        maybe &= near >= threshold - 1e-4
     found = list(zip(*np.nonzero(sure), strict=True)) + [(i, j) for i, j in zip(*np.nonzero(maybe), strict=True) if similarity(a[i]["t"], b[j]["t"]) >= threshold]
     return [(min(a[i]["id"], b[j]["id"]), max(a[i]["id"], b[j]["id"])) for i, j in found]
 
