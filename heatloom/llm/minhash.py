@@ -35,6 +35,7 @@ BANDS, ROWS = 25, 5
 SHINGLE = 5
 BLOCK = 256
 CHARS = 2_000_000
+CELLS = 8_000_000  # of a matrix of weights; blocks with larger ones are halved
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _MIX = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -106,18 +107,11 @@ def prob_min_hash(hashes: np.ndarray, doc: np.ndarray, weight: np.ndarray, texts
     return holder.reshape(texts, registers)
 
 
-def similarity(a: str | None, b: str | None) -> float:
-    """Exact probability Jaccard similarity of two texts' weighted shingles."""
-    h, d = shingle_hashes([a, b])
-    h, d, w = weighted(h, d)
-    ha, wa, hb, wb = h[d == 0], w[d == 0].astype(float), h[d == 1], w[d == 1].astype(float)
-    if not len(ha) or not len(hb):
-        return 0.0
-    shared, ia, ib = np.intersect1d(ha, hb, assume_unique=True, return_indices=True)
-    if not len(shared):
+def jaccard(x: np.ndarray, y: np.ndarray, sum_a: float, sum_b: float) -> float:
+    """Probability Jaccard similarity of two weighted sets: the weights x and y of what both hold, and each set's sum."""
+    if not len(x):
         return 0.0
-    x, y = wa[ia], wb[ib]
-    only_a, only_b = wa.sum() - x.sum(), wb.sum() - y.sum()
+    only_a, only_b = sum_a - x.sum(), sum_b - y.sum()
     order = np.argsort(x / y, kind="stable")
     x, y = x[order], y[order]
     # by ratio: those above keep x_j / x_i as the larger term, those below y_j / y_i
@@ -126,12 +120,26 @@ def similarity(a: str | None, b: str | None) -> float:
     return float((1.0 / (above / x + below / y)).sum())
 
 
+def similarity(a: str | None, b: str | None) -> float:
+    """Exact probability Jaccard similarity of two texts' weighted shingles."""
+    h, d = shingle_hashes([a, b])
+    h, d, w = weighted(h, d)
+    ha, wa, hb, wb = h[d == 0], w[d == 0].astype(float), h[d == 1], w[d == 1].astype(float)
+    _, ia, ib = np.intersect1d(ha, hb, assume_unique=True, return_indices=True)
+    return jaccard(wa[ia], wb[ib], wa.sum(), wb.sum())
+
+
 def block_links(a: list, b: list, threshold: float) -> list[tuple[int, int]]:
-    """Links between two blocks of (id, root, text) of different components."""
+    """Links between the components that two blocks of (id, root, text) are of, as pairs of roots: enough of them
+    to join all components that similar texts connect. With p and q the weights over their sums and m the sum of
+    min(p, q), the similarity is at least m / (2 - m) and at most m, so only pairs between need the exact value."""
     if not a or not b:
         return []
     parts = [weighted(*shingle_hashes([r["t"] for r in x])) for x in (a, b)]
     column = np.intersect1d(parts[0][0], parts[1][0])  # only what both blocks hold adds to an overlap
+    if max(len(a), len(b)) * len(column) > CELLS and max(len(a), len(b)) > 1:
+        a, b = (a, b) if len(a) >= len(b) else (b, a)
+        return block_links(a[: len(a) // 2], b, threshold) + block_links(a[len(a) // 2 :], b, threshold)
 
     def weights(part, n):
         """Weights by text and shared shingle, each text's sum, and whether all its weights are 1."""
@@ -145,17 +153,45 @@ def block_links(a: list, b: list, threshold: float) -> list[tuple[int, int]]:
 
     (wa, na, ua), (wb, nb, ub) = (weights(p, len(x)) for p, x in zip(parts, (a, b), strict=True))
     root_a, root_b = (np.array([r["root"] for r in x]) for x in (a, b))
+    parent: dict[int, int] = {}
+    links = []
+
+    def top(root: int) -> int:
+        while (up := parent.get(root, root)) != root:
+            root = up
+        return root
+
+    def join(i: int, j: int) -> None:
+        one, other = top(root_a[i]), top(root_b[j])
+        if one != other:
+            parent[max(one, other)] = min(one, other)
+            links.append((int(min(one, other)), int(max(one, other))))
+
     differ = root_a[:, None] != root_b[None, :]
     shared = (wa @ wb.T).astype(np.float64)
     unit = ua[:, None] & ub[None, :]
-    sure = differ & unit & (shared >= (threshold - 1e-9) * (na[:, None] + nb[None, :] - shared))
-    # sum of min(p, q) bounds the similarity, and is at most the sum of sqrt(p * q)
-    maybe = differ & ~unit
-    if maybe.any():
-        near = np.sqrt(wa) @ np.sqrt(wb).T / np.sqrt(na[:, None] * nb[None, :])
-        maybe &= near >= threshold - 1e-4
-    found = list(zip(*np.nonzero(sure), strict=True)) + [(i, j) for i, j in zip(*np.nonzero(maybe), strict=True) if similarity(a[i]["t"], b[j]["t"]) >= threshold]
-    return [(min(a[i]["id"], b[j]["id"]), max(a[i]["id"], b[j]["id"])) for i, j in found]
+    for i, j in np.argwhere(differ & unit & (shared >= (threshold - 1e-9) * (na[:, None] + nb[None, :] - shared))):
+        join(i, j)
+    open_ = differ & ~unit & (shared > 0)
+    if not open_.any():
+        return links
+    # m is at most the sum of sqrt(p * q)
+    open_ &= np.sqrt(wa) @ np.sqrt(wb).T / np.sqrt(na[:, None] * nb[None, :]) >= threshold - 1e-4
+    pa, pb = wa / na[:, None].astype(np.float32), wb / nb[:, None].astype(np.float32)
+    unsure = []
+    for i in np.flatnonzero(open_.any(axis=1)):
+        js = np.flatnonzero(open_[i])
+        has = np.flatnonzero(pa[i])
+        m = np.minimum(pa[i, has], pb[np.ix_(js, has)]).sum(axis=1, dtype=np.float64)
+        for j in js[m / (2.0 - m) >= threshold + 1e-5]:
+            join(i, j)
+        unsure += [(i, j) for j in js[(m >= threshold - 1e-5) & (m / (2.0 - m) < threshold + 1e-5)]]
+    for i, j in unsure:
+        if top(root_a[i]) != top(root_b[j]):
+            both = np.flatnonzero((wa[i] > 0) & (wb[j] > 0))
+            if jaccard(wa[i, both].astype(float), wb[j, both].astype(float), na[i], nb[j]) >= threshold:
+                join(i, j)
+    return links
 
 
 def smallest_in_reach(links: DataFrame) -> DataFrame:
