@@ -21,6 +21,7 @@ with a null id are left out; extra columns do not matter.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, slices
+from .lines import MAX_FILTER_BITS, SEGMENT_BITS, bit_places, has_bits, set_bits
 
 BANDS, ROWS = 25, 5
 SHINGLE = 5
@@ -220,6 +222,35 @@ def smallest_in_reach(links: DataFrame) -> DataFrame:
     return edges.select(F.col("b").alias("id"), F.col("a").alias("root"))
 
 
+def texts_of(base: DataFrame, ids: DataFrame) -> DataFrame:
+    """One row of base (id, t) for each of ids (id). A Bloom filter of the ids, 64 MB at most, keeps most other
+    texts out of the shuffle; the join after it is exact, so a full filter only costs time."""
+    bits = min(MAX_FILTER_BITS, max(SEGMENT_BITS, 1 << (12 * ids.count()).bit_length()))
+    segments = bits // SEGMENT_BITS  # a power of two
+
+    def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[int, np.ndarray] = {}
+        for pdf in batches:
+            places = bit_places(pdf["h"].to_numpy(), segments)
+            owner = (places[:, 0] // np.uint64(SEGMENT_BITS)).astype(np.int64)
+            for s in np.unique(owner):
+                set_bits(held.setdefault(int(s), np.zeros(SEGMENT_BITS // 8, np.uint8)), places[owner == s] % np.uint64(SEGMENT_BITS))
+        for s, found in held.items():
+            yield pd.DataFrame({"segment": [s], "bits": [zlib.compress(found.tobytes(), 1)]})
+
+    hashed = ids.select(F.xxhash64("id").alias("h")).repartition(min(segments, 64), F.col("h").bitwiseAND(segments - 1))
+    whole = np.zeros((segments, SEGMENT_BITS // 8), np.uint8)
+    for row in hashed.mapInPandas(fill, "segment int, bits binary").toLocalIterator():  # at most MAX_FILTER_BITS in all
+        whole[row["segment"]] = np.frombuffer(zlib.decompress(row["bits"]), np.uint8)
+    sent = base.sparkSession.sparkContext.broadcast(whole.ravel())
+
+    @F.pandas_udf("boolean")
+    def held(h: pd.Series) -> pd.Series:
+        return pd.Series(has_bits(sent.value, bit_places(h.to_numpy(), segments)))
+
+    return cut(base.where(held(F.xxhash64("id"))).join(ids, "id", "left_semi").dropDuplicates(["id"]))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """id_col, class_id (the smallest id of its class), text_id (the smallest id with the same words)."""
     base = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
@@ -246,7 +277,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = cut(met.join(popular, "id").select("band", "id", "met"))
     centres = members.groupBy("band").agg(F.max(F.struct("met", (-F.col("id")).alias("minus"))).alias("top")).select("band", (-F.col("top.minus")).alias("low"))
 
-    texts = base.join(members.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
+    texts = texts_of(base, cut(members.select("id").distinct()))
 
     @F.pandas_udf("boolean")
     def alike(a: pd.Series, b: pd.Series) -> pd.Series:
