@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,3 +16,22 @@ def hops(edges: DataFrame, start: int, most: int) -> DataFrame:
         nxt = reached.join(both, F.col("node") == F.col("a")).select(F.col("b").alias("node"), (F.col("hops") + 1).alias("hops"))
         reached = reached.union(nxt).groupBy("node").agg(F.min("hops").alias("hops"))
     return reached
+
+
+def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+    """node, root: the smallest node that edges (a, b), taken both ways, connect to it. Labels take the smallest
+    label of a neighbour, then that label's own label, so that long chains halve; lineage is cut each round."""
+    context = edges.sparkSession.sparkContext
+    if not context.getCheckpointDir() and not context.getConf().get("spark.checkpoint.dir"):
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
+    labels = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")).checkpoint()
+    for _ in range(rounds):
+        near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("root").alias("m"))
+        low = labels.join(near, F.col("node") == F.col("a")).select("node", "root", F.least("root", "m").alias("low"))
+        own = labels.select(F.col("node").alias("n2"), F.col("root").alias("r2"))
+        new = low.join(own, F.col("low") == F.col("n2")).select("node", F.col("root").alias("old"), F.least("low", "r2").alias("root")).checkpoint()
+        labels = new.select("node", "root")
+        if new.where("old <> root").isEmpty():
+            return labels
+    raise ValueError(f"components need more than {rounds} rounds")

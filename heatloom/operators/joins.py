@@ -31,3 +31,14 @@ def nearest_within(left: DataFrame, right: DataFrame, radius: float) -> DataFram
     """The nearest right point of each left point within the radius; ties to the smaller id."""
     pairs = within_radius(left, right, radius)
     return pairs.groupBy("id").agg(F.min(F.struct("d", "id2")).alias("best")).select("id", F.col("best.id2").alias("id2"), F.col("best.d").alias("d"))
+
+
+def asof_nearest(left: DataFrame, right: DataFrame, by: str, at: str, value: str) -> DataFrame:
+    """left with `value` of the right row of the same key nearest in time; ties to the earlier row. One union, one sort."""
+    rows = left.withColumns({"__r": F.lit(None).cast(f"struct<t:{right.schema[at].dataType.simpleString()},v:{right.schema[value].dataType.simpleString()}>"), "__side": F.lit(1)})
+    both = rows.unionByName(right.select(by, at, F.struct(F.col(at).alias("t"), F.col(value).alias("v")).alias("__r"), F.lit(0).alias("__side")), allowMissingColumns=True)
+    order = Window.partitionBy(by).orderBy(at, "__side")
+    both = both.withColumn("__b", F.last("__r", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    both = both.withColumn("__f", F.first("__r", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))).where("__side = 1")
+    later = F.col("__b").isNull() | (F.col("__f.t") - F.col(at) < F.col(at) - F.col("__b.t"))
+    return both.withColumn(value, F.when(later, F.col("__f.v")).otherwise(F.col("__b.v"))).drop("__r", "__side", "__b", "__f")

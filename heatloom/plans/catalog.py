@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from heatloom.functions import comfort
 from heatloom.operators import graph, joins
 from heatloom.plans.shared import PRELUDE, SHARED
 from heatloom.streaming import windows
@@ -24,7 +25,7 @@ def with_prelude(sql: str, first: int) -> str:
         if any(w == name for w in text.replace("(", " ").replace(")", " ").split()):
             used.append(name)
             text += " " + PRELUDE[name]
-    return ("WITH " + ", ".join(f"{n} AS ({PRELUDE[n]})" for n in reversed(used)) + " " if used else "").replace("{first}", str(first)) + sql
+    return (("WITH " + ", ".join(f"{n} AS ({PRELUDE[n]})" for n in reversed(used)) + " " if used else "") + sql).replace("{first}", str(first))
 
 
 def shared_query(name: str):
@@ -70,6 +71,46 @@ def graph_hops(spark, sf_dir):
     return graph.hops(l, 0, 4)
 
 
+def graph_components(spark, sf_dir):
+    edges = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").cast("long").alias("a"), (100 + F.col("s_suppkey") % 40).cast("long").alias("b"))
+    return graph.components(edges)
+
+
+def join_asof_nearest(spark, sf_dir):
+    all_ = readings(spark, sf_dir)
+    left = all_.where("event_id % 2 = 0").select("event_id", "user_id", "ts")
+    right = all_.where("event_id % 2 = 1").groupBy("user_id", "ts").agg(F.max("value").alias("value"))
+    return joins.asof_nearest(left, right, "user_id", "ts", "value").select("event_id", F.round("value", 4).alias("value"))
+
+
+def scan_arrays_explode(spark, sf_dir):
+    """Mean of each component over all vectors."""
+    e = table(spark, sf_dir, "embeddings").select(F.posexplode("embedding").alias("pos", "x"))
+    return e.groupBy("pos").agg(F.count("x").alias("n"), F.round(F.avg(F.col("x").cast("double")), 4).alias("mean"))
+
+
+def phys_air_and_sky(spark, sf_dir):
+    """value / 10 as air temperature, k as humidity and cloud, value / 40 as wind."""
+    ta, k = F.col("value") / 10, F.regexp_extract("props", "(-?[0-9]+)", 1).cast("double")
+    e = comfort.vapour(ta, k)
+    out = {"e": e, "sky": comfort.sky_emissivity(ta, e, k / 100), "wind": comfort.wind_low(F.col("value") / 40), "h": comfort.convection(comfort.wind_low(F.col("value") / 40)), "rh": comfort.humidity_after(ta, k, F.lit(1.5)), "strain": comfort.stress(ta)}
+    return table(spark, sf_dir, "events").where("value IS NOT NULL").select("event_id", *(F.round(c, 4).alias(n) for n, c in out.items()))
+
+
+def phys_sun(spark, sf_dir):
+    """k as the sun's elevation and as cloud cover."""
+    k = F.regexp_extract("props", "(-?[0-9]+)", 1).cast("double")
+    out = {"uv": comfort.uv_under_cloud(comfort.uv_clear(k), k), "ghi": comfort.ghi_clear(k)}
+    return table(spark, sf_dir, "events").select("event_id", *(F.round(c, 3).alias(n) for n, c in out.items()))
+
+
+def phys_ts_march(spark, sf_dir):
+    """Surface temperature at the end of each device's day: one fold over at most 24 hourly means."""
+    hourly = table(spark, sf_dir, "events").where("value BETWEEN 1 AND 400").groupBy(F.col("user_id").alias("device"), F.date_trunc("hour", "ts").alias("hh")).agg(F.avg("value").alias("v"))
+    day = hourly.groupBy("device", F.to_date("hh").alias("day")).agg(F.array_sort(F.collect_list(F.struct("hh", F.col("v").alias("absorbed"), (F.col("v") / 20 + 283.15).alias("air")))).alias("s"))
+    return day.select("device", "day", F.round(comfort.march(F.col("s"), F.lit(293.15)), 3).alias("ts"))
+
+
 def stream_window_mean(spark, sf_dir):
     """The streaming plan on the table read as a batch; tests run it as a stream."""
     out = windows.window_mean(readings(spark, sf_dir))
@@ -82,6 +123,12 @@ PLANS = {
     "join_radius_bucket": (join_radius_bucket, f"WITH {POINTS} SELECT a.id, b.id AS id2, round(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), 4) AS d FROM p a JOIN p b ON a.id < b.id AND sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 2.0"),
     "join_nn_snap": (join_nn_snap, f"WITH {POINTS}, c AS (SELECT a.id, b.id AS id2, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS d FROM p a JOIN p b ON a.id % 5 = 0 AND b.id % 5 <> 0) SELECT id, id2, round(d, 4) AS d FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, id2) AS rn FROM c WHERE d <= 3.0) WHERE rn = 1"),
     "graph_hops": (graph_hops, "WITH RECURSIVE e AS (SELECT s_nationkey::BIGINT AS a, (100 + s_suppkey % 40)::BIGINT AS b FROM supplier), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(node, hops) AS (SELECT 0::BIGINT, 0 UNION SELECT u.b, r.hops + 1 FROM r JOIN u ON r.node = u.a WHERE r.hops < 4) SELECT node, min(hops)::INTEGER AS hops FROM r GROUP BY node"),
+    "graph_components": (graph_components, "WITH RECURSIVE e AS (SELECT s_nationkey::BIGINT AS a, (100 + s_suppkey % 40)::BIGINT AS b FROM supplier), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(node, spot) AS (SELECT a, a FROM u UNION SELECT r.node, u.b FROM r JOIN u ON r.spot = u.a) SELECT node, least(node, min(spot)) AS root FROM r GROUP BY node"),
+    "join_asof_nearest": (join_asof_nearest, "WITH r AS (SELECT user_id, ts, max(value) AS value FROM events WHERE event_id % 2 = 1 GROUP BY user_id, ts), c AS (SELECT l.event_id, r.value, row_number() OVER (PARTITION BY l.event_id ORDER BY abs(epoch_us(l.ts) - epoch_us(r.ts)), r.ts) AS rn FROM events l LEFT JOIN r ON l.user_id = r.user_id WHERE l.event_id % 2 = 0) SELECT event_id, round(value, 4) AS value FROM c WHERE rn = 1"),
+    "scan_arrays_explode": (scan_arrays_explode, "SELECT pos::INTEGER AS pos, count(x) AS n, round(avg(x::DOUBLE), 4) AS mean FROM (SELECT unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings) GROUP BY pos"),
+    "phys_air_and_sky": (phys_air_and_sky, "WITH b AS (SELECT event_id, value / 10e0 AS ta, CAST(regexp_extract(props, '(-?[0-9]+)', 1) AS DOUBLE) AS k, greatest(0.5e0, value / 40e0 * ln(1.1e0 / 0.03e0) / ln(10e0 / 0.03e0)) AS u FROM events WHERE value IS NOT NULL), v AS (SELECT *, 6.112e0 * exp(17.62e0 * ta / (243.12e0 + ta)) * greatest(0e0, least(100e0, k)) / 100e0 AS e FROM b), w AS (SELECT *, 46.5e0 * e / (ta + 273.15e0) AS w FROM v), s AS (SELECT *, 1e0 - (1e0 + w) * exp(-sqrt(1.2e0 + 3e0 * w)) AS clear FROM w) SELECT event_id, round(e, 4) AS e, round(clear + (1e0 - clear) * k / 100e0, 4) AS sky, round(u, 4) AS wind, round(2.8e0 + 3e0 * u, 4) AS h, round(greatest(0e0, least(100e0, 100e0 * e / (6.112e0 * exp(17.62e0 * (ta - 1.5e0) / (243.12e0 + ta - 1.5e0))))), 4) AS rh, round(greatest(0e0, ta - 26e0, 9e0 - ta), 4) AS strain FROM s"),
+    "phys_sun": (phys_sun, "WITH b AS (SELECT event_id, CAST(regexp_extract(props, '(-?[0-9]+)', 1) AS DOUBLE) AS k FROM events) SELECT event_id, round(12.5e0 * power(greatest(0e0, sin(radians(k))), 2.42e0) * (1e0 - 0.56e0 * power(greatest(0e0, least(100e0, k)) / 100e0, 3.4e0)), 3) AS uv, round(CASE WHEN k > 0 THEN 1098e0 * sin(radians(k)) * exp(-0.057e0 / sin(radians(k))) ELSE 0e0 END, 3) AS ghi FROM b"),
+    "phys_ts_march": (phys_ts_march, "WITH h AS (SELECT user_id AS device, date_trunc('hour', ts) AS hh, avg(value) AS v FROM events WHERE value BETWEEN 1 AND 400 GROUP BY 1, 2), d AS (SELECT device, hh::DATE AS day, list(v ORDER BY hh) AS s FROM h GROUP BY 1, 2) SELECT device, day, round(list_reduce(s, lambda t, v: t + 3600e0 * (v - 0.95e0 * 5.670374419e-8 * power(t, 4e0) - 8e0 * (t - v / 20e0 - 283.15e0)) / (2.5e5 + 3600e0 * (4e0 * 0.95e0 * 5.670374419e-8 * power(t, 3e0) + 8e0)), 293.15e0), 3) AS ts FROM d"),
     "stream_window_mean": (stream_window_mean, "SELECT date_trunc('hour', ts) AS start, event_type, round(avg(value), 4) AS value, count(*) AS n FROM events GROUP BY 1, 2"),
 }
 

@@ -78,4 +78,21 @@ SHARED = {
     "time_season": "SELECT o_orderkey, CASE WHEN extract(month FROM o_orderdate) IN (12, 1, 2) THEN 'DJF' WHEN extract(month FROM o_orderdate) IN (3, 4, 5) THEN 'MAM' WHEN extract(month FROM o_orderdate) IN (6, 7, 8) THEN 'JJA' ELSE 'SON' END AS season FROM orders",
     "phys_vapour": "SELECT event_id, round(6.1078e0 * exp(17.27e0 * (value / 10e0) / ((value / 10e0) + 237.3e0)), 4) AS es FROM readings WHERE value IS NOT NULL",
     "phys_stress_cost": "SELECT route, seq, round(CASE WHEN stress < 9 THEN 9e0 - stress WHEN stress > 26 THEN stress - 26e0 ELSE 0e0 END, 4) AS strain, round(len / 81e0 * (1e0 + 0.1e0 * CASE WHEN stress < 9 THEN 9e0 - stress WHEN stress > 26 THEN stress - 26e0 ELSE 0e0 END), 4) AS cost FROM legs",
+    "scan_composite_split": "SELECT p_partkey, split(p_name, ' ')[{first}] AS head, split(p_name, ' ')[{first} + 1] AS tail FROM part",
+    "join_intersect_time": "SELECT DISTINCT a.hh FROM readings a WHERE a.site = 'click' AND EXISTS (SELECT 1 FROM readings b WHERE b.hh = a.hh AND b.site = 'view')",
+    "agg_percentiles": "SELECT p_brand, round(percentile_cont(0.1) WITHIN GROUP (ORDER BY l_extendedprice), 3) AS p10, round(percentile_cont(0.5) WITHIN GROUP (ORDER BY l_extendedprice), 3) AS p50, round(percentile_cont(0.9) WITHIN GROUP (ORDER BY l_extendedprice), 3) AS p90 FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_brand",
+    "agg_median_impute": "SELECT r.event_id, round(coalesce(r.value, m.mid), 4) AS value, r.value IS NULL AS imputed FROM readings r JOIN (SELECT site, median(value) AS mid FROM readings GROUP BY site) m ON r.site = m.site",
+    "agg_strata_median_diff": "SELECT site, round(median(CASE WHEN k >= 50 THEN value END) - median(CASE WHEN k < 50 THEN value END), 4) AS diff, count(value) AS n FROM readings GROUP BY site HAVING count(value) >= 10",
+    "agg_named_groups_modes": "SELECT device, site, n FROM (SELECT device, site, n, row_number() OVER (PARTITION BY device ORDER BY n DESC, site) AS rn FROM (SELECT device, site, count(*) AS n FROM readings GROUP BY device, site) a) b WHERE rn = 1",
+    "win_row_lag_corr": "SELECT device, count(was) AS n, round(corr(value, was), 4) AS r FROM (SELECT device, value, lag(value) OVER (PARTITION BY device ORDER BY hh) AS was FROM hourly) t WHERE was IS NOT NULL GROUP BY device HAVING count(was) >= 3",
+    "win_running_dose": "SELECT route, seq, part, round(sum(len / 81e0 * stress) OVER (PARTITION BY route ORDER BY seq, part, price ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 4) AS dose FROM legs",
+    "rank_recents": "SELECT device, site, place FROM (SELECT device, site, row_number() OVER (PARTITION BY device ORDER BY last DESC, site) AS place FROM (SELECT device, site, max(ts) AS last FROM readings GROUP BY device, site) a) b WHERE place <= 3",
+    "set_upsert_last_wins": "SELECT id, name FROM (SELECT id, name, row_number() OVER (PARTITION BY id ORDER BY age DESC) AS rn FROM (SELECT c_custkey AS id, c_name AS name, 0 AS age FROM customer UNION ALL SELECT s_suppkey AS id, s_name AS name, 1 AS age FROM supplier) u) t WHERE rn = 1",
+    "time_floor_hour": "SELECT event_id, hh, CAST(extract(minute FROM ts) AS INT) AS past FROM readings",
+    "raster_shift": "SELECT g.cx, g.cy, g.h, coalesce(e.h, 0) AS east, coalesce(n.h, 0) AS north FROM (SELECT CAST(floor(x / 5) AS INT) AS cx, CAST(floor(y / 5) AS INT) AS cy, max(label) AS h FROM points GROUP BY 1, 2) g LEFT JOIN (SELECT CAST(floor(x / 5) AS INT) AS cx, CAST(floor(y / 5) AS INT) AS cy, max(label) AS h FROM points GROUP BY 1, 2) e ON e.cx = g.cx + 1 AND e.cy = g.cy LEFT JOIN (SELECT CAST(floor(x / 5) AS INT) AS cx, CAST(floor(y / 5) AS INT) AS cy, max(label) AS h FROM points GROUP BY 1, 2) n ON n.cx = g.cx AND n.cy = g.cy + 1",
+    "raster_point_shade": "SELECT g.cx, g.cy, max(CASE WHEN b.h - g.h - s.d * 2e0 * 0.7e0 > 0.05e0 THEN 1 ELSE 0 END) AS shaded FROM (SELECT CAST(floor(x / 5) AS INT) AS cx, CAST(floor(y / 5) AS INT) AS cy, max(label) AS h FROM points GROUP BY 1, 2) g CROSS JOIN (VALUES (1), (2), (3), (4), (5), (6)) AS s(d) LEFT JOIN (SELECT CAST(floor(x / 5) AS INT) AS cx, CAST(floor(y / 5) AS INT) AS cy, max(label) AS h FROM points GROUP BY 1, 2) b ON b.cx = g.cx + s.d AND b.cy = g.cy GROUP BY g.cx, g.cy",
+    "raster_view_factor": "SELECT g.cx, g.cy, round(least(1e0, sum(CASE WHEN b.h > 0 THEN b.h * b.h * 4e0 / (pi() * power((o.dx * o.dx + p.dy * p.dy) * 4e0 + b.h * b.h, 2)) ELSE 0e0 END)), 4) AS blocked FROM (SELECT CAST(floor(x / 5) AS INT) AS cx, CAST(floor(y / 5) AS INT) AS cy, max(label) AS h FROM points GROUP BY 1, 2) g CROSS JOIN (VALUES (-2), (-1), (0), (1), (2)) AS o(dx) CROSS JOIN (VALUES (-2), (-1), (0), (1), (2)) AS p(dy) LEFT JOIN (SELECT CAST(floor(x / 5) AS INT) AS cx, CAST(floor(y / 5) AS INT) AS cy, max(label) AS h FROM points GROUP BY 1, 2) b ON b.cx = g.cx + o.dx AND b.cy = g.cy + p.dy GROUP BY g.cx, g.cy",
+    "phys_contingency_scores": "SELECT round(a / (a + c), 4) AS pod, round(b / (b + d), 4) AS pofd, round(a / (a + c) - b / (b + d), 4) AS pss, round((a + b) / (a + c), 4) AS freq_bias FROM (SELECT 1e0 * sum(CASE WHEN mod > 100 AND obs > 100 THEN 1 ELSE 0 END) AS a, 1e0 * sum(CASE WHEN mod > 100 AND obs <= 100 THEN 1 ELSE 0 END) AS b, 1e0 * sum(CASE WHEN mod <= 100 AND obs > 100 THEN 1 ELSE 0 END) AS c, 1e0 * sum(CASE WHEN mod <= 100 AND obs <= 100 THEN 1 ELSE 0 END) AS d FROM paired) t",
+    "phys_k_multiplier": "SELECT l_orderkey, l_linenumber, round(power(1.8e0, CASE WHEN l_discount > 0.05 THEN 1 ELSE 0 END + CASE WHEN l_tax > 0.04 THEN 1 ELSE 0 END), 4) AS k FROM lineitem",
+    "phys_tree_height": "SELECT p_partkey, round(1.3e0 + 20e0 * power(1e0 - exp(-0.03e0 * p_size), 1.2e0), 4) AS height FROM part",
 }
