@@ -39,6 +39,10 @@ def matrix(rows: list, dim: int) -> np.ndarray:
     return out
 
 
+#: With more than one pair in so many left, a block is scored by one matrix product.
+DENSE = 32
+
+
 class Best:
     """The k best (score, id) of each query of a block so far."""
 
@@ -70,7 +74,16 @@ def search_block(best: Best, q: np.ndarray, qids: np.ndarray, c: np.ndarray, cid
     bound = turned_q[:, :lead] @ turned_c[:, :lead].T
     bound += np.linalg.norm(turned_q[:, lead:], axis=1)[:, None] * np.linalg.norm(turned_c[:, lead:], axis=1)[None, :]
     slack = 1e-9 * (1 + np.linalg.norm(q, axis=1) * np.linalg.norm(c, axis=1).max(initial=0))
-    rows, cols = np.nonzero((bound >= (best.floor() - slack)[:, None]) & (qids[:, None] != cids[None, :]))
+    open_ = (bound >= (best.floor() - slack)[:, None]) & (qids[:, None] != cids[None, :])
+    if np.count_nonzero(open_) > open_.size / DENSE:
+        # most bounds stay open (as in the first blocks): one product, then each query's k best of this block and its ties
+        scores = np.where(open_, q @ c.T, -np.inf)  # whole numbers below 2^53: exact
+        least = np.partition(scores, -best.k, axis=1)[:, -best.k] if scores.shape[1] > best.k else np.full(len(q), -np.inf)
+        rows, cols = np.nonzero(np.isfinite(scores) & (scores >= np.maximum(least, best.floor())[:, None]))
+        if len(rows):
+            best.add(rows, cids[cols], scores[rows, cols])
+        return
+    rows, cols = np.nonzero(open_)
     for a in range(0, len(rows), 1 << 18):
         r, k = rows[a : a + (1 << 18)], cols[a : a + (1 << 18)]
         scores = np.einsum("ij,ij->i", q[r], c[k])  # whole numbers below 2^53: exact
