@@ -15,7 +15,7 @@ from heatloom.llm.queries import tokenizer_path
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go, and lines that too many documents of a source share."""
-    return quality.apply_rules(docs)
+    return quality.apply_rules(docs, collapse="near")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,9 +2,11 @@
 
 Every line is normalised (stripped, A-Z in lower case) and hashed; distinct documents are counted
 per host and line; lines above the limit are boilerplate and removed; a document of which too little
-is left is rejected. Before the counting, documents of one host with the same longest line count as
-one document: copies of a text do not make its lines boilerplate. A document's host is any column
-(here its source).
+is left is rejected. Copies of a text do not make its lines boilerplate: with `collapse="near"` (the
+queries) near copies, as minhash.near_duplicates finds them, count as one document, and all others one
+by one. (By shared boilerplate alone two texts are near copies only where under a fifth of each is its
+own, and such texts are rejected once those lines are gone.) With `collapse="longest"` documents of one host
+with the same longest line count as one. A document's host is any column (here its source).
 
 Per document there are also counts of words, symbols, repeated lines and words in repeated 5-word
 windows; a document fails the base rules if it has under `min_words` words or if over
@@ -25,6 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import minhash
 from .common import SPACE, cut
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -92,27 +95,37 @@ def line_hash(line: str) -> int:
     return xxhash.xxh3_64_intdigest(line.strip(SPACE).encode("utf-8", "surrogatepass").lower()) - (1 << 63)
 
 
-def judge_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_words: int = 10, max_repeat_pct: int = 20, max_documents: int = 20, least_left_pct: int = 20) -> DataFrame:
+def judge_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_words: int = 10, max_repeat_pct: int = 20, max_documents: int = 20, least_left_pct: int = 20, collapse: str = "longest") -> DataFrame:
     """Per row: id_col, the counts, base_failed, n_boilerplate_words (in lines above the limit),
     boilerplate (their hashes) and kept."""
+    if collapse not in ("longest", "near"):
+        raise ValueError(f"collapse is 'longest' or 'near', not {collapse!r}")
+
     def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             found = [measure(t) for t in pdf["__text"]]
             out = pd.DataFrame(found, columns=[*STATS, "hashes", "words", "signature"])
-            yield pd.concat([pdf[["__id", "__host"]], out.astype({"signature": "Int64"})], axis=1)
+            yield pd.concat([pdf[["__id", "__host", "__key"]], out.astype({"signature": "Int64"})], axis=1)
 
     id_type, host_type = (docs.schema[c].dataType.simpleString() for c in (id_col, host_col))
-    schema = f"__id {id_type}, __host {host_type}, {', '.join(f'{c} long' for c in STATS)}, hashes array<long>, words array<long>, signature long"
+    schema = f"__id {id_type}, __host {host_type}, __key long, {', '.join(f'{c} long' for c in STATS)}, hashes array<long>, words array<long>, signature long"
     base = docs.select(F.col(id_col).alias("__id"), F.col(host_col).alias("__host"), F.col(text_col).alias("__text"))
+    base = base.withColumn("__key", F.xxhash64("__id", F.isnull("__id"), "__host", F.isnull("__host"), "__text"))  # equal rows share one
     found = cut(base.mapInPandas(measured, schema).withColumn("__row", F.monotonically_increasing_id()))
-    lines = found.select("__row", "__host", "signature", F.explode(F.arrays_zip("hashes", "words")).alias("l")).select("__row", "__host", "signature", "l.hashes", "l.words")
+    if collapse == "near":
+        classes = minhash.near_duplicates(base, "__key", "__text").select(F.col("__key").alias("k1"), F.col("class_id").alias("document"))
+        counted = found.select("__key", "__host", "hashes").join(classes, F.col("__key") == F.col("k1"))
+    else:
+        counted = found.select("__host", "hashes", F.col("signature").alias("document"))
     common = (
-        lines.groupBy("__host", "hashes", "signature").agg(F.lit(1).alias("one"))
+        counted.select("__host", "document", F.explode("hashes").alias("hashes"))
+        .groupBy("__host", "hashes", "document").agg(F.lit(1).alias("one"))
         .groupBy("__host", "hashes").count().where(F.col("count") > max_documents)
         .select(F.col("__host").alias("h2"), F.col("hashes").alias("k2"))
     )
+    lines = found.select("__row", "__host", F.explode(F.arrays_zip("hashes", "words")).alias("l")).select("__row", "__host", "l.hashes", "l.words")
     gone = lines.join(common, F.col("__host").eqNullSafe(F.col("h2")) & (F.col("hashes") == F.col("k2"))).groupBy("__row").agg(F.sum("words").alias("gone"), F.collect_set("hashes").alias("boilerplate")).withColumnRenamed("__row", "r2")
-    all_ = found.drop("hashes", "words", "signature", "__host").join(gone, F.col("__row") == F.col("r2"), "left")
+    all_ = found.drop("hashes", "words", "signature", "__host", "__key").join(gone, F.col("__row") == F.col("r2"), "left")
     lost = F.coalesce("gone", F.lit(0))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_pct * F.col("n_words"))
     left = F.col("n_words") - lost

@@ -21,7 +21,7 @@ def tokenizer_path() -> str:
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge_documents(table(spark, sf_dir, "documents")).drop("boilerplate")
+    return quality.judge_documents(table(spark, sf_dir, "documents"), collapse="near").drop("boilerplate")
 
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

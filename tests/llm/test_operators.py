@@ -99,6 +99,28 @@ def test_copies_are_not_boilerplate(spark):
     assert quality.apply_rules(docs).count() == 50
 
 
+def own_words(rng, n):
+    return " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+
+
+def test_a_shared_longest_line_is_boilerplate_and_near_copies_are_not(spark, tmp_path):
+    from corpus_pipeline import quality_rules
+    from heatloom.llm.queries import op1_quality_rules
+
+    rng = random.Random(8)
+    footer, menu = own_words(rng, 40), "home news contact"
+    shared = ["\n".join([menu, own_words(rng, 15), own_words(rng, 15), footer]) for _ in range(30)]
+    body = [own_words(rng, 30) for _ in range(4)] + [own_words(rng, 32)]
+    near = ["\n".join([*body[:4], f"edit{k} {body[4]}"]) for k in range(30)]
+    rows = [(i, t, "a" if i < 30 else "b") for i, t in enumerate(shared + near)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.n_boilerplate_words, r.kept) for r in op1_quality_rules(spark, str(tmp_path)).collect()}
+    assert got == {i: (43 if i < 30 else 0, True) for i, *_ in rows}
+    texts = {r.doc_id: r.text for r in quality_rules(spark, docs, "").collect()}
+    assert texts == {i: "\n".join(t.split("\n")[1:3]) if i < 30 else t for i, t, _ in rows}
+
+
 def test_line_dedup(docs, rows, none):
     first = {}
     for i, t, *_ in rows:
