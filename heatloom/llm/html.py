@@ -29,6 +29,8 @@ TRAINING_PAGES = 500
 BLOCK = set("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html label legend li main menu nav ol optgroup option p pre search section select summary table tbody td textarea tfoot th thead title tr ul".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 UNSEEN = set("head iframe noscript object script style svg template title".split())
+#: What a head can hold; any other start tag ends it, as its end tag may be left out.
+IN_HEAD = set("base link meta noscript script style template title".split())
 #: A start tag ends open elements of these names, up to an element that holds them.
 ENDS = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 HOLDS = {"li": {"ul", "ol", "menu"}, "dd": {"dl"}, "dt": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
@@ -57,7 +59,13 @@ class Blocks(HTMLParser):
             self.links -= tag == "a"
         del self.open[n:]
 
+    def end_head(self) -> None:
+        if self.open and self.open[-1][0] == "head":
+            self.pop(len(self.open) - 1)
+
     def handle_starttag(self, tag, attrs):
+        if tag not in IN_HEAD:
+            self.end_head()
         if tag in BLOCK:
             self.end_block()
             if tag == "body":
@@ -78,6 +86,8 @@ class Blocks(HTMLParser):
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
+        if tag == "svg":  # of the unseen elements only this one can close itself
+            self.pop(len(self.open) - 1)
 
     def handle_endtag(self, tag):
         if tag in BLOCK:
@@ -86,10 +96,12 @@ class Blocks(HTMLParser):
             if self.open[i][0] == tag:
                 self.pop(i)
                 break
-            if self.open[i][0] in BLOCK and tag not in BLOCK:
+            if self.open[i][0] in BLOCK and tag not in BLOCK and tag not in UNSEEN:
                 break
 
     def handle_data(self, data):
+        if data.strip():
+            self.end_head()
         if not self.unseen:
             self.text.append(data)
             if self.links:

@@ -280,6 +280,23 @@ def test_html_field_on_held_out_pages(spark):
     assert html.extract(pages.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("before,inner", [
+    ("<html><head><title>T</title><meta charset=x><style>p{}</style><noscript><p>n</noscript>", ""),
+    ("<head><title>T</title><img src=x>", ""),
+    ("<html><body>", "<noscript><p>x</noscript>"),
+    ("<html><body>", "<noscript><div>x</noscript>"),
+    ("<html><body>", "<svg width=1 />"),
+])
+def test_html_text_after_unseen_elements(before, inner):
+    page = f"{before}<article><h1>A title of some words</h1>{inner}<p>One sentence of the text. And another one.</p></article>"
+    assert html.main_text(page, html.fitted()) == "A title of some words\n\nOne sentence of the text. And another one."
+
+
+def test_html_text_without_tags_ends_the_head():
+    assert [b[0] for b in html.leaf_blocks("<head><title>T</title>\nPlain text.")] == ["Plain text."]
+    assert [b[0] for b in html.leaf_blocks("<head><template><div>x</div></template><noscript><img>y</noscript></head><body>z")] == ["z"]
+
+
 def test_html_viterbi_is_the_best_path():
     field = html.Field({"a": 0, "b": 1}, np.array([[0.2, 0.9], [0.7, 0.1]]), np.array([[0.5, -0.3], [-0.4, 0.6]]))
     blocks = [["a"], ["b"], ["a", "b"], ["b"], []]
