@@ -2,7 +2,9 @@
 
 Every line is normalised (stripped, A-Z in lower case) and hashed; distinct documents are counted
 per host and line; lines above the limit are boilerplate and removed; a document of which too little
-is left is rejected. Copies of a text do not make its lines boilerplate: with `collapse="near"` (the
+is left is rejected. A line is above the limit if over `max_documents_pct` percent of the host's
+distinct documents hold it, and over `max_documents` in any case: from 2,000 documents (by default)
+a host's verdicts depend on shares alone. Copies of a text do not make its lines boilerplate: with `collapse="near"` (the
 queries) near copies, as minhash.near_duplicates finds them, count as one document, and all others one
 by one. (By shared boilerplate alone two texts are near copies only where under a fifth of each is its
 own, and such texts are rejected once those lines are gone.) With `collapse="longest"` documents of one host
@@ -95,7 +97,7 @@ def line_hash(line: str) -> int:
     return xxhash.xxh3_64_intdigest(line.strip(SPACE).encode("utf-8", "surrogatepass").lower()) - (1 << 63)
 
 
-def judge_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_words: int = 10, max_repeat_pct: int = 20, max_documents: int = 20, least_left_pct: int = 20, collapse: str = "longest") -> DataFrame:
+def judge_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_words: int = 10, max_repeat_pct: int = 20, max_documents: int = 20, least_left_pct: int = 20, collapse: str = "longest", max_documents_pct: int = 1) -> DataFrame:
     """Per row: id_col, the counts, base_failed, n_boilerplate_words (in lines above the limit),
     boilerplate (their hashes) and kept."""
     if collapse not in ("longest", "near"):
@@ -113,14 +115,16 @@ def judge_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     base = base.withColumn("__key", F.xxhash64("__id", F.isnull("__id"), "__host", F.isnull("__host"), "__text"))  # equal rows share one
     found = cut(base.mapInPandas(measured, schema).withColumn("__row", F.monotonically_increasing_id()))
     if collapse == "near":
-        classes = minhash.near_duplicates(base, "__key", "__text").select(F.col("__key").alias("k1"), F.col("class_id").alias("document"))
+        classes = cut(minhash.near_duplicates(base, "__key", "__text").select(F.col("__key").alias("k1"), F.col("class_id").alias("document")))
         counted = found.select("__key", "__host", "hashes").join(classes, F.col("__key") == F.col("k1"))
     else:
         counted = found.select("__host", "hashes", F.col("signature").alias("document"))
+    hosts = counted.where(F.size("hashes") > 0).groupBy("__host", "document").agg(F.lit(1).alias("one")).groupBy("__host").agg(F.count(F.lit(1)).alias("of")).withColumnRenamed("__host", "h1")
     common = (
         counted.select("__host", "document", F.explode("hashes").alias("hashes"))
         .groupBy("__host", "hashes", "document").agg(F.lit(1).alias("one"))
         .groupBy("__host", "hashes").count().where(F.col("count") > max_documents)
+        .join(hosts, F.col("__host").eqNullSafe(F.col("h1"))).where(100 * F.col("count") > max_documents_pct * F.col("of"))
         .select(F.col("__host").alias("h2"), F.col("hashes").alias("k2"))
     )
     lines = found.select("__row", "__host", F.explode(F.arrays_zip("hashes", "words")).alias("l")).select("__row", "__host", "l.hashes", "l.words")

@@ -121,6 +121,18 @@ def test_a_shared_longest_line_is_boilerplate_and_near_copies_are_not(spark, tmp
     assert texts == {i: "\n".join(t.split("\n")[1:3]) if i < 30 else t for i, t, _ in rows}
 
 
+def test_line_limit_is_a_share_of_a_large_host(spark):
+    from corpus_pipeline import quality_rules
+
+    rng = random.Random(9)
+    # 3,000 documents of null as host: 25 hold a common line (0.8 %), 45 a licence (1.5 %); 22 of 40 of host 'b' hold a menu
+    rows = [(i, own_words(rng, 14) + ("\nan ordinary line" if i < 25 else "\nsome licence" if i < 70 else ""), None) for i in range(3000)]
+    rows += [(i, own_words(rng, 14) + ("\nhome news" if i < 3022 else ""), "b") for i in range(3000, 3040)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    texts = {r.doc_id: r.text for r in quality_rules(spark, docs, "").collect()}
+    assert texts == {i: t if i < 25 else t.split("\n")[0] for i, t, _ in rows}
+
+
 def test_line_dedup(docs, rows, none):
     first = {}
     for i, t, *_ in rows:
