@@ -6,7 +6,8 @@ import gc
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes that separate words and are stripped from line ends: [\x20\x09-\x0D].
 SPACE = " \t\n\x0b\x0c\r"
@@ -16,10 +17,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def column(name: str) -> Column:
+    """The column of exactly this name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns of df as one struct: names of an operator's own columns can't clash with them."""
+    return F.struct(*[column(c).alias(c) for c in df.columns])
+
+
+def unpacked(names: list[str], row: str = "row", **replaced: Column) -> list[Column]:
+    """The columns of a whole_row; some of them replaced."""
+    return [replaced.get(c, F.col(row).getField(c)).alias(c) for c in names]
+
+
+def whole_numbers(df: DataFrame, name: str) -> None:
+    """The operator's ids must be integers."""
+    if df.schema[name].dataType.simpleString() not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"column {name!r} must hold whole numbers, not {df.schema[name].dataType.simpleString()}")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names for checkpoints; one of our own only where none is named."""
+    """The folder that the cluster names for checkpoints; one of our own only where none is named, and only in local mode."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")

@@ -12,8 +12,12 @@ induced by one scan over the buckets of first bytes. Adjacent common prefixes of
 windows, each with its smallest document. Anchors with very many different fragments are dealt over several tasks, whose
 classes are merged by an exact grouping on the window.
 
-Defined results: a null text has no bytes; matches never cross documents; rows that repeat a doc_id are one document
-and do not match each other; rows with a null id keep all bytes and match nothing; other columns pass through.
+A class's windows go back to the places of their fragments by the fragment's 128-bit digest. Between the steps, what
+later steps read is written to the shared folder, so that shuffle files of earlier steps can go.
+
+Defined results: ids are whole numbers; a null text has no bytes; matches never cross documents; rows that repeat a doc_id
+are one document, do not match each other, and each has its own spans; rows with a null id keep all bytes and match
+nothing; other columns pass through (those named kept, n_bytes, n_removed or spans are replaced).
 """
 
 from __future__ import annotations
@@ -23,12 +27,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, remove, slices, write_cut
+from .common import column, cut, remove, slices, unpacked, whole_numbers, whole_row, write_cut
 
 GRAM = 25
+#: Bytes of text for each partition of the shuffles.
+PART_BYTES = 16_000_000
 CHUNK = 200_000
 #: Bytes of fragments whose suffixes are sorted together.
 SORTED = 1_000_000
@@ -174,12 +181,12 @@ def window_minima(parts: list[bytes], docs: np.ndarray, length: int) -> list[np.
     return [out[e - s : e - length + 1] for e, s in zip(ends, sizes, strict=True)]
 
 
-def laid_out(pdf: pd.DataFrame) -> Iterator[tuple[np.ndarray, bytes, np.ndarray]]:
-    """Ids, bytes and ends of runs of texts."""
+def laid_out(pdf: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray, bytes, np.ndarray]]:
+    """Ids, hashes, bytes and ends of runs of texts."""
     raw = [t.encode("utf-8", "surrogatepass") for t in pdf["t"]]
-    ids = pdf["id"].to_numpy(np.int64)
+    ids, hashes = pdf["id"].to_numpy(np.int64), pdf["th"].to_numpy(np.int32)
     for a, b in slices([len(x) for x in raw], CHUNK):
-        yield ids[a:b], b"".join(raw[a:b]), np.cumsum([len(x) for x in raw[a:b]])
+        yield ids[a:b], hashes[a:b], b"".join(raw[a:b]), np.cumsum([len(x) for x in raw[a:b]])
 
 
 def shared_anchors(docs: DataFrame, length: int, parts: int) -> DataFrame:
@@ -188,7 +195,7 @@ def shared_anchors(docs: DataFrame, length: int, parts: int) -> DataFrame:
     def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             keys, docs_ = [], []
-            for ids, data, ends in laid_out(pdf):
+            for ids, _, data, ends in laid_out(pdf):
                 h, _, _, text = fragments(np.frombuffer(data, np.uint8), ends, length)
                 keys.append(h >> np.uint64(16))
                 docs_.append(ids[text] if len(text) else text)
@@ -228,8 +235,9 @@ def shared_anchors(docs: DataFrame, length: int, parts: int) -> DataFrame:
     return packed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInPandas(repeated, "bucket int, keys binary, n long")
 
 
-def find_fragments(docs: DataFrame, length: int, parts: int) -> DataFrame:
-    """doc, pos, h, frag of every fragment whose anchor another document may hold."""
+def find_fragments(docs: DataFrame, length: int, parts: int) -> tuple[DataFrame, DataFrame]:
+    """Every fragment whose anchor another document may hold: doc, h, frag (its bytes), and doc, th, pos, h, f (its digest).
+    Bytes and digests are cut from the texts where they are needed: reading a text twice costs less than keeping its fragments."""
     spark = docs.sparkSession
     shared = cut(shared_anchors(docs, length, parts))
     n = shared.agg(F.sum("n")).first()[0] or 0
@@ -251,10 +259,10 @@ def find_fragments(docs: DataFrame, length: int, parts: int) -> DataFrame:
             filled[row["bucket"]] = np.frombuffer(zlib.decompress(row["bits"]), np.uint8)
         sent = spark.sparkContext.broadcast(filled)
 
-    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def emit(batches: Iterator[pd.DataFrame], digests: bool) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for ids, data, ends in laid_out(pdf):
+            for ids, hashes, data, ends in laid_out(pdf):
                 h, begin, end, text = fragments(np.frombuffer(data, np.uint8), ends, length)
                 if small:
                     key = h >> np.uint64(16)
@@ -262,17 +270,22 @@ def find_fragments(docs: DataFrame, length: int, parts: int) -> DataFrame:
                     for place in places(key, per):
                         hit &= (sent.value[(key >> np.uint64(38)).astype(np.int64), place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1 == 1
                     h, begin, end, text = h[hit], begin[hit], end[hit], text[hit]
-                pos = begin - np.concatenate([[0], ends[:-1]])[text]
-                out.append(pd.DataFrame({"doc": ids[text], "pos": pos, "h": h.view(np.int64), "frag": [data[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)]}))
+                cuts = zip(begin.tolist(), end.tolist(), strict=True)
+                if digests:
+                    pos = (begin - np.concatenate([[0], ends[:-1]])[text]).astype(np.int32)
+                    out.append(pd.DataFrame({"doc": ids[text], "th": hashes[text], "pos": pos, "h": h.view(np.int64), "f": [xxhash.xxh3_128_digest(data[a:b]) for a, b in cuts]}))
+                else:
+                    out.append(pd.DataFrame({"doc": ids[text], "h": h.view(np.int64), "frag": [data[a:b] for a, b in cuts]}))
                 if sum(map(len, out)) > 200_000:
                     yield pd.concat(out)
                     out = []
             if out:
                 yield pd.concat(out)
 
-    found = docs.mapInPandas(emit, "doc long, pos long, h long, frag binary")
+    cuts = docs.mapInPandas(lambda batches: emit(batches, False), "doc long, h long, frag binary")
+    found = docs.mapInPandas(lambda batches: emit(batches, True), "doc long, th int, pos int, h long, f binary")
     if small:
-        return found
+        return cuts, found
 
     def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -280,7 +293,7 @@ def find_fragments(docs: DataFrame, length: int, parts: int) -> DataFrame:
                 yield pd.DataFrame({"key": np.frombuffer(raw, np.uint64).astype(np.int64)})
 
     keys = shared.mapInPandas(listed, "key long")
-    return found.join(keys, F.shiftrightunsigned("h", 16) == F.col("key"), "left_semi")
+    return tuple(x.join(keys, F.shiftrightunsigned("h", 16) == F.col("key"), "left_semi") for x in (cuts, found))
 
 
 def places(key: np.ndarray, per: int) -> list[np.ndarray]:
@@ -291,11 +304,13 @@ def places(key: np.ndarray, per: int) -> list[np.ndarray]:
 
 
 def repeated_spans(docs: DataFrame, id_col: str, text_col: str, length: int) -> DataFrame:
-    """doc, spans: for each document with bytes to remove, (pos, mask): the windows pos + i with bit i of the mask."""
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    base = docs.where(F.col(id_col).isNotNull() & (F.octet_length(F.col(text_col)) >= length)).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
-    found = find_fragments(base, length, parts)
-    unique, unique_path = write_cut(found.groupBy("h", "frag").agg(F.min("doc").alias("low"), F.max("doc").alias("top")))
+    """doc, th (the text's hash), spans: for each text with bytes to remove, (pos, mask): the windows pos + i with bit i of the mask."""
+    whole_numbers(docs, id_col)
+    base = docs.select(column(id_col).cast("long").alias("id"), column(text_col).alias("t")).where(F.col("id").isNotNull() & (F.octet_length("t") >= length)).withColumn("th", F.hash("t"))
+    size = base.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
+    cuts, found = find_fragments(base, length, parts)
+    unique, unique_path = write_cut(cuts.groupBy("h", "frag").agg(F.min("doc").alias("low"), F.max("doc").alias("top")))
     wide = cut(unique.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > WIDE).select(F.col("h").alias("wh"), F.ceil(F.col("n") / WIDE).alias("lots")))
     dealt = unique.join(wide, F.col("h") == F.col("wh"), "left").select("h", "frag", "low", "top", F.col("lots").isNotNull().alias("split"), F.coalesce(F.pmod(F.xxhash64("frag"), F.col("lots")), F.lit(0)).alias("lot"))
 
@@ -319,7 +334,7 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str, length: int) ->
             for i in np.flatnonzero(shared & ~several):
                 minima[i] = np.full(len(pdf["frag"].iat[i]) - length + 1, low[i])
             pdf = pdf.assign(minima=minima)[shared]
-            return pdf[["h", "frag", "top", "split", "minima"]]
+            return pdf.assign(f=[xxhash.xxh3_128_digest(x) for x in pdf["frag"]])[["f", "frag", "top", "split", "minima"]]
 
         for pdf in batches:
             held.append(pdf)
@@ -342,24 +357,25 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str, length: int) ->
             yield result(pdf)
 
     sorted_ = dealt.repartition(parts, "h", "lot").sortWithinPartitions("h", "lot")
-    classed = sorted_.mapInPandas(classes, "h long, frag binary, top long, split boolean, minima array<long>")
-    classed = cut(classed.where(F.col("split") | F.exists("minima", lambda m: m < F.col("top"))).select("h", F.xxhash64("frag").alias("f"), "top", "split", "minima", F.when(F.col("split"), F.col("frag")).alias("frag")))
+    classed = sorted_.mapInPandas(classes, "f binary, frag binary, top long, split boolean, minima array<long>")
+    classed, classed_path = write_cut(classed.where(F.col("split") | F.exists("minima", lambda m: m < F.col("top"))).withColumn("frag", F.when(F.col("split"), F.col("frag"))))
     remove(docs.sparkSession, unique_path)
-    each = classed.where("split").select("h", "f", "frag", "top", F.posexplode("minima").alias("i", "own")).withColumn("window", F.expr(f"substring(frag, i + 1, {length})"))
+    each = classed.where("split").select("f", "frag", "top", F.posexplode("minima").alias("i", "own")).withColumn("window", F.expr(f"substring(frag, i + 1, {length})"))
     lowest = each.groupBy("window").agg(F.min("own").alias("least"))
-    merged = each.join(lowest, "window").groupBy("h", "f", "top").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "least"))), lambda x: x["least"]).alias("minima"))
-    minima = classed.where("not split").select("h", "f", "top", "minima").unionByName(merged.where(F.exists("minima", lambda m: m < F.col("top")))).drop("top")
+    merged = each.join(lowest, "window").groupBy("f", "top").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "least"))), lambda x: x["least"]).alias("minima"))
+    minima = classed.where("not split").select("f", "top", "minima").unionByName(merged.where(F.exists("minima", lambda m: m < F.col("top")))).drop("top")
     mask = F.aggregate(F.transform("minima", lambda m, i: F.when(m < F.col("doc"), F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda a, x: a + x)
-    places_ = found.select("doc", F.col("pos").cast("int"), "h", F.xxhash64("frag").alias("f"))
-    hits = places_.join(minima, ["h", "f"]).select("doc", "pos", mask.alias("mask")).where("mask <> 0")
-    return hits.groupBy("doc").agg(F.collect_set(F.struct("pos", "mask")).alias("spans"))
+    hits = found.drop("h").join(minima, "f").select("doc", "th", "pos", mask.alias("mask")).where("mask <> 0")
+    spans = cut(hits.groupBy("doc", "th").agg(F.collect_set(F.struct("pos", "mask")).alias("spans")))
+    remove(docs.sparkSession, classed_path)
+    return spans
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50) -> DataFrame:
     """docs with kept (the remaining bytes), n_bytes, n_removed and spans (start, stop of each maximal removed run)."""
     if length - GRAM > 60 or length < GRAM:
         raise ValueError(f"length must be {GRAM} to {GRAM + 60}")
-    spans = repeated_spans(docs, id_col, text_col, length).withColumnRenamed("doc", "__doc")
+    found = repeated_spans(docs, id_col, text_col, length).select(F.col("doc"), F.col("th"), F.col("spans").alias("found"))
 
     @F.pandas_udf("kept binary, runs array<struct<start:long,stop:long>>")
     def without(text: pd.Series, spans: pd.Series) -> pd.DataFrame:
@@ -383,12 +399,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             runs.append([{"start": int(a), "stop": int(b)} for a, b in turn.reshape(-1, 2)])
         return pd.DataFrame({"kept": kept, "runs": runs})
 
-    hit, text = F.col("__spans").isNotNull(), F.col(text_col)
-    out = docs.join(spans.withColumnRenamed("spans", "__spans"), F.col(id_col) == F.col("__doc"), "left").withColumn("__new", without(F.when(hit, text), F.col("__spans")))
+    id_, text, hit = F.col("row").getField(id_col).cast("long"), F.col("row").getField(text_col), F.col("found").isNotNull()
+    rows = docs.select(whole_row(docs).alias("row"))
+    out = rows.join(found, (id_ == F.col("doc")) & (F.hash(text) == F.col("th")), "left").withColumn("new", without(F.when(hit, text), F.col("found")))
     raw = F.coalesce(F.encode(text, "UTF-8"), F.lit(b""))
-    kept = F.when(hit, F.col("__new.kept")).otherwise(raw)
+    kept = F.when(hit, F.col("new.kept")).otherwise(raw)
     names = ("kept", "n_bytes", "n_removed", "spans")
     return out.select(
-        *[c for c in docs.columns if c not in names], kept.alias("kept"), F.octet_length(raw).cast("long").alias("n_bytes"),
-        (F.octet_length(raw) - F.octet_length(kept)).cast("long").alias("n_removed"), F.coalesce(F.when(hit, F.col("__new.runs")), F.expr("cast(array() as array<struct<start:bigint,stop:bigint>>)")).alias("spans"),
+        *unpacked([c for c in docs.columns if c not in names]), kept.alias("kept"), F.octet_length(raw).cast("long").alias("n_bytes"),
+        (F.octet_length(raw) - F.octet_length(kept)).cast("long").alias("n_removed"), F.coalesce(F.when(hit, F.col("new.runs")), F.expr("cast(array() as array<struct<start:bigint,stop:bigint>>)")).alias("spans"),
     )
