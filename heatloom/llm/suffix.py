@@ -235,8 +235,13 @@ def shared_anchors(docs: DataFrame, length: int, parts: int) -> DataFrame:
     return packed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInPandas(repeated, "bucket int, keys binary, n long")
 
 
+def digests(parts: list[bytes]) -> np.ndarray:
+    """128-bit digests, as two whole numbers each."""
+    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, parts)), np.int64).reshape(-1, 2)
+
+
 def find_fragments(docs: DataFrame, length: int, parts: int) -> tuple[DataFrame, DataFrame]:
-    """Every fragment whose anchor another document may hold: doc, h, frag (its bytes), and doc, th, pos, h, f (its digest).
+    """Every fragment whose anchor another document may hold: doc, h, frag (its bytes), and doc, th, pos, h, f, g (its digest).
     Bytes and digests are cut from the texts where they are needed: reading a text twice costs less than keeping its fragments."""
     spark = docs.sparkSession
     shared = cut(shared_anchors(docs, length, parts))
@@ -259,7 +264,7 @@ def find_fragments(docs: DataFrame, length: int, parts: int) -> tuple[DataFrame,
             filled[row["bucket"]] = np.frombuffer(zlib.decompress(row["bits"]), np.uint8)
         sent = spark.sparkContext.broadcast(filled)
 
-    def emit(batches: Iterator[pd.DataFrame], digests: bool) -> Iterator[pd.DataFrame]:
+    def emit(batches: Iterator[pd.DataFrame], placed: bool) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
             for ids, hashes, data, ends in laid_out(pdf):
@@ -270,12 +275,12 @@ def find_fragments(docs: DataFrame, length: int, parts: int) -> tuple[DataFrame,
                     for place in places(key, per):
                         hit &= (sent.value[(key >> np.uint64(38)).astype(np.int64), place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1 == 1
                     h, begin, end, text = h[hit], begin[hit], end[hit], text[hit]
-                cuts = zip(begin.tolist(), end.tolist(), strict=True)
-                if digests:
-                    pos = (begin - np.concatenate([[0], ends[:-1]])[text]).astype(np.int32)
-                    out.append(pd.DataFrame({"doc": ids[text], "th": hashes[text], "pos": pos, "h": h.view(np.int64), "f": [xxhash.xxh3_128_digest(data[a:b]) for a, b in cuts]}))
+                parts = [data[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
+                if placed:
+                    pos, fg = (begin - np.concatenate([[0], ends[:-1]])[text]).astype(np.int32), digests(parts)
+                    out.append(pd.DataFrame({"doc": ids[text], "th": hashes[text], "pos": pos, "h": h.view(np.int64), "f": fg[:, 0], "g": fg[:, 1]}))
                 else:
-                    out.append(pd.DataFrame({"doc": ids[text], "h": h.view(np.int64), "frag": [data[a:b] for a, b in cuts]}))
+                    out.append(pd.DataFrame({"doc": ids[text], "h": h.view(np.int64), "frag": parts}))
                 if sum(map(len, out)) > 200_000:
                     yield pd.concat(out)
                     out = []
@@ -283,7 +288,7 @@ def find_fragments(docs: DataFrame, length: int, parts: int) -> tuple[DataFrame,
                 yield pd.concat(out)
 
     cuts = docs.mapInPandas(lambda batches: emit(batches, False), "doc long, h long, frag binary")
-    found = docs.mapInPandas(lambda batches: emit(batches, True), "doc long, th int, pos int, h long, f binary")
+    found = docs.mapInPandas(lambda batches: emit(batches, True), "doc long, th int, pos int, h long, f long, g long")
     if small:
         return cuts, found
 
@@ -304,7 +309,7 @@ def places(key: np.ndarray, per: int) -> list[np.ndarray]:
 
 
 def repeated_spans(docs: DataFrame, id_col: str, text_col: str, length: int) -> DataFrame:
-    """doc, th (the text's hash), spans: for each text with bytes to remove, (pos, mask): the windows pos + i with bit i of the mask."""
+    """doc, th (the text's hash), at, masks: for each text with bytes to remove, the windows at + i with bit i of the mask."""
     whole_numbers(docs, id_col)
     base = docs.select(column(id_col).cast("long").alias("id"), column(text_col).alias("t")).where(F.col("id").isNotNull() & (F.octet_length("t") >= length)).withColumn("th", F.hash("t"))
     size = base.agg(F.sum(F.octet_length("t"))).first()[0] or 0
@@ -325,16 +330,23 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str, length: int) ->
             first, group = np.flatnonzero(new), np.cumsum(new) - 1
             low, top = pdf["low"].to_numpy(np.int64), pdf["top"].to_numpy(np.int64)
             shared = (np.minimum.reduceat(low, first) < np.maximum.reduceat(top, first))[group] | pdf["split"].to_numpy(bool)
-            several = (np.bincount(group) > 1)[group]
+            several = (np.bincount(group) > 1)[group] | pdf["split"].to_numpy(bool)
             sort = np.flatnonzero(shared & several)
             minima = [None] * len(pdf)
             if len(sort):
                 for i, m in zip(sort, window_minima(pdf["frag"].iloc[sort].tolist(), low[sort], length), strict=True):
                     minima[i] = m
-            for i in np.flatnonzero(shared & ~several):
-                minima[i] = np.full(len(pdf["frag"].iat[i]) - length + 1, low[i])
-            pdf = pdf.assign(minima=minima)[shared]
-            return pdf.assign(f=[xxhash.xxh3_128_digest(x) for x in pdf["frag"]])[["f", "frag", "top", "split", "minima"]]
+            # one number stands for all windows of a fragment where they agree; parts of an anchor are merged below
+            lows, n = np.full(len(pdf), -1, np.int64), pdf["frag"].map(len).to_numpy(np.int64) - length + 1
+            one = shared & ~several
+            lows[one] = low[one]
+            for i in sort:
+                if not pdf["split"].iat[i] and (minima[i] == minima[i][0]).all():
+                    lows[i], one[i], minima[i] = minima[i][0], True, None
+            fg = digests(pdf["frag"].tolist())
+            out = pd.DataFrame({"f": fg[:, 0], "g": fg[:, 1], "top": top, "split": pdf["split"], "n": n, "low": pd.Series(lows, dtype="Int64").where(one), "minima": minima, "frag": pdf["frag"]})
+            useful = shared & (~one | (lows < top))
+            return out.assign(frag=out["frag"].where(pdf["split"], None))[useful]
 
         for pdf in batches:
             held.append(pdf)
@@ -357,16 +369,19 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str, length: int) ->
             yield result(pdf)
 
     sorted_ = dealt.repartition(parts, "h", "lot").sortWithinPartitions("h", "lot")
-    classed = sorted_.mapInPandas(classes, "f binary, frag binary, top long, split boolean, minima array<long>")
-    classed, classed_path = write_cut(classed.where(F.col("split") | F.exists("minima", lambda m: m < F.col("top"))).withColumn("frag", F.when(F.col("split"), F.col("frag"))))
+    classed = sorted_.mapInPandas(classes, "f long, g long, top long, split boolean, n long, low long, minima array<long>, frag binary")
+    classed, classed_path = write_cut(classed.where(F.col("split") | F.col("low").isNotNull() | F.exists("minima", lambda m: m < F.col("top"))))
     remove(docs.sparkSession, unique_path)
-    each = classed.where("split").select("f", "frag", "top", F.posexplode("minima").alias("i", "own")).withColumn("window", F.expr(f"substring(frag, i + 1, {length})"))
+    each = classed.where("split").select("f", "g", "n", "top", "frag", F.posexplode("minima").alias("i", "own")).withColumn("window", F.expr(f"substring(frag, i + 1, {length})"))
     lowest = each.groupBy("window").agg(F.min("own").alias("least"))
-    merged = each.join(lowest, "window").groupBy("f", "top").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "least"))), lambda x: x["least"]).alias("minima"))
-    minima = classed.where("not split").select("f", "top", "minima").unionByName(merged.where(F.exists("minima", lambda m: m < F.col("top")))).drop("top")
-    mask = F.aggregate(F.transform("minima", lambda m, i: F.when(m < F.col("doc"), F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda a, x: a + x)
-    hits = found.drop("h").join(minima, "f").select("doc", "th", "pos", mask.alias("mask")).where("mask <> 0")
-    spans = cut(hits.groupBy("doc", "th").agg(F.collect_set(F.struct("pos", "mask")).alias("spans")))
+    merged = each.join(lowest, "window").groupBy("f", "g", "n", "top").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "least"))), lambda x: x["least"]).alias("minima"))
+    merged = merged.where(F.exists("minima", lambda m: m < F.col("top"))).withColumn("low", F.lit(None).cast("long"))
+    minima = classed.where("not split").select("f", "g", "n", "low", "minima").unionByName(merged.drop("top"))
+    bit, none = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i), F.lit(0).cast("long")
+    each_window = F.aggregate(F.transform("minima", lambda m, i: F.when(m < F.col("doc"), bit(i)).otherwise(none)), none, lambda a, x: a + x)
+    mask = F.when(F.col("low").isNull(), each_window).when(F.col("low") < F.col("doc"), bit(F.col("n").cast("int")) - 1).otherwise(none)
+    hits = found.drop("h").join(minima, ["f", "g"]).select("doc", "th", "pos", mask.alias("mask")).where("mask <> 0")
+    spans = cut(hits.groupBy("doc", "th").agg(F.collect_list("pos").alias("at"), F.collect_list("mask").alias("masks")))
     remove(docs.sparkSession, classed_path)
     return spans
 
@@ -375,37 +390,37 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """docs with kept (the remaining bytes), n_bytes, n_removed and spans (start, stop of each maximal removed run)."""
     if length - GRAM > 60 or length < GRAM:
         raise ValueError(f"length must be {GRAM} to {GRAM + 60}")
-    found = repeated_spans(docs, id_col, text_col, length).select(F.col("doc"), F.col("th"), F.col("spans").alias("found"))
-
-    @F.pandas_udf("kept binary, runs array<struct<start:long,stop:long>>")
-    def without(text: pd.Series, spans: pd.Series) -> pd.DataFrame:
-        kept, runs = [], []
-        for t, own in zip(text, spans, strict=True):
-            if own is None or t is None:
+    found = repeated_spans(docs, id_col, text_col, length)
+
+    @F.pandas_udf("kept binary, starts array<long>, stops array<long>")
+    def without(text: pd.Series, at: pd.Series, masks: pd.Series) -> pd.DataFrame:
+        kept, starts, stops = [], [], []
+        window = np.arange(length - GRAM + 1)
+        for t, pos, mask in zip(text, at, masks, strict=True):
+            if pos is None or t is None:
                 kept.append(None)
-                runs.append(None)
+                starts.append(None)
+                stops.append(None)
                 continue
             data = t.encode("utf-8", "surrogatepass")
-            edge = np.zeros(len(data) + 1, np.int32)
-            pos = np.array([s["pos"] for s in own])
-            mask = np.array([s["mask"] for s in own])
-            for i in range(length - GRAM + 1):
-                at = pos[(mask >> i) & 1 == 1] + i
-                np.add.at(edge, at, 1)
-                np.add.at(edge, at + length, -1)
+            rows, i = np.nonzero((np.asarray(mask, np.int64)[:, None] >> window) & 1)
+            first = np.asarray(pos, np.int64)[rows] + i
+            edge = np.bincount(first, minlength=len(data) + 1) - np.bincount(first + length, minlength=len(data) + 1)
             gone = np.cumsum(edge[:-1]) > 0
             turn = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
             kept.append(np.frombuffer(data, np.uint8)[~gone].tobytes())
-            runs.append([{"start": int(a), "stop": int(b)} for a, b in turn.reshape(-1, 2)])
-        return pd.DataFrame({"kept": kept, "runs": runs})
+            starts.append(turn[::2])
+            stops.append(turn[1::2])
+        return pd.DataFrame({"kept": kept, "starts": starts, "stops": stops})
 
-    id_, text, hit = F.col("row").getField(id_col).cast("long"), F.col("row").getField(text_col), F.col("found").isNotNull()
+    id_, text, hit = F.col("row").getField(id_col).cast("long"), F.col("row").getField(text_col), F.col("at").isNotNull()
     rows = docs.select(whole_row(docs).alias("row"))
-    out = rows.join(found, (id_ == F.col("doc")) & (F.hash(text) == F.col("th")), "left").withColumn("new", without(F.when(hit, text), F.col("found")))
+    out = rows.join(found, (id_ == F.col("doc")) & (F.hash(text) == F.col("th")), "left").withColumn("new", without(F.when(hit, text), F.col("at"), F.col("masks")))
     raw = F.coalesce(F.encode(text, "UTF-8"), F.lit(b""))
     kept = F.when(hit, F.col("new.kept")).otherwise(raw)
+    runs = F.zip_with("new.starts", "new.stops", lambda a, b: F.struct(a.alias("start"), b.alias("stop")))
     names = ("kept", "n_bytes", "n_removed", "spans")
     return out.select(
         *unpacked([c for c in docs.columns if c not in names]), kept.alias("kept"), F.octet_length(raw).cast("long").alias("n_bytes"),
-        (F.octet_length(raw) - F.octet_length(kept)).cast("long").alias("n_removed"), F.coalesce(F.when(hit, F.col("new.runs")), F.expr("cast(array() as array<struct<start:bigint,stop:bigint>>)")).alias("spans"),
+        (F.octet_length(raw) - F.octet_length(kept)).cast("long").alias("n_removed"), F.coalesce(F.when(hit, runs), F.expr("cast(array() as array<struct<start:bigint,stop:bigint>>)")).alias("spans"),
     )
