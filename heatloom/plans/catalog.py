@@ -2,39 +2,49 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heatloom.functions import comfort
 from heatloom.operators import graph, joins
+from heatloom.plans import physics
 from heatloom.plans.shared import PRELUDE, SHARED
+from heatloom.plans.tables import table
 from heatloom.streaming import windows
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+#: What the shared texts leave open, for each engine.
+SPARK = {"first": "0", "json": "get_json_object", "half_even": "bround", "epoch_hh": "unix_seconds(CAST(hh AS TIMESTAMP))"}
+DUCK = {"first": "1", "json": "json_extract_string", "half_even": "round_even", "epoch_hh": "epoch(hh)"}
+
+
+def names_in(sql: str) -> set[str]:
+    return set(re.findall(r"[A-Za-z_]+", sql))
 
 
-def with_prelude(sql: str, first: int) -> str:
+def with_prelude(sql: str, engine: dict[str, str]) -> str:
     """sql behind the views of PRELUDE that it uses, in their order."""
     used: list[str] = []
     text = sql
     for name in reversed(PRELUDE):
-        if any(w == name for w in text.replace("(", " ").replace(")", " ").split()):
+        if name in names_in(text):
             used.append(name)
             text += " " + PRELUDE[name]
-    return (("WITH " + ", ".join(f"{n} AS ({PRELUDE[n]})" for n in reversed(used)) + " " if used else "") + sql).replace("{first}", str(first))
+    whole = ("WITH " + ", ".join(f"{n} AS ({PRELUDE[n]})" for n in reversed(used)) + " " if used else "") + sql
+    for name, own in engine.items():
+        whole = whole.replace("{" + name + "}", own)
+    return whole if engine is SPARK else whole.replace("explode(sequence(0, 23))", "unnest(range(0, 24))")
 
 
 def shared_query(name: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        sql = with_prelude(SHARED[name], 0)
-        words = set(sql.replace("(", " ").replace(")", " ").replace(",", " ").split())
-        for t in TABLES:
-            if t in words:
-                table(spark, sf_dir, t).createOrReplaceTempView(t)
+        sql = with_prelude(SHARED[name], SPARK)
+        for t in names_in(sql).intersection(TABLES):
+            table(spark, sf_dir, t).createOrReplaceTempView(t)
         return spark.sql(sql)
 
     return run
@@ -127,15 +137,18 @@ PLANS = {
     "join_asof_nearest": (join_asof_nearest, "WITH r AS (SELECT user_id, ts, max(value) AS value FROM events WHERE event_id % 2 = 1 GROUP BY user_id, ts), c AS (SELECT l.event_id, r.value, row_number() OVER (PARTITION BY l.event_id ORDER BY abs(epoch_us(l.ts) - epoch_us(r.ts)), r.ts) AS rn FROM events l LEFT JOIN r ON l.user_id = r.user_id WHERE l.event_id % 2 = 0) SELECT event_id, round(value, 4) AS value FROM c WHERE rn = 1"),
     "scan_arrays_explode": (scan_arrays_explode, "SELECT pos::INTEGER AS pos, count(x) AS n, round(avg(x::DOUBLE), 4) AS mean FROM (SELECT unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings) GROUP BY pos"),
     "phys_air_and_sky": (phys_air_and_sky, "WITH b AS (SELECT event_id, value / 10e0 AS ta, CAST(regexp_extract(props, '(-?[0-9]+)', 1) AS DOUBLE) AS k, greatest(0.5e0, value / 40e0 * ln(1.1e0 / 0.03e0) / ln(10e0 / 0.03e0)) AS u FROM events WHERE value IS NOT NULL), v AS (SELECT *, 6.112e0 * exp(17.62e0 * ta / (243.12e0 + ta)) * greatest(0e0, least(100e0, k)) / 100e0 AS e FROM b), w AS (SELECT *, 46.5e0 * e / (ta + 273.15e0) AS w FROM v), s AS (SELECT *, 1e0 - (1e0 + w) * exp(-sqrt(1.2e0 + 3e0 * w)) AS clear FROM w) SELECT event_id, round(e, 4) AS e, round(clear + (1e0 - clear) * k / 100e0, 4) AS sky, round(u, 4) AS wind, round(2.8e0 + 3e0 * u, 4) AS h, round(greatest(0e0, least(100e0, 100e0 * e / (6.112e0 * exp(17.62e0 * (ta - 1.5e0) / (243.12e0 + ta - 1.5e0))))), 4) AS rh, round(greatest(0e0, ta - 26e0, 9e0 - ta), 4) AS strain FROM s"),
-    "phys_sun": (phys_sun, "WITH b AS (SELECT event_id, CAST(regexp_extract(props, '(-?[0-9]+)', 1) AS DOUBLE) AS k FROM events) SELECT event_id, round(12.5e0 * power(greatest(0e0, sin(radians(k))), 2.42e0) * (1e0 - 0.56e0 * power(greatest(0e0, least(100e0, k)) / 100e0, 3.4e0)), 3) AS uv, round(CASE WHEN k > 0 THEN 1098e0 * sin(radians(k)) * exp(-0.057e0 / sin(radians(k))) ELSE 0e0 END, 3) AS ghi FROM b"),
+    "phys_sun": (phys_sun, "WITH b AS (SELECT event_id, CAST(regexp_extract(props, '(-?[0-9]+)', 1) AS DOUBLE) AS k FROM events) SELECT event_id, round(12.5e0 * power(greatest(0e0, sin(radians(k))), 2.42e0) * (1e0 - 0.56e0 * power(greatest(0e0, least(100e0, k)) / 100e0, 3.4e0)), 3) AS uv, round(CASE WHEN k > 0 THEN 1098e0 * sin(radians(k)) * exp(-0.059e0 / sin(radians(k))) ELSE 0e0 END, 3) AS ghi FROM b"),
     "phys_ts_march": (phys_ts_march, "WITH h AS (SELECT user_id AS device, date_trunc('hour', ts) AS hh, avg(value) AS v FROM events WHERE value BETWEEN 1 AND 400 GROUP BY 1, 2), d AS (SELECT device, hh::DATE AS day, list(v ORDER BY hh) AS s FROM h GROUP BY 1, 2) SELECT device, day, round(list_reduce(s, lambda t, v: t + 3600e0 * (v - 0.95e0 * 5.670374419e-8 * power(t, 4e0) - 8e0 * (t - v / 20e0 - 283.15e0)) / (2.5e5 + 3600e0 * (4e0 * 0.95e0 * 5.670374419e-8 * power(t, 3e0) + 8e0)), 293.15e0), 3) AS ts FROM d"),
     "stream_window_mean": (stream_window_mean, "SELECT date_trunc('hour', ts) AS start, event_type, round(avg(value), 4) AS value, count(*) AS n FROM events GROUP BY 1, 2"),
 }
 
 
+ALL = PLANS | physics.PLANS
+
+
 def queries() -> dict:
-    return {name: shared_query(name) for name in SHARED} | {name: f for name, (f, _) in PLANS.items()}
+    return {name: shared_query(name) for name in SHARED} | {name: f for name, (f, _) in ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: with_prelude(sql, 1) for name, sql in SHARED.items()} | {name: sql for name, (_, sql) in PLANS.items()}
+    return {name: with_prelude(sql, DUCK) for name, sql in SHARED.items()} | {name: sql for name, (_, sql) in ALL.items() if sql}
