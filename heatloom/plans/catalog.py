@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from heatloom.functions import comfort
 from heatloom.operators import graph, joins
-from heatloom.plans import physics
+from heatloom.plans import physics, sensors
 from heatloom.plans.shared import PRELUDE, SHARED
 from heatloom.plans.tables import table
 from heatloom.streaming import windows
@@ -143,7 +143,7 @@ PLANS = {
 }
 
 
-ALL = PLANS | physics.PLANS
+ALL = PLANS | physics.PLANS | sensors.PLANS
 
 
 def queries() -> dict:
