@@ -1,19 +1,55 @@
-"""Joins that the engine lacks: as-of, nearest in time, nearest point and points in a radius."""
+"""Joins that the engine lacks: as-of, nearest in time, nearest point, points in a radius, points in polygons."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def asof_backward(left: DataFrame, right: DataFrame, by: str, at: str, value: str) -> DataFrame:
-    """left with `value` of the last right row of the same key at or before it: one union, one window."""
-    both = left.withColumns({"__v": F.lit(None).cast(right.schema[value].dataType), "__side": F.lit(1)}).unionByName(
-        right.select(by, at, F.col(value).alias("__v"), F.lit(0).alias("__side")), allowMissingColumns=True
-    )
-    last = Window.partitionBy(by).orderBy(at, "__side").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn(value, F.last("__v", ignorenulls=True).over(last)).where("__side = 1").drop("__v", "__side")
+def _as_of(left: DataFrame, right: DataFrame, by: str, at: str, value: str, hours: float) -> tuple[DataFrame, Column, Column]:
+    """Left rows (row, t) with the last right row at or before them and the first at or after them, as structs (t, v).
+
+    Rows are cut into stretches of a key's time; a stretch takes what the stretches before and after it end and begin
+    with, so that a key of any size is dealt over many tasks."""
+    stretch = F.floor(F.unix_micros(F.col("t").cast("timestamp")) / (hours * 3_600_000_000))
+    row = F.struct(*[F.col(f"`{c}`").alias(c) for c in left.columns])
+    lefts = left.select(F.col(by).alias("k"), F.col(at).alias("t"), row.alias("row"))
+    found = F.struct(F.col(at).alias("t"), F.col(value).alias("v"))
+    rights = right.where(F.col(by).isNotNull() & F.col(at).isNotNull()).select(F.col(by).alias("k"), F.col(at).alias("t"), found.alias("r"))
+    keyed = lefts.where("k IS NOT NULL AND t IS NOT NULL")
+    both = keyed.select("k", "t", "row", F.lit(None).cast(rights.schema["r"].dataType).alias("r"), F.lit(1).alias("side"))
+    both = both.unionByName(rights.select("k", "t", F.lit(None).cast(lefts.schema["row"].dataType).alias("row"), "r", F.lit(0).alias("side"))).withColumn("s", stretch)
+    parts = both.groupBy("k", "s").agg(F.max("r").alias("last"), F.min("r").alias("first"))
+    up, down = Window.partitionBy("k").orderBy("s"), Window.partitionBy("k").orderBy(F.desc("s"))
+    parts = parts.select("k", "s", F.max("last").over(up.rowsBetween(Window.unboundedPreceding, -1)).alias("earlier"), F.min("first").over(down.rowsBetween(Window.unboundedPreceding, -1)).alias("later"))
+    inner = both.join(parts, ["k", "s"])
+    up, down = Window.partitionBy("k", "s").orderBy("t", "side", "r"), Window.partitionBy("k", "s").orderBy(F.desc("t"), F.asc("side"), F.desc("r"))
+    upto = Window.unboundedPreceding
+    inner = inner.withColumn("b", F.last("r", ignorenulls=True).over(up.rowsBetween(upto, 0))).withColumn("f", F.last("r", ignorenulls=True).over(down.rowsBetween(upto, 0)))
+    inner = inner.where("side = 1").select("t", "row", F.coalesce("b", "earlier").alias("b"), F.coalesce("f", "later").alias("f"))
+    none = F.lit(None).cast(rights.schema["r"].dataType)
+    whole = inner.unionByName(lefts.where("k IS NULL OR t IS NULL").select("t", "row", none.alias("b"), none.alias("f")))
+    return whole, F.col("b"), F.col("f")
+
+
+def _unpacked(df: DataFrame, names: list[str], value: str, found: Column) -> DataFrame:
+    return df.select(*[F.col("row").getField(c).alias(c) for c in names if c != value], found.alias(value))
+
+
+def asof_backward(left: DataFrame, right: DataFrame, by: str, at: str, value: str, hours: float = 24.0) -> DataFrame:
+    """left with `value` of the last right row of the same key at or before it, be it null; null where there is none, and
+    where a left row's key or time is null. Right rows without key or time take no part; of several at one time the
+    largest value counts. hours: the stretch of a key's time that one task holds."""
+    rows, back, _ = _as_of(left, right, by, at, value, hours)
+    return _unpacked(rows, left.columns, value, back["v"])
+
+
+def asof_nearest(left: DataFrame, right: DataFrame, by: str, at: str, value: str, hours: float = 24.0) -> DataFrame:
+    """left with `value` of the right row of the same key nearest in time; ties to the earlier row. Nulls as in asof_backward."""
+    rows, back, ahead = _as_of(left, right, by, at, value, hours)
+    later = back.isNull() | (ahead["t"] - F.col("t") < F.col("t") - back["t"])
+    return _unpacked(rows, left.columns, value, F.when(later, ahead["v"]).otherwise(back["v"]))
 
 
 def within_radius(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
@@ -33,12 +69,41 @@ def nearest_within(left: DataFrame, right: DataFrame, radius: float) -> DataFram
     return pairs.groupBy("id").agg(F.min(F.struct("d", "id2")).alias("best")).select("id", F.col("best.id2").alias("id2"), F.col("best.d").alias("d"))
 
 
-def asof_nearest(left: DataFrame, right: DataFrame, by: str, at: str, value: str) -> DataFrame:
-    """left with `value` of the right row of the same key nearest in time; ties to the earlier row. One union, one sort."""
-    rows = left.withColumns({"__r": F.lit(None).cast(f"struct<t:{right.schema[at].dataType.simpleString()},v:{right.schema[value].dataType.simpleString()}>"), "__side": F.lit(1)})
-    both = rows.unionByName(right.select(by, at, F.struct(F.col(at).alias("t"), F.col(value).alias("v")).alias("__r"), F.lit(0).alias("__side")), allowMissingColumns=True)
-    order = Window.partitionBy(by).orderBy(at, "__side")
-    both = both.withColumn("__b", F.last("__r", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    both = both.withColumn("__f", F.first("__r", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))).where("__side = 1")
-    later = F.col("__b").isNull() | (F.col("__f.t") - F.col(at) < F.col(at) - F.col("__b.t"))
-    return both.withColumn(value, F.when(later, F.col("__f.v")).otherwise(F.col("__b.v"))).drop("__r", "__side", "__b", "__f")
+def inside(x: Column, y: Column, edges: Column) -> Column:
+    """Whether a point lies in a polygon: edges is an array of structs (x1, y1, x2, y2) of all its rings (holes too)."""
+    def crosses(e):
+        over = (e["y1"] > y) != (e["y2"] > y)
+        return over & (x < (e["x2"] - e["x1"]) * (y - e["y1"]) / F.when(over, e["y2"] - e["y1"]) + e["x1"])
+
+    return F.size(F.filter(edges, crosses)) % 2 == 1
+
+
+def ring_edges(ring: Column) -> Column:
+    """Edges of a ring of structs (x, y), closed or not; edges without length cross nothing."""
+    def edge(a, i):
+        b = F.get(ring, (i + 1) % F.size(ring))
+        return F.struct(a["x"].alias("x1"), a["y"].alias("y1"), b["x"].alias("x2"), b["y"].alias("y2"))
+
+    return F.transform(ring, edge)
+
+
+def cells_of(polygons: DataFrame, cell: float) -> DataFrame:
+    """polygons (edges) once for each grid cell (cx, cy) that its bounds touch."""
+    low = lambda n: F.floor(F.array_min(F.transform("edges", lambda e: e[n])) / cell)
+    high = lambda n: F.floor(F.array_max(F.transform("edges", lambda e: e[n])) / cell)
+    return polygons.withColumn("cx", F.explode(F.sequence(low("x1"), high("x1")))).withColumn("cy", F.explode(F.sequence(low("y1"), high("y1"))))
+
+
+def points_in_polygons(points: DataFrame, polygons: DataFrame, cell: float) -> DataFrame:
+    """Pairs (id, pid) of points (id, x, y) and polygons (pid, edges) that hold them: an equi-join on grid cells, then the exact test."""
+    here = points.withColumn("cx", F.floor(F.col("x") / cell)).withColumn("cy", F.floor(F.col("y") / cell))
+    return cells_of(polygons, cell).join(here, ["cx", "cy"]).where(inside(F.col("x"), F.col("y"), F.col("edges"))).select("id", "pid")
+
+
+def top_within(left: DataFrame, right: DataFrame, radius: float, allowed: Column, rank: list[Column], k: int = 2) -> DataFrame:
+    """The k best right points of each left point (both: id, x, y, tags) within a radius: `allowed` and `rank` use the columns
+    d, id2, tags and tags2."""
+    pairs = within_radius(left.select("id", "x", "y"), right.select("id", "x", "y"), radius)
+    pairs = pairs.join(left.select("id", "tags"), "id").join(right.select(F.col("id").alias("id2"), F.col("tags").alias("tags2")), "id2").where(allowed)
+    best = F.slice(F.array_sort(F.collect_list(F.struct(*[c.alias(f"r{i}") for i, c in enumerate(rank)], F.col("d"), F.col("id2")))), 1, k)
+    return pairs.groupBy("id").agg(best.alias("best")).select("id", F.posexplode("best").alias("place", "b")).select("id", "place", "b.id2", "b.d")

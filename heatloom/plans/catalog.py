@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heatloom.functions import comfort
-from heatloom.operators import graph, joins
-from heatloom.plans import physics, sensors
+from heatloom.operators import joins
+from heatloom.plans import physics, routes, sensors, spaces, texts
 from heatloom.plans.shared import PRELUDE, SHARED
 from heatloom.plans.tables import table
 from heatloom.streaming import windows
@@ -76,16 +76,6 @@ def join_nn_snap(spark, sf_dir):
     return joins.nearest_within(p.where("id % 5 = 0"), p.where("id % 5 <> 0"), 3.0).select("id", "id2", F.round("d", 4).alias("d"))
 
 
-def graph_hops(spark, sf_dir):
-    l = table(spark, sf_dir, "supplier").select((F.col("s_nationkey") + 0).cast("long").alias("a"), (100 + F.col("s_suppkey") % 40).cast("long").alias("b"))
-    return graph.hops(l, 0, 4)
-
-
-def graph_components(spark, sf_dir):
-    edges = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").cast("long").alias("a"), (100 + F.col("s_suppkey") % 40).cast("long").alias("b"))
-    return graph.components(edges)
-
-
 def join_asof_nearest(spark, sf_dir):
     all_ = readings(spark, sf_dir)
     left = all_.where("event_id % 2 = 0").select("event_id", "user_id", "ts")
@@ -132,8 +122,6 @@ PLANS = {
     "join_asof_backward": (join_asof_backward, "WITH r AS (SELECT user_id, ts, max(value) AS value FROM events WHERE event_id % 2 = 1 GROUP BY user_id, ts) SELECT l.event_id, round(r.value, 4) AS value FROM (SELECT * FROM events WHERE event_id % 2 = 0) l ASOF LEFT JOIN r ON l.user_id = r.user_id AND l.ts >= r.ts"),
     "join_radius_bucket": (join_radius_bucket, f"WITH {POINTS} SELECT a.id, b.id AS id2, round(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), 4) AS d FROM p a JOIN p b ON a.id < b.id AND sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 2.0"),
     "join_nn_snap": (join_nn_snap, f"WITH {POINTS}, c AS (SELECT a.id, b.id AS id2, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS d FROM p a JOIN p b ON a.id % 5 = 0 AND b.id % 5 <> 0) SELECT id, id2, round(d, 4) AS d FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, id2) AS rn FROM c WHERE d <= 3.0) WHERE rn = 1"),
-    "graph_hops": (graph_hops, "WITH RECURSIVE e AS (SELECT s_nationkey::BIGINT AS a, (100 + s_suppkey % 40)::BIGINT AS b FROM supplier), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(node, hops) AS (SELECT 0::BIGINT, 0 UNION SELECT u.b, r.hops + 1 FROM r JOIN u ON r.node = u.a WHERE r.hops < 4) SELECT node, min(hops)::INTEGER AS hops FROM r GROUP BY node"),
-    "graph_components": (graph_components, "WITH RECURSIVE e AS (SELECT s_nationkey::BIGINT AS a, (100 + s_suppkey % 40)::BIGINT AS b FROM supplier), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(node, spot) AS (SELECT a, a FROM u UNION SELECT r.node, u.b FROM r JOIN u ON r.spot = u.a) SELECT node, least(node, min(spot)) AS root FROM r GROUP BY node"),
     "join_asof_nearest": (join_asof_nearest, "WITH r AS (SELECT user_id, ts, max(value) AS value FROM events WHERE event_id % 2 = 1 GROUP BY user_id, ts), c AS (SELECT l.event_id, r.value, row_number() OVER (PARTITION BY l.event_id ORDER BY abs(epoch_us(l.ts) - epoch_us(r.ts)), r.ts) AS rn FROM events l LEFT JOIN r ON l.user_id = r.user_id WHERE l.event_id % 2 = 0) SELECT event_id, round(value, 4) AS value FROM c WHERE rn = 1"),
     "scan_arrays_explode": (scan_arrays_explode, "SELECT pos::INTEGER AS pos, count(x) AS n, round(avg(x::DOUBLE), 4) AS mean FROM (SELECT unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings) GROUP BY pos"),
     "phys_air_and_sky": (phys_air_and_sky, "WITH b AS (SELECT event_id, value / 10e0 AS ta, CAST(regexp_extract(props, '(-?[0-9]+)', 1) AS DOUBLE) AS k, greatest(0.5e0, value / 40e0 * ln(1.1e0 / 0.03e0) / ln(10e0 / 0.03e0)) AS u FROM events WHERE value IS NOT NULL), v AS (SELECT *, 6.112e0 * exp(17.62e0 * ta / (243.12e0 + ta)) * greatest(0e0, least(100e0, k)) / 100e0 AS e FROM b), w AS (SELECT *, 46.5e0 * e / (ta + 273.15e0) AS w FROM v), s AS (SELECT *, 1e0 - (1e0 + w) * exp(-sqrt(1.2e0 + 3e0 * w)) AS clear FROM w) SELECT event_id, round(e, 4) AS e, round(clear + (1e0 - clear) * k / 100e0, 4) AS sky, round(u, 4) AS wind, round(2.8e0 + 3e0 * u, 4) AS h, round(greatest(0e0, least(100e0, 100e0 * e / (6.112e0 * exp(17.62e0 * (ta - 1.5e0) / (243.12e0 + ta - 1.5e0))))), 4) AS rh, round(greatest(0e0, ta - 26e0, 9e0 - ta), 4) AS strain FROM s"),
@@ -143,7 +131,7 @@ PLANS = {
 }
 
 
-ALL = PLANS | physics.PLANS | sensors.PLANS
+ALL = PLANS | physics.PLANS | sensors.PLANS | routes.PLANS | spaces.PLANS | texts.PLANS
 
 
 def queries() -> dict:

@@ -83,8 +83,6 @@ SHARED = {
     "set_upsert_last_wins": "SELECT id, name FROM (SELECT id, name, row_number() OVER (PARTITION BY id ORDER BY age DESC) AS rn FROM (SELECT c_custkey AS id, c_name AS name, 0 AS age FROM customer UNION ALL SELECT s_suppkey AS id, s_name AS name, 1 AS age FROM supplier) u) t WHERE rn = 1",
     "time_floor_hour": "SELECT event_id, hh, CAST(extract(minute FROM ts) AS INT) AS past FROM readings",
     "raster_shift": "SELECT g.cx, g.cy, g.h, coalesce(e.h, 0) AS east, coalesce(n.h, 0) AS north FROM (SELECT CAST(floor(x / 5) AS INT) AS cx, CAST(floor(y / 5) AS INT) AS cy, max(label) AS h FROM points GROUP BY 1, 2) g LEFT JOIN (SELECT CAST(floor(x / 5) AS INT) AS cx, CAST(floor(y / 5) AS INT) AS cy, max(label) AS h FROM points GROUP BY 1, 2) e ON e.cx = g.cx + 1 AND e.cy = g.cy LEFT JOIN (SELECT CAST(floor(x / 5) AS INT) AS cx, CAST(floor(y / 5) AS INT) AS cy, max(label) AS h FROM points GROUP BY 1, 2) n ON n.cx = g.cx AND n.cy = g.cy + 1",
-    "raster_point_shade": "SELECT g.cx, g.cy, max(CASE WHEN b.h - g.h - s.d * 2e0 * 0.7e0 > 0.05e0 THEN 1 ELSE 0 END) AS shaded FROM (SELECT CAST(floor(x / 5) AS INT) AS cx, CAST(floor(y / 5) AS INT) AS cy, max(label) AS h FROM points GROUP BY 1, 2) g CROSS JOIN (VALUES (1), (2), (3), (4), (5), (6)) AS s(d) LEFT JOIN (SELECT CAST(floor(x / 5) AS INT) AS cx, CAST(floor(y / 5) AS INT) AS cy, max(label) AS h FROM points GROUP BY 1, 2) b ON b.cx = g.cx + s.d AND b.cy = g.cy GROUP BY g.cx, g.cy",
-    "raster_view_factor": "SELECT g.cx, g.cy, round(least(1e0, sum(CASE WHEN b.h > 0 THEN b.h * b.h * 4e0 / (pi() * power((o.dx * o.dx + p.dy * p.dy) * 4e0 + b.h * b.h, 2)) ELSE 0e0 END)), 4) AS blocked FROM (SELECT CAST(floor(x / 5) AS INT) AS cx, CAST(floor(y / 5) AS INT) AS cy, max(label) AS h FROM points GROUP BY 1, 2) g CROSS JOIN (VALUES (-2), (-1), (0), (1), (2)) AS o(dx) CROSS JOIN (VALUES (-2), (-1), (0), (1), (2)) AS p(dy) LEFT JOIN (SELECT CAST(floor(x / 5) AS INT) AS cx, CAST(floor(y / 5) AS INT) AS cy, max(label) AS h FROM points GROUP BY 1, 2) b ON b.cx = g.cx + o.dx AND b.cy = g.cy + p.dy GROUP BY g.cx, g.cy",
     "phys_contingency_scores": "SELECT round(a / nullif(a + c, 0), 4) AS pod, round(b / nullif(b + d, 0), 4) AS pofd, round(a / nullif(a + c, 0) - b / nullif(b + d, 0), 4) AS pss, round((a + b) / nullif(a + c, 0), 4) AS freq_bias FROM (SELECT 1e0 * sum(CASE WHEN mod > 100 AND obs > 100 THEN 1 ELSE 0 END) AS a, 1e0 * sum(CASE WHEN mod > 100 AND obs <= 100 THEN 1 ELSE 0 END) AS b, 1e0 * sum(CASE WHEN mod <= 100 AND obs > 100 THEN 1 ELSE 0 END) AS c, 1e0 * sum(CASE WHEN mod <= 100 AND obs <= 100 THEN 1 ELSE 0 END) AS d FROM paired) t",
     "phys_k_multiplier": "SELECT l_orderkey, l_linenumber, round(power(1.8e0, CASE WHEN l_discount > 0.05 THEN 1 ELSE 0 END + CASE WHEN l_tax > 0.04 THEN 1 ELSE 0 END), 4) AS k FROM lineitem",
 }

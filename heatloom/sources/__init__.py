@@ -1 +1 @@
-"""Part of the urban-comfort analytics engine on PySpark."""
+"""Files of the domain as DataFrames, and DataFrames as such files."""
