@@ -24,6 +24,21 @@ def sat_vapour(ta: Column) -> Column:
     return 6.112 * F.exp(17.62 * ta / (243.12 + ta))
 
 
+def sat_vapour_log(ta: Column) -> Column:
+    """hPa over water by the series in Kelvin with a logarithm, which the climate index is defined with. Fixed values."""
+    t = ta + 273.15
+    series = (-2.8365744e3, -6.028076559e3, 1.954263612e1, -2.737830188e-2, 1.6261698e-5, 7.0229056e-10, -1.8680009e-13)
+    total = 2.7150305 * F.log(t)
+    for i, g in enumerate(series):
+        total = total + g * F.pow(t, F.lit(float(i - 2)))
+    return F.exp(total) * 0.01
+
+
+def sat_vapour_bolton(ta: Column) -> Column:
+    """hPa over water by the pair 17.67, 243.5, which the station reports go with."""
+    return 6.112 * F.exp(17.67 * ta / (243.5 + ta))
+
+
 def vapour(ta: Column, rh: Column) -> Column:
     return sat_vapour(ta) * clamp(rh, 0.0, 100.0) / 100.0
 

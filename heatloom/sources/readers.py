@@ -129,7 +129,7 @@ def station_hours(spark: SparkSession, path: str, zone: str = "Australia/Melbour
         return F.when((F.abs(v) != 9999) & F.trim(F.get(F.split(name, ","), F.lit(1))).isin(*GOOD), v / 10)
 
     rows = c.select(F.from_utc_timestamp(F.try_to_timestamp("DATE"), zone).cast("timestamp_ntz").alias("local"), value("TMP").alias("ta"), value("DEW").alias("dew")).where("local IS NOT NULL")
-    rows = rows.withColumn("rh", comfort.clamp(100 * comfort.sat_vapour(F.col("dew")) / comfort.sat_vapour(F.col("ta")), 0.0, 100.0))
+    rows = rows.withColumn("rh", comfort.clamp(100 * comfort.sat_vapour_bolton(F.col("dew")) / comfort.sat_vapour_bolton(F.col("ta")), 0.0, 100.0))
     return rows.groupBy(F.date_trunc("hour", "local").cast("timestamp_ntz").alias("hh")).agg(F.avg("ta").alias("ta"), F.avg("rh").alias("rh"), F.count("ta").alias("n"))
 
 
@@ -138,7 +138,9 @@ def payload_rows(spark: SparkSession, path: str, variables: list[str], block: st
     missing is null, arrays of other lengths are filled up."""
     arrays = ",".join(f"{v}:array<double>" for v in variables)
     d = spark.read.schema(f"{block} struct<time:array<string>,{arrays}>").option("multiLine", True).json(path)
-    z = d.select(F.input_file_name().alias("file"), F.explode(F.arrays_zip(f"{block}.time", *[f"{block}.{v}" for v in variables])).alias("z"))
+    known = [F.coalesce(F.col(f"{block}.{v}"), F.array().cast("array<double>")).alias(v) for v in variables]
+    d = d.select(F.input_file_name().alias("file"), F.coalesce(F.col(f"{block}.time"), F.array().cast("array<string>")).alias("time"), *known)
+    z = d.select("file", F.explode(F.arrays_zip("time", *variables)).alias("z"))
     return z.select("file", F.col("z.time").alias("time"), *[F.col(f"z.{v}").alias(v) for v in variables])
 
 
