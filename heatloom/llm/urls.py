@@ -24,8 +24,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of the sample from which slice borders are taken.
+from .common import column, unpacked, whole_row
+
+#: Expected rows of the sample from which slice borders are taken, and the number that is never passed.
 BORDER_SAMPLE = 4_000
+BORDER_MOST = 8_000
 OUT = ("host", "path", "rule", "verdict")
 
 
@@ -45,7 +48,8 @@ class OpenRules:
     """The stack of rule hosts whose intervals hold the sweep's key."""
 
     def __init__(self) -> None:
-        self.stack: list[tuple[str, dict[str, tuple[str, str]]]] = []
+        #: rule host, its paths, and the lengths of its paths, longest first
+        self.stack: list[tuple[str, dict[str, tuple[str, str]], list[int]]] = []
 
     def close(self, key: str) -> None:
         while self.stack and not key.startswith(self.stack[-1][0]):
@@ -54,15 +58,17 @@ class OpenRules:
     def open(self, low: str, path: str, rule: str, verdict: str) -> None:
         self.close(low)
         if not self.stack or self.stack[-1][0] != low:
-            self.stack.append((low, {}))
-        held = self.stack[-1][1]
+            self.stack.append((low, {}, []))
+        _, held, sizes = self.stack[-1]
+        if (at := bisect.bisect_left(sizes, -len(path))) == len(sizes) or sizes[at] != -len(path):
+            sizes.insert(at, -len(path))
         held[path] = min(held.get(path, (rule, verdict)), (rule, verdict), key=lambda x: x[1])
 
     def longest(self, path: str) -> tuple[str, str] | None:
         best, size = None, -1
-        for _, held in reversed(self.stack):  # longer hosts first
-            for n in sorted({len(p) for p in held if len(p) <= len(path)}, reverse=True):
-                if (found := held.get(path[:n])) is not None:
+        for _, held, sizes in reversed(self.stack):  # longer hosts first
+            for n in sizes[bisect.bisect_left(sizes, -len(path)) :]:
+                if (found := held.get(path[:-n] if n else "")) is not None:
                     if len(found[0]) > size:
                         best, size = found, len(found[0])
                     break
@@ -73,11 +79,13 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", default
     """pages with host, path, rule (null if none fits) and verdict. rules: host, path, verdict."""
     spark = pages.sparkSession
     n = slices or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    host, path = host_and_path(F.col(url_col))
-    plain = pages.drop(*[c for c in OUT if c != url_col])
-    urls = plain.withColumns({"__host": host, "__path": path}).withColumn("__key", F.concat(reversed_host(F.col("__host")), F.lit("\x01"), F.col("__path")))
-    sample = [r[0] for r in urls.select("__key").orderBy(F.xxhash64("__key", F.monotonically_increasing_id())).limit(BORDER_SAMPLE).collect()]
-    sample.sort()
+    host, path = host_and_path(F.col("url"))
+    names = [c for c in pages.columns if c not in OUT or c == url_col]
+    row = whole_row(pages.select(*[column(c) for c in names]))
+    urls = pages.select(column(url_col).alias("url"), row.alias("row")).select("row", host.alias("host"), path.alias("path")).withColumn("key", F.concat(reversed_host(F.col("host")), F.lit("\x01"), F.col("path")))
+    total = urls.count()
+    chance = F.pmod(F.xxhash64("key", F.monotonically_increasing_id()), F.lit(1 << 40)) < int(min(1.0, BORDER_SAMPLE / max(1, total)) * (1 << 40))
+    sample = sorted(r[0] for r in urls.where(chance).select("key").limit(BORDER_MOST).collect())
     borders = [sample[len(sample) * i // n] for i in range(1, n)] if sample else []
 
     @F.pandas_udf("int")
@@ -93,9 +101,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", default
         # the interval's end: the last character, a dot, raised by one
         return pd.Series([list(range(bisect.bisect_left(borders, k), bisect.bisect_right(borders, k[:-1] + "/") + 1)) for k in low])
 
-    struct = F.struct(*[F.col(f"`{c}`") for c in plain.columns])
     salt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 30)).cast("int")
-    left = urls.select(slice_of("__key", salt).alias("slice"), F.col("__key").alias("key"), F.lit(1).alias("kind"), F.col("__host").alias("host"), F.col("__path").alias("path"), F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("verdict"), struct.alias("row"))
+    left = urls.select(slice_of("key", salt).alias("slice"), "key", F.lit(1).alias("kind"), "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("verdict"), "row")
     void = F.lit(None).cast(left.schema["row"].dataType)
     low_rules = rules.where("host is not null and path is not null and verdict is not null").select("host", "path", "verdict").distinct().withColumn("key", reversed_host(F.col("host")))
     right = low_rules.select(F.explode(slices_of("key")).alias("slice"), "key", F.lit(0).alias("kind"), "host", "path", F.concat("host", "path").alias("rule"), "verdict", void.alias("row"))
@@ -118,4 +125,4 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", default
 
     both = left.unionByName(right).repartition(n, "slice").sortWithinPartitions("slice", "key", "kind")
     out = both.mapInPandas(sweep, both.schema)
-    return out.select(*[F.col(f"row.`{c}`").alias(c) for c in plain.columns], "host", "path", "rule", "verdict")
+    return out.select(*unpacked(names), "host", "path", "rule", "verdict")
