@@ -12,6 +12,7 @@ the page; other columns pass through (text and n_chars are replaced).
 
 from __future__ import annotations
 
+import bisect
 import random
 import re
 from functools import lru_cache
@@ -22,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import unpacked, whole_row
+
 #: Labelled pages on which the field is fitted.
 TRAINING_PAGES = 500
 
@@ -37,30 +40,75 @@ HOLDS = {"li": {"ul", "ol", "menu"}, "dd": {"dl"}, "dt": {"dl"}, "tr": {"table"}
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
+class Above:
+    """What a block inherits from its ancestors; an element without new features shares its parent's."""
+
+    __slots__ = ("blocky", "features")
+
+    def __init__(self, blocky: tuple[str, ...], features: frozenset[str]) -> None:
+        self.blocky, self.features = blocky, features
+
+    def inside(self, tag: str, names: list[str], known) -> Above:
+        new = {f"name:{n}" for n in names} | ({f"in:{tag}"} if tag not in ("html", "body") else set())
+        new = {n for n in new if n not in self.features and (known is None or n in known)}
+        blocky = (*self.blocky, tag)[-2:] if tag in BLOCK and tag not in ("html", "body") else self.blocky
+        if not new and blocky == self.blocky:
+            return self
+        return Above(blocky, self.features | new if new else self.features)
+
+
 class Blocks(HTMLParser):
-    """Collects leaf blocks: text, link characters, tags and names of the ancestors."""
+    """Collects leaf blocks: text, link characters and what their ancestors give them. Open elements are found by name, so
+    that a page of any depth takes time in proportion to its length."""
 
-    def __init__(self) -> None:
+    def __init__(self, known=None) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, tuple[str, ...]]] = []
+        self.known = known
+        self.open: list[str] = []
+        self.above = [Above((), frozenset())]
+        self.places: dict[str, list[int]] = {}  # of each open name, in order
+        self.blocks: list[int] = []  # places of open blocks
+        self.firm: list[int] = []  # of those but paragraphs
         self.unseen = self.links = 0
         self.text: list[str] = []
         self.linked = 0
-        self.found: list[tuple[str, float, list[tuple[str, tuple[str, ...]]]]] = []
+        self.found: list[tuple[str, float, Above]] = []
 
     def end_block(self) -> None:
         if text := " ".join("".join(self.text).split()):
-            self.found.append((text, min(1.0, self.linked / len(text)), list(self.open)))
+            self.found.append((text, min(1.0, self.linked / len(text)), self.above[-1]))
         self.text, self.linked = [], 0
 
+    def push(self, tag: str, names: list[str]) -> None:
+        i = len(self.open)
+        self.open.append(tag)
+        self.above.append(self.above[-1].inside(tag, names, self.known))
+        self.places.setdefault(tag, []).append(i)
+        if tag in BLOCK:
+            self.blocks.append(i)
+            if tag != "p":
+                self.firm.append(i)
+        self.unseen += tag in UNSEEN
+        self.links += tag == "a"
+
     def pop(self, n: int) -> None:
-        for tag, _ in self.open[n:]:
+        while len(self.open) > n:
+            tag = self.open.pop()
+            self.above.pop()
+            self.places[tag].pop()
+            if tag in BLOCK:
+                self.blocks.pop()
+                if tag != "p":
+                    self.firm.pop()
             self.unseen -= tag in UNSEEN
             self.links -= tag == "a"
-        del self.open[n:]
+
+    def last(self, tag: str) -> int:
+        """The place of the innermost open element of a name, or -1."""
+        return self.places[tag][-1] if self.places.get(tag) else -1
 
     def end_head(self) -> None:
-        if self.open and self.open[-1][0] == "head":
+        if self.open and self.open[-1] == "head":
             self.pop(len(self.open) - 1)
 
     def handle_starttag(self, tag, attrs):
@@ -68,21 +116,17 @@ class Blocks(HTMLParser):
             self.end_head()
         if tag in BLOCK:
             self.end_block()
-            if tag == "body":
-                self.pop(next((i for i, (t, _) in enumerate(self.open) if t == "head"), len(self.open)))
-            for i in range(len(self.open) - 1, -1, -1):
-                own = self.open[i][0]
-                if own == "p" or own in ENDS.get(tag, ()):
-                    self.pop(i)
-                elif own in HOLDS.get(tag, ()) or tag not in ENDS and own in BLOCK:
-                    break
+            if tag == "body" and self.places.get("head"):
+                self.pop(self.places["head"][0])
+            # open paragraphs, and elements that this one follows, end up to the element that holds it
+            held = max((self.last(t) for t in HOLDS[tag]), default=-1) if tag in ENDS else self.firm[-1] if self.firm else -1
+            ended = [own[k] for t in {"p", *ENDS.get(tag, ())} if (own := self.places.get(t)) and (k := bisect.bisect_right(own, held)) < len(own)]
+            if ended:
+                self.pop(min(ended))
         elif tag == "br":
             self.text.append(" ")
         if tag not in VOID:
-            names = tuple(w.lower() for k, v in attrs if k in ("class", "id", "role") and v for w in NAME.findall(v))
-            self.open.append((tag, names))
-            self.unseen += tag in UNSEEN
-            self.links += tag == "a"
+            self.push(tag, [w.lower() for k, v in attrs if k in ("class", "id", "role") and v for w in NAME.findall(v)])
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -92,12 +136,9 @@ class Blocks(HTMLParser):
     def handle_endtag(self, tag):
         if tag in BLOCK:
             self.end_block()
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                self.pop(i)
-                break
-            if self.open[i][0] in BLOCK and tag not in BLOCK and tag not in UNSEEN:
-                break
+        i = self.last(tag)
+        if i >= 0 and (tag in BLOCK or tag in UNSEEN or not self.blocks or i > self.blocks[-1]):
+            self.pop(i)
 
     def handle_data(self, data):
         if data.strip():
@@ -108,8 +149,9 @@ class Blocks(HTMLParser):
                 self.linked += len(data.strip())
 
 
-def leaf_blocks(html: str | None) -> list[tuple[str, float, list[tuple[str, tuple[str, ...]]]]]:
-    page = Blocks()
+def leaf_blocks(html: str | None, known=None) -> list[tuple[str, float, Above]]:
+    """Blocks of a page. known: features that are of use; others need not be kept."""
+    page = Blocks(known)
     page.feed(html or "")
     page.close()
     page.end_block()
@@ -119,11 +161,8 @@ def leaf_blocks(html: str | None) -> list[tuple[str, float, list[tuple[str, tupl
 def features(blocks: list) -> list[list[str]]:
     out = []
     for text, linked, above in blocks:
-        words = text.split()
-        tags = [t for t, _ in above if t not in ("html", "body")]
-        blocky = [t for t in tags if t in BLOCK]
-        own = {"bias", f"leaf:{blocky[-1] if blocky else '-'}", f"pair:{'>'.join(blocky[-2:])}", f"words:{min(8, len(words).bit_length())}", f"linked:{int(4 * linked)}"}
-        own |= {f"in:{t}" for t in tags} | {f"name:{n}" for _, names in above for n in names}
+        own = {"bias", f"leaf:{above.blocky[-1] if above.blocky else '-'}", f"pair:{'>'.join(above.blocky)}", f"words:{min(8, len(text.split()).bit_length())}", f"linked:{int(4 * linked)}"}
+        own |= above.features
         own.add(f"ends:{text[-1] if text[-1] in '.!?:;' else 'x'}")
         own.add(f"stops:{min(3, sum(text.count(c) for c in '.!?'))}")
         if "©" in text:
@@ -186,7 +225,7 @@ def labelled_page(rng: random.Random) -> tuple[str, list[int]]:
             elif kind == "comment":
                 inside.append(leaf(rng.choice(["p", "li", "div"]), prose(1, 6), 0))
             else:
-                inside.append(leaf(rng.choice(["p", "div", "h3", "span" if False else "p"]), rng.choice([sentence(1, 10), prose(1, 3)]), 0))
+                inside.append(leaf(rng.choice(["p", "div", "h3", "p"]), rng.choice([sentence(1, 10), prose(1, 3)]), 0))
         body = "".join(inside)
         if kind == "menu" and tag != "ul":
             body = f"<ul>{body}</ul>"
@@ -308,18 +347,19 @@ def fitted(pages: int = TRAINING_PAGES, seed: int = 7) -> Field:
 
 
 def main_text(html: str | None, field: Field) -> str:
-    blocks = leaf_blocks(html)
+    blocks = leaf_blocks(html, field.known)
     return "\n\n".join(b[0] for b, y in zip(blocks, field.decode(features(blocks)), strict=True) if y)
 
 
 def extract(pages: DataFrame, html_col: str = "html", field: Field | None = None) -> DataFrame:
     """pages without html_col, with text and n_chars."""
     shared = pages.sparkSession.sparkContext.broadcast(field or fitted())  # bounded by the features of the training pages
-    kept = [c for c in pages.columns if c not in (html_col, "text", "n_chars")]
+    names = [c for c in pages.columns if c not in (html_col, "text", "n_chars")]
 
     @F.pandas_udf("string")
     def text_of(html: pd.Series) -> pd.Series:
         return html.map(lambda x: main_text(x, shared.value))
 
-    out = pages.select(*kept, text_of(F.coalesce(F.col(html_col), F.lit(""))).alias("text"))
-    return out.withColumn("n_chars", F.length("text").cast("long"))
+    rows = pages.select(whole_row(pages).alias("row"))
+    out = rows.select("row", text_of(F.coalesce(F.col("row").getField(html_col), F.lit(""))).alias("text"))
+    return out.select(*unpacked(names), "text", F.length("text").cast("long").alias("n_chars"))
