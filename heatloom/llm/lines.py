@@ -1,15 +1,14 @@
 """Line dedup: a line that several documents hold stays only in the first of them.
 
-Two Bloom filters, of hashes seen once and seen twice, are filled by every task over its own
-documents and merged segment by segment (a hash set in two "once" filters has all its bits in
-their AND, so it joins the merged "twice" filter). Only lines that the "twice" filter may hold are
-shuffled; an exact grouping by 128-bit digest then confirms them and picks the smallest document.
-The filter has a fixed upper size; once it is full, more lines count as suspects and are shuffled,
-the result stays exact.
+Hashes of lines go to the task that owns their segment, packed and each once a batch of documents; it fills two Bloom filters, of
+hashes seen once and seen twice. The "twice" filters of all segments, MAX_FILTER_BITS at most, are sent out. Only lines that they
+may hold are shuffled; an exact grouping by 128-bit digest then confirms them and picks the smallest document.
+Beyond about 45 million lines the filter fills: more lines count as suspects, up to all of them, each shuffled as 24 bytes (no
+text is); the result stays exact.
 
 Defined results: a null or empty text is one empty line; keys shorter than `min_chars` are never
 repeats; rows that repeat a doc_id are one document; rows with a null doc_id keep all lines and are
-not counted; ties go to the smallest doc_id; other columns pass through unchanged.
+not counted; ties go to the smallest doc_id; other columns pass through unchanged (n_lines and n_dropped are replaced).
 """
 
 from __future__ import annotations
@@ -23,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, cut
+from .common import SPACE, column, cut, unpacked, whole_row
 
 SEGMENT_BITS = 1 << 20
 PROBES = 3
@@ -62,40 +61,44 @@ def document_keys(text: str | None, min_chars: int) -> set[bytes]:
 def twice_seen_filter(docs: DataFrame, min_chars: int, segments: int) -> np.ndarray:
     """Bits of the hashes that two documents may hold; at most MAX_FILTER_BITS. docs: __id, __text."""
 
-    def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        once, twice = (np.zeros(segments * SEGMENT_BITS // 8, np.uint8) for _ in range(2))
+    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             hashes = [xxhash.xxh3_64_intdigest(k) for t in pdf["__text"] for k in document_keys(t, min_chars)]
             if not hashes:
                 continue
             values, counts = np.unique(np.array(hashes, np.uint64), return_counts=True)
-            places = bit_places(values, segments)
-            set_bits(twice, places[(counts > 1) | has_bits(once, places)])
-            set_bits(once, places)
-        size = SEGMENT_BITS // 8
-        for s in range(segments):
-            part = once[s * size : (s + 1) * size]
-            if part.any():
-                yield pd.DataFrame({"segment": [s], "once": [zlib.compress(part.tobytes(), 1)], "twice": [zlib.compress(twice[s * size : (s + 1) * size].tobytes(), 1)]})
-
-    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+            owner = (values % np.uint64(segments)).astype(np.int64)
+            order = np.argsort(owner, kind="stable")
+            values, many, owner = values[order], counts[order] > 1, owner[order]
+            edge = np.flatnonzero(np.diff(owner, prepend=-1, append=-1))
+            rows = [(int(owner[i]), values[i:j].tobytes(), np.packbits(many[i:j]).tobytes()) for i, j in zip(edge[:-1], edge[1:], strict=True)]
+            yield pd.DataFrame(rows, columns=["segment", "hashes", "many"])
+
+    def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, once, twice = None, None, None
+
+        def result():
+            return pd.DataFrame({"segment": [at], "twice": [zlib.compress(twice.tobytes(), 1)]})
+
         for pdf in batches:
-            for s, a, b in zip(pdf["segment"], pdf["once"], pdf["twice"], strict=True):
-                a, b = (np.frombuffer(zlib.decompress(x), np.uint8) for x in (a, b))
-                if s in held:
-                    once, twice = held[s]
-                    held[s] = once | a, twice | b | (once & a)
-                else:
-                    held[s] = a, b
-        for s, (_, twice) in held.items():
-            if twice.any():
-                yield pd.DataFrame({"segment": [s], "twice": [zlib.compress(twice.tobytes(), 1)]})
-
-    filled = docs.mapInPandas(fill, "segment int, once binary, twice binary")
-    merged = filled.repartition(min(segments, 64), "segment").mapInPandas(merge, "segment int, twice binary")
+            for s, raw, many in zip(pdf["segment"], pdf["hashes"], pdf["many"], strict=True):
+                if s != at:
+                    if at is not None and twice.any():
+                        yield result()
+                    at = s
+                    once, twice = (np.zeros(SEGMENT_BITS // 8, np.uint8) for _ in range(2))
+                values = np.frombuffer(raw, np.uint64)
+                places = bit_places(values, segments) % np.uint64(SEGMENT_BITS)
+                again = np.unpackbits(np.frombuffer(many, np.uint8), count=len(values)).astype(bool)
+                set_bits(twice, places[again | has_bits(once, places)])
+                set_bits(once, places)
+        if at is not None and twice.any():
+            yield result()
+
+    packed = docs.mapInPandas(hashed, "segment int, hashes binary, many binary")
+    filled = packed.repartition("segment").sortWithinPartitions("segment").mapInPandas(fill, "segment int, twice binary")
     bits = np.zeros((segments, SEGMENT_BITS // 8), np.uint8)
-    for row in merged.toLocalIterator():  # at most MAX_FILTER_BITS in all
+    for row in filled.toLocalIterator():  # at most MAX_FILTER_BITS in all
         bits[row["segment"]] = np.frombuffer(zlib.decompress(row["twice"]), np.uint8)
     return bits.ravel()
 
@@ -104,8 +107,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """docs with repeated lines dropped from text_col, and the columns n_lines (before dropping)
     and n_dropped. A null text that loses nothing stays null."""
     spark = docs.sparkSession
-    base = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
-    known = base.where("__id is not null and __text is not null")
+    rows = docs.select(column(id_col).alias("__id"), column(text_col).alias("__text"), whole_row(docs).alias("row"))
+    known = rows.select("__id", "__text").where("__id is not null and __text is not null")
     n_lines = F.length("__text") - F.length(F.replace("__text", F.lit("\n"))) + 1
     total = known.agg(F.sum(n_lines)).first()[0] or 0
     bits = min(MAX_FILTER_BITS, max(SEGMENT_BITS, 1 << (bits_per_line * total - 1).bit_length() if total else 0))
@@ -142,11 +145,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             rows.append(("\n".join(kept), len(lines) - len(kept)))
         return pd.DataFrame(rows, columns=["text", "dropped"])
 
-    text, gone = F.col(text_col), F.col("__drops").isNotNull()
-    out = docs.join(drops, F.col(id_col) == F.col("__drop_id"), "left").withColumn("__new", without(F.when(gone, text), F.col("__drops")))
+    text, gone = F.col("__text"), F.col("__drops").isNotNull()
+    out = rows.join(drops, F.col("__id") == F.col("__drop_id"), "left").withColumn("__new", without(F.when(gone, text), F.col("__drops")))
     count = F.length(text) - F.length(F.replace(text, F.lit("\n"))) + 1
     return out.select(
-        *[F.when(gone, F.col("__new.text")).otherwise(text).alias(c) if c == text_col else F.col(c) for c in docs.columns if c not in ("n_lines", "n_dropped")],
+        *unpacked([c for c in docs.columns if c not in ("n_lines", "n_dropped")], **{text_col: F.when(gone, F.col("__new.text")).otherwise(text)}),
         F.coalesce(count, F.lit(1)).cast("long").alias("n_lines"),
         F.coalesce(F.when(gone, F.col("__new.dropped")), F.lit(0)).cast("long").alias("n_dropped"),
     )
