@@ -14,8 +14,9 @@ of different classes stays unseen: blocks of texts meet blocks of texts, overlap
 and only links leave a task.
 
 Defined results: a text of one to four words is one shingle; texts without words (null, empty, white space)
-are each a class of their own; a class's id is its smallest id; rows that repeat an id have one class; rows
-with a null id are left out; extra columns do not matter.
+are each a class of their own; ids are whole numbers; a class's id is its smallest id; of rows that repeat an id the one
+whose text's hash is smallest counts, and all have its class; rows with a null id are left out (keep_first keeps them); extra
+columns do not matter.
 """
 
 from __future__ import annotations
@@ -30,13 +31,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, slices
+from .common import column, cut, slices, unpacked, whole_numbers, whole_row
 from .lines import MAX_FILTER_BITS, SEGMENT_BITS, bit_places, has_bits, set_bits
 
 BANDS, ROWS = 25, 5
 SHINGLE = 5
 BLOCK = 256
 CHARS = 2_000_000
+SALTS = 64  # tasks over which the outsiders of a bucket are dealt
 CELLS = 8_000_000  # of a matrix of weights; blocks with larger ones are halved
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _MIX = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -223,7 +225,7 @@ def smallest_in_reach(links: DataFrame) -> DataFrame:
 
 
 def texts_of(base: DataFrame, ids: DataFrame) -> DataFrame:
-    """One row of base (id, t) for each of ids (id). A Bloom filter of the ids, 64 MB at most, keeps most other
+    """One row of base (id, t, th) for each of ids (id, th). A Bloom filter of the ids, 64 MB at most, keeps most other
     texts out of the shuffle; the join after it is exact, so a full filter only costs time."""
     bits = min(MAX_FILTER_BITS, max(SEGMENT_BITS, 1 << (12 * ids.count()).bit_length()))
     segments = bits // SEGMENT_BITS  # a power of two
@@ -248,12 +250,13 @@ def texts_of(base: DataFrame, ids: DataFrame) -> DataFrame:
     def held(h: pd.Series) -> pd.Series:
         return pd.Series(has_bits(sent.value, bit_places(h.to_numpy(), segments)))
 
-    return cut(base.where(held(F.xxhash64("id"))).join(ids, "id", "left_semi").dropDuplicates(["id"]))
+    return cut(base.where(held(F.xxhash64("id"))).join(ids, ["id", "th"], "left_semi").dropDuplicates(["id"]).drop("th"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """id_col, class_id (the smallest id of its class), text_id (the smallest id with the same words)."""
-    base = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
+    whole_numbers(docs, id_col)
+    base = docs.select(column(id_col).cast("long").alias("id"), column(text_col).alias("t"), F.xxhash64(column(text_col)).alias("th")).where("id IS NOT NULL")
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -266,29 +269,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     value = mix(value * np.uint64(0x9E3779B97F4A7C15) + held[:, :, r])
                 some = np.isin(np.arange(b - a), d)
                 digests = [xxhash.xxh3_128_digest(" ".join(words_of(t)).encode("utf-8", "surrogatepass")) if s else None for t, s in zip(texts[a:b], some, strict=True)]
-                yield pd.DataFrame({"id": pdf["id"].to_numpy()[a:b], "digest": digests, "bands": [x if s else None for x, s in zip(value.view(np.int64), some, strict=True)]})
+                yield pd.DataFrame({"id": pdf["id"].to_numpy()[a:b], "th": pdf["th"].to_numpy()[a:b], "digest": digests, "bands": [x if s else None for x, s in zip(value.view(np.int64), some, strict=True)]})
 
-    drawn = cut(base.mapInPandas(sketch, "id long, digest binary, bands array<long>"))
+    drawn = cut(base.mapInPandas(sketch, "id long, th long, digest binary, bands array<long>"))
+    twice = drawn.groupBy("id").agg(F.count(F.lit(1)).alias("rows"), F.min("th").alias("low")).where("rows > 1").select(F.col("id").alias("i2"), "low")
+    drawn = drawn.join(twice, F.col("id") == F.col("i2"), "left").where("i2 IS NULL OR th = low").drop("i2", "low")
     copies = cut(drawn.where("digest is not null").groupBy("digest").agg(F.min("id").alias("text_id"), F.count(F.lit(1)).alias("n")))
-    unique = drawn.where("digest is not null").join(copies, "digest").where("id = text_id").select("id", F.explode("bands").alias("band"))
+    unique = drawn.where("digest is not null").join(copies, "digest").where("id = text_id").select("id", "th", F.explode("bands").alias("band"))
     shared = unique.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     met = cut(unique.join(shared, "band"))
     popular = met.groupBy("id").agg(F.sum("n").alias("met"))
-    members = cut(met.join(popular, "id").select("band", "id", "met"))
+    members = cut(met.join(popular, "id").select("band", "id", "th", "met"))
     centres = members.groupBy("band").agg(F.max(F.struct("met", (-F.col("id")).alias("minus"))).alias("top")).select("band", (-F.col("top.minus")).alias("low"))
 
-    texts = texts_of(base, cut(members.select("id").distinct()))
+    texts = texts_of(base, cut(members.select("id", "th").distinct()))
 
-    @F.pandas_udf("boolean")
-    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([similarity(x, y) >= threshold for x, y in zip(a, b, strict=True)])
+    one = F.collect_list(F.struct("id", "t"))
+
+    def in_lots(rows: DataFrame, key: str) -> DataFrame:
+        """rows (key, t) with a lot: of at most about BLOCK rows and CHARS characters of a key."""
+        lots = cut(rows.groupBy(key).agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum(F.length("t")) / CHARS)).alias("lots")))
+        return rows.join(lots, key).withColumn("lot", F.pmod(F.xxhash64("id"), F.col("lots")))
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        left, right = texts.select(F.col("id").alias("a"), F.col("t").alias("ta")), texts.select(F.col("id").alias("b"), F.col("t").alias("tb"))
-        return pairs.distinct().join(left, "a").join(right, "b").where(alike("ta", "tb")).select("a", "b")
+    @F.pandas_udf("array<long>")
+    def alike(centre: pd.Series, members: pd.Series) -> pd.Series:
+        return pd.Series([[m["id"] for m in own if similarity(c, m["t"]) >= threshold] for c, own in zip(centre, members, strict=True)])
 
-    stars = members.join(cut(centres), "band").where("id <> low").select(F.least("low", "id").alias("a"), F.greatest("low", "id").alias("b"))
-    links = cut(verified(stars))
+    # the text of a centre is sent once for each lot of the members that it is compared with
+    stars = cut(members.join(cut(centres), "band").where("id <> low").select("low", "id").distinct())
+    dealt = in_lots(stars.join(texts, "id"), "low").groupBy("low", "lot").agg(one.alias("members"))
+    centred = dealt.join(texts.select(F.col("id").alias("low"), F.col("t").alias("centre")), "low")
+    links = cut(centred.select("low", F.explode(alike("centre", "members")).alias("id")).select(F.least("low", "id").alias("a"), F.greatest("low", "id").alias("b")))
     roots = smallest_in_reach(links)
     held = cut(members.join(roots, "id", "left").select("band", "id", F.coalesce("root", "id").alias("root")))
     per = held.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"))
@@ -296,17 +307,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     open_ = cut(held.join(most, "band"))
     # blocks of at most about BLOCK members and CHARS characters; an outsider meets the blocks of its bucket
     # (buckets with one largest component are taken together: what shares several is compared once)
-    told = cut(open_.select("top", "id", "root").distinct()).join(texts, "id").withColumn("size", F.length("t"))
-    lots = cut(told.groupBy("top").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("size") / CHARS)).alias("lots")))
-    told = told.join(lots, "top").withColumn("lot", F.pmod(F.xxhash64("id"), F.col("lots")))
-    one = F.collect_list(F.struct("id", "root", "t"))
-    blocks = cut(told.groupBy("top", "lot").agg(one.alias("all")).select("top", "all", F.expr("filter(all, m -> m.root <> top)").alias("out")))
+    told = in_lots(cut(open_.select("top", "id", "root").distinct()).join(texts, "id"), "top")
+    blocks = cut(told.groupBy("top", "lot").agg(F.collect_list(F.struct("id", "root", "t")).alias("all")).select("top", "lot", "all", F.expr("filter(all, m -> m.root <> top)").alias("out")))
 
     @F.pandas_udf("array<struct<a:long,b:long>>")
     def linked(out: pd.Series, all_: pd.Series) -> pd.Series:
         return pd.Series([[{"a": a, "b": b} for a, b in block_links(list(x), list(y), threshold)] for x, y in zip(out, all_, strict=True)])
 
-    meets = blocks.where("size(out) > 0").select("top", "out").join(blocks.select("top", "all"), "top")
+    # the outsiders' blocks of a bucket are dealt over salts, so that their meetings with all its blocks are many tasks' work
+    outs = blocks.where("size(out) > 0").select("top", "lot", "out")
+    salts = outs.groupBy("top").agg(F.least(F.count(F.lit(1)), F.lit(SALTS)).alias("salts"))
+    outs = outs.join(salts, "top").select("top", F.pmod(F.xxhash64("lot"), F.col("salts")).alias("salt"), "out")
+    alls = blocks.join(salts, "top").select("top", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), "all")
+    meets = outs.join(alls, ["top", "salt"])
     more = cut(meets.select(F.explode(linked("out", "all")).alias("l")).select("l.a", "l.b").distinct())
     if more.limit(1).count():
         roots = smallest_in_reach(roots.select(F.col("root").alias("a"), F.col("id").alias("b")).union(more))
@@ -316,6 +329,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs with one document of each class: that with the smallest id. Of rows that repeat an id all stay."""
-    first = near_duplicates(docs, id_col, text_col, **options).where(F.col(id_col) == F.col("class_id")).select(F.col(id_col).alias("__first"))
-    return docs.join(first, F.col(id_col) == F.col("__first"), "left_semi")
+    """docs with one document of each class: that with the smallest id. Of rows that repeat an id all stay, and rows with a null id."""
+    first = near_duplicates(docs, id_col, text_col, **options).where(column(id_col) == F.col("class_id")).select(F.col("class_id").alias("first"))
+    rows = docs.select(column(id_col).alias("id"), whole_row(docs).alias("row"))
+    kept = rows.where("id IS NOT NULL").join(first, F.col("id") == F.col("first"), "left_semi")
+    return kept.unionByName(rows.where("id IS NULL")).select(*unpacked(docs.columns))
