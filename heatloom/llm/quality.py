@@ -4,18 +4,17 @@ Every line is normalised (stripped, A-Z in lower case) and hashed; distinct docu
 per host and line; lines above the limit are boilerplate and removed; a document of which too little
 is left is rejected. A line is above the limit if over `max_documents_pct` percent of the host's
 distinct documents hold it, and over `max_documents` in any case: from 2,000 documents (by default)
-a host's verdicts depend on shares alone. Copies of a text do not make its lines boilerplate: with `collapse="near"` (the
-queries) near copies, as minhash.near_duplicates finds them, count as one document, and all others one
-by one. (By shared boilerplate alone two texts are near copies only where under a fifth of each is its
-own, and such texts are rejected once those lines are gone.) With `collapse="longest"` documents of one host
-with the same longest line count as one. A document's host is any column (here its source).
+a host's verdicts depend on shares alone. Copies of a text do not make its lines boilerplate: near copies, as
+minhash.near_duplicates finds them, count as one document, and all others one by one. (By shared boilerplate alone two
+texts are near copies only where under a fifth of each is its own, and such texts are rejected once those lines are
+gone.) A document's host is any column (here its source).
 
 Per document there are also counts of words, symbols, repeated lines and words in repeated 5-word
 windows; a document fails the base rules if it has under `min_words` words or if over
 `max_repeat_pct` percent of its words stand in repeated windows.
 
-Defined results: a null text has no words and fails; a null host is a host of its own; rows that
-repeat a doc_id are judged one by one and count as one document at most in each line; other columns pass through.
+Defined results: a null text has no words and fails; a null host is a host of its own; rows that repeat a doc_id, and rows
+with a null one, are judged one by one, each by its own text; equal rows have one verdict; other columns pass through.
 """
 
 from __future__ import annotations
@@ -30,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import minhash
-from .common import SPACE, cut
+from .common import SPACE, column, cut, unpacked, whole_row
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SYMBOL = re.compile(r"[#*$%&|<>]")
@@ -71,7 +70,7 @@ def repeated_words(words: list[str]) -> int:
 
 
 def measure(text: str | None) -> tuple:
-    """The five counts, then hashes and word counts of the distinct lines that have a word, and the hash of the longest."""
+    """The five counts, then hashes and word counts of the distinct lines that have a word."""
     text = text or ""
     words = WORD.findall(text)
     seen: set[str] = set()
@@ -89,66 +88,70 @@ def measure(text: str | None) -> tuple:
         else:
             lines[key] = [len(WORD.findall(line)), 1]
     signed = lambda k: xxhash.xxh3_64_intdigest(k) - (1 << 63)
-    longest = signed(max(lines, key=lambda k: (len(k), k))) if lines else None
-    return len(words), sum(map(len, words)), len(SYMBOL.findall(text)), dup, repeated_words(words), [signed(k) for k in lines], [a * b for a, b in lines.values()], longest
+    return len(words), sum(map(len, words)), len(SYMBOL.findall(text)), dup, repeated_words(words), [signed(k) for k in lines], [a * b for a, b in lines.values()]
 
 
 def line_hash(line: str) -> int:
     return xxhash.xxh3_64_intdigest(line.strip(SPACE).encode("utf-8", "surrogatepass").lower()) - (1 << 63)
 
 
-def judge_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_words: int = 10, max_repeat_pct: int = 20, max_documents: int = 20, least_left_pct: int = 20, collapse: str = "longest", max_documents_pct: int = 1) -> DataFrame:
-    """Per row: id_col, the counts, base_failed, n_boilerplate_words (in lines above the limit),
-    boilerplate (their hashes) and kept."""
-    if collapse not in ("longest", "near"):
-        raise ValueError(f"collapse is 'longest' or 'near', not {collapse!r}")
+def row_key(id_col: str, text_col: str, host_col: str):
+    """One number for equal rows."""
+    id_, host = column(id_col), column(host_col)
+    return F.xxhash64(id_, F.isnull(id_), host, F.isnull(host), column(text_col))
+
+
+def verdicts(docs: DataFrame, id_col: str, text_col: str, host_col: str, min_words: int, max_repeat_pct: int, max_documents: int, least_left_pct: int, max_documents_pct: int) -> DataFrame:
+    """Per row: key, id, the counts, base_failed, n_boilerplate_words, boilerplate and kept."""
 
     def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found = [measure(t) for t in pdf["__text"]]
-            out = pd.DataFrame(found, columns=[*STATS, "hashes", "words", "signature"])
-            yield pd.concat([pdf[["__id", "__host", "__key"]], out.astype({"signature": "Int64"})], axis=1)
+            out = pd.DataFrame([measure(t) for t in pdf["text"]], columns=[*STATS, "hashes", "words"])
+            yield pd.concat([pdf[["key", "id", "host"]], out], axis=1)
 
     id_type, host_type = (docs.schema[c].dataType.simpleString() for c in (id_col, host_col))
-    schema = f"__id {id_type}, __host {host_type}, __key long, {', '.join(f'{c} long' for c in STATS)}, hashes array<long>, words array<long>, signature long"
-    base = docs.select(F.col(id_col).alias("__id"), F.col(host_col).alias("__host"), F.col(text_col).alias("__text"))
-    base = base.withColumn("__key", F.xxhash64("__id", F.isnull("__id"), "__host", F.isnull("__host"), "__text"))  # equal rows share one
-    found = cut(base.mapInPandas(measured, schema).withColumn("__row", F.monotonically_increasing_id()))
-    if collapse == "near":
-        classes = cut(minhash.near_duplicates(base, "__key", "__text").select(F.col("__key").alias("k1"), F.col("class_id").alias("document")))
-        counted = found.select("__key", "__host", "hashes").join(classes, F.col("__key") == F.col("k1"))
-    else:
-        counted = found.select("__host", "hashes", F.col("signature").alias("document"))
-    hosts = counted.where(F.size("hashes") > 0).groupBy("__host", "document").agg(F.lit(1).alias("one")).groupBy("__host").agg(F.count(F.lit(1)).alias("of")).withColumnRenamed("__host", "h1")
+    schema = f"key long, id {id_type}, host {host_type}, {', '.join(f'{c} long' for c in STATS)}, hashes array<long>, words array<long>"
+    base = docs.select(row_key(id_col, text_col, host_col).alias("key"), column(id_col).alias("id"), column(host_col).alias("host"), column(text_col).alias("text"))
+    found = cut(base.mapInPandas(measured, schema).withColumn("row", F.monotonically_increasing_id()))
+    classes = cut(minhash.near_duplicates(base, "key", "text").select(F.col("key").alias("k1"), F.col("class_id").alias("document")))
+    counted = found.select("key", "host", "hashes").join(classes, F.col("key") == F.col("k1"))
+    hosts = counted.where(F.size("hashes") > 0).groupBy("host", "document").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count(F.lit(1)).alias("of")).withColumnRenamed("host", "h1")
     common = (
-        counted.select("__host", "document", F.explode("hashes").alias("hashes"))
-        .groupBy("__host", "hashes", "document").agg(F.lit(1).alias("one"))
-        .groupBy("__host", "hashes").count().where(F.col("count") > max_documents)
-        .join(hosts, F.col("__host").eqNullSafe(F.col("h1"))).where(100 * F.col("count") > max_documents_pct * F.col("of"))
-        .select(F.col("__host").alias("h2"), F.col("hashes").alias("k2"))
+        counted.select("host", "document", F.explode("hashes").alias("hashes"))
+        .groupBy("host", "hashes", "document").agg(F.lit(1).alias("one"))
+        .groupBy("host", "hashes").count().where(F.col("count") > max_documents)
+        .join(hosts, F.col("host").eqNullSafe(F.col("h1"))).where(100 * F.col("count") > max_documents_pct * F.col("of"))
+        .select(F.col("host").alias("h2"), F.col("hashes").alias("k2"))
     )
-    lines = found.select("__row", "__host", F.explode(F.arrays_zip("hashes", "words")).alias("l")).select("__row", "__host", "l.hashes", "l.words")
-    gone = lines.join(common, F.col("__host").eqNullSafe(F.col("h2")) & (F.col("hashes") == F.col("k2"))).groupBy("__row").agg(F.sum("words").alias("gone"), F.collect_set("hashes").alias("boilerplate")).withColumnRenamed("__row", "r2")
-    all_ = found.drop("hashes", "words", "signature", "__host", "__key").join(gone, F.col("__row") == F.col("r2"), "left")
+    lines = found.select("row", "host", F.explode(F.arrays_zip("hashes", "words")).alias("l")).select("row", "host", "l.hashes", "l.words")
+    gone = lines.join(common, F.col("host").eqNullSafe(F.col("h2")) & (F.col("hashes") == F.col("k2"))).groupBy("row").agg(F.sum("words").alias("gone"), F.collect_set("hashes").alias("boilerplate")).withColumnRenamed("row", "r2")
+    all_ = found.drop("hashes", "words", "host").join(gone, F.col("row") == F.col("r2"), "left")
     lost = F.coalesce("gone", F.lit(0))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_pct * F.col("n_words"))
     left = F.col("n_words") - lost
     return all_.select(
-        F.col("__id").alias(id_col), *STATS, failed.alias("base_failed"), lost.cast("long").alias("n_boilerplate_words"), "boilerplate",
+        "key", "id", *STATS, failed.alias("base_failed"), lost.cast("long").alias("n_boilerplate_words"), "boilerplate",
         (~failed & (left >= min_words) & (100 * left >= least_left_pct * F.col("n_words"))).alias("kept"),
     )
 
 
-def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **rules) -> DataFrame:
-    """docs without the rejected documents, and without the lines above the limit in the others.
-    Rows that share an id stay if one of them is kept; rows with a null id are rejected."""
-    verdicts = cut(judge_documents(docs, id_col, text_col, host_col, **rules)).where("kept").groupBy(F.col(id_col).alias("__kept_id")).agg(F.array_distinct(F.flatten(F.collect_list("boilerplate"))).alias("__lines"))
+def judge_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_words: int = 10, max_repeat_pct: int = 20, max_documents: int = 20, least_left_pct: int = 20, max_documents_pct: int = 1) -> DataFrame:
+    """Per row: id_col, the counts, base_failed, n_boilerplate_words (in lines above the limit),
+    boilerplate (their hashes) and kept."""
+    found = verdicts(docs, id_col, text_col, host_col, min_words, max_repeat_pct, max_documents, least_left_pct, max_documents_pct)
+    return found.drop("key").withColumnRenamed("id", id_col)
+
+
+def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_words: int = 10, max_repeat_pct: int = 20, max_documents: int = 20, least_left_pct: int = 20, max_documents_pct: int = 1) -> DataFrame:
+    """docs without the rejected documents, and without the lines above the limit in the others."""
+    found = verdicts(docs, id_col, text_col, host_col, min_words, max_repeat_pct, max_documents, least_left_pct, max_documents_pct)
+    kept = cut(found).where("kept").groupBy("key").agg(F.first("boilerplate").alias("lines"))  # equal rows hold the same lines
 
     @F.pandas_udf("string")
     def without(text: pd.Series, lines: pd.Series) -> pd.Series:
         return pd.Series([None if t is None else "\n".join(x for x in t.split("\n") if line_hash(x) not in gone) for t, gone in zip(text, map(lambda g: set() if g is None else set(g), lines), strict=True)], dtype=object)
 
-    kept = docs.join(verdicts, F.col(id_col) == F.col("__kept_id"))
-    changed = F.size("__lines") > 0
-    kept = kept.withColumn("__new", without(F.when(changed, F.col(text_col)), F.when(changed, F.col("__lines"))))
-    return kept.select(*[F.when(changed, F.col("__new")).otherwise(F.col(c)).alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    rows = docs.select(row_key(id_col, text_col, host_col).alias("key"), whole_row(docs).alias("row")).join(kept, "key")
+    text, changed = F.col("row").getField(text_col), F.size("lines") > 0
+    rows = rows.withColumn("new", without(F.when(changed, text), F.when(changed, F.col("lines"))))
+    return rows.select(*unpacked(docs.columns, **{text_col: F.when(changed, F.col("new")).otherwise(text)}))
