@@ -26,12 +26,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import window as W
 
-from .common import cut
+from .common import column, cut, unpacked, whole_row
 
 WEIGHTS = (3, 1, 2)
 #: More distinct membership patterns than this do not fit the driver's flow network.
 MAX_PATTERNS = 100_000
-HASH_RANGES = 4096
+HASH_RANGE_BITS = 16
 
 
 def words(text):
@@ -114,11 +114,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     often the mix takes it) and taken = times * size. source_col: a string or an array of strings."""
     spark = docs.sparkSession
     many = isinstance(docs.schema[source_col].dataType, T.ArrayType)
-    source = F.col(source_col)
+    source = column(source_col)
     pattern = F.when(F.size(source) > 0, F.sort_array(F.array_distinct(source))).otherwise(F.array(F.lit(None).cast("string"))) if many else F.array(source.cast("string"))
-    lot = F.xxhash64(F.lit(seed), F.col(id_col).cast("string"))
-    rows = docs.select(F.col(id_col).alias("__id"), pattern.alias("pattern"), words(F.col(text_col)).alias("size"), lot.alias("lot"))
-    rows = cut(rows.withColumn("range", F.shiftrightunsigned("lot", 52).cast("int")))  # the hash in order, as an unsigned number
+    lot = F.xxhash64(F.lit(seed), column(id_col).cast("string"))
+    rows = docs.select(column(id_col).alias("__id"), pattern.alias("pattern"), words(column(text_col)).alias("size"), lot.alias("lot"))
+    rows = cut(rows.withColumn("range", F.shiftrightunsigned("lot", 64 - HASH_RANGE_BITS).cast("int")))  # the hash in order, as an unsigned number
 
     held = rows.groupBy("pattern").agg(F.sum("size").alias("size")).limit(MAX_PATTERNS + 1).collect()
     if len(held) > MAX_PATTERNS:
@@ -130,15 +130,16 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
             sizes[s] = sizes.get(s, 0) + n
     targets = share_out(sizes, weights, share, max_passes)
     flow = route(patterns, targets, max_passes)
-    plan = [(list(p), *(divmod(round(sum(flow[p].values())), n) if n else (0, 0)), sizes[p[0]], float(targets[p[0]])) for p, n in patterns.items()]
-    plan = spark.createDataFrame(plan, "pattern array<string>, passes long, rest long, source_size long, target double")
-    plan = plan.withColumn("of", F.xxhash64("pattern"))
+    plan = [(i, list(p), *(divmod(round(sum(flow[p].values())), n) if n else (0, 0)), sizes[p[0]], float(targets[p[0]])) for i, (p, n) in enumerate(patterns.items())]
+    plan = spark.createDataFrame(plan, "of int, pattern array<string>, passes long, rest long, source_size long, target double")
+    plan = plan.withColumn("key", F.to_json("pattern"))  # tells nulls and all names apart
 
-    # the partial pass: sums by range of the hash, running over at most HASH_RANGES ranges of each pattern
-    rows = rows.withColumn("of", F.xxhash64("pattern"))
+    # the partial pass: sums by range of the hash, running over at most 2^HASH_RANGE_BITS ranges of each pattern
+    rows = rows.withColumn("key", F.to_json("pattern")).join(F.broadcast(plan.select("key", "of")), "key").drop("key", "pattern")
+    plan = plan.drop("key", "pattern")
     sums = rows.groupBy("of", "range").agg(F.sum("size").alias("words"))
     before = F.sum("words").over(W.Window.partitionBy("of").orderBy("range").rowsBetween(W.Window.unboundedPreceding, -1))
-    ranges = sums.withColumn("before", F.coalesce(before, F.lit(0))).join(F.broadcast(plan.drop("pattern")), "of")
+    ranges = sums.withColumn("before", F.coalesce(before, F.lit(0))).join(F.broadcast(plan), "of")
     ranges = ranges.withColumn("whole", F.col("before") + F.col("words") <= F.col("rest"))
     last = ranges.where("not whole and before < rest").select("of", "range", "before", "rest")
     inner = rows.join(last, ["of", "range"])
@@ -146,7 +147,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     # a document is taken once more if that brings the sum nearer to what is wanted
     inner = inner.withColumn("more", (2 * (F.col("before") + run) - F.col("size") <= 2 * F.col("rest")).cast("long"))
     outer = rows.join(ranges.where("whole or before >= rest").select("of", "range", F.col("whole").cast("long").alias("more")), ["of", "range"])
-    chosen = inner.select("__id", "of", "size", "more").unionByName(outer.select("__id", "of", "size", "more")).join(F.broadcast(plan.drop("pattern")), "of")
+    chosen = inner.select("__id", "of", "size", "more").unionByName(outer.select("__id", "of", "size", "more")).join(F.broadcast(plan), "of")
     times = F.when(F.col("size") > 0, F.least(F.col("passes") + F.col("more"), F.lit(max_passes))).otherwise(0)
     return chosen.select(F.col("__id").alias(id_col), "size", "source_size", "target", times.cast("long").alias("times"), (times * F.col("size")).cast("long").alias("taken"))
 
@@ -154,6 +155,6 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 def apply_mix(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """docs with each document as often as the mix takes it: copies are rows with the same id. Rows that
     share an id are each taken as often as the one taken most."""
-    times = mix(docs, id_col, **options).where("times > 0").groupBy(F.col(id_col).alias("__mix_id")).agg(F.max("times").alias("__times"))
-    out = docs.join(times, F.col(id_col).eqNullSafe(F.col("__mix_id")))
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*[F.col(c) for c in docs.columns])
+    times = mix(docs, id_col, **options).where("times > 0").groupBy(column(id_col).alias("mixed")).agg(F.max("times").alias("times"))
+    rows = docs.select(column(id_col).alias("id"), whole_row(docs).alias("row")).join(times, F.col("id").eqNullSafe(F.col("mixed")))
+    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*unpacked(docs.columns))
