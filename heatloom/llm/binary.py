@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .common import cut, slices
+from .common import column, cut, slices
 from .tokens import Encoder
 
 CHECKPOINT = 128
@@ -157,7 +157,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id"
             yield flush()
 
     ordered = (
-        docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
+        docs.select(column(id_col).alias("__id"), column(text_col).alias("__text"))
         .repartitionByRange(shards, "__id", F.xxhash64("__text")).sortWithinPartitions("__id", F.xxhash64("__text"))
     )
     blocks = cut(ordered.mapInPandas(lay_out, f"shard int, block int, doc_ids array<{id_type}>, lengths array<long>, ids binary"))

@@ -57,17 +57,32 @@ def sha(x):
     return hashlib.sha256(x).hexdigest()
 
 
+def near_classes(texts):
+    """The smallest id of each text's class, by comparing all texts."""
+    root = {i: i for i in texts}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    known = sorted(i for i, t in texts.items() if minhash.words_of(t))
+    for n, a in enumerate(known):
+        for b in known[n + 1 :]:
+            if find(a) != find(b) and minhash.similarity(texts[a], texts[b]) >= 0.8:
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {i: find(i) for i in texts}
+
+
 def test_quality_counts_and_verdicts(docs, rows, none):
     got = {r["doc_id"]: r for r in quality.judge_documents(docs, max_documents=3).collect()}
     word = re.compile(r"[^\x20\x09-\x0D]+")
     keys = lambda t: {x.strip(" \t\n\x0b\x0c\r").encode().lower(): x for x in (t or "").split("\n") if word.search(x)}
-    held = {}
+    classes, held = near_classes({i: t for i, t, *_ in rows}), {}
     for i, t, source, *_ in rows:
-        own = keys(t)
-        if own:
-            longest = max(own, key=lambda k: (len(k), k))
-            for k in own:
-                held.setdefault((source, k), set()).add(longest)
+        for k in keys(t):
+            held.setdefault((source, k), set()).add(classes[i])
     for i, t, source, *_ in rows:
         t = t or ""
         w = word.findall(t)
@@ -292,6 +307,18 @@ def test_html_field_on_held_out_pages(spark):
     assert html.extract(pages.limit(0)).collect() == []
 
 
+def test_html_takes_any_depth():
+    import time
+
+    field = html.fitted()
+    deep = ["<div>" * 100_000 + "x", "".join(f'<div class="c{i} menu">' for i in range(100_000)) + "x", "<div>" * 50_000 + "<td>x" * 50_000, "<span>" * 50_000 + "<li>x" * 50_000]
+    for page in deep:
+        began = time.time()
+        html.main_text(page, field)
+        assert time.time() - began < 30
+    assert len(html.leaf_blocks(deep[2])) == 50_000
+
+
 @pytest.mark.parametrize("before,inner", [
     ("<html><head><title>T</title><meta charset=x><style>p{}</style><noscript><p>n</noscript>", ""),
     ("<head><title>T</title><img src=x>", ""),
@@ -413,6 +440,36 @@ def test_flow_is_cheapest():
     assert all(sum(f.values()) <= n + 1e-6 for f, n in zip((flow[("a",)], flow[("a", "b")], flow[("b",)]), (10, 10, 2)))
 
 
+def test_flow_against_all_flows():
+    from itertools import product
+
+    rng = random.Random(11)
+    for _ in range(60):
+        patterns = {p: rng.randint(0, 3) for p in [("a",), ("a", "b"), ("b",), ("b", "c")][: rng.randint(1, 4)]}
+        targets = {s: rng.randint(0, 7) for s in sorted({s for p in patterns for s in p})}
+        best = None
+        ways = [[f for f in product(range(2 * n + 1), repeat=len(p)) if sum(f) <= 2 * n] for p, n in patterns.items()]
+        for choice in product(*ways):
+            into = Counter()
+            for p, f in zip(patterns, choice):
+                for s, x in zip(p, f):
+                    into[s] += x
+            if all(into[s] <= targets[s] for s in targets):
+                # the first pass is free, each word of the second costs one
+                value = (-sum(into.values()), sum(max(0, sum(f) - n) for n, f in zip(patterns.values(), choice)))
+                best = min(best, value) if best else value
+        flow = mixing.route(patterns, targets, 2)
+        total = sum(sum(f.values()) for f in flow.values())
+        cost = sum(max(0.0, sum(flow[p].values()) - n) for p, n in patterns.items())
+        assert (-total, cost) == pytest.approx(best), (patterns, targets)
+
+
+def test_sets_with_nulls_are_told_apart(spark):
+    rows = [(i, "w w w", [None, "a"] if i % 2 else ["a"]) for i in range(40)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source array<string>")).collect()
+    assert sorted(r.doc_id for r in got) == list(range(40))
+
+
 def test_mixing_of_overlapping_sources(spark):
     rows = [(i, "w " * (i % 7), (["a"], ["a", "b"], ["b", "c"], [], None)[i % 5]) for i in range(200)]
     got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source array<string>")).collect()
@@ -437,6 +494,103 @@ def test_top_k(spark):
     assert topk.top_k(vectors.limit(0), F.col("vec_id") % 20 == 0).collect() == []
 
 
+ODD = ["row", "key", "id", "lines", "h", "t", "found", "copy", "times", "lot", "at", "masks", "kept.x", "__lines", "__drops", "__spans", "__times", "__first", "__id", "__text", "slice", "kind", "mixed", "band"]
+
+
+def odd(spark, rows):
+    """Columns with dots, spaces and the names that operators use themselves; null ids, and ids with two texts."""
+    names = ["doc.id", "the text", "so.urce", *ODD]
+    rows = [(i, t, s, *[f"{n}-{k}" for n in ODD]) for k, (i, t, s) in enumerate(rows)]
+    return spark.createDataFrame(rows, ", ".join(f"`{n}` {'long' if n == 'doc.id' else 'string'}" for n in names)), dict(id_col="doc.id", text_col="the text")
+
+
+def test_odd_names_null_and_repeated_ids(spark):
+    rng = random.Random(12)
+    long = own_words(rng, 60)
+    rows = [(1, long + " a b", "x"), (1, long + " c d", "x"), (2, long + " a b", "y"), (None, long + " a b", None), (None, own_words(rng, 30), "x"), (3, None, "x"), (4, "", "y"), (5, own_words(rng, 40) + "\n" + long, "x"), (5, own_words(rng, 40) + "\n" + long, "x")]
+    docs, cols = odd(spark, rows)
+    texts = Counter(t for _, t, _ in rows)
+    kept = quality.apply_rules(docs, host_col="so.urce", **cols)
+    assert kept.columns == docs.columns and Counter(r["the text"] for r in kept.collect()) == Counter({t: n for t, n in texts.items() if t})
+    assert quality.judge_documents(docs, host_col="so.urce", **cols).where("kept").count() == 7
+    out = lines.dedup_lines(docs, **cols)
+    assert out.columns == [*docs.columns, "n_lines", "n_dropped"]
+    got = {r.row: (r["the text"], r.n_dropped) for r in out.collect()}
+    assert [got[f"row-{k}"][1] for k in range(9)] == [0, 0, 1, 0, 0, 0, 0, 0, 0]
+    near = {r["doc.id"]: r.class_id for r in minhash.near_duplicates(docs, **cols).collect()}
+    assert near == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5}
+    first = minhash.keep_first(docs, **cols)
+    assert first.columns == docs.columns and Counter(r["doc.id"] for r in first.collect()) == {1: 2, None: 2, 3: 1, 4: 1, 5: 2}
+    out = suffix.remove_repeats(docs, **cols)
+    assert out.columns == [*docs.columns, "kept", "n_bytes", "n_removed", "spans"]
+    got = {r.row: (bytes(r.kept), r.n_removed) for r in out.collect()}
+    assert [got[f"row-{k}"][1] > 0 for k in range(9)] == [False, False, True, False, False, False, False, True, True]
+    assert got["row-2"][0] == b"" and got["row-0"][0].decode() == rows[0][1]
+    mixed = mixing.apply_mix(docs, source_col="so.urce", **cols)
+    assert mixed.columns == docs.columns and all(r["the text"] for r in mixed.collect())
+    assert mixing.mix(docs, source_col="so.urce", **cols).count() == 9
+    pieces = packing.pack(docs, tokenizer_path(), **cols)
+    assert pieces.columns[0] == "doc.id" and pieces.count() == 9
+    binary.write_ids(docs, f"{spark.conf.get('spark.checkpoint.dir')}/odd-ids", tokenizer_path(), **cols)
+    back = binary.read_ids(spark, f"{spark.conf.get('spark.checkpoint.dir')}/odd-ids")
+    assert sorted((r.doc_id or 0, r.n_tokens) for r in back.collect()) == sorted((i or 0, len(encoded(t)) + 1) for i, t, _ in rows)
+    pages = docs.withColumn("ur.l", F.lit("http://example.org/es/1")).withColumn("html", F.lit("<article><h1>A title here</h1><p>Some text, it is long enough. Yes.</article>"))
+    judged = urls.judge_urls(pages, spark.createDataFrame(RULES, "host string, path string, verdict string"), url_col="ur.l")
+    assert judged.columns == [*pages.columns, "host", "path", "rule", "verdict"] and {r.verdict for r in judged.collect()} == {"block"}
+    assert html.extract(pages).columns == [*[c for c in pages.columns if c != "html"], "text", "n_chars"] and html.extract(pages).where("n_chars > 0").count() == 9
+
+
+def test_ids_that_are_no_numbers_are_an_error(spark):
+    docs = spark.createDataFrame([("a", "x")], "doc_id string, text string")
+    for call in (minhash.near_duplicates, suffix.remove_repeats):
+        with pytest.raises(TypeError, match="doc_id"):
+            call(docs)
+
+
+def test_very_long_texts(spark, tmp_path):
+    rng = random.Random(13)
+    words = [f"w{i}" for i in range(5000)]
+    line = " ".join(rng.choices(words, k=100_000))
+    huge = "\n".join([line, *(" ".join(rng.choices(words, k=12)) for _ in range(40_000))])  # some 3.3 MB
+    rows = [(1, huge, "a"), (2, huge + " end", "a"), (3, line, "b"), (4, "short text of some words that nobody else has at all", "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(2).cache()
+    assert {r.doc_id for r in quality.apply_rules(docs).collect()} == {1, 2, 3, 4}
+    assert {r.doc_id: r.n_dropped for r in lines.dedup_lines(docs).collect()} == {1: 0, 2: 40_000, 3: 1, 4: 0}
+    assert {r.doc_id: r.class_id for r in minhash.near_duplicates(docs).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
+    got = {r.doc_id: r.kept for r in suffix.remove_repeats(docs).collect()}
+    assert bytes(got[1]).decode() == huge and bytes(got[2]) == b" end" and bytes(got[3]) == b""
+    packed = packing.pack(docs, tokenizer_path()).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
+    sizes = {i: len(encoded(t)) + 1 for i, t, _ in rows}
+    assert {r.doc_id: r.n for r in packed} == sizes
+    binary.write_ids(docs, str(tmp_path / "long"), tokenizer_path())
+    assert {r.doc_id: r.n_tokens for r in binary.read_ids(spark, str(tmp_path / "long")).collect()} == sizes
+    assert sum(r.taken for r in mixing.mix(docs).collect()) > 0
+
+
+def test_pack_chooses_the_least_sum_of_squares():
+    rng = np.random.default_rng(14)
+    for _ in range(30):
+        lengths, capacity = rng.integers(1, 30, rng.integers(1, 40)), 30
+        bins, offsets = packing.sum_of_squares(lengths, capacity)
+        gaps: dict[int, int] = {}  # bin -> gap
+        for i in np.argsort(-lengths, kind="stable"):
+            s, open_ = int(lengths[i]), [g for g in gaps.values() if 0 < g < capacity]
+            tried = {}
+            for g in sorted({g for g in open_ if g >= s}):
+                left = Counter(open_)
+                left[g] -= 1
+                if g > s:
+                    left[g - s] += 1
+                tried[g] = sum(n * n for n in left.values())
+            b = int(bins[i])
+            if tried:
+                assert tried[gaps[b]] == min(tried.values()) and gaps[b] == min(g for g, v in tried.items() if v == min(tried.values()))
+            else:
+                assert b not in gaps
+            assert offsets[i] == capacity - gaps.get(b, capacity)
+            gaps[b] = gaps.get(b, capacity) - s
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
@@ -448,3 +602,110 @@ def test_pipeline(spark):
         assert docs.columns == names
     assert docs.count() > 0
     assert corpus_pipeline.run(spark, sf).count() > 0
+
+
+def test_pipeline_against_brute_force(spark, rows, tmp_path):
+    """Each stage on its own input, with nulls, empty texts, copies and repeated ids; then the whole."""
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rng = random.Random(15)
+    made = [(i, t, "en", s, 7) for i, t, s, *_ in rows] + [(i + 1000, own_words(rng, 25) + ("\nthe same notice in all" if i < 30 else ""), None, "big", None) for i in range(45)]
+    made += [(None, own_words(rng, 20), "en", "a", 1), (2000, own_words(rng, 20), "en", "a", 1), (2000, own_words(rng, 20), "en", "a", 1)]
+    spark.createDataFrame(made, schema).repartition(4).write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    word = re.compile(r"[^\x20\x09-\x0D]+")
+    key = lambda x: x.strip(" \t\n\x0b\x0c\r").encode().lower()
+
+    # quality rules
+    quality_ = corpus_pipeline.quality_rules(spark, docs, str(tmp_path))
+    classes = near_classes(dict(enumerate(t for _, t, *_ in made)))
+    held, hosts = {}, {}
+    for k, (_, t, _, s, _) in enumerate(made):
+        own = {key(x) for x in (t or "").split("\n") if word.search(x)}
+        if own:
+            hosts.setdefault(s, set()).add(classes[k])
+        for x in own:
+            held.setdefault((s, x), set()).add(classes[k])
+    common = {k for k, d in held.items() if len(d) > 20 and 100 * len(d) > len(hosts[k[0]])}
+    assert ("big", b"the same notice in all") in common
+    want = []
+    for i, t, lang, s, n in made:
+        w = word.findall(t or "")
+        windows = Counter(tuple(w[j : j + 5]) for j in range(len(w) - 4))
+        cover = {j + k for j in range(len(w) - 4) if windows[tuple(w[j : j + 5])] > 1 for k in range(5)}
+        lines_ = (t or "").split("\n")
+        left = [x for x in lines_ if (s, key(x)) not in common]
+        n_left = sum(len(word.findall(x)) for x in left)
+        if len(w) >= 10 and 100 * len(cover) <= 20 * len(w) and n_left >= 10 and 100 * n_left >= 20 * len(w):
+            want.append((i, "\n".join(left), lang, s, n))
+    order = lambda rows: sorted(map(tuple, rows), key=repr)
+    assert order(quality_.collect()) == order(want)
+
+    # line dedup, in the rows' order of ids; rows with one id are one document
+    deduped = corpus_pipeline.line_dedup(spark, quality_, str(tmp_path))
+    first = {}
+    for i, t, *_ in want:
+        for x in t.split("\n"):
+            if i is not None and len(x.strip(" \t\n\x0b\x0c\r")) >= 10:
+                first.setdefault(key(x), set()).add(i)
+    want = [(i, "\n".join(x for x in t.split("\n") if i is None or len(first.get(key(x), ())) < 2 or i == min(first[key(x)])), *rest) for i, t, *rest in want]
+    assert order(deduped.collect()) == order(want)
+
+    # near dedup: one document of each class stays, rows without an id stay
+    near = corpus_pipeline.near_dedup(spark, deduped, str(tmp_path))
+    with_id = {i: t for i, t, *_ in want if i is not None and i != 2000}
+    roots = near_classes(with_id)
+    want = [r for r in want if r[0] is None or r[0] == 2000 or roots[r[0]] == r[0]]
+    assert order(near.collect()) == order(want)
+
+    # mixing: whole passes by the flow, never over two, words near the targets
+    mixed = corpus_pipeline.mix_sources(spark, near, str(tmp_path)).collect()
+    copies, sizes = Counter(map(tuple, mixed)), Counter()
+    for r in want:
+        sizes[r[3]] += len(word.findall(r[1]))
+    assert set(copies) <= set(want) and max(copies.values()) <= 2
+    targets = mixing.share_out(dict(sizes))
+    for s, target in targets.items():
+        taken = sum(n * len(word.findall(r[1])) for r, n in copies.items() if r[3] == s)
+        assert abs(taken - target) <= max(len(word.findall(r[1])) for r in want if r[3] == s)
+
+    # packing and the whole
+    run = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sum(r.length for r in run) == sum(n * (len(encoded(r[1])) + 1) for r, n in copies.items())
+    assert Counter(r.doc_id for r in run if r.piece == 0) == Counter(i for (i, *_), n in copies.items() for _ in range(n))
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+@pytest.mark.parametrize("tile,queries,candidates,seeds", [(7, 16, 32, 1), (1024, 65_536, 4096, 8_000_000), (5, 9, 20, 2000)])
+def test_top_k_in_small_blocks_and_its_work(spark, monkeypatch, tile, queries, candidates, seeds):
+    for name, value in (("TILE", tile), ("QUERIES", queries), ("CANDIDATES", candidates), ("SEED_BYTES", seeds)):
+        monkeypatch.setattr(topk, name, value)
+    rng = np.random.default_rng(5)
+    turn = np.linalg.qr(rng.normal(size=(16, 16)))[0]
+    x = rng.normal(size=(600, 16)) * (0.6 ** np.arange(16)) @ turn * rng.choice([0.2, 1, 2], size=(600, 1))
+    x[590:] = x[3]  # ties
+    vectors = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id int, embedding array<double>").repartition(4)
+    whole = np.floor(64 * x)
+    got = {}
+    for r in topk.top_k(vectors, F.col("vec_id") % 20 == 0, k=8).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    assert set(got) == set(range(0, 600, 20))
+    for q, found in got.items():
+        want = sorted((-int(whole[q] @ whole[i]), i) for i in range(600) if i != q)[:8]
+        assert sorted(found) == [(k + 1, i, -s) for k, (s, i) in enumerate(want)]
+    met = topk.work(vectors, F.col("vec_id") % 20 == 0, k=8)
+    assert met[0] <= 30 * 600 and all(a >= b for a, b in zip(met, met[1:]))
+    if seeds > 100:
+        assert met[-1] < 0.5 * met[0]
+
+
+def test_top_k_ids_are_whole_numbers(spark):
+    with pytest.raises(TypeError, match="vec_id"):
+        topk.top_k(spark.createDataFrame([("a", [1.0])], "vec_id string, embedding array<double>"), F.lit(True))
