@@ -114,17 +114,20 @@ def verdicts(docs: DataFrame, id_col: str, text_col: str, host_col: str, min_wor
     base = docs.select(row_key(id_col, text_col, host_col).alias("key"), column(id_col).alias("id"), column(host_col).alias("host"), column(text_col).alias("text"))
     found = cut(base.mapInPandas(measured, schema).withColumn("row", F.monotonically_increasing_id()))
     classes = cut(minhash.near_duplicates(base, "key", "text").select(F.col("key").alias("k1"), F.col("class_id").alias("document")))
-    counted = found.select("key", "host", "hashes").join(classes, F.col("key") == F.col("k1"))
-    hosts = counted.where(F.size("hashes") > 0).groupBy("host", "document").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count(F.lit(1)).alias("of")).withColumnRenamed("host", "h1")
+    same_line = lambda h, k: F.col("host").eqNullSafe(F.col(h)) & (F.col("hash") == F.col(k))
+    lines = found.select("row", "key", "host", F.explode(F.arrays_zip(F.col("hashes").alias("hash"), "words")).alias("l")).select("row", "key", "host", "l.hash", "l.words")
+    # only lines that so many rows hold can be above the limit: classes are looked up for these alone
+    often = lines.groupBy("host", "hash").count().where(F.col("count") > max_documents).select(F.col("host").alias("h1"), F.col("hash").alias("k1"))
+    near = cut(lines.join(often, same_line("h1", "k1"), "left_semi"))
+    of = classes.withColumnRenamed("k1", "key")
+    hosts = found.where(F.size("hashes") > 0).select("key", "host").join(of, "key").groupBy("host", "document").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count(F.lit(1)).alias("of")).withColumnRenamed("host", "h1")
     common = (
-        counted.select("host", "document", F.explode("hashes").alias("hashes"))
-        .groupBy("host", "hashes", "document").agg(F.lit(1).alias("one"))
-        .groupBy("host", "hashes").count().where(F.col("count") > max_documents)
+        near.select("key", "host", "hash").join(of, "key").groupBy("host", "hash", "document").agg(F.lit(1).alias("one"))
+        .groupBy("host", "hash").count().where(F.col("count") > max_documents)
         .join(hosts, F.col("host").eqNullSafe(F.col("h1"))).where(100 * F.col("count") > max_documents_pct * F.col("of"))
-        .select(F.col("host").alias("h2"), F.col("hashes").alias("k2"))
+        .select(F.col("host").alias("h2"), F.col("hash").alias("k2"))
     )
-    lines = found.select("row", "host", F.explode(F.arrays_zip("hashes", "words")).alias("l")).select("row", "host", "l.hashes", "l.words")
-    gone = lines.join(common, F.col("host").eqNullSafe(F.col("h2")) & (F.col("hashes") == F.col("k2"))).groupBy("row").agg(F.sum("words").alias("gone"), F.collect_set("hashes").alias("boilerplate")).withColumnRenamed("row", "r2")
+    gone = near.join(common, same_line("h2", "k2")).groupBy("row").agg(F.sum("words").alias("gone"), F.collect_set("hash").alias("boilerplate")).withColumnRenamed("row", "r2")
     all_ = found.drop("hashes", "words", "host").join(gone, F.col("row") == F.col("r2"), "left")
     lost = F.coalesce("gone", F.lit(0))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_pct * F.col("n_words"))
