@@ -96,7 +96,7 @@ def twice_seen_filter(docs: DataFrame, min_chars: int, segments: int) -> np.ndar
             yield result()
 
     packed = docs.mapInPandas(hashed, "segment int, hashes binary, many binary")
-    filled = packed.repartition("segment").sortWithinPartitions("segment").mapInPandas(fill, "segment int, twice binary")
+    filled = packed.repartition(segments, "segment").sortWithinPartitions("segment").mapInPandas(fill, "segment int, twice binary")
     bits = np.zeros((segments, SEGMENT_BITS // 8), np.uint8)
     for row in filled.toLocalIterator():  # at most MAX_FILTER_BITS in all
         bits[row["segment"]] = np.frombuffer(zlib.decompress(row["twice"]), np.uint8)
@@ -107,8 +107,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """docs with repeated lines dropped from text_col, and the columns n_lines (before dropping)
     and n_dropped. A null text that loses nothing stays null."""
     spark = docs.sparkSession
-    rows = docs.select(column(id_col).alias("__id"), column(text_col).alias("__text"), whole_row(docs).alias("row"))
-    known = rows.select("__id", "__text").where("__id is not null and __text is not null")
+    rows = docs.select(column(id_col).alias("__id"), whole_row(docs).alias("row"))
+    known = docs.select(column(id_col).alias("__id"), column(text_col).alias("__text")).where("__id is not null and __text is not null")
     n_lines = F.length("__text") - F.length(F.replace("__text", F.lit("\n"))) + 1
     total = known.agg(F.sum(n_lines)).first()[0] or 0
     bits = min(MAX_FILTER_BITS, max(SEGMENT_BITS, 1 << (bits_per_line * total - 1).bit_length() if total else 0))
@@ -145,7 +145,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             rows.append(("\n".join(kept), len(lines) - len(kept)))
         return pd.DataFrame(rows, columns=["text", "dropped"])
 
-    text, gone = F.col("__text"), F.col("__drops").isNotNull()
+    text, gone = F.col("row").getField(text_col), F.col("__drops").isNotNull()
     out = rows.join(drops, F.col("__id") == F.col("__drop_id"), "left").withColumn("__new", without(F.when(gone, text), F.col("__drops")))
     count = F.length(text) - F.length(F.replace(text, F.lit("\n"))) + 1
     return out.select(
