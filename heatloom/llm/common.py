@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Bytes that separate words and are stripped from line ends: [\x20\x09-\x0D].
 SPACE = " \t\n\x0b\x0c\r"
+RELEASE_SECONDS = 5.0
+_released = 0.0
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,9 +74,13 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished jobs now: it does so when the driver's garbage is collected."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Let Spark delete the shuffle files of finished jobs now: it does so when the driver's garbage is collected.
+    At most once in RELEASE_SECONDS, as a collection stops the driver."""
+    global _released
+    if time.monotonic() - _released >= RELEASE_SECONDS:
+        gc.collect()
+        spark._jvm.System.gc()
+        _released = time.monotonic()
 
 
 def slices(sizes, most: int):
