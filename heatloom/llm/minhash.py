@@ -225,7 +225,7 @@ def smallest_in_reach(links: DataFrame) -> DataFrame:
 
 
 def texts_of(base: DataFrame, ids: DataFrame) -> DataFrame:
-    """One row of base (id, t, th) for each of ids (id, th). A Bloom filter of the ids, 64 MB at most, keeps most other
+    """One row (id, t) of base (id, t, th) for each of ids (id); of several that of the smallest th. A Bloom filter of the ids, 64 MB at most, keeps most other
     texts out of the shuffle; the join after it is exact, so a full filter only costs time."""
     bits = min(MAX_FILTER_BITS, max(SEGMENT_BITS, 1 << (12 * ids.count()).bit_length()))
     segments = bits // SEGMENT_BITS  # a power of two
@@ -250,7 +250,7 @@ def texts_of(base: DataFrame, ids: DataFrame) -> DataFrame:
     def held(h: pd.Series) -> pd.Series:
         return pd.Series(has_bits(sent.value, bit_places(h.to_numpy(), segments)))
 
-    return cut(base.where(held(F.xxhash64("id"))).join(ids, ["id", "th"], "left_semi").dropDuplicates(["id"]).drop("th"))
+    return cut(base.where(held(F.xxhash64("id"))).join(ids, "id", "left_semi").groupBy("id").agg(F.min(F.struct("th", "t")).alias("x")).select("id", "x.t"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -275,14 +275,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     twice = drawn.groupBy("id").agg(F.count(F.lit(1)).alias("rows"), F.min("th").alias("low")).where("rows > 1").select(F.col("id").alias("i2"), "low")
     drawn = drawn.join(twice, F.col("id") == F.col("i2"), "left").where("i2 IS NULL OR th = low").drop("i2", "low")
     copies = cut(drawn.where("digest is not null").groupBy("digest").agg(F.min("id").alias("text_id"), F.count(F.lit(1)).alias("n")))
-    unique = drawn.where("digest is not null").join(copies, "digest").where("id = text_id").select("id", "th", F.explode("bands").alias("band"))
+    unique = drawn.where("digest is not null").join(copies, "digest").where("id = text_id").select("id", F.explode("bands").alias("band"))
     shared = unique.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     met = cut(unique.join(shared, "band"))
     popular = met.groupBy("id").agg(F.sum("n").alias("met"))
-    members = cut(met.join(popular, "id").select("band", "id", "th", "met"))
+    members = cut(met.join(popular, "id").select("band", "id", "met"))
     centres = members.groupBy("band").agg(F.max(F.struct("met", (-F.col("id")).alias("minus"))).alias("top")).select("band", (-F.col("top.minus")).alias("low"))
 
-    texts = texts_of(base, cut(members.select("id", "th").distinct()))
+    texts = texts_of(base, cut(members.select("id").distinct()))
 
     one = F.collect_list(F.struct("id", "t"))
 
