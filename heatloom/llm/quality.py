@@ -4,10 +4,11 @@ Every line is normalised (stripped, A-Z in lower case) and hashed; distinct docu
 per host and line; lines above the limit are boilerplate and removed; a document of which too little
 is left is rejected. A line is above the limit if over `max_documents_pct` percent of the host's
 distinct documents hold it, and over `max_documents` in any case: from 2,000 documents (by default)
-a host's verdicts depend on shares alone. Copies of a text do not make its lines boilerplate: near copies, as
-minhash.near_duplicates finds them, count as one document, and all others one by one. (By shared boilerplate alone two
-texts are near copies only where under a fifth of each is its own, and such texts are rejected once those lines are
-gone.) A document's host is any column (here its source).
+a host's verdicts depend on shares alone. Exact copies (the same normalised lines in the same order) count once everywhere.
+Near copies do not make their lines boilerplate either: the documents that hold a line above the limit are compared with each
+other, and near copies among them, as minhash.near_duplicates finds them, count as one when the line is judged again.
+(By shared boilerplate alone two texts are near copies only where under a fifth of each is its own, and such texts are
+rejected once those lines are gone.) A document's host is any column (here its source).
 
 Per document there are also counts of words, symbols, repeated lines and words in repeated 5-word
 windows; a document fails the base rules if it has under `min_words` words or if over
@@ -70,12 +71,12 @@ def repeated_words(words: list[str]) -> int:
 
 
 def measure(text: str | None) -> tuple:
-    """The five counts, then hashes and word counts of the distinct lines that have a word."""
+    """The five counts, then hashes and word counts of the distinct lines that have a word, and the digest of all these lines."""
     text = text or ""
     words = WORD.findall(text)
     seen: set[str] = set()
     lines: dict[str, list[int]] = {}
-    dup = 0
+    dup, whole = 0, xxhash.xxh3_64()
     for line in text.split("\n"):
         key = line.strip(SPACE)
         if not key:
@@ -83,12 +84,13 @@ def measure(text: str | None) -> tuple:
         dup += line in seen
         seen.add(line)
         key = key.encode("utf-8", "surrogatepass").lower()
+        whole.update(key + b"\n")
         if key in lines:
             lines[key][1] += 1
         else:
             lines[key] = [len(WORD.findall(line)), 1]
     signed = lambda k: xxhash.xxh3_64_intdigest(k) - (1 << 63)
-    return len(words), sum(map(len, words)), len(SYMBOL.findall(text)), dup, repeated_words(words), [signed(k) for k in lines], [a * b for a, b in lines.values()]
+    return len(words), sum(map(len, words)), len(SYMBOL.findall(text)), dup, repeated_words(words), [signed(k) for k in lines], [a * b for a, b in lines.values()], whole.intdigest() - (1 << 63)
 
 
 def line_hash(line: str) -> int:
@@ -106,29 +108,29 @@ def verdicts(docs: DataFrame, id_col: str, text_col: str, host_col: str, min_wor
 
     def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = pd.DataFrame([measure(t) for t in pdf["text"]], columns=[*STATS, "hashes", "words"])
+            out = pd.DataFrame([measure(t) for t in pdf["text"]], columns=[*STATS, "hashes", "words", "digest"])
             yield pd.concat([pdf[["key", "id", "host"]], out], axis=1)
 
     id_type, host_type = (docs.schema[c].dataType.simpleString() for c in (id_col, host_col))
-    schema = f"key long, id {id_type}, host {host_type}, {', '.join(f'{c} long' for c in STATS)}, hashes array<long>, words array<long>"
+    schema = f"key long, id {id_type}, host {host_type}, {', '.join(f'{c} long' for c in STATS)}, hashes array<long>, words array<long>, digest long"
     base = docs.select(row_key(id_col, text_col, host_col).alias("key"), column(id_col).alias("id"), column(host_col).alias("host"), column(text_col).alias("text"))
     found = cut(base.mapInPandas(measured, schema).withColumn("row", F.monotonically_increasing_id()))
-    classes = cut(minhash.near_duplicates(base, "key", "text").select(F.col("key").alias("k1"), F.col("class_id").alias("document")))
     same_line = lambda h, k: F.col("host").eqNullSafe(F.col(h)) & (F.col("hash") == F.col(k))
-    lines = found.select("row", "key", "host", F.explode(F.arrays_zip(F.col("hashes").alias("hash"), "words")).alias("l")).select("row", "key", "host", "l.hash", "l.words")
-    # only lines that so many rows hold can be above the limit: classes are looked up for these alone
-    often = lines.groupBy("host", "hash").count().where(F.col("count") > max_documents).select(F.col("host").alias("h1"), F.col("hash").alias("k1"))
-    near = cut(lines.join(often, same_line("h1", "k1"), "left_semi"))
-    of = classes.withColumnRenamed("k1", "key")
-    hosts = found.where(F.size("hashes") > 0).select("key", "host").join(of, "key").groupBy("host", "document").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count(F.lit(1)).alias("of")).withColumnRenamed("host", "h1")
-    common = (
-        near.select("key", "host", "hash").join(of, "key").groupBy("host", "hash", "document").agg(F.lit(1).alias("one"))
-        .groupBy("host", "hash").count().where(F.col("count") > max_documents)
-        .join(hosts, F.col("host").eqNullSafe(F.col("h1"))).where(100 * F.col("count") > max_documents_pct * F.col("of"))
-        .select(F.col("host").alias("h2"), F.col("hash").alias("k2"))
-    )
+    lines = found.select("row", "key", "host", "digest", F.explode(F.arrays_zip(F.col("hashes").alias("hash"), "words")).alias("l")).select("row", "key", "host", "digest", "l.hash", "l.words")
+    of = found.where(F.size("hashes") > 0).groupBy("host", "digest").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count(F.lit(1)).alias("of")).withColumnRenamed("host", "h0")
+
+    def above(held: DataFrame, document: str) -> DataFrame:
+        """h1, k1: lines that more distinct documents of their host hold than the limits allow."""
+        n = held.groupBy("host", "hash", document).agg(F.lit(1).alias("one")).groupBy("host", "hash").count().where(F.col("count") > max_documents)
+        n = n.join(of, F.col("host").eqNullSafe(F.col("h0"))).where(100 * F.col("count") > max_documents_pct * F.col("of"))
+        return n.select(F.col("host").alias("h1"), F.col("hash").alias("k1"))
+
+    near = cut(lines.join(above(lines, "digest"), same_line("h1", "k1"), "left_semi"))
+    texts = minhash.texts_of(base.select(F.col("key").alias("id"), F.col("text").alias("t"), F.lit(0).alias("th")), cut(near.select(F.col("key").alias("id")).distinct()))
+    classes = minhash.near_duplicates(texts, "id", "t").select(F.col("id").alias("i1"), F.col("class_id").alias("document"))
+    common = above(near.join(classes, F.col("key") == F.col("i1")), "document").withColumnsRenamed({"h1": "h2", "k1": "k2"})
     gone = near.join(common, same_line("h2", "k2")).groupBy("row").agg(F.sum("words").alias("gone"), F.collect_set("hash").alias("boilerplate")).withColumnRenamed("row", "r2")
-    all_ = found.drop("hashes", "words", "host").join(gone, F.col("row") == F.col("r2"), "left")
+    all_ = found.drop("hashes", "words", "host", "digest").join(gone, F.col("row") == F.col("r2"), "left")
     lost = F.coalesce("gone", F.lit(0))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_pct * F.col("n_words"))
     left = F.col("n_words") - lost
