@@ -31,7 +31,7 @@ from .common import column, cut, unpacked, whole_row
 WEIGHTS = (3, 1, 2)
 #: More distinct membership patterns than this do not fit the driver's flow network.
 MAX_PATTERNS = 100_000
-HASH_RANGE_BITS = 16
+HASH_RANGE_BITS = 12
 
 
 def words(text):
