@@ -23,12 +23,12 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import column, cut, slices, unpacked, whole_numbers, whole_row
@@ -224,9 +224,9 @@ def smallest_in_reach(links: DataFrame) -> DataFrame:
     return edges.select(F.col("b").alias("id"), F.col("a").alias("root"))
 
 
-def texts_of(base: DataFrame, ids: DataFrame) -> DataFrame:
-    """One row (id, t) of base (id, t, th) for each of ids (id); of several that of the smallest th. A Bloom filter of the ids, 64 MB at most, keeps most other
-    texts out of the shuffle; the join after it is exact, so a full filter only costs time."""
+def may_hold(ids: DataFrame) -> Callable[[str], Column]:
+    """A test of a column for ids (id): true for each of them, and for few others. It is a Bloom filter, 64 MB at most, so a join has to
+    follow; a full filter only costs time."""
     bits = min(MAX_FILTER_BITS, max(SEGMENT_BITS, 1 << (12 * ids.count()).bit_length()))
     segments = bits // SEGMENT_BITS  # a power of two
 
@@ -244,13 +244,20 @@ def texts_of(base: DataFrame, ids: DataFrame) -> DataFrame:
     whole = np.zeros((segments, SEGMENT_BITS // 8), np.uint8)
     for row in hashed.mapInPandas(fill, "segment int, bits binary").toLocalIterator():  # at most MAX_FILTER_BITS in all
         whole[row["segment"]] = np.frombuffer(zlib.decompress(row["bits"]), np.uint8)
-    sent = base.sparkSession.sparkContext.broadcast(whole.ravel())
+    sent = ids.sparkSession.sparkContext.broadcast(whole.ravel())
 
     @F.pandas_udf("boolean")
     def held(h: pd.Series) -> pd.Series:
         return pd.Series(has_bits(sent.value, bit_places(h.to_numpy(), segments)))
 
-    return cut(base.where(held(F.xxhash64("id"))).join(ids, "id", "left_semi").groupBy("id").agg(F.min(F.struct("th", "t")).alias("x")).select("id", "x.t"))
+    return lambda name: held(F.xxhash64(name))
+
+
+def texts_of(base: DataFrame, ids: DataFrame) -> DataFrame:
+    """One row (id, t) of base (id, t, th) for each of ids (id); of several that of the smallest th. A filter of the ids keeps most other
+    texts out of the shuffle."""
+    held = may_hold(ids)
+    return cut(base.where(held("id")).join(ids, "id", "left_semi").groupBy("id").agg(F.min(F.struct("th", "t")).alias("x")).select("id", "x.t"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -329,8 +336,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs with one document of each class: that with the smallest id. Of rows that repeat an id all stay, and rows with a null id."""
-    first = near_duplicates(docs, id_col, text_col, **options).where(column(id_col) == F.col("class_id")).select(F.col("class_id").alias("first"))
-    rows = docs.select(column(id_col).alias("id"), whole_row(docs).alias("row"))
-    kept = rows.where("id IS NOT NULL").join(first, F.col("id") == F.col("first"), "left_semi")
-    return kept.unionByName(rows.where("id IS NULL")).select(*unpacked(docs.columns))
+    """docs with one document of each class: that with the smallest id. Of rows that repeat an id all stay, and rows with a null id.
+    Only rows that a filter of the other ids may hold are shuffled to be told from them."""
+    classes = near_duplicates(docs, id_col, text_col, **options)
+    gone = cut(classes.where(column(id_col) != F.col("class_id")).select(column(id_col).alias("id")))
+    held = may_hold(gone)
+    rows = docs.select(column(id_col).alias("id"), whole_row(docs).alias("row")).withColumn("held", F.col("id").isNotNull() & held("id"))
+    kept = rows.where("held").join(gone, "id", "left_anti")
+    return rows.where("NOT held").unionByName(kept).select(*unpacked(docs.columns))

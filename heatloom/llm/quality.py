@@ -150,13 +150,17 @@ def judge_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_words: int = 10, max_repeat_pct: int = 20, max_documents: int = 20, least_left_pct: int = 20, max_documents_pct: int = 1) -> DataFrame:
     """docs without the rejected documents, and without the lines above the limit in the others."""
     found = verdicts(docs, id_col, text_col, host_col, min_words, max_repeat_pct, max_documents, least_left_pct, max_documents_pct)
-    kept = cut(found).where("kept").groupBy("key").agg(F.first("boilerplate").alias("lines"))  # equal rows hold the same lines
+    hit = cut(cut(found).where("NOT kept OR boilerplate IS NOT NULL").groupBy("key").agg(F.first("kept").alias("kept"), F.first("boilerplate").alias("lines")))  # equal rows have one verdict
 
     @F.pandas_udf("string")
     def without(text: pd.Series, lines: pd.Series) -> pd.Series:
         return pd.Series([None if t is None else "\n".join(x for x in t.split("\n") if line_hash(x) not in gone) for t, gone in zip(text, map(lambda g: set() if g is None else set(g), lines), strict=True)], dtype=object)
 
-    rows = docs.select(row_key(id_col, text_col, host_col).alias("key"), whole_row(docs).alias("row")).join(kept, "key")
-    text, changed = F.col("row").getField(text_col), F.size("lines") > 0
-    rows = rows.withColumn("new", without(F.when(changed, text), F.when(changed, F.col("lines"))))
-    return rows.select(*unpacked(docs.columns, **{text_col: F.when(changed, F.col("new")).otherwise(text)}))
+    # documents that neither go nor lose a line never meet the verdicts: a filter keeps nearly all of them out of the shuffle
+    held = minhash.may_hold(hit.select(F.col("key").alias("id")))
+    rows = docs.select(row_key(id_col, text_col, host_col).alias("key"), whole_row(docs).alias("row")).withColumn("held", held("key"))
+    met = rows.where("held").join(hit, "key", "left").where("kept IS NULL OR kept")
+    text, changed = F.col("row").getField(text_col), F.col("lines").isNotNull()
+    met = met.withColumn("new", without(F.when(changed, text), F.when(changed, F.col("lines"))))
+    met = met.select(*unpacked(docs.columns, **{text_col: F.when(changed, F.col("new")).otherwise(text)}))
+    return rows.where("NOT held").select(*unpacked(docs.columns)).unionAll(met)
