@@ -83,6 +83,24 @@ def release(spark: SparkSession) -> None:
         _released = time.monotonic()
 
 
+#: A key is hot if it has more than this share of all rows: so many keys can be hot at most.
+HOT_KEYS = 1000
+
+
+def join_hot(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """left joined with right, whose keys are unique and not null. The keys that hold over 1 / HOT_KEYS of left's rows (HOT_KEYS
+    at most, hence the broadcast) meet right's rows where they are; only the others are shuffled. left and right are read
+    more than once: written tables, or cheap."""
+    many = left.groupBy(*keys).agg(F.count("*").alias("__n"))
+    total = left.count()
+    hot = right.join(F.broadcast(many.where(F.col("__n") * HOT_KEYS > total).drop("__n")), keys)
+    names = [c for c in right.columns if c not in keys]
+    marked = left.join(F.broadcast(hot.withColumn("__hot", F.struct(F.lit(True), *names)).drop(*names)), keys, "left")
+    near = marked.where("__hot is not null").select(*left.columns, *[F.col("__hot").getField(c).alias(c) for c in names])
+    far = marked.where("__hot is null").drop("__hot").join(right, keys, how).select(*left.columns, *names)
+    return near.unionByName(far)
+
+
 def slices(sizes, most: int):
     """(start, stop) runs of rows whose sizes add up to about `most`; a larger row is a run of its own."""
     start, total = 0, 0

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary, html, lines, minhash, mixing, packing, quality, suffix, topk, urls
+from . import binary, html, lines, minhash, mixing, packing, phrases, quality, suffix, topk, urls
 from .common import shared_dir, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -66,8 +66,12 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine_phrases(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
 def queries() -> dict:
-    made = (op1_quality_rules, op2_near_duplicates, op3_line_dedup, op4_best_fit_packing, op5_url_filters, op6_html_extraction, op7_token_binary, op8_suffix_array_dedup, op9_mixing, op10_exact_top_k)
+    made = (op1_quality_rules, op2_near_duplicates, op3_line_dedup, op4_best_fit_packing, op5_url_filters, op6_html_extraction, op7_token_binary, op8_suffix_array_dedup, op9_mixing, op10_exact_top_k, op13_phrases)
     return {f.__name__: f for f in made}
 
 
@@ -92,6 +96,22 @@ WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE *
   WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.x, c.x)::BIGINT AS score FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id)
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20""",
+    "op13_phrases": r"""
+WITH d AS (SELECT doc_id, coalesce(lang, 'und') AS lang, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents WHERE text IS NOT NULL),
+p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+g AS (SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase FROM
+  (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (SELECT unnest([1, 2, 3, 4, 5]) AS k) WHERE len(w) >= k)),
+f AS (SELECT lang, k, phrase, count(*)::HUGEINT AS a FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(a) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT * FROM f WHERE k > 1 AND a >= 100),
+x AS (SELECT *, string_split(phrase, ' ') AS own, unnest(range(1, k)) AS cut FROM c),
+s AS (SELECT x.lang, x.phrase, x.k, x.a, l.a AS l, r.a AS r, n, cut, (1000::HUGEINT * x.a * n) // (l.a * r.a) AS score FROM x
+  JOIN f l ON l.lang = x.lang AND l.phrase = array_to_string(own[:cut], ' ') JOIN f r ON r.lang = x.lang AND r.phrase = array_to_string(own[cut + 1:], ' ') JOIN n ON n.lang = x.lang),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+o AS (SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.lang = b.lang AND c.k > b.k AND contains(' ' || c.phrase || ' ', ' ' || b.phrase || ' ') AND 100 * c.a >= 100 * b.a))
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM o) WHERE rank <= 2000""",
 }
 
 
