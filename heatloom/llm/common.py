@@ -93,7 +93,8 @@ def join_hot(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inn
     more than once: written tables, or cheap."""
     many = left.groupBy(*keys).agg(F.count("*").alias("__n"))
     total = left.count()
-    hot = right.join(F.broadcast(many.where(F.col("__n") * HOT_KEYS > total).drop("__n")), keys)
+    hot = many.where(F.col("__n") * HOT_KEYS > total).drop("__n")
+    hot = hot.join(F.broadcast(right.join(F.broadcast(hot), keys)), keys, how)
     names = [c for c in right.columns if c not in keys]
     marked = left.join(F.broadcast(hot.withColumn("__hot", F.struct(F.lit(True), *names)).drop(*names)), keys, "left")
     near = marked.where("__hot is not null").select(*left.columns, *[F.col("__hot").getField(c).alias(c) for c in names])
