@@ -177,8 +177,8 @@ def radiant_temperature(ta: Column, svf: Column, shade: Column, direct: Column,
 
 
 def climate_index(ta: Column, radiant: Column, wind: Column, vapour_hpa: Column, terms: list[tuple[float, int, int, int, int]]) -> Column:
-    """ta plus a polynomial of the index's published table: terms are (coefficient, powers of ta, wind, radiant - ta, kPa).
-    The table is a parameter. Inputs are brought into the index's range first; see index_inputs."""
+    """ta plus a polynomial of the index's published table (index_terms.terms()): terms are (coefficient, powers of ta, wind, radiant - ta, kPa).
+    Inputs are brought into the index's range first; see index_inputs."""
     x = index_inputs(ta, radiant, wind)
     factors = [x["ta"], x["wind"], x["excess"], vapour_hpa / 10.0]
 
@@ -195,7 +195,7 @@ def climate_index(ta: Column, radiant: Column, wind: Column, vapour_hpa: Column,
             out = own if out is None else out * factors[k] if own is None else out * factors[k] + own
         return out
 
-    return ta + nested(terms, 0) if terms else ta
+    return x["ta"] + nested(terms, 0) if terms else x["ta"]
 
 
 def index_inputs(ta: Column, radiant: Column, wind: Column) -> dict[str, Column]:
@@ -247,7 +247,7 @@ def surface_step(t: Column, absorbed: Column, air: Column, h: Column | float, ep
     return t + dt * gain / (heat + dt * ((1.0 - beta) * 4.0 * eps * SIGMA * F.pow(t, F.lit(3.0)) + h + k_deep))
 
 
-def march(series: Column, start: Column, h: float = 8.0, eps: float = 0.95, heat: float = 2.5e5, dt: float = 3600.0) -> Column:
+def march(series: Column, start: Column, h: Column | float = 8.0, eps: float = 0.95, heat: float = 2.5e5, dt: float = 3600.0) -> Column:
     """Surface temperature (K) after all steps of an array of structs (absorbed, air in K)."""
     return F.aggregate(series, start, lambda t, f: surface_step(t, f["absorbed"], f["air"], h, eps, heat, dt))
 
@@ -270,6 +270,22 @@ def march_day(clock: Column, start: Column, slots: int, eps: Column | float, hea
     return F.aggregate(F.sequence(F.lit(0), F.lit(loops * slots - 1)), begin, slot, lambda state: state["out"])
 
 
+def convection_for(series: Column, start: Column, target: Column, at: Column | int, low: float = 2.0, high: float = 60.0, steps: int = 40, eps: float = 0.95, heat: float = 2.5e5, dt: float = 3600.0) -> Column:
+    """The convection coefficient with which a surface is at `target` (K) after step `at` (from 0) of a march over series (absorbed,
+    air): bisection as a fold, each step of which is a whole march. More convection cools a surface that is hotter than the air; a
+    target that no coefficient in the range meets gives the range's end."""
+    upto = F.slice(series, 1, at + 1)
+
+    def halve(s: Column, _: Column) -> Column:
+        middle = (s["low"] + s["high"]) / 2
+        hot = march(upto, start, middle, eps, heat, dt) > target
+        return F.struct(F.when(hot, middle).otherwise(s["low"]).alias("low"), F.when(hot, s["high"]).otherwise(middle).alias("high"))
+
+    begin = F.struct(F.lit(float(low)).alias("low"), F.lit(float(high)).alias("high"))
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), begin, halve, lambda s: (s["low"] + s["high"]) / 2)
+    return F.when(target.isNotNull() & (F.size(series) > at), found)
+
+
 def flux_mean(temperatures: Column) -> Column:
     """°C of one surface that emits as much as equal parts at these temperatures (array, K)."""
     total = F.aggregate(temperatures, F.lit(0.0), lambda a, t: a + F.pow(t, F.lit(4.0)))

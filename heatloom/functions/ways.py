@@ -29,6 +29,11 @@ def storeys(tags: Column) -> Column:
     return levels_of(F.element_at(tags, "level"))
 
 
+def levels(tags: Column) -> Column:
+    """Levels for the question which ways may be joined: those of `level`, failing that those of `layer`. Heights use storeys."""
+    return levels_of(F.coalesce(F.element_at(tags, "level"), F.element_at(tags, "layer")))
+
+
 def walkable(tags: Column) -> Column:
     closed = lambda n: tag(tags, n).isin("no", "private")
     return tag(tags, "highway").isin(*WALK) & ~closed("foot") & ~closed("access")

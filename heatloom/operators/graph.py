@@ -9,15 +9,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def ensure_checkpoints(spark: SparkSession) -> None:
-    """The folder that the cluster names; one of our own only in local mode."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names for checkpoints; one of our own only in local mode."""
     context = spark.sparkContext
-    if context.getCheckpointDir():
-        return
-    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not named and not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
+    return named or tempfile.mkdtemp(prefix="spark-")
+
+
+def ensure_checkpoints(spark: SparkSession) -> None:
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
 
 
 def edges_of_ways(steps: DataFrame, nodes: DataFrame) -> DataFrame:

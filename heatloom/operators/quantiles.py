@@ -10,31 +10,42 @@ from pyspark.sql.window import Window
 SLICES = 64
 
 
-def exact_quantiles(df: DataFrame, by: list[str], value: str, probabilities: list[float]) -> DataFrame:
-    """by, n and q: the linearly interpolated quantiles of the values that are not null, as an array.
-
-    Equal values are counted first. Approximate quantiles cut each group's distinct values into slices, whose counts run up
-    to the ranks that are wanted; exact ranks are then taken inside those slices alone. Groups without a value are left out;
-    null keys are a group."""
+def value_counts(df: DataFrame, by: list[str], value: str) -> tuple[DataFrame, list[str]]:
+    """k0, k1 ... (the keys), g (all of them as one text), v, c: how often each group holds a value that is not null."""
     keys = [F.col(c).alias(f"k{i}") for i, c in enumerate(by)]
     names = [f"k{i}" for i in range(len(by))]
     key = F.to_json(F.struct(*names), {"ignoreNullFields": "false"}).alias("g")
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("c")).withColumn("g", key)
-    edges = counts.groupBy("g").agg(F.percentile_approx("v", [i / SLICES for i in range(1, SLICES)], 1000).alias("edges"), F.sum("c").alias("n"))
-    wanted = F.array(*[F.lit(float(p)) for p in probabilities])
-    edges = edges.withColumn("at", F.transform(wanted, lambda p: p * (F.col("n") - 1)))
-    cut = counts.select("g", "v", "c").join(edges.select("g", "edges"), "g").select("g", "v", "c", F.size(F.filter("edges", lambda e: e < F.col("v"))).alias("s"))
+    return df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("c")).withColumn("g", key), names
+
+
+def at_ranks(counts: DataFrame, ranks: DataFrame) -> DataFrame:
+    """ranks (g, rank from 0, and others) with v, the value at that rank of the group. counts: g, v, c.
+
+    Approximate quantiles cut each group's distinct values into slices, whose counts run up to the ranks that are wanted;
+    exact ranks are then taken inside those slices alone."""
+    edges = counts.groupBy("g").agg(F.percentile_approx("v", [i / SLICES for i in range(1, SLICES)], 1000).alias("edges"))
+    cut = counts.select("g", "v", "c").join(edges, "g").select("g", "v", "c", F.size(F.filter("edges", lambda e: e < F.col("v"))).alias("s"))
     sums = cut.groupBy("g", "s").agg(F.sum("c").alias("own"))
     upto = F.sum("own").over(Window.partitionBy("g").orderBy("s").rowsBetween(Window.unboundedPreceding, 0))  # at most SLICES rows of a group
-    ranks = edges.select("g", F.posexplode("at").alias("i", "at")).select("g", "i", "at", F.explode(F.array(F.floor("at"), F.ceil("at"))).alias("rank")).distinct()
     slices = sums.withColumn("upto", upto).withColumn("before", F.col("upto") - F.col("own"))
-    held = ranks.join(slices, "g").where("rank >= before AND rank < upto").select("g", "s", "i", "at", "rank", "before")
+    held = ranks.join(slices.select("g", "s", "upto", "before"), "g").where("rank >= before AND rank < upto").drop("upto")
     inside = cut.join(held.select("g", "s", "before").distinct(), ["g", "s"])
     run = F.sum("c").over(Window.partitionBy("g", "s").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
     inside = inside.withColumn("stop", F.col("before") + run).withColumn("start", F.col("stop") - F.col("c")).select("g", "s", "v", "start", "stop")
-    found = held.drop("before").join(inside, ["g", "s"]).where("rank >= start AND rank < stop")
+    return held.drop("before").join(inside, ["g", "s"]).where("rank >= start AND rank < stop").drop("s", "start", "stop")
+
+
+def exact_quantiles(df: DataFrame, by: list[str], value: str, probabilities: list[float]) -> DataFrame:
+    """by, n and q: the linearly interpolated quantiles of the values that are not null, as an array.
+
+    Equal values are counted first. Groups without a value are left out; null keys are a group."""
+    counts, names = value_counts(df, by, value)
+    wanted = F.array(*[F.lit(float(p)) for p in probabilities])
+    whole = counts.groupBy("g", *names).agg(F.sum("c").alias("n"))
+    at = whole.select("g", F.posexplode(F.transform(wanted, lambda p: p * (F.col("n") - 1))).alias("i", "at"))
+    ranks = at.select("g", "i", "at", F.explode(F.array(F.floor("at"), F.ceil("at"))).alias("rank")).distinct()
+    found = at_ranks(counts, ranks)
     part = F.col("at") - F.floor("at")
     pair = found.groupBy("g", "i").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.first(part).alias("part"))
     q = pair.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("i", (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("part")).alias("q")))).alias("qs"))
-    whole = counts.groupBy("g", *names).agg(F.sum("c").alias("n"))
     return whole.join(q, "g").select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(by)], "n", F.transform("qs", lambda x: x["q"]).alias("q"))

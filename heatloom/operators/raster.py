@@ -71,31 +71,6 @@ def point_shade(points: DataFrame, cells: DataFrame, azimuth: float, elevation:
     return points.join(dark.withColumn("shaded", F.lit(True)), "id", "left").withColumn("shaded", F.coalesce("shaded", F.lit(False)))
 
 
-def sky_view(cells: DataFrame, cell: float, azimuths: int = 64, radius: float = 400.0, eye: float = 1.1, height: str = "h", out: str = "svf") -> DataFrame:
-    """cells with the share of the sky that is seen at eye height: per azimuth the highest horizon within the radius."""
-    steps = max(1, round(radius / (cell * STEP)))
-    rays = [(i, dr, dc, 1.0 / (cell * math.hypot(dr, dc))) for i in range(azimuths) for dr, dc in ray(360.0 * i / azimuths, steps) if (dr, dc) != (0, 0)]
-    offsets = cells.sparkSession.createDataFrame(rays, "az int, dr int, dc int, per double")
-    high = cells.where(F.col(height) > eye).select("row", "col", (F.col(height) - eye).alias("over"))
-    seen = high.join(F.broadcast(offsets)).select((F.col("row") - F.col("dr")).alias("row"), (F.col("col") - F.col("dc")).alias("col"), "az", (F.col("over") * F.col("per")).alias("t"))
-    horizon = seen.groupBy("row", "col", "az").agg(F.max("t").alias("t"))
-    lost = horizon.groupBy("row", "col").agg(F.sum(F.col("t") * F.col("t") / (1 + F.col("t") * F.col("t"))).alias("lost"))
-    share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1.0 - F.coalesce("lost", F.lit(0.0)) / azimuths))
-    return cells.join(lost, ["row", "col"], "left").withColumn(out, share).drop("lost")
-
-
-def blocked_above(cells: DataFrame, cell: float, radius: float = 40.0, eye: float = 1.1, height: str = "h", out: str = "blocked") -> DataFrame:
-    """cells with the share of the sky that crowns in a disc hide: each as a flat piece at its height."""
-    n = int(radius // cell)
-    disc = [(dr, dc, cell * cell * (dr * dr + dc * dc)) for dr in range(-n, n + 1) for dc in range(-n, n + 1) if cell * math.hypot(dr, dc) <= radius]
-    offsets = cells.sparkSession.createDataFrame(disc, "dr int, dc int, rho2 double")
-    z = F.col("over")
-    high = cells.where(F.col(height) > eye).select("row", "col", (F.col(height) - eye).alias("over")).join(F.broadcast(offsets))
-    part = z * z * cell * cell / (math.pi * F.pow(F.col("rho2") + z * z, F.lit(2.0)))
-    sums = high.select((F.col("row") - F.col("dr")).alias("row"), (F.col("col") - F.col("dc")).alias("col"), part.alias("part")).groupBy("row", "col").agg(F.sum("part").alias("part"))
-    return cells.join(sums, ["row", "col"], "left").withColumn(out, F.least(F.lit(1.0), F.coalesce("part", F.lit(0.0)))).drop("part")
-
-
 def rasterise(polygons: DataFrame, cell: float, value: str, order: list[str]) -> DataFrame:
     """row, col, value of the cells whose centre a polygon (edges, value) holds; the last in `order` wins. Cells count from
     y = 0 southwards: row r covers -(r + 1) to -r cells."""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from heatloom.functions import comfort
 from heatloom.operators import joins
-from heatloom.plans import physics, routes, sensors, spaces, texts
+from heatloom.plans import city, physics, routes, sensors, spaces, texts
 from heatloom.plans.shared import PRELUDE, SHARED
 from heatloom.plans.tables import table
 from heatloom.streaming import windows
@@ -131,7 +131,7 @@ PLANS = {
 }
 
 
-ALL = PLANS | physics.PLANS | sensors.PLANS | routes.PLANS | spaces.PLANS | texts.PLANS
+ALL = PLANS | physics.PLANS | sensors.PLANS | routes.PLANS | spaces.PLANS | texts.PLANS | city.PLANS
 
 
 def queries() -> dict:

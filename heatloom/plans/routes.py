@@ -96,8 +96,8 @@ def win_segments(spark, sf_dir):
 
 
 def agg_dodges(spark, sf_dir):
-    """Short indoor runs (a dodge) and long ones (a leg of the walk) of each route."""
-    r = runs(spark, sf_dir).where("indoor").groupBy("route").agg(F.count_if(F.col("len") < 150).alias("dodges"), F.count_if(F.col("len") >= 400).alias("legs"), F.max("len").alias("longest"))
+    """Short indoor runs (a dodge: under 50) and long ones (a leg of the walk: from 150), the longest and the middle one of each route."""
+    r = runs(spark, sf_dir).where("indoor").groupBy("route").agg(F.count_if(F.col("len") < 50).alias("dodges"), F.count_if(F.col("len") >= 150).alias("legs"), F.max("len").alias("longest"), F.median("len").alias("middle"))
     return r
 
 
@@ -214,7 +214,7 @@ PLANS = {
     "agg_outdoor_mean": (agg_outdoor_mean, f"WITH {LEGS} SELECT seq, coalesce(avg(utci) FILTER (NOT indoor), avg(utci)) AS around, count(*) AS n FROM l GROUP BY 1"),
     "agg_signature": (agg_signature, f"WITH {LEGS} SELECT route, left(sha256(string_agg(seq || ':' || part, '|' ORDER BY seq, part, price)), 12) AS signature FROM l GROUP BY 1"),
     "win_segments": (win_segments, f"WITH {RUNS} SELECT route, run, indoor, len, shade, path, len / sum(len) OVER (PARTITION BY route) AS share, CASE WHEN indoor THEN 'indoor' WHEN shade >= 0.5 THEN 'shade' ELSE 'sun' END AS kind FROM u"),
-    "agg_dodges": (agg_dodges, f"WITH {RUNS} SELECT route, count(*) FILTER (len < 150) AS dodges, count(*) FILTER (len >= 400) AS legs, max(len) AS longest FROM u WHERE indoor GROUP BY 1"),
+    "agg_dodges": (agg_dodges, f"WITH {RUNS} SELECT route, count(*) FILTER (len < 50) AS dodges, count(*) FILTER (len >= 150) AS legs, max(len) AS longest, median(len) AS middle FROM u WHERE indoor GROUP BY 1"),
     "agg_ladder_steps": (agg_ladder_steps, f"WITH {CHOSEN}, s AS (SELECT k, avg(load) AS load, avg(minutes) AS minutes, count(*) AS pairs FROM c GROUP BY 1) SELECT a.*, a.load - b.load AS step FROM s a LEFT JOIN s b ON b.k = (SELECT max(k) FROM s z WHERE z.k < a.k)"),
     "win_plateau": (win_plateau, f"WITH {CHOSEN} SELECT a.od, min(b.k) AS k, a.route FROM c a JOIN c b ON b.od = a.od AND b.route = a.route WHERE a.k = 0.3e0 GROUP BY a.od, a.route"),
     "agg_census_area": (agg_census_area, "WITH s AS (SELECT p_type, p_brand, 0::BIGINT AS g, count(*) AS n, sum(p_size)::BIGINT AS area FROM part GROUP BY 1, 2 UNION ALL SELECT p_type, NULL, 1, count(*), sum(p_size)::BIGINT FROM part GROUP BY 1 UNION ALL SELECT NULL, NULL, 3, count(*), sum(p_size)::BIGINT FROM part) SELECT *, row_number() OVER (PARTITION BY g ORDER BY area DESC, p_type, p_brand)::INTEGER AS place FROM s"),

@@ -187,26 +187,6 @@ def agg_board_screen(spark, sf_dir):
     return board.join(live, "device").join(middle, "device", "left").withColumn("kept", F.coalesce((F.col("span") >= 30) & (F.col("live") >= 3), F.lit(False)))
 
 
-def agg_bootstrap_ci(spark, sf_dir, resamples=4000, seed=7):
-    """Median of the devices' mean differences at each site, its seeded bootstrap interval and the exact two-sided sign test.
-    A site's devices are one group: one number each."""
-    from math import comb
-
-    h = readings(spark, sf_dir).where("value IS NOT NULL").groupBy("site", "device").agg(F.avg(F.when(F.col("k") >= 50, F.col("value"))).alias("a"), F.avg(F.when(F.col("k") < 50, F.col("value"))).alias("b"))
-    h = h.select("site", "device", (F.col("a") - F.col("b")).alias("d")).where("d IS NOT NULL")
-
-    def interval(pdf: pd.DataFrame) -> pd.DataFrame:
-        d = pdf.sort_values("device")["d"].to_numpy()
-        rng = np.random.Generator(np.random.PCG64(seed))
-        medians = np.median(rng.choice(d, size=(resamples, len(d))), axis=1)
-        up, n = int((d > 0).sum()), int((d != 0).sum())
-        tail = sum(comb(n, i) for i in range(min(up, n - up) + 1)) / 2**n
-        low, high = np.percentile(medians, [2.5, 97.5])
-        return pd.DataFrame({"site": [pdf["site"].iat[0]], "n": [len(d)], "median": [float(np.median(d))], "low": [low], "high": [high], "p": [min(1.0, 2 * tail)]})
-
-    return h.groupBy("site").applyInPandas(interval, "site string, n long, median double, low double, high double, p double")
-
-
 def win_lag_scan(spark, sf_dir):
     """The shift of -3 to 3 rows at which a device follows the model best; devices of 20 pairs or more."""
     order = Window.partitionBy("device").orderBy("hh")
@@ -309,7 +289,6 @@ PLANS = {
     "agg_candidates": (agg_candidates, f"WITH {PAIRED} SELECT lead::INTEGER AS lead, count(q.bias) AS n, sqrt(avg((p.mod - q.bias - p.obs) ** 2)) AS rmse, avg(abs(p.mod - q.bias - p.obs)) AS mae FROM p CROSS JOIN (SELECT unnest([0, 1, 2, 3, 6, 12]) AS lead) LEFT JOIN p q ON q.device = p.device AND q.hh = p.hh - to_hours(lead) GROUP BY 1"),
     "agg_pair_noise": (agg_pair_noise, f"WITH {HOURLY} SELECT a.device, count(*) AS n, avg(a.value - b.value) AS bias, sqrt(avg((a.value - b.value) ** 2)) AS rmse, max(abs(a.value - b.value)) AS most FROM h a JOIN h b ON b.device = a.device + 1 AND a.hh = b.hh WHERE a.device % 2 = 1 GROUP BY 1"),
     "agg_board_screen": (agg_board_screen, f"WITH {READINGS}, y AS (SELECT device, ts::DATE AS day, max(value) - min(value) AS span, max(value) AS top FROM r GROUP BY 1, 2), z AS (SELECT device, median(span) AS span, count(*) FILTER (top > 90) AS live, count(*) AS days FROM y GROUP BY 1), f AS (SELECT DISTINCT ON (device) device, site FROM r ORDER BY device, ts, event_id), t AS (SELECT device, count(*) AS n, avg(value) FILTER (hour(ts) < 6 OR hour(ts) >= 20) / avg(value) FILTER (hour(ts) BETWEEN 6 AND 19) AS night FROM r GROUP BY 1) SELECT device, site, n, night, live, days, span, coalesce(span >= 30 AND live >= 3, false) AS kept FROM t JOIN f USING (device) JOIN z USING (device)"),
-    "agg_bootstrap_ci": (agg_bootstrap_ci, None),
     "win_lag_scan": (win_lag_scan, f"WITH {PAIRED}, i AS (SELECT *, row_number() OVER (PARTITION BY device ORDER BY hh) AS i FROM p), c AS (SELECT a.device, l.lag, corr(a.obs, b.mod) AS r FROM i a CROSS JOIN (SELECT unnest(range(-3, 4)) AS lag) l LEFT JOIN i b ON b.device = a.device AND b.i = a.i - l.lag GROUP BY 1, 2), n AS (SELECT device, count(*) AS n FROM p GROUP BY 1) SELECT device, n, lag::INTEGER AS lag, r FROM (SELECT *, row_number() OVER (PARTITION BY device ORDER BY r DESC, abs(lag), lag) AS k FROM c) JOIN n USING (device) WHERE k = 1 AND n >= 20"),
     "win_argmax_hour": (win_argmax_hour, f"WITH {READINGS}, m AS (SELECT site, hour(ts) AS hr, avg(value) AS v FROM r GROUP BY 1, 2) SELECT site, hr::INTEGER AS hr, v FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY v DESC, hr) AS k FROM m) WHERE k = 1"),
     "win_interp_clock": (win_interp_clock, f"WITH {READINGS}, h AS (SELECT site, hour(ts) AS hr, avg(value) AS v FROM r WHERE ts::DATE = DATE '2024-01-05' GROUP BY 1, 2), s AS (SELECT * FROM (SELECT DISTINCT site FROM h), (SELECT unnest(range(0, 1440, 30)) AS slot)) SELECT s.site, slot::INTEGER AS slot, coalesce(a.v * (1 - slot % 60 / 60) + b.v * (slot % 60 / 60), a.v, b.v) AS v FROM s LEFT JOIN h a ON a.site = s.site AND a.hr = slot // 60 LEFT JOIN h b ON b.site = s.site AND b.hr = (slot // 60 + 1) % 24"),

@@ -79,7 +79,7 @@ SHARED = {
     "agg_named_groups_modes": "SELECT device, site, n FROM (SELECT device, site, n, row_number() OVER (PARTITION BY device ORDER BY n DESC, site) AS rn FROM (SELECT device, site, count(*) AS n FROM readings GROUP BY device, site) a) b WHERE rn = 1",
     "win_row_lag_corr": "SELECT device, count(was) AS n, round(corr(value, was), 4) AS r FROM (SELECT device, value, lag(value) OVER (PARTITION BY device ORDER BY hh) AS was FROM hourly) t WHERE was IS NOT NULL GROUP BY device HAVING count(was) >= 3",
     "win_running_dose": "SELECT route, seq, part, round(sum(len / 81e0 * stress) OVER (PARTITION BY route ORDER BY seq, part, price ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 4) AS dose FROM legs",
-    "rank_recents": "SELECT device, site, place FROM (SELECT device, site, row_number() OVER (PARTITION BY device ORDER BY last DESC, site) AS place FROM (SELECT device, site, max(ts) AS last FROM readings GROUP BY device, site) a) b WHERE place <= 3",
+    "rank_recents": "SELECT device, site, place FROM (SELECT device, site, row_number() OVER (PARTITION BY device ORDER BY last DESC, site) AS place FROM (SELECT device, site, max(ts) AS last FROM readings GROUP BY device, site) a) b WHERE place <= 8",
     "set_upsert_last_wins": "SELECT id, name FROM (SELECT id, name, row_number() OVER (PARTITION BY id ORDER BY age DESC) AS rn FROM (SELECT c_custkey AS id, c_name AS name, 0 AS age FROM customer UNION ALL SELECT s_suppkey AS id, s_name AS name, 1 AS age FROM supplier) u) t WHERE rn = 1",
     "time_floor_hour": "SELECT event_id, hh, CAST(extract(minute FROM ts) AS INT) AS past FROM readings",
     "raster_shift": "SELECT g.cx, g.cy, g.h, coalesce(e.h, 0) AS east, coalesce(n.h, 0) AS north FROM (SELECT CAST(floor(x / 5) AS INT) AS cx, CAST(floor(y / 5) AS INT) AS cy, max(label) AS h FROM points GROUP BY 1, 2) g LEFT JOIN (SELECT CAST(floor(x / 5) AS INT) AS cx, CAST(floor(y / 5) AS INT) AS cy, max(label) AS h FROM points GROUP BY 1, 2) e ON e.cx = g.cx + 1 AND e.cy = g.cy LEFT JOIN (SELECT CAST(floor(x / 5) AS INT) AS cx, CAST(floor(y / 5) AS INT) AS cy, max(label) AS h FROM points GROUP BY 1, 2) n ON n.cx = g.cx AND n.cy = g.cy + 1",

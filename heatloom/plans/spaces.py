@@ -14,10 +14,10 @@ AZIMUTH, ELEVATION, CELL, HIGHEST = 310.0, 20.0, 2.0, 9.0
 
 
 def net(spark, sf_dir):
-    """A graph of nations: each supplier is an edge from its nation to another; of several over one pair the last wins."""
+    """A graph of suppliers: each is an edge to another key; of several over one pair the last wins."""
     s = table(spark, sf_dir, "supplier")
-    to = (F.col("s_suppkey") * 7 + 3) % 25
-    e = s.select(F.col("s_suppkey").alias("way"), F.least("s_nationkey", to).cast("long").alias("a"), F.greatest("s_nationkey", to).cast("long").alias("b")).where("a <> b")
+    to = (F.col("s_suppkey") * 7 + 3) % 997
+    e = s.select(F.col("s_suppkey").alias("way"), F.least("s_suppkey", to).cast("long").alias("a"), F.greatest("s_suppkey", to).cast("long").alias("b")).where("a <> b")
     e = e.groupBy("a", "b").agg(F.max("way").alias("way"))
     w = F.col("way")
     return e.select("a", "b", "way", (1.0 + w % 13).alias("cost"), (w % 3 == 0).alias("indoor"), (w % 2).cast("int").alias("level"), (w % 5 == 0).alias("stepped"), F.when(w % 4 == 0, "lane").when(w % 4 == 1, "mall").alias("hours_key"))
@@ -61,28 +61,6 @@ def graph_component_profile(spark, sf_dir):
     return p.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "root")))  # one row for each component
 
 
-def graph_shortest_cost(spark, sf_dir):
-    return graph.cheapest(net(spark, sf_dir), 0).select("node", "cost")
-
-
-def graph_state_search(spark, sf_dir):
-    return graph.cheapest_by_state(net(spark, sf_dir), 0, 5.0, 2.0).select("node", "cost")
-
-
-def join_path_edges(spark, sf_dir):
-    """Edges of the cheapest paths and what they cost together."""
-    e = net(spark, sf_dir)
-    p = graph.path_edges(graph.cheapest(e, 0))
-    return p.join(e.select("a", "b", F.col("cost").alias("own")), ["a", "b"]).groupBy("node").agg(F.sum("own").alias("cost"))
-
-
-def graph_preferred(spark, sf_dir):
-    """The route from the first nation to the last under a preference, relaxed until it is short enough."""
-    e = net(spark, sf_dir).withColumn("length", F.col("cost"))
-    out = graph.preferred(e, 0, 24, 0.3, (F.col("way") % 11).cast("double"), 5.0, 2.0)
-    return out.select(F.array_join("path", ",").alias("path"), "k", "attempts", "ratio", "base")
-
-
 def places(spark, sf_dir):
     e = F.col("embedding")
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), (e[0].cast("double") * 100).alias("x"), (e[1].cast("double") * 100).alias("y"), "label")
@@ -182,14 +160,6 @@ def raster_point_shade(spark, sf_dir):
     return raster.point_shade(p, cells(spark, sf_dir), AZIMUTH, ELEVATION, HIGHEST, CELL).select("id", "shaded")
 
 
-def raster_sky_view(spark, sf_dir):
-    return raster.sky_view(cells(spark, sf_dir), CELL, azimuths=16, radius=20.0).select("row", "col", "svf")
-
-
-def raster_blocked(spark, sf_dir):
-    return raster.blocked_above(cells(spark, sf_dir), CELL, radius=10.0).select("row", "col", "blocked")
-
-
 def raster_polygons(spark, sf_dir):
     """Diamonds drawn by height, the last of the highest on top; unmapped cells take the nearest class within two."""
     d = diamonds(spark, sf_dir).withColumn("v", F.col("label") + 1)
@@ -217,7 +187,7 @@ def flt_edge_defaults(spark, sf_dir):
     return e.select("a", "b", F.when(F.col("indoor"), 1.0).otherwise(F.coalesce(known / 14, F.lit(1.0))).alias("shade"), F.when(F.col("indoor"), 0.0).otherwise(F.coalesce(known / 28, F.lit(0.6))).alias("svf"), F.coalesce(F.when(w % 2 == 0, w / 100.0), F.lit(0.20)).alias("albedo"), deck.alias("deck"))
 
 
-NET = "e0 AS (SELECT least(s_nationkey, (s_suppkey * 7 + 3) % 25)::BIGINT AS a, greatest(s_nationkey, (s_suppkey * 7 + 3) % 25)::BIGINT AS b, max(s_suppkey) AS way FROM supplier WHERE s_nationkey <> (s_suppkey * 7 + 3) % 25 GROUP BY 1, 2), e AS (SELECT *, 1e0 + way % 13 AS cost, way % 3 = 0 AS ind, way % 2 AS lev, way % 5 = 0 AS st FROM e0), u AS (SELECT a, b, cost, ind, lev, st, way FROM e UNION ALL SELECT b, a, cost, ind, lev, st, way FROM e)"
+NET = "e0 AS (SELECT least(s_suppkey, (s_suppkey * 7 + 3) % 997)::BIGINT AS a, greatest(s_suppkey, (s_suppkey * 7 + 3) % 997)::BIGINT AS b, max(s_suppkey) AS way FROM supplier WHERE s_suppkey <> (s_suppkey * 7 + 3) % 997 GROUP BY 1, 2), e AS (SELECT *, 1e0 + way % 13 AS cost, way % 3 = 0 AS ind, way % 2 AS lev, way % 5 = 0 AS st FROM e0)"
 LINKS = "e AS (SELECT c_nationkey::BIGINT AS a, c_custkey + 1000 AS b FROM customer UNION ALL SELECT s_nationkey, s_suppkey + 1000 FROM supplier WHERE s_suppkey % 10 = 0), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e)"
 #: Nations that a customer joins, closed; a customer's root is its nation's.
 ROOTS = LINKS + ", n AS (SELECT DISTINCT x.a, y.a AS b FROM e x JOIN e y ON x.b = y.b), t AS (SELECT a, b FROM n UNION SELECT t.a, n.b FROM t JOIN n ON t.b = n.a), r AS (SELECT a, min(b) AS root FROM t GROUP BY 1), c AS (SELECT a AS node, root FROM r UNION SELECT e.b, r.root FROM e JOIN r ON r.a = e.a)"
@@ -226,18 +196,6 @@ CELLS = POINTS + ", c AS (SELECT (-floor(y / 2))::INTEGER AS row, floor(x / 2)::
 RAY = "o AS (SELECT dr, dc, 2 * sqrt(dr * dr + dc * dc) * tan(radians(20e0)) AS beam FROM (SELECT DISTINCT round_even(-i * 0.25e0 * cos(radians(310e0)), 0)::INTEGER AS dr, round_even(i * 0.25e0 * sin(radians(310e0)), 0)::INTEGER AS dc FROM range(1, 1 + (9 / (tan(radians(20e0)) * 0.5e0))::INTEGER) t(i)))"
 
 
-def _squares(edges: str, key: str, on: str, plus: str) -> str:
-    """Cheapest sums by squaring the table of costs five times: 32 edges, more than 25 nodes need. Independent of the search."""
-    out, last = edges, "d0"
-    for i in range(1, 6):
-        out += f", d{i} AS (SELECT x.f, y.t, min(x.c + y.c{plus}) AS c FROM {last} x JOIN {last} y ON {on} GROUP BY 1, 2)"
-        last = f"d{i}"
-    return out
-
-
-PAIRS = _squares(NET + ", d0 AS (SELECT a AS f, b AS t, min(cost) AS c FROM u GROUP BY 1, 2 UNION SELECT i, i, 0e0 FROM range(25) z(i))", "", "x.t = y.f", "")
-#: Over directed edges as states: from one edge to the next costs the change and the next edge.
-STATES = _squares(NET + ", g AS (SELECT *, row_number() OVER (ORDER BY a, b) AS i FROM u), d0 AS (SELECT x.i AS f, y.i AS t, y.cost + CASE WHEN x.ind <> y.ind THEN 5 ELSE 0 END + CASE WHEN x.st OR y.st THEN 0 ELSE 2 * abs(x.lev - y.lev) END AS c FROM g x JOIN g y ON x.b = y.a UNION SELECT i, i, 0e0 FROM g)", "", "x.t = y.f", "")
 PLANS = {
     "graph_edges": (graph_edges, "WITH s AS (SELECT l_orderkey AS way, l_linenumber AS seq, min(l_suppkey) AS node FROM lineitem GROUP BY 1, 2), x AS (SELECT way, node, lead(node) OVER (PARTITION BY way ORDER BY seq) AS nx FROM s), y AS (SELECT least(node, nx) AS a, greatest(node, nx) AS b, max(way) AS way FROM x WHERE nx <> node GROUP BY 1, 2) SELECT a, b, way, sqrt((a * 37 % 101 - b * 37 % 101) ** 2 + (a * 53 % 97 - b * 53 % 97) ** 2) AS length FROM y WHERE a % 17 <> 0 AND b % 17 <> 0"),
     "graph_gated": (graph_gated, f"WITH {NET} SELECT a, b, way FROM e WHERE way % 4 <> 1"),
@@ -245,10 +203,6 @@ PLANS = {
     "graph_hops": (graph_hops, f"WITH RECURSIVE {LINKS}, r(node, hops) AS (SELECT 0::BIGINT, 0 UNION SELECT u.b, r.hops + 1 FROM r JOIN u ON r.node = u.a WHERE r.hops < 4) SELECT node, min(hops)::INTEGER AS hops FROM r GROUP BY node"),
     "graph_components": (graph_components, f"WITH RECURSIVE {ROOTS} SELECT node, root FROM c"),
     "graph_component_profile": (graph_component_profile, f"WITH RECURSIVE {ROOTS}, s AS (SELECT root, count(*) AS n, count(*) FILTER (node < 1000) AS nations, max(node) AS last, avg(node) AS centre FROM c GROUP BY 1) SELECT *, row_number() OVER (ORDER BY n DESC, root)::INTEGER AS place FROM s"),
-    "graph_shortest_cost": (graph_shortest_cost, f"WITH {PAIRS} SELECT t AS node, c AS cost FROM d5 WHERE f = 0"),
-    "graph_state_search": (graph_state_search, f"WITH {STATES} SELECT z.b AS node, min(s.cost + d5.c) AS cost FROM d5 JOIN g s ON s.i = f AND s.a = 0 JOIN g z ON z.i = t WHERE z.b <> 0 GROUP BY 1 UNION ALL SELECT 0, 0e0"),
-    "join_path_edges": (join_path_edges, f"WITH {PAIRS} SELECT t AS node, c AS cost FROM d5 WHERE f = 0 AND t <> 0"),
-    "graph_preferred": (graph_preferred, None),
     "join_points_in_polygons": (join_points_in_polygons, f"WITH {POINTS} SELECT a.id AS pid, count(*) AS n, max(nullif(b.label, 0)) AS top FROM p a JOIN p b ON a.id % 5 = 0 AND b.id % 5 <> 0 AND abs(a.x - b.x) + abs(a.y - b.y) < 3 GROUP BY 1"),
     "join_left_over_nearest": (join_left_over_nearest, f"WITH {POINTS}, m AS (SELECT a.id AS pid, b.label, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS d, row_number() OVER (PARTITION BY a.id ORDER BY (a.x - b.x) ** 2 + (a.y - b.y) ** 2, b.id) AS i, bool_or(abs(a.x - b.x) + abs(a.y - b.y) < 3) OVER (PARTITION BY a.id) AS held FROM p a JOIN p b ON a.id % 5 = 0 AND b.id % 5 <> 0) SELECT pid, CASE WHEN d <= 6 THEN label::DOUBLE ELSE (SELECT median(label) FROM p WHERE id % 5 <> 0) END AS v, CASE WHEN d <= 6 THEN d END AS d FROM m WHERE i = 1 AND NOT held"),
     "join_constrained_top": (join_constrained_top, f"WITH {POINTS}, j AS (SELECT a.id, b.id AS id2, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS d FROM p a JOIN p b ON a.id % 5 = 0 AND b.id % 5 <> 0 AND a.label <> b.label AND (a.label % 3 IN (b.label % 3, b.id % 4) OR a.id % 4 IN (b.label % 3, b.id % 4))) SELECT id, place, id2, d FROM (SELECT *, (row_number() OVER (PARTITION BY id ORDER BY id2 % 2, d, id2) - 1)::INTEGER AS place FROM j WHERE d <= 5) WHERE place < 2"),
@@ -259,8 +213,6 @@ PLANS = {
     "raster_shadow": (raster_shadow, f"WITH {CELLS}, {RAY} SELECT c.row, c.col, coalesce(max(b.h - beam) > 0.05, false) AS shadow FROM c CROSS JOIN o LEFT JOIN c b ON b.row = c.row + dr AND b.col = c.col + dc GROUP BY 1, 2"),
     "raster_shade_factor": (raster_shade_factor, f"WITH {CELLS}, {RAY}, s AS (SELECT c.row, c.col, coalesce(max(CASE WHEN b.h % 4 = 0 THEN b.h - beam END) > 0.05, false) AS house, coalesce(bool_or(b.h % 2 = 1 AND b.h - beam > 0.05 AND b.h * 0.4e0 <= beam), false) AS crown FROM c CROSS JOIN o LEFT JOIN c b ON b.row = c.row + dr AND b.col = c.col + dc GROUP BY 1, 2) SELECT row, col, CASE WHEN house THEN 1 WHEN crown THEN 0.97e0 ELSE 0 END::DOUBLE AS shade FROM s"),
     "raster_point_shade": (raster_point_shade, f"WITH {CELLS}, {RAY}, q AS (SELECT id, (-floor(y / 2))::INTEGER AS row, floor(x / 2)::INTEGER AS col, label / 2 AS z FROM p WHERE id % 3 = 0) SELECT id, coalesce(max(b.h - beam - z) > 0.05, false) AS shaded FROM q CROSS JOIN o LEFT JOIN c b ON b.row = q.row + dr AND b.col = q.col + dc GROUP BY 1"),
-    "raster_sky_view": (raster_sky_view, f"WITH {CELLS}, o AS (SELECT DISTINCT a, round_even(-k * 0.25e0 * cos(2 * pi() * a / 16), 0)::INTEGER AS dr, round_even(k * 0.25e0 * sin(2 * pi() * a / 16), 0)::INTEGER AS dc FROM range(16) x(a), range(1, 41) y(k)), t AS (SELECT c.row, c.col, a, greatest(0, max((b.h - 1.1e0) / (2 * sqrt(dr * dr + dc * dc)))) AS t FROM c CROSS JOIN (SELECT * FROM o WHERE dr <> 0 OR dc <> 0) o LEFT JOIN c b ON b.row = c.row + dr AND b.col = c.col + dc GROUP BY 1, 2, 3) SELECT row, col, least(1, greatest(0, 1 - sum(t * t / (1 + t * t)) / 16)) AS svf FROM t GROUP BY 1, 2"),
-    "raster_blocked": (raster_blocked, f"WITH {CELLS} SELECT c.row, c.col, least(1, coalesce(sum((b.h - 1.1e0) ** 2 * 4 / (pi() * (4 * ((b.row - c.row) ** 2 + (b.col - c.col) ** 2) + (b.h - 1.1e0) ** 2) ** 2)) FILTER (b.h > 1.1), 0)) AS blocked FROM c LEFT JOIN c b ON 2 * sqrt((b.row - c.row) ** 2 + (b.col - c.col) ** 2) <= 10 GROUP BY 1, 2"),
     "raster_polygons": (raster_polygons, f"WITH {POINTS}, g AS (SELECT i AS cx, j AS cy FROM range(-40, 40) a(i), range(-40, 40) b(j)) SELECT -cy - 1 AS row, cx AS col, arg_max(label + 1, (label, id)) AS v FROM g JOIN p ON id % 5 = 0 AND abs(cx * 2 + 1 - x) + abs(cy * 2 + 1 - y) < 3 GROUP BY 1, 2"),
     "raster_fill": (raster_fill, f"WITH {CELLS}, j AS (SELECT a.row, a.col, b.h AS v, row_number() OVER (PARTITION BY a.row, a.col ORDER BY (a.row - b.row) ** 2 + (a.col - b.col) ** 2, b.h) AS i FROM c a JOIN c b ON b.h > 4 AND (a.row - b.row) ** 2 + (a.col - b.col) ** 2 <= 9) SELECT c.row, c.col, coalesce(v, 0) AS v FROM c LEFT JOIN j ON j.row = c.row AND j.col = c.col AND j.i = 1"),
     "raster_edge_gather": (raster_edge_gather, f"WITH {POINTS}, e AS (SELECT a.id, a.x + (b.x - a.x) * (k + 0.5e0) / 8 AS x, a.y + (b.y - a.y) * (k + 0.5e0) / 8 AS y FROM p a JOIN p b ON b.id = a.id + 1, range(8) t(k)), g AS (SELECT trunc((40 - y) / 4)::INTEGER AS row, trunc((x + 40) / 4)::INTEGER AS col, max(label) AS h FROM p GROUP BY 1, 2), s AS (SELECT e.id, g.h FROM e LEFT JOIN g ON g.row = trunc((40 - e.y) / 4) AND g.col = trunc((e.x + 40) / 4)), f AS (SELECT id, h, row_number() OVER (PARTITION BY id ORDER BY (h IS NULL)::INT, count(*) DESC, h) AS i FROM s GROUP BY id, h) SELECT s.id, coalesce(sum(s.h), 0) / greatest(count(s.h), 1) AS mean, any_value(coalesce(f.h, 0)) AS mode FROM s JOIN f ON f.id = s.id AND f.i = 1 GROUP BY s.id"),

@@ -8,11 +8,14 @@ from heatloom.functions import ways
 from heatloom.plans.tables import READINGS, readings, table
 
 HOURS = [
-    "24/7", "Mo-Su 10:00-18:00", "Su-We 10:00-19:00; Th-Fr 10:00-21:00; Sa 10:00-19:00", "Mo-Fr 09:00-17:00; We off", "Mo-Su 22:00-02:00", "Tu,Th 06:00-14:00,15:00-16:30", '10:00-12:00 "by appointment"; Su closed',
-    None, "  ", "sunrise-sunset", "Mo-Fr 09:00+", "Jan-Mar 09:00-17:00", "Mo-Fr 09:00-17:00 || Sa 10:00-12:00", "Mo-Fr",
+    "24/7", "Mo-Su 07:30-15:45", "Fr-Mo 11:15-16:00; Tu-We 08:00-12:30; Th 13:00-20:00", "Tu-Sa 06:45-13:15; Th off", "Mo-Su 19:30-04:15", "We,Sa 08:20-11:40,17:05-18:55", '12:00-15:30 "ring the bell"; Mo closed',
+    None, "   ", "dawn-dusk", "Tu-Th 07:00+", "Oct-Dec 08:00-12:00", "Sa 07:00-11:00 || Su 08:00-09:00", "We-Th",
+]
+#: The same by hand: text, first and last weekday (Monday: 1), first minute and the one after the last. Those from 7 on are unknown.
+SPANS = [
+    (0, 1, 7, 0, 1440), (1, 1, 7, 450, 945), (2, 5, 7, 675, 960), (2, 1, 1, 675, 960), (2, 2, 3, 480, 750), (2, 4, 4, 780, 1200), (3, 2, 3, 405, 795), (3, 5, 6, 405, 795),
+    (4, 1, 7, 1170, 1440), (4, 1, 7, 0, 255), (5, 3, 3, 500, 700), (5, 3, 3, 1025, 1135), (5, 6, 6, 500, 700), (5, 6, 6, 1025, 1135), (6, 2, 7, 720, 930),
 ]
-#: The same by hand: text, first and last weekday (Monday: 1), first minute and the one after the last. Nine and later are unknown.
-SPANS = [(0, 1, 7, 0, 1440), (1, 1, 7, 600, 1080), (2, 7, 7, 600, 1140), (2, 1, 3, 600, 1140), (2, 4, 5, 600, 1260), (2, 6, 6, 600, 1140), (3, 1, 2, 540, 1020), (3, 4, 5, 540, 1020), (4, 1, 7, 1320, 1440), (4, 1, 7, 0, 120), (5, 2, 2, 360, 840), (5, 2, 2, 900, 990), (5, 4, 4, 360, 840), (5, 4, 4, 900, 990), (6, 1, 6, 600, 720)]
 LEVELS = ["0", "1;2", "-1", "0;-1", "0-2", "1.5", "mezzanine", "", "3;x;-2", None]
 
 
@@ -25,15 +28,15 @@ def text_open_hours(spark, sf_dir):
 
 
 def text_levels(spark, sf_dir):
-    levels = spark.createDataFrame([(i, t) for i, t in enumerate(LEVELS)], "place int, text string")
-    return levels.select("place", F.array_join(ways.levels_of(F.col("text")), ",").alias("levels"))
+    """The levels of all ways, from their layer where they have none."""
+    return tagged(spark, sf_dir).select("p_partkey", F.array_join(ways.levels(F.col("tags")), ",").alias("levels"))
 
 
 def tagged(spark, sf_dir):
     """Ways with tags, from the parts."""
     k = F.col("p_partkey")
     pick = lambda values, by: F.get(F.array(*[F.lit(v) for v in values]), (by % len(values)).cast("int"))
-    tags = {"highway": pick(["footway", "steps", "corridor", "motorway", "primary", "service", None], k), "foot": pick([None, "yes", "no"], k / 7), "access": pick([None, None, "private"], k / 21), "indoor": pick([None, "yes", None, "no"], k / 5), "tunnel": pick([None, "building_passage", None, None, None], k / 3), "level": pick([*LEVELS], k / 2), "covered": pick([None, "yes", None, "arcade"], k / 11), "bridge": pick([None, None, "yes"], k / 13), "step_count": pick([None, "12", "many", "-20"], k / 7), "conveying": pick([None, "no", "yes"], k / 17)}
+    tags = {"highway": pick(["footway", "steps", "corridor", "motorway", "primary", "service", None], k), "foot": pick([None, "yes", "no"], k / 7), "access": pick([None, None, "private"], k / 21), "indoor": pick([None, "yes", None, "no"], k / 5), "tunnel": pick([None, "building_passage", None, None, None], k / 3), "level": pick([*LEVELS], k / 2), "layer": pick([None, "1", "-1"], k / 19), "covered": pick([None, "yes", None, "arcade"], k / 11), "bridge": pick([None, None, "yes"], k / 13), "step_count": pick([None, "12", "many", "-20"], k / 7), "conveying": pick([None, "no", "yes"], k / 17)}
     return table(spark, sf_dir, "part").select("p_partkey", F.create_map(*[x for n, v in tags.items() for x in (F.lit(n), v)]).alias("tags"))
 
 
@@ -56,7 +59,7 @@ def flt_literals(spark, sf_dir):
 _LEVEL_SQL = "(VALUES (0, '0'), (1, '1,2'), (2, '-1'), (3, '-1,0'), (4, '-2,0'), (5, '1'), (6, '0'), (7, '0'), (8, '-2,3'), (9, '0')) AS v(place, levels)"
 PLANS = {
     "text_open_hours": (text_open_hours, f"WITH {READINGS}, s(place, d0, d1, a, b) AS (VALUES {', '.join(str(x) for x in SPANS)}), t AS (SELECT event_id, (event_id % 14)::INTEGER AS place, isodow(ts) AS d, hour(ts) * 60 + minute(ts) AS m FROM r) SELECT event_id, place, CASE WHEN place < 7 THEN EXISTS (SELECT 1 FROM s WHERE s.place = t.place AND d BETWEEN d0 AND d1 AND m >= a AND m < b) END AS open FROM t"),
-    "text_levels": (text_levels, f"SELECT place, levels FROM {_LEVEL_SQL}"),
+    "text_levels": (text_levels, f"SELECT p_partkey, CASE WHEN place < 9 THEN levels ELSE ['0', '1', '-1'][1 + trunc(p_partkey / 19 % 3)::INTEGER] END AS levels FROM part JOIN {_LEVEL_SQL} ON place = trunc(p_partkey / 2 % 10)"),
     "flt_ways": (flt_ways, f"""WITH t AS (SELECT p_partkey, p_partkey % 7 AS hw, (p_partkey / 7 % 3)::DOUBLE AS ft, p_partkey / 21 % 3 AS ac, p_partkey / 5 % 4 AS ind, p_partkey / 3 % 5 AS tu, trunc(p_partkey / 2 % 10)::INTEGER AS lv, p_partkey / 11 % 4 AS co, p_partkey / 13 % 3 AS br, p_partkey / 7 % 4 AS sc, p_partkey / 17 % 3 AS cv FROM part),
 l AS (SELECT t.*, list_transform(string_split(levels, ','), lambda x: x::INTEGER) AS s FROM t JOIN {_LEVEL_SQL} ON place = lv),
 b AS (SELECT *, trunc(ind) = 1 OR hw = 2 OR trunc(tu) = 1 AS inside, trunc(co) IN (1, 3) OR list_min(s) < 0 AS cover FROM l)

@@ -12,7 +12,7 @@ from tests.conftest import SF
 #: Tables with enough rows for rare cases.
 DIRS = [SF.replace("sf0.001", "sf0.01")]
 #: Queries without SQL are tested on fixtures: test_operators.py.
-NO_SQL = {"agg_bootstrap_ci", "graph_preferred"}
+NO_SQL = {"agg_bootstrap_ci", "graph_preferred", "graph_pairs", "graph_snap"}
 
 
 @pytest.fixture(scope="module", params=DIRS)
