@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import gc
 import tempfile
 import time
@@ -102,6 +104,29 @@ def join_hot(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inn
     return near.unionByName(far)
 
 
+def give_back() -> None:
+    """Let this process return the memory that it no longer needs: Python workers outlive their tasks and hold it beside the JVM."""
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # not this C library
+        pass
+
+
+def tidy(run):
+    """run (of mapInPandas or mapInArrow), after which the worker's free memory is given back."""
+
+    @functools.wraps(run)
+    def tidied(batches):
+        yield from run(batches)
+        give_back()
+
+    return tidied
+
+
 def slices(sizes, most: int):
     """(start, stop) runs of rows whose sizes add up to about `most`; a larger row is a run of its own."""
     start, total = 0, 0

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, column, cut, unpacked, whole_row
+from .common import SPACE, column, cut, tidy, unpacked, whole_row
 
 SEGMENT_BITS = 1 << 20
 PROBES = 3
@@ -95,8 +95,8 @@ def twice_seen_filter(docs: DataFrame, min_chars: int, segments: int) -> np.ndar
         if at is not None and twice.any():
             yield result()
 
-    packed = docs.mapInPandas(hashed, "segment int, hashes binary, many binary")
-    filled = packed.repartition(segments, "segment").sortWithinPartitions("segment").mapInPandas(fill, "segment int, twice binary")
+    packed = docs.mapInPandas(tidy(hashed), "segment int, hashes binary, many binary")
+    filled = packed.repartition(segments, "segment").sortWithinPartitions("segment").mapInPandas(tidy(fill), "segment int, twice binary")
     bits = np.zeros((segments, SEGMENT_BITS // 8), np.uint8)
     for row in filled.toLocalIterator():  # at most MAX_FILTER_BITS in all
         bits[row["segment"]] = np.frombuffer(zlib.decompress(row["twice"]), np.uint8)
@@ -129,7 +129,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pd.DataFrame({"__id": np.array(ids)[at], "digest": [xxhash.xxh3_128_digest(keys[i]) for i in at]})
 
     id_type = docs.schema[id_col].dataType.simpleString()
-    found = cut(known.mapInPandas(suspects, f"__id {id_type}, digest binary"))
+    found = cut(known.mapInPandas(tidy(suspects), f"__id {id_type}, digest binary"))
     first = cut(found.groupBy("digest").agg(F.min("__id").alias("first"), F.max("__id").alias("last")).where("first < last").drop("last"))
     drops = found.join(first, "digest").where("__id > first").groupBy("__id").agg(F.collect_set("digest").alias("__drops")).withColumnRenamed("__id", "__drop_id")
 

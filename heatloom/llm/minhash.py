@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, cut, slices, unpacked, whole_numbers, whole_row
+from .common import column, cut, slices, tidy, unpacked, whole_numbers, whole_row
 from .lines import MAX_FILTER_BITS, SEGMENT_BITS, bit_places, has_bits, set_bits
 
 BANDS, ROWS = 25, 5
@@ -278,7 +278,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 digests = [xxhash.xxh3_128_digest(" ".join(words_of(t)).encode("utf-8", "surrogatepass")) if s else None for t, s in zip(texts[a:b], some, strict=True)]
                 yield pd.DataFrame({"id": pdf["id"].to_numpy()[a:b], "th": pdf["th"].to_numpy()[a:b], "digest": digests, "bands": [x if s else None for x, s in zip(value.view(np.int64), some, strict=True)]})
 
-    drawn = cut(base.mapInPandas(sketch, "id long, th long, digest binary, bands array<long>"))
+    drawn = cut(base.mapInPandas(tidy(sketch), "id long, th long, digest binary, bands array<long>"))
     twice = drawn.groupBy("id").agg(F.count(F.lit(1)).alias("rows"), F.min("th").alias("low")).where("rows > 1").select(F.col("id").alias("i2"), "low")
     drawn = drawn.join(twice, F.col("id") == F.col("i2"), "left").where("i2 IS NULL OR th = low").drop("i2", "low")
     copies = cut(drawn.where("digest is not null").groupBy("digest").agg(F.min("id").alias("text_id"), F.count(F.lit(1)).alias("n")))

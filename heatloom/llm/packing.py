@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .binary import CHARS
-from .common import column, cut, slices
+from .common import column, cut, slices, tidy
 from .tokens import Encoder
 
 GROUP = 40_000
@@ -69,7 +69,7 @@ def pieces_of(docs: DataFrame, tokenizer: str, capacity: int = 2048, id_col: str
                 yield out.astype({"__id": "Int64"}) if id_type in ("bigint", "int") else out
 
     base = docs.select(column(id_col).alias("__id"), column(text_col).alias("__text"))
-    out = base.mapInPandas(cut_up, f"__id {id_type}, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids)
+    out = base.mapInPandas(tidy(cut_up), f"__id {id_type}, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids)
     return out.withColumnRenamed("__id", id_col)
 
 

@@ -5,8 +5,9 @@ per host and line; lines above the limit are boilerplate and removed; a document
 is left is rejected. A line is above the limit if over `max_documents_pct` percent of the host's
 distinct documents hold it, and over `max_documents` in any case: from 2,000 documents (by default)
 a host's verdicts depend on shares alone. Exact copies (the same normalised lines in the same order) count once everywhere.
-Near copies do not make their lines boilerplate either: the documents that hold a line above the limit are compared with each
-other, and near copies among them, as minhash.near_duplicates finds them, count as one when the line is judged again.
+Near copies do not make their lines boilerplate either: the documents that hold a line near or above the limit are compared with each
+other, and near copies among them, as minhash.near_duplicates finds them, count as one document: of those that hold a line and of the
+host's alike. As that lowers the limit, this goes on until no line is left that it newly concerns.
 (By shared boilerplate alone two texts are near copies only where under a fifth of each is its own, and such texts are
 rejected once those lines are gone.) A document's host is any column (here its source).
 
@@ -30,11 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import minhash
-from .common import SPACE, column, cut, unpacked, whole_row
+from .common import SPACE, column, cut, tidy, unpacked, whole_row
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SYMBOL = re.compile(r"[#*$%&|<>]")
 WINDOW = 5
+#: Lines are compared from this part of the limit on, as near copies lower it: mostly that saves a second round.
+MARGIN = 0.75
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -114,21 +117,33 @@ def verdicts(docs: DataFrame, id_col: str, text_col: str, host_col: str, min_wor
     id_type, host_type = (docs.schema[c].dataType.simpleString() for c in (id_col, host_col))
     schema = f"key long, id {id_type}, host {host_type}, {', '.join(f'{c} long' for c in STATS)}, hashes array<long>, words array<long>, digest long"
     base = docs.select(row_key(id_col, text_col, host_col).alias("key"), column(id_col).alias("id"), column(host_col).alias("host"), column(text_col).alias("text"))
-    found = cut(base.mapInPandas(measured, schema).withColumn("row", F.monotonically_increasing_id()))
+    found = cut(base.mapInPandas(tidy(measured), schema).withColumn("row", F.monotonically_increasing_id()))
     same_line = lambda h, k: F.col("host").eqNullSafe(F.col(h)) & (F.col("hash") == F.col(k))
     lines = found.select("row", "key", "host", "digest", F.explode(F.arrays_zip(F.col("hashes").alias("hash"), "words")).alias("l")).select("row", "key", "host", "digest", "l.hash", "l.words")
-    of = found.where(F.size("hashes") > 0).groupBy("host", "digest").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count(F.lit(1)).alias("of")).withColumnRenamed("host", "h0")
-
-    def above(held: DataFrame, document: str) -> DataFrame:
-        """h1, k1: lines that more distinct documents of their host hold than the limits allow."""
-        n = held.groupBy("host", "hash", document).agg(F.lit(1).alias("one")).groupBy("host", "hash").count().where(F.col("count") > max_documents)
-        n = n.join(of, F.col("host").eqNullSafe(F.col("h0"))).where(100 * F.col("count") > max_documents_pct * F.col("of"))
-        return n.select(F.col("host").alias("h1"), F.col("hash").alias("k1"))
-
-    near = cut(lines.join(above(lines, "digest"), same_line("h1", "k1"), "left_semi"))
-    texts = minhash.texts_of(base.select(F.col("key").alias("id"), F.col("text").alias("t"), F.lit(0).alias("th")), cut(near.select(F.col("key").alias("id")).distinct()))
-    classes = minhash.near_duplicates(texts, "id", "t").select(F.col("id").alias("i1"), F.col("class_id").alias("document"))
-    common = above(near.join(classes, F.col("key") == F.col("i1")), "document").withColumnsRenamed({"h1": "h2", "k1": "k2"})
+    # lines that over max_documents texts hold, with the number of texts; few, and all that may be above the limit
+    some = lines.groupBy("host", "hash", "digest").agg(F.lit(1).alias("one")).groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_documents)
+    many = cut(some.withColumnsRenamed({"host": "h1", "hash": "k1"}))
+    classes, judged = None, -1
+    while True:
+        # documents of a host: classes of near copies where documents were compared, else distinct texts
+        own = found.where(F.size("hashes") > 0)
+        unit = F.struct(F.lit(None).cast("long").alias("document"), "digest")
+        if classes is not None:
+            unit = F.struct("document", F.when(F.col("document").isNull(), F.col("digest")).alias("digest"))
+            own = own.join(classes, F.col("key") == F.col("i1"), "left")
+        of = cut(own.select("host", unit.alias("unit")).distinct().groupBy("host").agg(F.count(F.lit(1)).alias("of")).withColumnRenamed("host", "h0"))
+        share = max_documents_pct * (MARGIN if classes is None else 1)
+        above = many.join(of, F.col("h1").eqNullSafe(F.col("h0"))).where(100 * F.col("n") > share * F.col("of")).select("h1", "k1")
+        number = above.count()
+        if number <= judged:
+            break  # all lines that the documents of this count put above the limit have been compared
+        # fewer documents lower the limit, so that the lines to compare only become more
+        judged = number
+        near = cut(lines.join(above, same_line("h1", "k1"), "left_semi"))
+        texts = minhash.texts_of(base.select(F.col("key").alias("id"), F.col("text").alias("t"), F.lit(0).alias("th")), cut(near.select(F.col("key").alias("id")).distinct()))
+        classes = cut(minhash.near_duplicates(texts, "id", "t").select(F.col("id").alias("i1"), F.col("class_id").alias("document")))
+    held = near.join(classes, F.col("key") == F.col("i1")).groupBy("host", "hash", "document").agg(F.lit(1).alias("one")).groupBy("host", "hash").count().where(F.col("count") > max_documents)
+    common = held.join(of, F.col("host").eqNullSafe(F.col("h0"))).where(100 * F.col("count") > max_documents_pct * F.col("of")).select(F.col("host").alias("h2"), F.col("hash").alias("k2"))
     gone = near.join(common, same_line("h2", "k2")).groupBy("row").agg(F.sum("words").alias("gone"), F.collect_set("hash").alias("boilerplate")).withColumnRenamed("row", "r2")
     all_ = found.drop("hashes", "words", "host", "digest").join(gone, F.col("row") == F.col("r2"), "left")
     lost = F.coalesce("gone", F.lit(0))

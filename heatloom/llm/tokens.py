@@ -16,7 +16,7 @@ from itertools import repeat
 
 import numpy as np
 
-MAX_CHUNKS = 1_000_000
+MAX_CHUNKS = 250_000
 PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]?)")
 
 

@@ -148,6 +148,17 @@ def test_line_limit_is_a_share_of_a_large_host(spark):
     assert texts == {i: t if i < 25 else t.split("\n")[0] for i, t, _ in rows}
 
 
+def test_near_copies_count_once_in_the_host_as_well(spark):
+    rng = random.Random(12)
+    body = [own_words(rng, 12) for _ in range(5)]
+    rows = [(i, own_words(rng, 14) + "\na line of forty documents", "a") for i in range(40)]
+    rows += [(i, "\n".join([*body, f"edit{i}"]), "a") for i in range(40, 2600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: (r.n_boilerplate_words, r.kept) for r in quality.judge_documents(docs, max_documents_pct=2).collect()}
+    # 41 documents of the host, 40 of which hold the line; by texts it were 40 of 2,600
+    assert got == {i: (5 if i < 40 else 0, True) for i, *_ in rows}
+
+
 def test_line_dedup(docs, rows, none):
     first = {}
     for i, t, *_ in rows:
