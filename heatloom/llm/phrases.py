@@ -59,10 +59,8 @@ class Words:
         first = np.cumsum([0] + [len(t) + 1 for t in texts[:-1]])
         self.langs, lang = np.unique(np.array(langs, object), return_inverse=True)
         self.lang = lang[np.searchsorted(first, starts, "right") - 1]
-
-    def hashes(self) -> tuple[np.ndarray, np.ndarray]:
-        """Of each distinct word and language."""
-        return tuple(np.array([xxhash.xxh3_64_intdigest(x) for x in own], np.uint64) for own in (self.vocabulary.to_pylist(), self.langs.tolist()))
+        #: Hashes of each distinct word and language.
+        self.word_hash, self.lang_hash = (np.array([xxhash.xxh3_64_intdigest(x) for x in own], np.uint64) for own in (self.vocabulary.to_pylist(), self.langs.tolist()))
 
 
 def follow(first: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -79,6 +77,14 @@ def gram_hash(lang: str, phrase: str) -> int:
     return int(h[0])
 
 
+def numbered(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct values, a first place of each, the number of each value among them, and counts."""
+    code, distinct = pd.factorize(values)
+    first = np.empty(len(distinct), np.int64)
+    first[code[::-1]] = np.arange(len(values))[::-1]
+    return distinct, first, code, np.bincount(code, minlength=len(distinct))
+
+
 class Grams:
     """The distinct grams of one length in some texts: places (at) of all, number of each (code), and by number a first place, count and hash."""
 
@@ -88,20 +94,19 @@ class Grams:
 
 def words_of(words: Words) -> Grams:
     size = len(words.vocabulary)
-    distinct, first, code, count = np.unique(words.lang * size + words.word, return_index=True, return_inverse=True, return_counts=True)
-    word_hash, lang_hash = words.hashes()
-    return Grams(np.arange(words.n), code, first, count, follow(lang_hash[distinct // size], word_hash[distinct % size]))
+    distinct, first, code, count = numbered(words.lang * size + words.word)
+    return Grams(np.arange(words.n), code, first, count, follow(words.lang_hash[distinct // size], words.word_hash[distinct % size]))
 
 
-def longer(words: Words, g: Grams, length: int, word_hash: np.ndarray) -> Grams:
+def longer(words: Words, g: Grams, length: int) -> Grams:
     """The grams of `length` words that begin with one of g."""
     size = len(words.vocabulary)
     on = g.at + length - 1 < words.n
     at, code = g.at[on], g.code[on]
     on = words.piece[at] == words.piece[at + length - 1]
     at, code = at[on], code[on]
-    parts, first, own, count = np.unique(code * size + words.word[at + length - 1], return_index=True, return_inverse=True, return_counts=True)
-    return Grams(at, own, at[first], count, follow(g.gram[parts // size], word_hash[parts % size]))
+    parts, first, own, count = numbered(code * size + words.word[at + length - 1])
+    return Grams(at, own, at[first], count, follow(g.gram[parts // size], words.word_hash[parts % size]))
 
 
 def open_only(words: Words, g: Grams, bits: np.ndarray, mask: int = WHOLE) -> tuple[Grams, np.ndarray]:
@@ -127,13 +132,12 @@ def counted_grams(words: Words, k: int, bits: np.ndarray | None, below: bool, ma
     if k == 1:
         yield as_strings(words, 1, g.first, g.count)
         return
-    word_hash, _ = words.hashes()
     for length in range(2, k):
-        g = longer(words, g, length, word_hash)
+        g = longer(words, g, length)
     on, known = open_only(words, g, bits, mask)
     if below and known.any():
         yield as_strings(words, k - 1, g.first[known], g.count[known])
-    g = longer(words, on, k, word_hash)
+    g = longer(words, on, k)
     if len(g.first):
         yield as_strings(words, k, g.first, g.count)
 
@@ -141,7 +145,7 @@ def counted_grams(words: Words, k: int, bits: np.ndarray | None, below: bool, ma
 def hashed_pairs(words: Words, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes and counts of the 2-grams of which both words are in the filter."""
     on, _ = open_only(words, words_of(words), bits)
-    g = longer(words, on, 2, words.hashes()[0])
+    g = longer(words, on, 2)
     return g.gram, g.count
 
 
