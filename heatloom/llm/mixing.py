@@ -2,7 +2,7 @@
 
 Documents are aggregated by membership pattern (the set of sources that they belong to). Words flow
 from patterns to sources: a pattern's first pass costs nothing, each further pass more (a convex cost
-of repetition), and a source takes up to its target. Successive cheapest augmenting paths give the
+of repetition), and a source takes up to its target. Blocking flows, pass by pass, give the cheapest
 flow; the network has one node for each pattern and source, never one for a document. Each pattern's
 flow is then turned into whole passes over its documents and one partial pass, filled in the order of
 a seeded hash: sums over ranges of the hash find the range in which the partial pass ends, and only
@@ -19,8 +19,6 @@ the larger size; a document with no words is never taken; extra columns do not m
 
 from __future__ import annotations
 
-import heapq
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,7 +28,7 @@ from .common import column, cut, unpacked, whole_row
 
 WEIGHTS = (3, 1, 2)
 #: More distinct membership patterns than this do not fit the driver's flow network.
-MAX_PATTERNS = 100_000
+MAX_PATTERNS = 1_000_000
 HASH_RANGE_BITS = 12
 
 
@@ -55,58 +53,77 @@ def share_out(sizes: dict, weights=WEIGHTS, share: float = 1.5, max_passes: floa
     return target
 
 
+def augment(out: list[list[int]], to: list[int], left: list[float], end: int, tiny: float) -> None:
+    """Enlarge a flow from node 0 to `end` until no arc path is open, by blocking flows along shortest paths: arc k leads to to[k] and
+    has left[k] of its capacity; arc k ^ 1 is its reverse."""
+    while True:
+        level, ring = [-1] * len(out), [0]
+        level[0] = 0
+        for a in ring:
+            for k in out[a]:
+                if left[k] > tiny and level[to[k]] < 0:
+                    level[to[k]] = level[a] + 1
+                    ring.append(to[k])
+        if level[end] < 0:
+            return
+        at, path, node = [0] * len(out), [], 0
+        while True:
+            if node == end:
+                amount = min(left[k] for k in path)
+                for k in path:
+                    left[k] -= amount
+                    left[k ^ 1] += amount
+                # back to the first arc that is full
+                full = next(i for i, k in enumerate(path) if left[k] <= tiny)
+                node = to[path[full] ^ 1]
+                del path[full:]
+            own = out[node]
+            while at[node] < len(own) and not (left[own[at[node]]] > tiny and level[to[own[at[node]]]] == level[node] + 1):
+                at[node] += 1
+            if at[node] < len(own):
+                path.append(own[at[node]])
+                node = to[path[-1]]
+            elif path:
+                node = to[path.pop() ^ 1]
+                at[node] += 1
+            else:
+                break
+
+
 def route(patterns: dict[tuple, int], targets: dict, passes: int = 2) -> dict[tuple, dict]:
     """Words that each pattern gives to each source: a flow of least cost among the largest flows.
 
-    Arcs: root -> pattern, one for each pass with the pattern's words as capacity and the pass's
-    number as cost; pattern -> its sources; source -> end, up to the target."""
+    Arcs: root -> pattern, with the pattern's words as capacity for each pass; pattern -> its sources; source -> end, up to the target.
+    Pass k costs k a word, and only these arcs cost anything. So the cheapest flow comes in phases: the largest flow of first
+    passes, enlarged by second passes, and so on; what an earlier pass gives is never taken back, only sent on to other sources.
+    Sources that only patterns of one source feed need no flow."""
     order = sorted(patterns, key=repr)
-    names = {s: i for i, s in enumerate(targets)}
-    end = len(order) + len(names) + 1
-    arcs: list[list[float]] = []  # to, capacity left, cost; arc i ^ 1 is its reverse
+    shared = {s for p in order if len(p) > 1 for s in p}
+    found = {p: {p[0]: min(float(targets[p[0]]), float(patterns[p]) * passes)} for p in order if len(p) == 1 and p[0] not in shared}
+    rest = [p for p in order if p not in found]
+    names = {s: len(rest) + 1 + i for i, s in enumerate(x for x in targets if x in shared)}
+    end = len(rest) + len(names) + 1
+    to: list[int] = []
+    left: list[float] = []
     out: list[list[int]] = [[] for _ in range(end + 1)]
 
-    def arc(a, b, capacity, cost):
-        out[a].append(len(arcs))
-        arcs.append([b, capacity, cost])
-        out[b].append(len(arcs))
-        arcs.append([a, 0.0, -cost])
-
-    links = {}
-    for i, p in enumerate(order, 1):
-        for k in range(passes):
-            arc(0, i, float(patterns[p]), k)
-        for s in p:
-            links[p, s] = len(arcs)
-            arc(i, len(order) + 1 + names[s], float(patterns[p]) * passes, 0)
-    for s, i in names.items():
-        arc(len(order) + 1 + i, end, float(targets[s]), 0)
-    height = [0.0] * (end + 1)
+    def arc(a: int, b: int, capacity: float) -> int:
+        for x, y, c in ((a, b, capacity), (b, a, 0.0)):
+            out[x].append(len(to))
+            to.append(y)
+            left.append(c)
+        return len(to) - 2
+
+    roots = [arc(0, i, 0.0) for i in range(1, len(rest) + 1)]
+    links = {(p, s): arc(i, names[s], float(patterns[p]) * passes) for i, p in enumerate(rest, 1) for s in p}
+    for s, node in names.items():
+        arc(node, end, float(targets[s]))
     tiny = 1e-9 * max(1.0, sum(targets.values()))
-    while True:
-        best, via = [float("inf")] * (end + 1), [-1] * (end + 1)
-        best[0], queue = 0.0, [(0.0, 0)]
-        while queue:
-            d, a = heapq.heappop(queue)
-            if d > best[a]:
-                continue
-            for k in out[a]:
-                b, capacity, cost = arcs[k]
-                if capacity > tiny and (to := d + cost + height[a] - height[b]) < best[b] - 1e-12:
-                    best[b], via[b] = to, k
-                    heapq.heappush(queue, (to, b))
-        if via[end] < 0:
-            break
-        height = [h + min(b, best[end]) for h, b in zip(height, best, strict=True)]
-        path, a = [], end
-        while a:
-            path.append(via[a])
-            a = int(arcs[via[a] ^ 1][0])
-        amount = min(arcs[k][1] for k in path)
-        for k in path:
-            arcs[k][1] -= amount
-            arcs[k ^ 1][1] += amount
-    return {p: {s: arcs[links[p, s] ^ 1][1] for s in p} for p in order}
+    for _ in range(passes):
+        for k, p in zip(roots, rest, strict=True):
+            left[k] += float(patterns[p])
+        augment(out, to, left, end, tiny)
+    return {p: found[p] if p in found else {s: left[links[p, s] ^ 1] for s in p} for p in order}
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = 1.5, max_passes: int = 2, seed: str = "mix") -> DataFrame:

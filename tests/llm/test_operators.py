@@ -475,6 +475,32 @@ def test_flow_against_all_flows():
         assert (-total, cost) == pytest.approx(best), (patterns, targets)
 
 
+def test_flow_of_many_patterns():
+    """10,000 overlapping patterns in a few seconds; the flow fills all targets that words allow."""
+    import time
+
+    rng = random.Random(2)
+    names = [f"s{i}" for i in range(300)]
+    patterns = {tuple(sorted(rng.sample(names, rng.randint(1, 4)))): rng.randint(1, 1000) for _ in range(10_000)}
+    fed = sorted({s for p in patterns for s in p})
+    targets = {s: float(rng.randint(1, 20_000)) for s in fed}
+    start = time.monotonic()
+    flow = mixing.route(patterns, targets, 2)
+    assert time.monotonic() - start < 60
+    into = Counter()
+    for p, f in flow.items():
+        assert sum(f.values()) <= 2 * patterns[p] + 1e-3
+        for s, x in f.items():
+            into[s] += x
+    assert all(into[s] <= targets[s] + 1e-3 for s in fed)
+    # a source below its target has no pattern with words left
+    for p, f in flow.items():
+        if sum(f.values()) < 2 * patterns[p] - 1e-3:
+            assert all(into[s] >= targets[s] - 1e-3 for s in p)
+    alone = mixing.route({(s,): 10 for s in names}, {s: 15.0 for s in names}, 2)
+    assert all(f == {p[0]: 15.0} for p, f in alone.items())
+
+
 def test_sets_with_nulls_are_told_apart(spark):
     rows = [(i, "w w w", [None, "a"] if i % 2 else ["a"]) for i in range(40)]
     got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source array<string>")).collect()
