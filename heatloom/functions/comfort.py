@@ -78,6 +78,33 @@ def uv_under_cloud(index: Column, cloud_pct: Column) -> Column:
     return index * (1.0 - 0.56 * F.pow(clamp(cloud_pct, 0.0, 100.0) / 100.0, F.lit(3.4)))
 
 
+def uv_index_for(slot: Column, now: Column, measured: Column, stamp: Column, feed: Column, cloud_pct: Column, elevation: Column, station: str = "station") -> Column:
+    """Struct of index and source: the measurement for the current slot, else the feed's clear-sky value under cloud, else the modelled
+    one; the source says which."""
+    whole = lambda c: F.bround(c, 0).cast("int").cast("string")
+    cloud = F.concat(F.lit(" x cloud ("), whole(cloud_pct), F.lit("%)"))
+    pair = lambda i, s: F.struct(i.cast("double").alias("index"), s.alias("source"))
+    model = F.concat(F.lit("modelled clear-sky at "), whole(elevation), F.lit(" deg elevation"), cloud)
+    under = lambda c: F.round(F.greatest(F.lit(0.0), uv_under_cloud(c, cloud_pct)), 1)
+    return (
+        F.when((slot == now) & measured.isNotNull(), pair(measured, F.concat(F.lit(f"{station} measured "), stamp)))
+        .when(feed.isNotNull(), pair(under(feed), F.concat(F.lit("feed clear-sky"), cloud)))
+        .when(elevation.isNotNull(), pair(under(uv_clear(elevation)), model)).otherwise(pair(F.lit(None), F.lit("no index in the feed and no measurement")))
+    )
+
+
+def extraterrestrial(day_of_year: Column, elevation: Column) -> Column:
+    """W/m2 on the horizontal outside the air; 0 with the sun down."""
+    near = 1366.1 * (1.0 + 0.033 * F.cos(2.0 * F.pi() * day_of_year / 365.0))
+    return F.greatest(F.lit(0.0), near * F.sin(F.radians(elevation)))
+
+
+def diffuse_share(kt: Column) -> Column:
+    """Expected diffuse share of the light by clearness (Erbs and others, 1982). Fixed values."""
+    middle = 0.9511 + kt * (-0.1604 + kt * (4.388 + kt * (-16.638 + kt * 12.336)))
+    return F.when(kt <= 0.22, 1.0 - 0.09 * kt).when(kt <= 0.8, middle).otherwise(F.when(kt.isNotNull(), 0.165))
+
+
 def ghi_clear(elevation: Column) -> Column:
     s = F.sin(F.radians(elevation))
     return F.when(elevation.isNotNull(), F.when(elevation > 0, 1098.0 * s * F.exp(-0.059 / s)).otherwise(0.0))
@@ -113,6 +140,17 @@ def sky_condition(direct: Column, cloud_pct: Column, precip: Column, elevation:
     )
 
 
+def sky_reason(direct: Column, cloud_pct: Column, precip: Column, elevation: Column, row_elevation: Column) -> Column:
+    """What decided sky_condition, with its value."""
+    rain, kb = F.coalesce(precip, F.lit(0.0)), beam_fraction(direct, F.coalesce(row_elevation, elevation))
+    cover = F.concat(F.lit("cloud cover "), F.format_string("%.0f", F.bround(F.coalesce(cloud_pct.cast("double"), F.lit(0.0)), 0)), F.lit("% ("))
+    return (
+        F.when(rain > 0, F.format_string("precipitation %.1f mm", rain.cast("double"))).when(elevation.isNull(), F.concat(cover, F.lit("no sun position)")))
+        .when(elevation <= 5.0, F.format_string("sun %.1f deg -- below 5", elevation.cast("double"))).when(kb.isNull(), F.concat(cover, F.lit("sun too low to read the beam)")))
+        .otherwise(F.format_string("beam %.2f of clear-sky", kb))
+    )
+
+
 def sky_longwave(ta_k: Column, e: Column, cloud: Column) -> Column:
     """W/m2 from an unobstructed sky; e in hPa, cloud as a share."""
     return sky_emissivity(ta_k - 273.15, e, clamp(cloud, 0.0, 1.0)) * SIGMA * F.pow(ta_k, F.lit(4.0))
@@ -247,6 +285,11 @@ def surface_step(t: Column, absorbed: Column, air: Column, h: Column | float, ep
     return t + dt * gain / (heat + dt * ((1.0 - beta) * 4.0 * eps * SIGMA * F.pow(t, F.lit(3.0)) + h + k_deep))
 
 
+def explicit_step(heat: Column | float, eps: Column | float, h: Column | float, t: Column, k_deep: Column | float = 0.0) -> Column:
+    """The longest step (s) that an explicit march could take at t (K); surface_step has no such limit."""
+    return 2.0 * heat / (h + k_deep + 4.0 * eps * SIGMA * F.pow(t, F.lit(3.0)))
+
+
 def march(series: Column, start: Column, h: Column | float = 8.0, eps: float = 0.95, heat: float = 2.5e5, dt: float = 3600.0) -> Column:
     """Surface temperature (K) after all steps of an array of structs (absorbed, air in K)."""
     return F.aggregate(series, start, lambda t, f: surface_step(t, f["absorbed"], f["air"], h, eps, heat, dt))
@@ -348,6 +391,13 @@ def edge_cost(length: Column, rise: Column, conveying: Column, badness: Column,
     return equivalent_length(length, rise, conveying) * (1.0 + k * F.coalesce(badness, F.lit(0.0)))
 
 
+def preference_ladder(rungs: list[float], unacclimatised: Column, vulnerable: Column, per_flag: float = 1.8) -> Column:
+    """The preferences that a walker's options span: each rung times a factor for each flag that is set."""
+    flag = lambda c: F.when(F.coalesce(c, F.lit(False)), per_flag).otherwise(1.0)
+    factor = F.round(flag(unacclimatised) * flag(vulnerable), 4)
+    return F.transform(F.array(*[F.lit(float(r)) for r in rungs]), lambda r: F.round(r * factor, 4))
+
+
 def piecewise(x: Column, knots: list[tuple[float, float]]) -> Column:
     """Linear between the knots, constant beyond the first and the last."""
     out = F.when(x <= knots[0][0], knots[0][1])

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import graph
 from .graph import ensure_checkpoints
-from .joins import within_radius
+from .joins import nearest_within, within_radius
 
 #: Leading bits of a hash that number nodes by buckets.
 BUCKET_BITS = 12
@@ -53,6 +54,16 @@ def sample_pairs(nodes: DataFrame, k: int, low: float, high: float, centre: tupl
     return found.select((F.row_number().over(Window.orderBy("t")) - 1).alias("place"), "a", "b", "d")
 
 
+def snap_to_main(points: DataFrame, nodes: DataFrame, edges: DataFrame, closed: DataFrame, reach: float = 300.0, origin: tuple[float, float] | None = None, far: float = 50_000.0) -> DataFrame:
+    """points (id, x, y) with node and d, the nearest node (node, x, y) of the largest component of the edges (a, b, hours_key) that are not
+    closed, at most `reach` away (else nulls), and from_origin, the distance to an origin (null from beyond `far`)."""
+    main = graph.largest_component(graph.gated(edges, closed).select("a", "b"))
+    open_ = nodes.join(main, "node", "left_semi").select(F.col("node").alias("id"), "x", "y")
+    near = nearest_within(points.select("id", "x", "y"), open_, reach).select("id", F.col("id2").alias("node"), "d")
+    away = F.lit(None).cast("double") if origin is None else F.hypot(F.col("x") - origin[0], F.col("y") - origin[1])
+    return points.join(near, "id", "left").withColumn("from_origin", F.when(away <= far, away))
+
+
 def connectors(edges: DataFrame, nodes: DataFrame, authored: DataFrame, far: float = 80.0) -> tuple[DataFrame, DataFrame]:
     """authored links (a, b and others) whose ends both exist, with length (1 at least) and `implausible` (over far); and those with
     an unknown end, with `missing` (the first such end). An end exists if an edge (a, b) touches it; nodes: node, x, y."""

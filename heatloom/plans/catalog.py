@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from heatloom.functions import comfort
 from heatloom.operators import joins
-from heatloom.plans import city, physics, routes, sensors, spaces, texts
+from heatloom.plans import checks, city, physics, routes, sensors, spaces, texts
 from heatloom.plans.shared import PRELUDE, SHARED
 from heatloom.plans.tables import table
 from heatloom.streaming import windows
@@ -18,8 +18,8 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 
 #: What the shared texts leave open, for each engine.
-SPARK = {"first": "0", "json": "get_json_object", "half_even": "bround", "epoch_hh": "unix_seconds(CAST(hh AS TIMESTAMP))"}
-DUCK = {"first": "1", "json": "json_extract_string", "half_even": "round_even", "epoch_hh": "epoch(hh)"}
+SPARK = {"first": "0", "json": "get_json_object", "half_even": "bround", "epoch_hh": "unix_seconds(CAST(hh AS TIMESTAMP))", "digest": "sha2(text, 256)"}
+DUCK = {"first": "1", "json": "json_extract_string", "half_even": "round_even", "epoch_hh": "epoch(hh)", "digest": "sha256(text)"}
 
 
 def names_in(sql: str) -> set[str]:
@@ -131,7 +131,7 @@ PLANS = {
 }
 
 
-ALL = PLANS | physics.PLANS | sensors.PLANS | routes.PLANS | spaces.PLANS | texts.PLANS | city.PLANS
+ALL = PLANS | physics.PLANS | sensors.PLANS | routes.PLANS | spaces.PLANS | texts.PLANS | city.PLANS | checks.PLANS
 
 
 def queries() -> dict:

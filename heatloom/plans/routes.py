@@ -166,12 +166,18 @@ def rank_most_common(spark, sf_dir):
 
 
 def rank_greedy_merge(spark, sf_dir):
-    """Options in the order of load and minutes; one that is the same walk as one kept before it (a minute, five of load) is absorbed."""
+    """Options in the order of load and minutes; one that is the same walk as one kept before it (a minute, five of load, two of UV) is
+    absorbed by the first such, whose place the quicker of the two takes. An origin's options are a few."""
     o = options(spark, sf_dir).groupBy("od").agg(F.array_sort(F.collect_list(F.struct("load", "minutes", "route"))).alias("all"))
-    same = lambda a, b: (F.abs(a["minutes"] - b["minutes"]) <= 1) & (F.abs(a["load"] - b["load"]) <= 5)
+    same = lambda a, b: (F.abs(a["minutes"] - b["minutes"]) <= 1) & (F.abs(a["load"] - b["load"]) <= 5) & (F.abs(0.6 * (a["load"] - b["load"])) <= 2)
     none = F.array().cast(o.schema["all"].dataType)
-    kept = F.aggregate("all", none, lambda held, x: F.when(F.exists(held, lambda y: same(x, y)), held).otherwise(F.array_append(held, x)))
-    return o.select("od", F.posexplode(kept).alias("place", "x")).select("od", F.col("x.route").alias("route"), "place")
+
+    def absorb(held, x):
+        at = F.array_position(F.transform(held, lambda y: same(x, y)), F.lit(True))
+        swapped = F.transform(held, lambda y, i: F.when((i + 1 == at) & (x["minutes"] < y["minutes"]), x).otherwise(y))
+        return F.when(at > 0, swapped).otherwise(F.array_append(held, x))
+
+    return o.select("od", F.posexplode(F.aggregate("all", none, absorb)).alias("place", "x")).select("od", F.col("x.route").alias("route"), "place")
 
 
 def set_paths_reached(spark, sf_dir):
@@ -223,7 +229,11 @@ PLANS = {
     "rank_badges": (rank_badges, f"WITH {OPTIONS}, w AS (SELECT *, count(*) OVER (PARTITION BY od) AS n, row_number() OVER (PARTITION BY od ORDER BY load, minutes, route) = 1 AS c, row_number() OVER (PARTITION BY od ORDER BY minutes, load, route) = 1 AS s, 2 * (max(load) OVER (PARTITION BY od) - min(load) OVER (PARTITION BY od)) > 2 AND load > 0 AS gate FROM o) SELECT od, route, CASE WHEN n > 1 THEN concat_ws(', ', CASE WHEN c THEN 'Coolest' END, CASE WHEN c AND gate THEN 'Least UV' END, CASE WHEN s THEN 'Shortest' END) ELSE '' END AS labels FROM w"),
     "rank_by_distance": (rank_by_distance, "WITH d AS (SELECT s_suppkey, sqrt((s_suppkey * 37 % 101 - 50) ** 2 + (s_suppkey * 53 % 97 - 50) ** 2) AS d FROM supplier) SELECT *, row_number() OVER (ORDER BY d, s_suppkey)::INTEGER AS place FROM d WHERE d <= 60 ORDER BY d, s_suppkey LIMIT 10"),
     "rank_most_common": (rank_most_common, "SELECT word, count(*) AS n FROM (SELECT unnest(string_split(p_name, ' ')) AS word FROM part) GROUP BY 1 ORDER BY n DESC, word LIMIT 12"),
-    "rank_greedy_merge": (rank_greedy_merge, f"WITH RECURSIVE {OPTIONS}, i AS (SELECT *, row_number() OVER (PARTITION BY od ORDER BY load, minutes, route) AS i FROM o), g AS (SELECT od, i, [(minutes, load)] AS held, route, true AS kept FROM i WHERE i = 1 UNION ALL SELECT x.od, x.i, CASE WHEN x.near THEN x.held ELSE list_append(x.held, (x.minutes, x.load)) END, x.route, NOT x.near FROM (SELECT i.od, i.i, i.route, i.minutes, i.load, g.held, len(list_filter(g.held, lambda h: abs(h[1] - i.minutes) <= 1 AND abs(h[2] - i.load) <= 5)) > 0 AS near FROM g JOIN i ON i.od = g.od AND i.i = g.i + 1) x) SELECT od, route, (row_number() OVER (PARTITION BY od ORDER BY i) - 1)::INTEGER AS place FROM g WHERE kept"),
+    "rank_greedy_merge": (rank_greedy_merge, f"""WITH RECURSIVE {OPTIONS}, i AS (SELECT od, {{'m': minutes, 'l': load, 'r': route}} AS own, row_number() OVER (PARTITION BY od ORDER BY load, minutes, route) AS i FROM o),
+g AS (SELECT od, i, [own] AS held FROM i WHERE i = 1 UNION ALL SELECT x.od, x.i, CASE WHEN coalesce(x.pos, 0) = 0 THEN list_append(x.held, x.own) ELSE list_transform(x.held, lambda h, k: CASE WHEN k = x.pos AND x.own.m < h.m THEN x.own ELSE h END) END
+ FROM (SELECT i.od, i.i, i.own, g.held, list_position(list_transform(g.held, lambda h: abs(h.m - i.own.m) <= 1 AND abs(h.l - i.own.l) <= 5 AND abs(0.6e0 * (h.l - i.own.l)) <= 2), true) AS pos FROM g JOIN i ON i.od = g.od AND i.i = g.i + 1) x),
+z AS (SELECT od, held FROM g QUALIFY row_number() OVER (PARTITION BY od ORDER BY i DESC) = 1)
+SELECT od, unnest(list_transform(held, lambda h: h.r)) AS route, (generate_subscripts(held, 1) - 1)::INTEGER AS place FROM z"""),
     "set_paths_reached": (set_paths_reached, f"WITH {OPTIONS} SELECT od, minutes, load, min(route) AS route, string_agg(route::VARCHAR, ',' ORDER BY route) AS reached FROM o GROUP BY 1, 2, 3"),
     "set_rendered_first": (set_rendered_first, "SELECT name, brand, p_partkey FROM (SELECT lower(trim(regexp_replace(p_name, '\\s+', ' ', 'g'))) AS name, lower(p_brand) AS brand, p_partkey, row_number() OVER (PARTITION BY lower(trim(regexp_replace(p_name, '\\s+', ' ', 'g'))), lower(p_brand) ORDER BY p_partkey) AS i FROM part) WHERE i = 1 AND length(name) >= 2"),
     "set_joined_context": (set_joined_context, "SELECT p_partkey, nullif(concat_ws(', ', p_type, CASE WHEN p_size % 2 = 0 THEN p_brand END), '') AS context FROM part"),

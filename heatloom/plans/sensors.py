@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from heatloom.functions import comfort, earth
 from heatloom.operators.quantiles import exact_quantiles
+from heatloom.plans import physics
 from heatloom.plans.tables import HOURLY, PAIRED, READINGS, hourly, paired, readings, table
 
 SEASONS = ("DJF", "MAM", "JJA", "SON")
 TRAIN_END = "2024-01-20"
+#: Latitude and longitude of the sensors, and SQL of the sun above them at each reading.
+PLACE = (-37.8136, 144.9631)
+SUN = physics.PLANS["phys_sun_position"][1]
 
 
 def hours(spark):
@@ -218,7 +221,7 @@ def win_interp_clock(spark, sf_dir):
 def win_rad_slots(spark, sf_dir):
     """Means of quarter-hour rows over each half hour of the day; null unless both variables have a value."""
     minute = F.hour("ts") * 60 + F.minute("ts")
-    quarter = readings(spark, sf_dir).where("device % 5 = 0").groupBy("site", (F.floor(minute / 15) * 15).cast("int").alias("q")).agg(F.avg(F.when(F.col("k") % 3 == 0, F.col("value"))).alias("direct"), F.avg(F.when(F.col("k") % 3 == 1, F.col("value"))).alias("diffuse"))
+    quarter = readings(spark, sf_dir).groupBy("site", (F.floor(minute / 15) * 15).cast("int").alias("q")).agg(F.avg(F.when(F.col("k") % 3 == 0, F.col("value"))).alias("direct"), F.avg(F.when(F.col("k") % 3 == 1, F.col("value"))).alias("diffuse"))
     s = quarter.groupBy("site", (F.floor(F.col("q") / 30) * 30).cast("int").alias("slot")).agg(F.avg("direct").alias("direct"), F.avg("diffuse").alias("diffuse"))
     both = F.col("direct").isNotNull() & F.col("diffuse").isNotNull()
     return s.select("site", "slot", F.when(both, F.col("direct")).alias("direct"), F.when(both, F.col("diffuse")).alias("diffuse"), F.when(both, "minutely_15").otherwise("hourly").alias("rad_source"))
@@ -233,9 +236,7 @@ def agg_source_label(spark, sf_dir):
 
 def agg_clear_sky(spark, sf_dir):
     """Readings over the clear-sky light of their hour, where the sky is clear (cloud 20 % at most) and the sun is high."""
-    from heatloom.functions import comfort
-
-    r = readings(spark, sf_dir).where("value IS NOT NULL").withColumn("elev", 60 * F.sin(F.pi() * (F.hour("ts") - 6) / 12))
+    r = readings(spark, sf_dir).where("value IS NOT NULL").withColumn("elev", earth.sun_position(F.col("ts"), *PLACE)[1])
     r = r.where("elev > 20 AND k <= 20").withColumn("kt", F.col("value") / comfort.ghi_clear(F.col("elev")))
     return r.groupBy("site").agg(F.count(F.lit(1)).alias("n"), F.avg("kt").alias("kt"), F.stddev_samp("kt").alias("sd"), F.avg(F.least("kt", F.lit(1.2))).alias("clipped"))
 
@@ -253,7 +254,7 @@ def flt_gates(spark, sf_dir):
     """Readings of devices that are live that day and with the sun up, and what they are good for."""
     r = readings(spark, sf_dir)
     live = r.groupBy("device", F.to_date("ts").alias("day")).agg(F.max("value").alias("top")).where("top > 90").select("device", "day")
-    r = r.withColumn("day", F.to_date("ts")).withColumn("elev", 60 * F.sin(F.pi() * (F.hour("ts") - 6) / 12)).where("elev >= 5").join(live, ["device", "day"], "left_semi")
+    r = r.withColumn("day", F.to_date("ts")).withColumn("elev", earth.sun_position(F.col("ts"), *PLACE)[1]).where("elev >= 5").join(live, ["device", "day"], "left_semi")
     kind = F.when(F.col("value") >= 150, "beam").when(F.col("value") < 50, "control").otherwise("mixed")
     return r.select("event_id", kind.alias("kind"))
 
@@ -292,10 +293,10 @@ PLANS = {
     "win_lag_scan": (win_lag_scan, f"WITH {PAIRED}, i AS (SELECT *, row_number() OVER (PARTITION BY device ORDER BY hh) AS i FROM p), c AS (SELECT a.device, l.lag, corr(a.obs, b.mod) AS r FROM i a CROSS JOIN (SELECT unnest(range(-3, 4)) AS lag) l LEFT JOIN i b ON b.device = a.device AND b.i = a.i - l.lag GROUP BY 1, 2), n AS (SELECT device, count(*) AS n FROM p GROUP BY 1) SELECT device, n, lag::INTEGER AS lag, r FROM (SELECT *, row_number() OVER (PARTITION BY device ORDER BY r DESC, abs(lag), lag) AS k FROM c) JOIN n USING (device) WHERE k = 1 AND n >= 20"),
     "win_argmax_hour": (win_argmax_hour, f"WITH {READINGS}, m AS (SELECT site, hour(ts) AS hr, avg(value) AS v FROM r GROUP BY 1, 2) SELECT site, hr::INTEGER AS hr, v FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY v DESC, hr) AS k FROM m) WHERE k = 1"),
     "win_interp_clock": (win_interp_clock, f"WITH {READINGS}, h AS (SELECT site, hour(ts) AS hr, avg(value) AS v FROM r WHERE ts::DATE = DATE '2024-01-05' GROUP BY 1, 2), s AS (SELECT * FROM (SELECT DISTINCT site FROM h), (SELECT unnest(range(0, 1440, 30)) AS slot)) SELECT s.site, slot::INTEGER AS slot, coalesce(a.v * (1 - slot % 60 / 60) + b.v * (slot % 60 / 60), a.v, b.v) AS v FROM s LEFT JOIN h a ON a.site = s.site AND a.hr = slot // 60 LEFT JOIN h b ON b.site = s.site AND b.hr = (slot // 60 + 1) % 24"),
-    "win_rad_slots": (win_rad_slots, f"WITH {READINGS}, q AS (SELECT site, (hour(ts) * 60 + minute(ts)) // 15 AS q, avg(value) FILTER (k % 3 = 0) AS a, avg(value) FILTER (k % 3 = 1) AS b FROM r WHERE device % 5 = 0 GROUP BY 1, 2) SELECT site, (q // 2 * 30)::INTEGER AS slot, CASE WHEN count(b) > 0 THEN avg(a) END AS direct, CASE WHEN count(a) > 0 THEN avg(b) END AS diffuse, CASE WHEN count(a) > 0 AND count(b) > 0 THEN 'minutely_15' ELSE 'hourly' END AS rad_source FROM q GROUP BY site, q // 2"),
-    "agg_source_label": (agg_source_label, f"WITH {READINGS}, q AS (SELECT site, (hour(ts) * 60 + minute(ts)) // 30 AS s, count(value) FILTER (k % 3 = 0) > 0 AND count(value) FILTER (k % 3 = 1) > 0 AS good FROM r WHERE device % 5 = 0 GROUP BY 1, 2), c AS (SELECT site, count(*) FILTER (good) AS n, count(*) AS m FROM q GROUP BY 1) SELECT site, CASE WHEN n = m THEN 'minutely_15' WHEN n = 0 THEN 'hourly' ELSE format('minutely_15 on {{}}/{{}}', n, m) END AS label, n > 0 AS any, n = 0 AS none FROM c"),
-    "agg_clear_sky": (agg_clear_sky, f"WITH {READINGS}, e AS (SELECT *, 60 * sin(pi() * (hour(ts) - 6) / 12) AS el FROM r WHERE value IS NOT NULL AND k <= 20), t AS (SELECT site, value / (1098 * sin(radians(el)) * exp(-0.059e0 / sin(radians(el)))) AS kt FROM e WHERE el > 20) SELECT site, count(*) AS n, avg(kt) AS kt, stddev_samp(kt) AS sd, avg(least(kt, 1.2)) AS clipped FROM t GROUP BY 1"),
+    "win_rad_slots": (win_rad_slots, f"WITH {READINGS}, q AS (SELECT site, (hour(ts) * 60 + minute(ts)) // 15 AS q, avg(value) FILTER (k % 3 = 0) AS a, avg(value) FILTER (k % 3 = 1) AS b FROM r GROUP BY 1, 2) SELECT site, (q // 2 * 30)::INTEGER AS slot, CASE WHEN count(b) > 0 THEN avg(a) END AS direct, CASE WHEN count(a) > 0 THEN avg(b) END AS diffuse, CASE WHEN count(a) > 0 AND count(b) > 0 THEN 'minutely_15' ELSE 'hourly' END AS rad_source FROM q GROUP BY site, q // 2"),
+    "agg_source_label": (agg_source_label, f"WITH {READINGS}, q AS (SELECT site, (hour(ts) * 60 + minute(ts)) // 30 AS s, count(value) FILTER (k % 3 = 0) > 0 AND count(value) FILTER (k % 3 = 1) > 0 AS good FROM r GROUP BY 1, 2), c AS (SELECT site, count(*) FILTER (good) AS n, count(*) AS m FROM q GROUP BY 1) SELECT site, CASE WHEN n = m THEN 'minutely_15' WHEN n = 0 THEN 'hourly' ELSE format('minutely_15 on {{}}/{{}}', n, m) END AS label, n > 0 AS any, n = 0 AS none FROM c"),
+    "agg_clear_sky": (agg_clear_sky, f"WITH {READINGS}, sun AS ({SUN}), e AS (SELECT r.*, elevation AS el FROM r JOIN sun USING (event_id) WHERE value IS NOT NULL AND k <= 20), t AS (SELECT site, value / (1098 * sin(radians(el)) * exp(-0.059e0 / sin(radians(el)))) AS kt FROM e WHERE el > 20) SELECT site, count(*) AS n, avg(kt) AS kt, stddev_samp(kt) AS sd, avg(least(kt, 1.2)) AS clipped FROM t GROUP BY 1"),
     "rank_best_day": (rank_best_day, f"WITH {READINGS}, d AS (SELECT ts::DATE AS day, count(DISTINCT device) * 1000 + max(value) AS score, CASE WHEN max(value) < 250 THEN 'mild' WHEN avg(k) < 50 THEN 'hot_clear' ELSE 'hot_dull' END AS kind FROM r WHERE value IS NOT NULL GROUP BY 1) SELECT kind, days, day, score FROM (SELECT *, count(*) OVER (PARTITION BY kind) AS days, row_number() OVER (PARTITION BY kind ORDER BY score DESC, day DESC) AS i FROM d) WHERE i = 1"),
-    "flt_gates": (flt_gates, f"WITH {READINGS} SELECT a.event_id, CASE WHEN value >= 150 THEN 'beam' WHEN value < 50 THEN 'control' ELSE 'mixed' END AS kind FROM r a WHERE 60 * sin(pi() * (hour(ts) - 6) / 12) >= 5 AND EXISTS (SELECT 1 FROM r b WHERE b.device = a.device AND b.ts::DATE = a.ts::DATE AND b.value > 90)"),
+    "flt_gates": (flt_gates, f"WITH {READINGS}, sun AS ({SUN}) SELECT a.event_id, CASE WHEN value >= 150 THEN 'beam' WHEN value < 50 THEN 'control' ELSE 'mixed' END AS kind FROM r a JOIN sun USING (event_id) WHERE elevation >= 5 AND EXISTS (SELECT 1 FROM r b WHERE b.device = a.device AND b.ts::DATE = a.ts::DATE AND b.value > 90)"),
     "time_slot_forms": (time_slot_forms, f"WITH {READINGS}, t AS (SELECT event_id, ts, (hour(ts) * 60 + minute(ts))::INTEGER AS minute, ts + INTERVAL 11 HOUR AS local FROM r) SELECT event_id, minute, format('{{:02d}}:{{:02d}}', minute // 30 * 30 // 60, minute // 30 * 30 % 60) AS label, (minute // 60)::INTEGER AS hour, minute % 60 < 30 AS whole, ts - INTERVAL 30 MINUTE AS centre, local, (isodow(local) - 1)::INTEGER AS dow, strftime(local, '%Y-%m-%dT%H:%M:%S') AS iso FROM t"),
 }

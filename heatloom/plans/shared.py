@@ -69,7 +69,7 @@ SHARED = {
     "set_union_all": "SELECT s_nationkey AS nation, 'supplier' AS kind FROM supplier UNION ALL SELECT c_nationkey AS nation, 'customer' AS kind FROM customer",
     "set_intersect": "SELECT s_nationkey AS nation FROM supplier INTERSECT SELECT c_nationkey AS nation FROM customer",
     "set_except": "SELECT c_custkey AS id FROM customer EXCEPT SELECT o_custkey AS id FROM orders WHERE o_orderstatus = 'F'",
-    "set_dedupe_first": "SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS rn FROM documents) t WHERE rn = 1",
+    "set_dedupe_first": "SELECT min(doc_id) AS doc_id, min_by(source, doc_id) AS source FROM documents GROUP BY {digest}",
     "graph_degree": "SELECT c_nationkey AS node, count(*) AS degree FROM customer GROUP BY c_nationkey",
     "time_slot_snap": "SELECT event_id, CAST({half_even}((extract(hour FROM ts) * 60 + extract(minute FROM ts)) / 30e0, 0) AS INT) * 30 % 1440 AS slot FROM readings",
     "time_season": "SELECT o_orderkey, CASE WHEN extract(month FROM o_orderdate) IN (12, 1, 2) THEN 'DJF' WHEN extract(month FROM o_orderdate) IN (3, 4, 5) THEN 'MAM' WHEN extract(month FROM o_orderdate) IN (6, 7, 8) THEN 'JJA' ELSE 'SON' END AS season FROM orders",

@@ -360,3 +360,29 @@ def test_climate_index_of_known_points(spark):
     far = comfort.climate_index(F.lit(70.0), F.lit(70.0), F.lit(0.5), F.lit(10.0), index_terms.terms()), comfort.climate_index(F.lit(50.0), F.lit(50.0), F.lit(0.5), F.lit(10.0), index_terms.terms())
     a, b = spark.range(1).select(*far).first()
     assert a == b
+
+
+def test_places_snap_to_the_main_part(spark):
+    nodes = spark.createDataFrame([(1, 0.0, 0.0), (2, 100.0, 0.0), (3, 200.0, 0.0), (4, 240.0, 0.0), (5, 250.0, 0.0)], NODES)
+    edges = spark.createDataFrame([(1, 2, None), (2, 3, None), (3, 4, "mall"), (4, 5, None)], "a long, b long, hours_key string")
+    points = spark.createDataFrame([(1, 245.0, 0.0), (2, 600.0, 0.0), (3, 0.0, 60_000.0)], "id long, x double, y double")
+    closed = spark.createDataFrame([("mall",)], "hours_key string")
+    got = {r.id: r for r in pairs.snap_to_main(points, nodes, edges, closed, 300.0, (0.0, 0.0)).collect()}
+    assert (got[1].node, got[1].d, got[1].from_origin) == (3, 45.0, 245.0)  # 4 and 5 are nearer, but cut off
+    assert got[2].node is None and got[3].node is None and got[3].from_origin is None
+    free = pairs.snap_to_main(points, nodes, edges, closed.where("false")).where("id = 1").first()
+    assert free.node == 4 and free.d == 5.0 and free.from_origin is None
+
+
+def test_labels_name_what_decided(spark):
+    rows = [(810, 810, 7.5, None, 0.0, 40.0), (810, 840, 7.5, 8.0, 50.0, 40.0), (0, 1, None, None, 100.0, 30.0), (0, 0, None, None, 10.0, None)]
+    df = spark.createDataFrame(rows, "slot int, now int, m double, feed double, cloud double, el double")
+    c = F.col
+    u = comfort.uv_index_for(c("slot"), c("now"), c("m"), F.lit("13:00"), c("feed"), c("cloud"), c("el"), "roof")
+    got = [(r.u["index"], r.u["source"]) for r in df.select(u.alias("u")).collect()]
+    assert got[0] == (7.5, "roof measured 13:00") and got[3] == (None, "no index in the feed and no measurement")
+    assert got[1] == (round(8 * (1 - 0.56 * 0.5**3.4), 1), "feed clear-sky x cloud (50%)")
+    assert got[2] == (round(12.5 * 0.5**2.42 * 0.44, 1), "modelled clear-sky at 30 deg elevation x cloud (100%)")
+    r = spark.range(1).select(comfort.preference_ladder([0.0, 0.1], F.lit(True), F.lit(True)).alias("both"), comfort.preference_ladder([0.1], F.lit(None).cast("boolean"), F.lit(False)).alias("none"), comfort.diffuse_share(F.lit(0.2)).alias("low"), comfort.diffuse_share(F.lit(0.9)).alias("high"), comfort.explicit_step(2e5, 0.95, 10.0, F.lit(300.0)).alias("dt")).first()
+    assert list(r.both) == [0.0, 0.324] and list(r.none) == [0.1] and (r.low, r.high) == (1 - 0.018, 0.165)
+    assert r.dt == pytest.approx(4e5 / (10 + 4 * 0.95 * 5.670374419e-8 * 300**3))
