@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from heatloom.functions import comfort, index_terms
 from heatloom.operators import digests, edge_index, overlay, pairs, raster, resample, rings, tiles
 from heatloom.operators.graph import shared_folder
-from heatloom.plans.spaces import CELL, CELLS, POINTS, cells, diamonds, places
-from heatloom.plans.tables import READINGS, readings, table
+from heatloom.plans.spaces import CELL, CELLS, POINTS, cells, places
+from heatloom.plans.tables import LEGS, legs, readings, table
 
 #: Nodes in a row of the streets, metres between them, nodes of a region.
 ROW, BLOCK, PER_REGION = 40, 50.0, 400
@@ -163,7 +163,19 @@ def phys_utci(spark, sf_dir):
     radiant, wind, vapour = ta + k - 20, F.col("value") / 30, comfort.vapour(ta, 30 + k / 2)
     index = comfort.climate_index(ta, radiant, wind, vapour, index_terms.terms())
     r = table(spark, sf_dir, "events").where("value is not null")
-    return r.select("event_id", F.round(index, 6).alias("utci"), comfort.stress_category(index).alias("category"), comfort.index_inputs(ta, radiant, wind)["outside"].alias("outside"))
+    r = r.select("event_id", index.alias("u"), comfort.index_inputs(ta, radiant, wind)["outside"].alias("outside"))  # the polynomial once
+    return r.select("event_id", F.round("u", 6).alias("utci"), comfort.stress_category(F.col("u")).alias("category"), "outside")
+
+
+def phys_walk_dose(spark, sf_dir):
+    """Each route's minutes, heat dose, cost to a walker who minds, and worst index: the climate index of every leg, from its part's air, its
+    shade and its place in the walk."""
+    ta = 12.0 + F.col("part") % 27
+    index = comfort.climate_index(ta, ta + 32 * (1 - F.col("shade")), 0.8 + 0.4 * F.col("seq"), comfort.vapour(ta, 35.0 + F.col("part") % 40), index_terms.terms())
+    l = legs(spark, sf_dir).select("route", "len", "conveying", index.alias("u"))
+    l = l.select("route", "len", "conveying", "u", comfort.stress(F.col("u")).alias("strain"))
+    cost = comfort.edge_cost(F.col("len"), F.lit(0.0), F.col("conveying"), F.col("strain"), 0.1)
+    return l.groupBy("route").agg((F.sum("len") / 81).alias("minutes"), F.round(F.sum(F.col("len") / 81 * F.col("strain")), 4).alias("dose"), F.round(F.sum(cost), 4).alias("cost"), F.round(F.max("u"), 5).alias("worst"))
 
 
 def phys_convection(spark, sf_dir):
@@ -237,6 +249,10 @@ i AS (SELECT *, k - 20 AS excess, 6.112e0 * exp(17.62e0 * ta / (243.12e0 + ta))
 f AS (SELECT event_id, ta < -50 OR ta > 50 OR excess < -30 OR excess > 70 OR wind < 0.5 OR wind > 17 AS outside, least(50, greatest(-50, ta)) AS ta, least(70, greatest(-30, excess)) AS excess, least(17, greatest(0.5, wind)) AS wind, vapour FROM i),
 s AS (SELECT event_id, any_value(outside) AS outside, any_value(ta) + sum(c * power(ta, t) * power(wind, w) * power(excess, x) * power(vapour, v)) AS utci FROM f, k GROUP BY event_id)
 SELECT event_id, round(utci, 6) AS utci, CASE WHEN utci IS NULL THEN NULL {CATEGORY} ELSE 'extreme heat stress' END AS category, outside FROM s"""),
+    "phys_walk_dose": (phys_walk_dose, f"""WITH k(c, t, w, x, v) AS (VALUES {TERMS}), {LEGS}, b AS (SELECT row_number() OVER () AS i, route, len, 12e0 + part % 27 AS ta, 32 * (1 - shade) AS excess, 0.8e0 + 0.4e0 * seq AS wind, 35e0 + part % 40 AS rh FROM l),
+f AS (SELECT i, route, len, ta, excess, least(17, greatest(0.5, wind)) AS wind, 6.112e0 * exp(17.62e0 * ta / (243.12e0 + ta)) * rh / 1000e0 AS vapour FROM b),
+s AS (SELECT i, any_value(route) AS route, any_value(len) AS len, any_value(ta) + sum(c * power(ta, t) * power(wind, w) * power(excess, x) * power(vapour, v)) AS u FROM f, k GROUP BY i), z AS (SELECT *, greatest(0, u - 26, 9 - u) AS strain FROM s)
+SELECT route, sum(len) / 81 AS minutes, round(sum(len / 81 * strain), 4) AS dose, round(sum(len * (1 + 0.1e0 * strain)), 4) AS cost, round(max(u), 5) AS worst FROM z GROUP BY 1"""),
     "phys_convection": (phys_convection, """WITH RECURSIVE h AS (SELECT user_id AS device, date_trunc('hour', ts) AS hh, avg(value) AS v FROM events WHERE value BETWEEN 1 AND 400 GROUP BY 1, 2), d AS (SELECT device, hh::DATE AS day, list(v ORDER BY hh) AS s FROM h GROUP BY 1, 2),
 t AS (SELECT *, list_reduce(s, lambda t, v: t + 3600e0 * (v + 450 - 0.95e0 * 5.670374419e-8 * power(t, 4e0) - (4 + device % 20) * (t - v / 20e0 - 283.15e0)) / (2.5e5 + 3600e0 * (4e0 * 0.95e0 * 5.670374419e-8 * power(t, 3e0) + (4 + device % 20))), 293.15e0) AS target FROM d),
 b AS (SELECT device, day, s, target, 0 AS i, 2e0 AS low, 60e0 AS high UNION ALL SELECT device, day, s, target, i + 1, CASE WHEN hot THEN (low + high) / 2 ELSE low END, CASE WHEN hot THEN high ELSE (low + high) / 2 END FROM (SELECT *, list_reduce(s, lambda t, v: t + 3600e0 * (v + 450 - 0.95e0 * 5.670374419e-8 * power(t, 4e0) - (low + high) / 2 * (t - v / 20e0 - 283.15e0)) / (2.5e5 + 3600e0 * (4e0 * 0.95e0 * 5.670374419e-8 * power(t, 3e0) + (low + high) / 2)), 293.15e0) > target AS hot FROM b WHERE i < 40))

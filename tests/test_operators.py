@@ -14,7 +14,6 @@ from heatloom.operators import graph, joins, raster, tiles
 from heatloom.operators.quantiles import exact_quantiles
 from heatloom.operators.skyline import pareto
 from heatloom.plans import catalog
-from tests.conftest import SF
 
 DAY = dt.datetime(2024, 1, 31, 22)
 
