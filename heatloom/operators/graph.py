@@ -23,9 +23,10 @@ def ensure_checkpoints(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
 
 
-def edges_of_ways(steps: DataFrame, nodes: DataFrame) -> DataFrame:
+def edges_of_ways(steps: DataFrame, nodes: DataFrame, touching: bool = False) -> DataFrame:
     """a, b, way, length of the edges between consecutive nodes of ways: steps (way, seq, node), nodes (node, x, y).
-    The smaller node comes first; of several ways over one edge the last wins; loops and unknown nodes are left out."""
+    The smaller node comes first; of several ways over one edge the last wins; loops and unknown nodes are left out, edges
+    between two nodes at one place too unless `touching`."""
     nxt = F.lead("node").over(Window.partitionBy("way").orderBy("seq", "node"))
     pairs = steps.select("way", "node", nxt.alias("next")).where("next IS NOT NULL AND next <> node")
     pairs = pairs.select("way", F.least("node", "next").alias("a"), F.greatest("node", "next").alias("b"))
@@ -33,7 +34,8 @@ def edges_of_ways(steps: DataFrame, nodes: DataFrame) -> DataFrame:
     at = lambda n: nodes.select(F.col("node").alias(n), F.col("x").alias(f"x{n}"), F.col("y").alias(f"y{n}"))
     placed = last.join(at("a"), "a").join(at("b"), "b")
     length = F.sqrt(F.pow(F.col("xa") - F.col("xb"), F.lit(2.0)) + F.pow(F.col("ya") - F.col("yb"), F.lit(2.0)))
-    return placed.select("a", "b", "way", length.alias("length")).where("length > 0")
+    out = placed.select("a", "b", "way", length.alias("length"))
+    return out if touching else out.where("length > 0")
 
 
 def gated(edges: DataFrame, closed: DataFrame, key: str = "hours_key") -> DataFrame:

@@ -31,10 +31,10 @@ def links(spark, sf_dir):
 
 
 def graph_edges(spark, sf_dir):
-    """Edges of ways: the suppliers of an order's parts in their order."""
+    """Edges of ways: the suppliers of an order's parts in their order; two suppliers at one place have an edge too."""
     steps = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("way"), F.col("l_linenumber").alias("seq")).agg(F.min("l_suppkey").alias("node"))
     nodes = table(spark, sf_dir, "supplier").where("s_suppkey % 17 <> 0").select(F.col("s_suppkey").alias("node"), (F.col("s_suppkey") * 37 % 101).cast("double").alias("x"), (F.col("s_suppkey") * 53 % 97).cast("double").alias("y"))
-    return graph.edges_of_ways(steps, nodes)
+    return graph.edges_of_ways(steps, nodes, touching=True)
 
 
 def graph_gated(spark, sf_dir):

@@ -232,3 +232,10 @@ def test_contingency_without_events(spark, tmp_path):
     spark.createDataFrame([(i, DAY + dt.timedelta(hours=i), 1, "click", 5.0, '{"k": 1}') for i in range(3)], "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(str(tmp_path / "events.parquet"))
     r = catalog.queries()["phys_contingency_scores"](spark, str(tmp_path)).first()
     assert r.pod is None and r.pofd == 0
+
+
+def test_edges_between_suppliers_at_one_place(spark, tmp_path):
+    spark.createDataFrame([(1, 1, 9798), (1, 2, 1), (1, 3, 2)], "l_orderkey long, l_linenumber int, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(1,), (2,), (9798,)], "s_suppkey long").write.parquet(f"{tmp_path}/supplier.parquet")
+    got = {(r.a, r.b): r.length for r in catalog.queries()["graph_edges"](spark, str(tmp_path)).collect()}
+    assert got.keys() == {(1, 2), (1, 9798)} and got[1, 9798] == 0.0
