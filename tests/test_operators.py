@@ -239,3 +239,23 @@ def test_edges_between_suppliers_at_one_place(spark, tmp_path):
     spark.createDataFrame([(1,), (2,), (9798,)], "s_suppkey long").write.parquet(f"{tmp_path}/supplier.parquet")
     got = {(r.a, r.b): r.length for r in catalog.queries()["graph_edges"](spark, str(tmp_path)).collect()}
     assert got.keys() == {(1, 2), (1, 9798)} and got[1, 9798] == 0.0
+
+
+def test_quantiles_when_tasks_end_in_another_order(spark):
+    values = np.random.default_rng(5).lognormal(3.0, 2.0, 100_000)
+
+    def stirred(batches):
+        """The same rows, in another order whenever they are computed."""
+        rng = np.random.default_rng()
+        for pdf in batches:
+            yield pdf.sample(frac=1.0, random_state=int(rng.integers(1 << 30)))
+
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        df = spark.createDataFrame([(float(v),) for v in values], "v double").mapInPandas(stirred, "v double")
+        wanted = [i / 400 for i in range(1, 400)]
+        got = exact_quantiles(df, [], "v", wanted).first()
+    finally:
+        spark.conf.set("spark.sql.exchange.reuse", "true")
+    assert got.n == len(values) and len(got.q) == len(wanted)
+    assert np.allclose(got.q, np.quantile(values, wanted), rtol=1e-12)
