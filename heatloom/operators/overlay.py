@@ -12,6 +12,7 @@ Several searches (q) run together, each over one of several cost columns (varian
 from __future__ import annotations
 
 import heapq
+import uuid
 from dataclasses import dataclass
 
 import pandas as pd
@@ -19,9 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .graph import both_ways, ensure_checkpoints
+from .graph import both_ways, ensure_checkpoints, shared_folder
 
 KIND = ["indoor", "level", "stepped"]
+#: Regions that one task of trees takes together.
+BLOCK = 128
 ROWS = "variant int, region long, role int, a long, b long, cost double, kind long, tid long"
 
 
@@ -113,12 +116,17 @@ class Overlay:
     costs: dict[int, tuple[float, float]]
 
 
+def _placed(edges: DataFrame, regions: DataFrame) -> DataFrame:
+    """Edges in both directions with the regions ra and rb of their ends; of equal ones the cheapest."""
+    both = both_ways(edges.select("variant", F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), F.col("cost").cast("double").alias("cost"), kind_number().alias("kind"))).where("cost is not null and a <> b")
+    side = lambda n: regions.select(F.col("node").cast("long").alias(n), F.col("region").alias(f"r{n}"))
+    return both.groupBy("variant", "a", "b", "kind").agg(F.min("cost").alias("cost")).join(side("a"), "a").join(side("b"), "b")
+
+
 def build(edges: DataFrame, regions: DataFrame, costs: dict[int, tuple[float, float]]) -> Overlay:
     """costs: (door, jump) of each variant."""
     ensure_checkpoints(edges.sparkSession)
-    both = both_ways(edges.select("variant", F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), F.col("cost").cast("double").alias("cost"), kind_number().alias("kind"))).where("cost is not null and a <> b")
-    side = lambda n: regions.select(F.col("node").cast("long").alias(n), F.col("region").alias(f"r{n}"))
-    both = both.groupBy("variant", "a", "b", "kind").agg(F.min("cost").alias("cost")).join(side("a"), "a").join(side("b"), "b").checkpoint()
+    both = _placed(edges, regions).checkpoint()
     cross = both.where("ra <> rb")
     ways = cross.select("variant", F.col("rb").alias("region"), F.col("b").alias("node"), "kind").distinct().withColumn("sid", F.monotonically_increasing_id()).checkpoint()
     leaving = cross.join(ways.select("variant", F.col("node").alias("b"), "kind", F.col("sid").alias("tid")), ["variant", "b", "kind"])
@@ -301,26 +309,167 @@ def landmark_costs(o: Overlay, landmarks: DataFrame) -> DataFrame:
     return got.select("node", F.array(*[f"m{i}" for i in range(len(order))]).alias("marks")).checkpoint()
 
 
-def preferred(edges: DataFrame, regions: DataFrame, pairs: DataFrame, k: float, badness, landmarks: list[int], door: float = 45.0, jump: float = 12.0, most_detour: float = 1.4, attempts: int = 5) -> tuple[DataFrame, Found]:
+@dataclass
+class Trees:
+    """Cheapest ways from roots (q, variant, node, block) to everything, block by block: rows in a folder by variant and block (role 0: inside, 2: leaving
+    to block tid), regions with their block, and labels: the ways into blocks that are known, with the state before (pn, pk in block pb; -1: a root)."""
+
+    path: str
+    home: DataFrame
+    roots: DataFrame
+    labels: DataFrame
+    costs: dict[int, tuple[float, float]]
+
+
+LABELS = "q long, variant int, block long, node long, kind long, cost double, pn long, pk long, pb long"
+LABEL_NAMES = [c.split()[0] for c in LABELS.split(", ")]
+
+
+def _in_blocks(path: str, seeds: DataFrame, run, schema: str, costs: dict[int, tuple[float, float]]) -> DataFrame:
+    """run(region, block, seeds) in each block that seeds (variant, block, ...) name; only these blocks are read."""
+    named = [(r.variant, r.block) for r in seeds.select("variant", "block").distinct().collect()]  # a few thousand nodes each
+    rows = seeds.sparkSession.read.schema("role int, a long, b long, cost double, kind long, tid long, variant int, block long").parquet(path)
+    rows = rows.where(F.col("variant").isin(sorted({v for v, _ in named})) & F.col("block").isin(sorted({b for _, b in named})))
+
+    def both(key, rows: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        if own.empty:
+            return own.iloc[:0].reindex(columns=[c.split()[0] for c in schema.split(", ")])
+        return run(Region(rows, Changes(*costs[int(key[0])])), int(key[1]), own)
+
+    return rows.groupBy("variant", "block").cogroup(seeds.groupBy("variant", "block")).applyInPandas(both, schema)
+
+
+def _settled(region: Region, labels: pd.DataFrame) -> dict:
+    """States of a block from all its labels of one q, seeds numbered by their rows."""
+    return region.settle([(c, n, k, i) for i, (c, n, k) in enumerate(zip(labels["cost"].tolist(), labels["node"].tolist(), labels["kind"].tolist(), strict=True))])
+
+
+def trees(edges: DataFrame, regions: DataFrame, roots: DataFrame, costs: dict[int, tuple[float, float]], block: int = BLOCK) -> Trees:
+    """Searches without arcs between ways in, for few roots (q, variant, node). `block` regions that follow each other are one task's, which settles
+    all of them from the labels known at its border and hands on what crosses it; only blocks whose labels became cheaper take part in the
+    next round. A round is a block's width of progress, and no more than each block's states is worked on."""
+    spark = edges.sparkSession
+    ensure_checkpoints(spark)
+    home = regions.select(F.col("node").cast("long").alias("node"), F.floor(F.col("region") / block).cast("long").alias("block"))
+    placed = _placed(edges, home.select("node", F.col("block").alias("region")))
+    path = f"{shared_folder(spark)}/blocks-{uuid.uuid4().hex}"
+    rows = placed.select("variant", F.col("ra").alias("block"), F.when(F.col("ra") == F.col("rb"), 0).otherwise(2).alias("role"), "a", "b", "cost", "kind", F.col("rb").alias("tid"))
+    rows.repartition("variant", "block").write.partitionBy("variant", "block").parquet(path)
+    none = lambda c: F.lit(-1).cast("long").alias(c)
+    roots = roots.select(F.col("q").cast("long").alias("q"), "variant", F.col("node").cast("long").alias("node")).join(home, "node").checkpoint()
+    labels = roots.select("q", "variant", "block", "node", none("kind"), F.lit(0.0).alias("cost"), none("pn"), none("pk"), none("pb"), F.lit(1).alias("new")).checkpoint()
+
+    def spread(region: Region, block: int, known: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for q, own in known.groupby("q"):
+            best: dict = {}
+            for (node, kind), (cost, *_) in _settled(region, own).items():
+                for b, c, k, to in region.leave.get(node, ()):
+                    new = (cost + c + region.change(kind, k), node, kind, to)
+                    if (b, k) not in best or new < best[b, k]:
+                        best[b, k] = new
+            variant = int(own["variant"].iloc[0])
+            out += [(q, variant, to, b, k, c, n, kind, block) for (b, k), (c, n, kind, to) in best.items()]
+        return pd.DataFrame(out, columns=LABEL_NAMES)
+
+    while not (fresh := labels.where("new = 1").select("q", "variant", "block").distinct()).isEmpty():
+        known = labels.join(F.broadcast(fresh), ["q", "variant", "block"], "left_semi").drop("new").select(*LABEL_NAMES).checkpoint()
+        tried = labels.withColumn("new", F.lit(0)).unionByName(_in_blocks(path, known, spread, LABELS, costs).withColumn("new", F.lit(1)))
+        merged = tried.groupBy("q", "variant", "block", "node", "kind").agg(F.min(F.struct("cost", "new", "pn", "pk", "pb")).alias("l"))
+        labels = merged.select("q", "variant", "block", "node", "kind", "l.cost", "l.pn", "l.pk", "l.pb", "l.new").checkpoint()
+    return Trees(path, home, roots, labels.drop("new").select(*LABEL_NAMES), costs)
+
+
+def tree_costs(t: Trees) -> DataFrame:
+    """q, node, cost and the node before (null: the root) of all nodes that roots reach."""
+
+    def fill(region: Region, _: int, labels: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for q, own in labels.groupby("q"):
+            via, nodes = own["pn"].tolist(), {}
+            for (node, _), (cost, pn, _, seed) in _settled(region, own).items():
+                new = (cost, pn if pn >= 0 else via[seed])
+                if node not in nodes or new < nodes[node]:
+                    nodes[node] = new
+            out += [(q, n, c, None if p < 0 else p) for n, (c, p) in nodes.items()]
+        return pd.DataFrame(out, columns=["q", "node", "cost", "prev"]).astype({"prev": "Int64"})
+
+    return _in_blocks(t.path, t.labels, fill, "q long, node long, cost double, prev long", t.costs)
+
+
+def tree_paths(t: Trees, ends: DataFrame, reverse: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Of ends (id, q, node) those that are reached (id, cost), and the edges of their ways from the root (reverse: to it): id, place (from 0), a, b."""
+    legs = ends.select("id", F.col("q").cast("long").alias("q"), F.col("node").cast("long").alias("exit")).join(t.home.withColumnRenamed("node", "exit"), "exit").join(t.roots.select("q", "variant"), "q")
+    legs = legs.select("id", "q", "variant", "block", "exit", F.lit(-2).cast("long").alias("kind"), F.lit(0).alias("back")).checkpoint()
+    none, parts = F.lit(None), []
+    names = ["what", "id", "q", "variant", "block", "exit", "kind", "back", "i", "a", "b", "cost"]
+    schema = "what int, id long, q long, variant int, block long, exit long, kind long, back int, i int, a long, b long, cost double"
+
+    def unroll(region: Region, block: int, rows: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for q, both in rows.groupby("q"):
+            labels = both[both["id"].isna()]
+            if labels.empty:
+                continue
+            before, done, least = labels[["pn", "pk", "pb"]].values.tolist(), _settled(region, labels), {}
+            for (n, k), (c, *_) in done.items():
+                least[n] = min(least.get(n, (c, k)), (c, k))
+            for leg in both[both["id"].notna()].itertuples(index=False):
+                if leg.exit not in least:
+                    continue
+                if leg.kind == -2:
+                    out.append((2, leg.id, q, leg.variant, block, None, None, leg.back, None, None, None, least[leg.exit][0]))
+                at, steps = (leg.exit, least[leg.exit][1] if leg.kind == -2 else leg.kind), []
+                while done[at][1] >= 0:
+                    steps.append((done[at][1], at[0]))
+                    at = done[at][1:3]
+                pn, pk, pb = before[done[at][3]]
+                if pn >= 0:
+                    steps.append((pn, at[0]))
+                    out.append((1, leg.id, q, leg.variant, pb, pn, pk, leg.back + 1, None, None, None, None))
+                out += [(0, leg.id, q, leg.variant, None, None, None, leg.back, i, a, b, None) for i, (a, b) in enumerate(steps)]
+        return pd.DataFrame(out, columns=names).astype(dict.fromkeys(["id", "q", "variant", "block", "exit", "kind", "back", "i", "a", "b"], "Int64"))
+
+    while not legs.isEmpty():  # a round for each block that the longest way crosses
+        own = t.labels.join(F.broadcast(legs.select("q", "variant", "block").distinct()), ["q", "variant", "block"], "left_semi")
+        seeds = legs.select("id", "q", "variant", "block", "exit", "kind", "back", *[none.cast("long").alias(c) for c in ("node", "pn", "pk", "pb")], none.cast("double").alias("cost"))
+        seeds = seeds.unionByName(own.select(none.cast("long").alias("id"), "q", "variant", "block", none.cast("long").alias("exit"), "kind", none.cast("int").alias("back"), "node", "pn", "pk", "pb", "cost")).checkpoint()
+        got = _in_blocks(t.path, seeds, unroll, schema, t.costs).checkpoint()
+        parts.append(got)
+        legs = got.where("what = 1").select("id", "q", "variant", "block", "exit", "kind", "back")
+    whole = parts[0] if parts else t.home.sparkSession.createDataFrame([], schema)
+    for p in parts[1:]:
+        whole = whole.unionByName(p)
+    order = ["back", "i"] if reverse else [F.desc("back"), F.desc("i")]
+    place = F.row_number().over(Window.partitionBy("id").orderBy(*order)) - 1  # its own rows only, as many as it has edges
+    ends = [F.col("b").alias("a"), F.col("a").alias("b")] if reverse else ["a", "b"]
+    return whole.where("what = 2").select("id", "cost"), whole.where("what = 0").select("id", place.alias("place"), *ends)
+
+
+def preferred(edges: DataFrame, regions: DataFrame, pairs: DataFrame, k: float, badness, landmarks: list[int] | None = None, door: float = 45.0, jump: float = 12.0, most_detour: float = 1.4, attempts: int = 5) -> tuple[DataFrame, Trees]:
     """For each pair (pair, start, target) the path that a walker prefers who weighs badness by k, with k halved until the path is
     at most `most_detour` times as long as the shortest; the shortest itself with k = 0 or after all attempts: pair, k, attempts,
     ratio, base, and the path's edges in their order (null: there is none). All attempts run at once, as variants; the shortest is
-    variant 0 and gives the landmarks' bounds. edges: a, b, length, indoor, level, stepped and what badness needs."""
+    variant 0. Pairs that share a start share its search, or those that share a target if there are fewer targets: a way costs the same in
+    both directions. Searches by blocks need no landmarks any more. edges: a, b, length, indoor, level, stepped and what badness needs."""
     tries = attempts if k > 0 else 0
     weights = F.explode(F.array(*[F.struct(F.lit(i).alias("variant"), F.lit(k / 2 ** (i - 1) if i else 0.0).alias("k")) for i in range(tries + 1)]))
     many = edges.select("*", weights.alias("w")).select("*", "w.variant", (F.col("length") * (1 + F.col("w.k") * badness)).alias("cost"))
-    o = build(many, regions, {i: (door, jump) if i else (0.0, 0.0) for i in range(tries + 1)})
-    spark = edges.sparkSession
-    marks = landmark_costs(o, spark.createDataFrame([(0, int(n)) for n in landmarks], "variant int, node long")) if landmarks else None
-    starts = pairs.select("pair", F.col("start").cast("long").alias("node"), F.col("target").cast("long").alias("target"), F.explode(F.sequence(F.lit(0), F.lit(tries))).alias("variant"))
-    found = search(o, starts.select((F.col("pair") * (tries + 1) + F.col("variant")).cast("long").alias("q"), "variant", "node", "target"), marks)
-    steps = paths(o, found).checkpoint()
+    pairs = pairs.select("pair", F.col("start").cast("long").alias("start"), F.col("target").cast("long").alias("target"))
+    sides = pairs.agg(F.count_distinct("start").alias("start"), F.count_distinct("target").alias("target")).first()
+    root, end = ("target", "start") if sides.target < sides.start else ("start", "target")
+    each_variant = F.explode(F.sequence(F.lit(0), F.lit(tries))).alias("variant")
+    of = lambda c: F.col(c) * (tries + 1) + F.col("variant")
+    roots = pairs.select(F.col(root).alias("node")).distinct().select("node", each_variant).select(of("node").alias("q"), "variant", "node")
+    found = trees(many, regions, roots, {i: (door, jump) if i else (0.0, 0.0) for i in range(tries + 1)})
+    ends, steps = tree_paths(found, pairs.select("pair", root, end, each_variant).select(of("pair").alias("id"), of(root).alias("q"), F.col(end).alias("node")), reverse=root == "target")
+    ends, steps = ends.withColumnRenamed("id", "q"), steps.withColumnRenamed("id", "q")
     pair = F.floor(F.col("q") / (tries + 1)).cast("long").alias("pair")
     variant = (F.col("q") % (tries + 1)).cast("int").alias("variant")
     lengths = edges.groupBy(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).agg(F.min("length").alias("length"))
     walked = steps.withColumns({"lo": F.least("a", "b"), "hi": F.greatest("a", "b")}).join(lengths, ["lo", "hi"])
     walked = walked.groupBy("q").agg(F.sum("length").alias("walked"), F.array_sort(F.collect_list(F.struct("place", "a", "b"))).alias("path"))
-    each = found.ends.join(walked, "q", "left").select(pair, variant, F.coalesce("walked", F.lit(0.0)).alias("walked"), "path")
+    each = ends.join(walked, "q", "left").select(pair, variant, F.coalesce("walked", F.lit(0.0)).alias("walked"), "path")
     base = each.where("variant = 0").select("pair", F.col("walked").alias("base"))
     ratio = F.when(F.col("base") > 0, F.col("walked") / F.col("base")).otherwise(1.0)
     good = each.join(base, "pair").withColumn("ratio", ratio).where(f"variant = 0 or ratio <= {float(most_detour)}")

@@ -386,3 +386,40 @@ def test_labels_name_what_decided(spark):
     r = spark.range(1).select(comfort.preference_ladder([0.0, 0.1], F.lit(True), F.lit(True)).alias("both"), comfort.preference_ladder([0.1], F.lit(None).cast("boolean"), F.lit(False)).alias("none"), comfort.diffuse_share(F.lit(0.2)).alias("low"), comfort.diffuse_share(F.lit(0.9)).alias("high"), comfort.explicit_step(2e5, 0.95, 10.0, F.lit(300.0)).alias("dt")).first()
     assert list(r.both) == [0.0, 0.324] and list(r.none) == [0.1] and (r.low, r.high) == (1 - 0.018, 0.165)
     assert r.dt == pytest.approx(4e5 / (10 + 4 * 0.95 * 5.670374419e-8 * 300**3))
+
+
+@pytest.mark.parametrize("block", [1, 3, 100])
+def test_trees_by_blocks(spark, block):
+    nodes, edges = grid_graph(14, 14, seed=4)
+    nodes.append((900, 3.0, 3.0))
+    e = spark.createDataFrame(edges, EDGES).withColumn("variant", F.explode(F.array(F.lit(0), F.lit(1))))
+    costs = {0: (6.0, 3.0), 1: (0.0, 0.0)}
+    roots = spark.createDataFrame([(5, 0, 0), (6, 1, 100), (7, 0, 900)], "q long, variant int, node long")
+    t = overlay.trees(e, overlay.regions_of(spark.createDataFrame(nodes, NODES), 25), roots, costs, block)
+    want = {5: heap_search(edges, 0, 6.0, 3.0), 6: heap_search(edges, 100, 0.0, 0.0)}
+    got = {(r.q, r.node): r.cost for r in overlay.tree_costs(t).collect()}
+    assert got == {(q, n): c for q, w in want.items() for n, c in w.items()} | {(7, 900): 0.0}
+    ends = spark.createDataFrame([(1, 5, 195), (2, 5, 0), (3, 6, 3), (4, 5, 900)], "id long, q long, node long")
+    by = {frozenset(x[:2]): x for x in edges}
+    for reverse in (False, True):
+        reached, steps = overlay.tree_paths(t, ends, reverse)
+        assert {r.id: r.cost for r in reached.collect()} == {1: want[5][195], 2: 0.0, 3: want[6][3]}
+        rows = steps.orderBy("id", "place").collect()
+        for i, start, end, door, jump, total in ((1, 0, 195, 6.0, 3.0, want[5][195]), (3, 100, 3, 0.0, 0.0, want[6][3])):
+            walk = [(r.a, r.b) for r in rows if r.id == i]
+            first, last = (end, start) if reverse else (start, end)
+            assert walk[0][0] == first and walk[-1][1] == last and all(x[1] == y[0] for x, y in zip(walk, walk[1:]))
+            kinds = [by[frozenset(s)][2:] for s in walk]
+            cost = sum(k[0] for k in kinds) + sum(door * (x[1] != y[1]) + (0 if x[3] or y[3] else jump * abs(x[2] - y[2])) for x, y in zip(kinds, kinds[1:]))
+            assert cost == pytest.approx(total)
+
+
+def test_many_regions_take_few_rounds(spark):
+    nodes, edges = grid_graph(100, 4, plain=True)
+    e = spark.createDataFrame(edges, EDGES).withColumn("variant", F.lit(0))
+    regions = overlay.regions_of(spark.createDataFrame(nodes, NODES), 8)  # some 50, one after another
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("trees", "searches")
+    t = overlay.trees(e, regions, spark.createDataFrame([(0, 0, 0)], "q long, variant int, node long"), {0: (0.0, 0.0)})
+    assert {r.node: r.cost for r in overlay.tree_costs(t).collect()} == heap_search(edges, 0, 0.0, 0.0)
+    assert len(tracker.getJobIdsForGroup("trees")) < 60
