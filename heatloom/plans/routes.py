@@ -103,10 +103,11 @@ def agg_dodges(spark, sf_dir):
 
 def chosen(spark, sf_dir):
     """The best option of each pair under each of four preferences."""
-    ladder = F.explode(F.array(*map(F.lit, (0.0, 0.03, 0.10, 0.30)))).alias("k")
-    o = options(spark, sf_dir).select("*", ladder)
-    cost = F.col("minutes") + F.col("k") * F.col("load")
-    return o.groupBy("od", "k").agg(F.min(F.struct(cost.alias("cost"), "route", "minutes", "load")).alias("b")).select("od", "k", "b.route", "b.minutes", "b.load")
+    best = lambda k: F.min(F.struct((F.col("minutes") + k * F.col("load")).alias("cost"), "route", "minutes", "load"))
+    # all preferences in one pass: a row of an option for each of them would be sorted
+    rungs = F.array(*[F.struct(F.lit(k).alias("k"), best(F.lit(k)).alias("b")) for k in (0.0, 0.03, 0.10, 0.30)])
+    c = options(spark, sf_dir).groupBy("od").agg(rungs.alias("c")).select("od", F.explode("c").alias("c"))
+    return c.select("od", "c.k", "c.b.route", "c.b.minutes", "c.b.load")
 
 
 def agg_ladder_steps(spark, sf_dir):

@@ -13,7 +13,7 @@ from heatloom.functions import comfort, earth, ways
 from heatloom.operators import graph, joins, raster, tiles
 from heatloom.operators.quantiles import exact_quantiles
 from heatloom.operators.skyline import pareto
-from heatloom.plans import catalog
+from heatloom.plans import catalog, routes
 
 DAY = dt.datetime(2024, 1, 31, 22)
 
@@ -259,3 +259,8 @@ def test_quantiles_when_tasks_end_in_another_order(spark):
         spark.conf.set("spark.sql.exchange.reuse", "true")
     assert got.n == len(values) and len(got.q) == len(wanted)
     assert np.allclose(got.q, np.quantile(values, wanted), rtol=1e-12)
+
+
+def test_preferences_are_chosen_in_one_pass(spark):
+    plan = routes.chosen(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode") < plan.index("Aggregate")  # above the choice, not below it
