@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .graph import ensure_checkpoints
+
 
 def _as_of(left: DataFrame, right: DataFrame, by: str, at: str, value: str, hours: float) -> tuple[DataFrame, Column, Column]:
     """Left rows (row, t) with the last right row at or before them and the first at or after them, as structs (t, v).
@@ -64,9 +68,23 @@ def within_radius(left: DataFrame, right: DataFrame, radius: float) -> DataFrame
 
 
 def nearest_within(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
-    """The nearest right point of each left point within the radius; ties to the smaller id."""
-    pairs = within_radius(left, right, radius)
-    return pairs.groupBy("id").agg(F.min(F.struct("d", "id2")).alias("best")).select("id", F.col("best.id2").alias("id2"), F.col("best.d").alias("d"))
+    """The nearest right point of each left point within the radius; ties to the smaller id.
+
+    Of right points at one place the smallest id stands for all. Radii double up to the radius, from one at which a cell holds a few points;
+    a point that has found one takes no part in wider searches, so that crowded places meet few points."""
+    ensure_checkpoints(left.sparkSession)
+    spots = right.where("x is not null and y is not null").groupBy("x", "y").agg(F.min("id").alias("id")).checkpoint()
+    span = spots.agg(F.count("*").alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")).first()
+    crowd = (span.x1 - span.x0) * (span.y1 - span.y0) / span.n if span.n else 0.0
+    steps = max(0, min(12, math.ceil(math.log2(radius / math.sqrt(crowd))))) if 0 < crowd < math.inf else 0
+    found, rest = None, left.select("id", "x", "y")
+    for i in range(steps, -1, -1):
+        got = within_radius(rest, spots, radius / 2**i).groupBy("id").agg(F.min(F.struct("d", "id2")).alias("best")).select("id", F.col("best.id2").alias("id2"), F.col("best.d").alias("d"))
+        got = got.checkpoint() if i else got
+        found = got if found is None else found.unionByName(got)
+        if i:
+            rest = rest.join(got, "id", "left_anti").checkpoint()
+    return found
 
 
 def inside(x: Column, y: Column, edges: Column) -> Column:

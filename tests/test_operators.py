@@ -264,3 +264,20 @@ def test_quantiles_when_tasks_end_in_another_order(spark):
 def test_preferences_are_chosen_in_one_pass(spark):
     plan = routes.chosen(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Generate explode") < plan.index("Aggregate")  # above the choice, not below it
+
+
+def test_nearest_in_a_crowd_meets_few_points(spark, monkeypatch):
+    rng, met, plain = random.Random(3), [], joins.within_radius
+    at = [(rng.gauss(0, 1), rng.gauss(0, 1)) for _ in range(300)] + [(9.0, 9.0), (30.0, 0.0)]
+    left = [(i, x + 0.01, y) for i, (x, y) in enumerate(at)]
+    right = [(1000 + i, *at[i % 300]) for i in range(1500)]
+
+    def counted(*args):
+        met.append((out := plain(*args)).count())
+        return out
+
+    monkeypatch.setattr(joins, "within_radius", counted)
+    got = {r.id: (r.id2, round(r.d, 9)) for r in joins.nearest_within(spark.createDataFrame(left, "id long, x double, y double"), spark.createDataFrame(right, "id long, x double, y double"), 12.0).collect()}
+    want = {i: min((math.hypot(x - u, y - v), j) for j, u, v in right) for i, x, y in left}
+    assert got == {i: (j, round(d, 9)) for i, (d, j) in want.items() if d <= 12.0}
+    assert sum(met) < 20_000  # of 450,000 pairs
