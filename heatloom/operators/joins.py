@@ -67,6 +67,14 @@ def within_radius(left: DataFrame, right: DataFrame, radius: float) -> DataFrame
     return near.join(far, ["cx", "cy"]).withColumn("d", d).where(F.col("d") <= radius).select("id", "id2", "d")
 
 
+def widening(points: DataFrame, radius: float) -> list[float]:
+    """Radii that double up to the radius, from one at which a cell holds a few of the points (x, y)."""
+    span = points.agg(F.count("*").alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")).first()
+    crowd = (span.x1 - span.x0) * (span.y1 - span.y0) / span.n if span.n else 0.0
+    steps = max(0, min(12, math.ceil(math.log2(radius / math.sqrt(crowd))))) if 0 < crowd < math.inf else 0
+    return [radius / 2**i for i in range(steps, -1, -1)]
+
+
 def nearest_within(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
     """The nearest right point of each left point within the radius; ties to the smaller id.
 
@@ -74,15 +82,12 @@ def nearest_within(left: DataFrame, right: DataFrame, radius: float) -> DataFram
     a point that has found one takes no part in wider searches, so that crowded places meet few points."""
     ensure_checkpoints(left.sparkSession)
     spots = right.where("x is not null and y is not null").groupBy("x", "y").agg(F.min("id").alias("id")).checkpoint()
-    span = spots.agg(F.count("*").alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")).first()
-    crowd = (span.x1 - span.x0) * (span.y1 - span.y0) / span.n if span.n else 0.0
-    steps = max(0, min(12, math.ceil(math.log2(radius / math.sqrt(crowd))))) if 0 < crowd < math.inf else 0
     found, rest = None, left.select("id", "x", "y")
-    for i in range(steps, -1, -1):
-        got = within_radius(rest, spots, radius / 2**i).groupBy("id").agg(F.min(F.struct("d", "id2")).alias("best")).select("id", F.col("best.id2").alias("id2"), F.col("best.d").alias("d"))
-        got = got.checkpoint() if i else got
+    for r in widening(spots, radius):
+        got = within_radius(rest, spots, r).groupBy("id").agg(F.min(F.struct("d", "id2")).alias("best")).select("id", F.col("best.id2").alias("id2"), F.col("best.d").alias("d"))
+        got = got.checkpoint() if r < radius else got
         found = got if found is None else found.unionByName(got)
-        if i:
+        if r < radius:
             rest = rest.join(got, "id", "left_anti").checkpoint()
     return found
 

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import graph
 from .graph import ensure_checkpoints
-from .joins import nearest_within, within_radius
+from .joins import nearest_within, widening, within_radius
+from .quantiles import kept
 
 #: Leading bits of a hash that number nodes by buckets.
 BUCKET_BITS = 12
@@ -80,40 +83,80 @@ def snap(edges: DataFrame, nodes: DataFrame, roots: DataFrame, radius: float, pe
     """Links that join loose ends: a, b, d, kind (0: to another indoor component, 1: to the street) and round.
 
     edges: a, b, inside (boolean); nodes: node, x, y, levels (array); roots: node, root: components of the inside edges. A loose end is a node that
-    one inside edge touches. Candidates are nodes within the radius on a shared level, without an edge to the end, not of its own component;
-    other components come first, then the nearer, then the smaller node. They are taken in rounds: each end proposes its best, links to
-    the street are taken, links between components if they are the best proposal of both; these components are then one. An end gets `per_node`
-    links at most. The best proposal of all is always taken, so that the rounds end."""
+    one inside edge touches. Candidates are nodes within the radius on a shared level, without an edge to the end, not of its own component.
+    Links between components come first: the shortest of all that are open is taken, ties to the smaller nodes, and its components are then
+    one, again and again. Ends with links to spare then take the nearest nodes of the street, ties to the smaller. An end gets `per_node` links at most.
+
+    Many links are taken in a round: a component's shortest one is surely taken if nothing shorter may use up the end on its other side. `round`
+    counts these rounds, and one more for all links to the street. Radii double up to the radius, as all links within the smaller one come first."""
     ensure_checkpoints(edges.sparkSession)
-    touch = edges.select(F.col("a").alias("node"), F.col("b").alias("other"), "inside").unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("other"), "inside"))
-    ends = touch.where("inside").groupBy("node").agg(F.count_distinct("other").alias("n")).where("n = 1").select("node")
+    touch = kept(edges.select(F.col("a").alias("node"), F.col("b").alias("other"), "inside").unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("other"), "inside")))
+    loose = touch.where("inside").groupBy("node").agg(F.count_distinct("other").alias("n")).where("n = 1").select(F.col("node").alias("id"), F.lit(per_node).alias("spare"))
+    known = touch.where("node is not null and other is not null").select(F.col("node").alias("id"), F.col("other").alias("id2")).distinct()
     placed = nodes.select(F.col("node").alias("id"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.coalesce("levels", F.array(F.lit(0)).cast(nodes.schema["levels"].dataType)).alias("levels"))
-    from_ = placed.join(ends.withColumnRenamed("node", "id"), "id")
-    near = within_radius(from_, placed, radius).where("id <> id2")
-    near = near.join(placed.select("id", F.col("levels").alias("l1")), "id").join(placed.select(F.col("id").alias("id2"), F.col("levels").alias("l2")), "id2").where(F.arrays_overlap("l1", "l2"))
-    near = near.join(touch.select(F.col("node").alias("id"), F.col("other").alias("id2")).distinct(), ["id", "id2"], "left_anti")
-    own = lambda n, r: roots.select(F.col("node").alias(n), F.col("root").alias(r))
-    open_ = near.join(own("id", "r1"), "id").join(own("id2", "r2"), "id2", "left").select("id", "id2", "d", "r1", "r2").where("not (r1 <=> r2)").checkpoint()
-    taken, got, i = None, None, 0
-    while not open_.isEmpty():
-        i += 1
-        kind = F.when(F.col("r2").isNull(), 1).otherwise(0)
-        best = open_.groupBy("id").agg(F.min(F.struct(kind.alias("kind"), "d", "id2", "r1", "r2")).alias("b")).select("id", "b.*")
-        street, merge = best.where("kind = 1"), best.where("kind = 0")
-        order = F.struct("d", F.least("id", "id2").alias("lo"), F.greatest("id", "id2").alias("hi"))
-        sides = merge.select(F.explode(F.array("r1", "r2")).alias("root"), order.alias("o")).groupBy("root").agg(F.min("o").alias("o"))
-        won = merge.withColumn("o", order).join(sides.select(F.col("root").alias("r1"), F.col("o").alias("o1")), "r1").join(sides.select(F.col("root").alias("r2"), F.col("o").alias("o2")), "r2").where("o = o1 and o = o2")
-        # two ends that propose each other are one link
-        won = won.withColumn("first", F.row_number().over(Window.partitionBy("o").orderBy("id"))).where("first = 1")
-        new = street.select("id", "id2", "d", "kind").unionByName(won.select("id", "id2", "d", "kind")).withColumn("round", F.lit(i)).checkpoint()
-        merged = won.select(F.greatest("r1", "r2").alias("was"), F.least("r1", "r2").alias("now")).checkpoint()
-        taken = new if taken is None else taken.unionByName(new).checkpoint()
-        got = taken.select(F.explode(F.array("id", "id2")).alias("id"), "kind").groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") >= per_node).select("id")
-        left = open_.join(new.select("id", "id2"), ["id", "id2"], "left_anti").join(new.select(F.col("id2").alias("id"), F.col("id").alias("id2")), ["id", "id2"], "left_anti").join(got, "id", "left_anti")
-        left = left.join(got.join(ends.withColumnRenamed("node", "id"), "id").withColumnRenamed("id", "id2"), "id2", "left_anti")
-        for r in ("r1", "r2"):
-            left = left.join(merged.withColumnRenamed("was", r), r, "left").withColumn(r, F.coalesce("now", r)).drop("now")
-        open_ = left.select("id", "id2", "d", "r1", "r2").where("not (r1 <=> r2)").checkpoint()
-    if taken is None:
-        return near.select(F.col("id").alias("a"), F.col("id2").alias("b"), F.col("d"), F.lit(0).alias("kind"), F.lit(0).alias("round")).where("false")
-    return taken.select(F.col("id").alias("a"), F.col("id2").alias("b"), "d", "kind", "round")
+    placed = kept(placed.where("x is not null and y is not null").join(loose, "id", "left").join(roots.select(F.col("node").alias("id"), "root"), "id", "left"))  # spare: null but for ends
+
+    taken, i = [], 0
+    indoor, street = placed.where("root is not null"), placed.where("root is null").drop("root", "spare")
+    for r in widening(indoor, radius):
+        links = kept(_open_links(indoor, known, r, radius))
+        while not links.isEmpty():
+            i += 1
+            won = kept(_surely_taken(links, per_node))
+            taken.append(won.select("a", "b", "d", F.lit(0).alias("kind"), F.lit(i).alias("round")))
+            now = kept(graph.components(won.select(F.col("r1").alias("a"), F.col("r2").alias("b"))))
+            used = won.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").cast("int").alias("used"))
+            links = links.join(won.select("a", "b"), ["a", "b"], "left_anti")
+            for n, root, spare in (("a", "r1", "s1"), ("b", "r2", "s2")):
+                links = _moved(links, now, used, n, root, spare)
+            links = kept(links.where("r1 <> r2 and s1 > 0 and (s2 is null or s2 > 0)"))
+            indoor = kept(_moved(indoor, now, used, "id", "root", "spare"))
+
+    # an end's links to the street touch no other end's: copies at one place beyond those that one end could take never count
+    ends = indoor.where("spare > 0").select("id", "x", "y", "levels", "spare")
+    most = touch.where("not inside").groupBy("node").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0] + per_node
+    copy = F.row_number().over(Window.partitionBy("x", "y", "levels").orderBy("id"))
+    street = kept(street.withColumn("copy", copy).where(F.col("copy") <= most).drop("copy"))
+    place = F.row_number().over(Window.partitionBy("id").orderBy("d", "id2"))
+    for r in widening(street, radius):
+        near = within_radius(ends.select("id", "x", "y"), street.select("id", "x", "y"), r).where("id <> id2")
+        near = near.join(ends.select("id", "levels", "spare"), "id").join(street.select(F.col("id").alias("id2"), F.col("levels").alias("l2")), "id2").where(F.arrays_overlap("levels", "l2"))
+        near = near.join(known, ["id", "id2"], "left_anti").withColumn("place", place).where((F.col("place") <= per_node) & (F.col("place") <= F.col("spare")))
+        near = kept(near.select("id", "id2", "d"))
+        whole = near.groupBy("id").agg(F.count("*").alias("n")).join(ends, "id").where((F.col("n") >= F.col("spare")) | F.lit(r == radius)).select("id")
+        taken.append(near.join(whole, "id", "left_semi").select(F.col("id").alias("a"), F.col("id2").alias("b"), "d", F.lit(1).alias("kind"), F.lit(i + 1).alias("round")))
+        ends = kept(ends.join(whole, "id", "left_anti"))
+    return reduce(DataFrame.unionByName, taken)
+
+
+def _open_links(indoor: DataFrame, known: DataFrame, r: float, radius: float) -> DataFrame:
+    """a, b, d, r1, r2, s1, s2: pairs of an end a and another component's node b (a < b if both are ends) within r, with the components' roots and the links to spare
+    (null: no end). Cells all of whose nodes are of an end's own component are not looked into."""
+    cell = lambda c: F.floor(F.col(c) / r)
+    there = indoor.where("spare is null or spare > 0").select(F.col("id").alias("b"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("levels").alias("l2"), F.col("root").alias("r2"), F.col("spare").alias("s2"), cell("x").alias("cx"), cell("y").alias("cy"))
+    here = indoor.where("spare > 0").withColumn("dx", F.explode(F.sequence(F.lit(-1), F.lit(1)))).withColumn("dy", F.explode(F.sequence(F.lit(-1), F.lit(1))))
+    here = here.select(F.col("id").alias("a"), "x", "y", "levels", F.col("root").alias("r1"), F.col("spare").alias("s1"), (cell("x") + F.col("dx")).alias("cx"), (cell("y") + F.col("dy")).alias("cy"))
+    mixed = there.groupBy("cx", "cy").agg(F.min("r2").alias("low"), F.max("r2").alias("high"))
+    here = here.join(mixed, ["cx", "cy"]).where("low <> r1 or high <> r1")
+    d = F.sqrt((F.col("x") - F.col("x2")) ** 2 + (F.col("y") - F.col("y2")) ** 2)
+    pairs = here.join(there, ["cx", "cy"]).where("r1 <> r2 and (s2 is null or a < b)").withColumn("d", d).where((F.col("d") <= r) & F.arrays_overlap("levels", "l2"))
+    return pairs.join(known.toDF("a", "b"), ["a", "b"], "left_anti").select("a", "b", "d", "r1", "r2", "s1", "s2")
+
+
+def _surely_taken(links: DataFrame, per_node: int) -> DataFrame:
+    """The open links (as of _open_links) that are the shortest of one of their components, and come early enough at their ends to be taken whatever the others do."""
+    order = F.struct("d", F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))
+    o = links.withColumn("o", order)
+    first = o.select(F.explode(F.array("r1", "r2")).alias("root"), "o").groupBy("root").agg(F.min("o").alias("o"))
+    best = o.join(first.select("o").distinct(), "o", "left_semi")
+    ends = F.explode(F.array(F.struct(F.col("a").alias("end"), F.col("s1").alias("spare")), F.struct(F.col("b").alias("end"), F.col("s2").alias("spare"))))
+    rank = F.row_number().over(Window.partitionBy("end").orderBy("o"))
+    early = o.select("a", "b", "o", ends.alias("e")).select("a", "b", "o", "e.*").where("spare is not null").withColumn("rank", rank).where((F.col("rank") <= per_node) & (F.col("rank") <= F.col("spare")))
+    fits = early.groupBy("a", "b").agg(F.count("*").alias("n"))
+    return best.join(fits, ["a", "b"]).where("n = if(s2 is null, 1, 2)").select("a", "b", "d", "r1", "r2")
+
+
+def _moved(df: DataFrame, now: DataFrame, used: DataFrame, node: str, root: str, spare: str) -> DataFrame:
+    """df with the roots of merged components and without the links that its nodes have used."""
+    to = df.join(now.toDF(root, "__now"), root, "left").join(used.toDF(node, "__used"), node, "left")
+    return to.withColumn(root, F.coalesce("__now", root)).withColumn(spare, F.col(spare) - F.coalesce("__used", F.lit(0))).select(*df.columns)

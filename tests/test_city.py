@@ -251,6 +251,30 @@ def test_snapping_knows_components(spark):
     assert pairs.snap(e, n, roots, 0.5).collect() == []
 
 
+def test_snapping_takes_few_rounds(spark):
+    """Sixty chains that become one part: as links taken one by one, the shortest first, but not in a round for each."""
+    rng = random.Random(5)
+    at = [(rng.uniform(0, 30), rng.uniform(0, 30)) for _ in range(140)]
+    chains, radius = [(2 * i, 2 * i + 1) for i in range(60)], 6.0  # nodes from 120 on are of the street
+    n = spark.createDataFrame([(i, x, y, [0]) for i, (x, y) in enumerate(at)], "node long, x double, y double, levels array<int>")
+    e = spark.createDataFrame([(a, b, True) for a, b in chains], "a long, b long, inside boolean")
+    roots = spark.createDataFrame([(x, c[0]) for c in chains for x in c], "node long, root long")
+    got = pairs.snap(e, n, roots, radius).collect()
+    part, spare, want = {x: x // 2 for x in range(120)}, [2] * 120, set()
+    near = sorted((math.dist(at[a], at[b]), a, b) for a in range(120) for b in range(a + 1, 140) if math.dist(at[a], at[b]) <= radius)
+    for _, a, b in near:
+        if b < 120 and part[a] != part[b] and spare[a] and spare[b]:
+            want.add((a, b, 0))
+            spare[a], spare[b] = spare[a] - 1, spare[b] - 1
+            part = {x: part[a] if p == part[b] else p for x, p in part.items()}
+    for _, a, b in near:
+        if b >= 120 and spare[a]:
+            want.add((a, b, 1))
+            spare[a] -= 1
+    assert {(r.a, r.b, r.kind) for r in got} == want and len(got) == len(want)
+    assert max(r["round"] for r in got) <= 12 < sum(k == 0 for _, _, k in want)
+
+
 def test_connectors_need_both_ends(spark):
     e = spark.createDataFrame([(1, 2), (2, 3)], "a long, b long")
     n = spark.createDataFrame([(1, 0.0, 0.0), (2, 0.2, 0.0), (3, 100.0, 0.0), (4, 5.0, 5.0)], NODES)
