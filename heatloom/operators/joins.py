@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .graph import ensure_checkpoints
+from .quantiles import kept
 
 
 def _as_of(left: DataFrame, right: DataFrame, by: str, at: str, value: str, hours: float) -> tuple[DataFrame, Column, Column]:
@@ -56,15 +58,16 @@ def asof_nearest(left: DataFrame, right: DataFrame, by: str, at: str, value: str
     return _unpacked(rows, left.columns, value, F.when(later, ahead["v"]).otherwise(back["v"]))
 
 
-def within_radius(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
+def within_radius(left: DataFrame, right: DataFrame, radius: float, tags: bool = False) -> DataFrame:
     """Pairs (id, id2, d) of points (id, x, y) at most `radius` apart: an equi-join on grid cells as wide as the
-    radius, each left point sent to its nine cells, then the exact distance."""
+    radius, each left point sent to its nine cells, then the exact distance. tags: with the points' tags and tags2."""
+    own, other = (["tags"], [F.col("tags").alias("tags2")]) if tags else ([], [])
     cell = lambda c: F.floor(F.col(c) / radius)
     near = left.withColumn("dx", F.explode(F.sequence(F.lit(-1), F.lit(1)))).withColumn("dy", F.explode(F.sequence(F.lit(-1), F.lit(1))))
-    near = near.select("id", "x", "y", (cell("x") + F.col("dx")).alias("cx"), (cell("y") + F.col("dy")).alias("cy"))
-    far = right.select(F.col("id").alias("id2"), F.col("x").alias("x2"), F.col("y").alias("y2"), cell("x").alias("cx"), cell("y").alias("cy"))
+    near = near.select("id", "x", "y", *own, (cell("x") + F.col("dx")).alias("cx"), (cell("y") + F.col("dy")).alias("cy"))
+    far = right.select(F.col("id").alias("id2"), F.col("x").alias("x2"), F.col("y").alias("y2"), *other, cell("x").alias("cx"), cell("y").alias("cy"))
     d = F.sqrt((F.col("x") - F.col("x2")) ** 2 + (F.col("y") - F.col("y2")) ** 2)
-    return near.join(far, ["cx", "cy"]).withColumn("d", d).where(F.col("d") <= radius).select("id", "id2", "d")
+    return near.join(far, ["cx", "cy"]).withColumn("d", d).where(F.col("d") <= radius).select("id", "id2", "d", *own, *["tags2"] * tags)
 
 
 def widening(points: DataFrame, radius: float) -> list[float]:
@@ -123,11 +126,27 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, cell: float) -> D
     return cells_of(polygons, cell).join(here, ["cx", "cy"]).where(inside(F.col("x"), F.col("y"), F.col("edges"))).select("id", "pid")
 
 
-def top_within(left: DataFrame, right: DataFrame, radius: float, allowed: Column, rank: list[Column], k: int = 2) -> DataFrame:
-    """The k best right points of each left point (both: id, x, y, tags) within a radius: `allowed` and `rank` use the columns
-    d, id2, tags and tags2."""
-    pairs = within_radius(left.select("id", "x", "y"), right.select("id", "x", "y"), radius)
-    pairs = pairs.join(left.select("id", "tags"), "id").join(right.select(F.col("id").alias("id2"), F.col("tags").alias("tags2")), "id2").where(allowed)
-    # a rank with a limit: each task keeps k rows of an endpoint before anything is shuffled
-    place = F.row_number().over(Window.partitionBy("id").orderBy(*rank, "d", "id2"))
-    return pairs.withColumn("place", place).where(F.col("place") <= k).select("id", (F.col("place") - 1).alias("place"), "id2", "d")
+def top_within(left: DataFrame, right: DataFrame, radius: float, allowed: Column, rank: list[Column], k: int = 2, best: Column | None = None) -> DataFrame:
+    """The k best right points of each left point (both: id, x, y, tags) within a radius: `allowed`, `rank` and `best` use the columns
+    d, tags and tags2; ties of a rank to the nearer, then to the smaller id2.
+
+    Left points at one place with the same tags are searched for once, and of such right points only the k smallest ids can count. best: holds
+    for a right point whose rank none can beat; radii double up to the radius, and a left point that has found k of these takes no part in wider
+    searches. Without it all pairs within the radius are ranked."""
+    spot = ["x", "y", "tags"]
+    own = left.select("id", *spot).where("x is not null and y is not null")
+    places = kept(own.groupBy(*spot).agg(F.min("id").alias("id")))
+    copy = F.row_number().over(Window.partitionBy(*spot).orderBy("id"))
+    there = kept(right.select("id", *spot).where("x is not null and y is not null").withColumn("copy", copy).where(F.col("copy") <= k).drop("copy"))
+    place = F.row_number().over(Window.partitionBy("id").orderBy(*rank, "d", "id2"))  # each task keeps k rows of a point before anything is shuffled
+    rest, found = places, []
+    for r in widening(there, radius) if best is not None else [radius]:
+        top = within_radius(rest, there, r, tags=True).where(allowed).withColumn("place", place).where(F.col("place") <= k)
+        top = kept(top.select("id", (F.col("place") - 1).alias("place"), "id2", "d", (F.lit(False) if best is None else F.coalesce(best, F.lit(False))).alias("sure")))
+        if r < radius:
+            done = kept(top.where("sure").groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") >= k).select("id"))
+            top, rest = top.join(done, "id", "left_semi"), kept(rest.join(done, "id", "left_anti"))
+        found.append(top.drop("sure"))
+    same = [F.col(f"o.{c}").eqNullSafe(F.col(f"p.{c}")) for c in spot]
+    copies = own.alias("o").join(places.alias("p"), reduce(Column.__and__, same)).select(F.col("p.id").alias("one"), F.col("o.id").alias("id"))
+    return copies.join(reduce(DataFrame.unionByName, found).withColumnRenamed("id", "one"), "one").select("id", "place", "id2", "d")

@@ -94,9 +94,9 @@ def join_left_over_nearest(spark, sf_dir):
 
 def join_constrained_top(spark, sf_dir):
     """The two best partners of each endpoint within 5: not of its own label, sharing a level; even ones first."""
-    p = places(spark, sf_dir).withColumn("tags", F.struct("label", F.array(F.col("label") % 3, F.col("id") % 4).alias("levels")))
+    p = places(spark, sf_dir).withColumn("tags", F.struct("label", F.array(F.col("label") % 3, F.col("id") % 4).alias("levels"), (F.col("id") % 2).alias("odd")))
     allowed = (F.col("tags.label") != F.col("tags2.label")) & F.arrays_overlap(F.col("tags.levels").cast("array<long>"), F.col("tags2.levels").cast("array<long>"))
-    return joins.top_within(p.where("id % 5 = 0"), p.where("id % 5 <> 0"), 5.0, allowed, [F.col("id2") % 2])
+    return joins.top_within(p.where("id % 5 = 0"), p.where("id % 5 <> 0"), 5.0, allowed, [F.col("tags2.odd")], best=F.col("tags2.odd") == 0)
 
 
 def join_cell_class(spark, sf_dir):

@@ -281,3 +281,29 @@ def test_nearest_in_a_crowd_meets_few_points(spark, monkeypatch):
     want = {i: min((math.hypot(x - u, y - v), j) for j, u, v in right) for i, x, y in left}
     assert got == {i: (j, round(d, 9)) for i, (d, j) in want.items() if d <= 12.0}
     assert sum(met) < 20_000  # of 450,000 pairs
+
+
+def test_partners_at_one_place_grow_by_the_row(spark):
+    """3,000 points at one place on either side are nine million pairs: they are not made, and all get their partners."""
+    here = [(i, 0.0, 0.0, i % 2) for i in range(6000)] + [(6001, 3.0, 0.0, 1), (6003, 0.5, 0.0, 1), (6004, 40.0, 0.0, 0), (6006, 41.0, 0.0, 0), (6008, 44.0, 0.0, 0), (6010, 0.0, 4.0, 0)]
+    p = spark.createDataFrame(here, "id long, x double, y double, odd int").withColumn("tags", F.struct("odd", F.lit(None).cast("int").alias("none")))
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    within = joins.within_radius
+    joins.within_radius = lambda *a, **k: (lambda df: df.mapInArrow(counted, df.schema))(within(*a, **k))
+    try:
+        got = joins.top_within(p.where("id % 3 = 0"), p.where("id % 3 <> 0"), 5.0, F.lit(True), [F.col("tags2.odd")], best=F.col("tags2.odd") == 0).collect()
+    finally:
+        joins.within_radius = within
+    want = {}
+    right = [h for h in here if h[0] % 3]
+    for place in {h[1:3] for h in here}:
+        near = sorted((o, math.hypot(x - place[0], y - place[1]), i) for i, x, y, o in right)
+        want[place] = [(k, i, d) for k, (_, d, i) in enumerate([n for n in near if n[1] <= 5.0][:2])]
+    assert sorted((r.id, r.place, r.id2, r.d) for r in got) == sorted((h[0], k, i, d) for h in here if h[0] % 3 == 0 for k, i, d in want[h[1:3]])
+    assert made.value < 200
