@@ -8,6 +8,8 @@ surroundings: albedo 0.20 (ground 0.15), emissivity 0.90 (ground 0.95), half of
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -277,12 +279,12 @@ def wall_absorbed(f: Column, sun_azimuth: Column, elevation: Column, faces: Colu
     return (1.0 - albedo) * short + eps * (0.5 * f["l_sky"] + 0.5 * around)
 
 
-def surface_step(t: Column, absorbed: Column, air: Column, h: Column | float, eps: Column | float, heat: Column | float, dt: float, k_deep: Column | float = 0.0, t_deep: Column | float = 0.0, beta: Column | float = 0.0) -> Column:
+def surface_step(t: Column, absorbed: Column, air: Column, h: Column | float, eps: Column | float, heat: Column | float, dt: float, k_deep: Column | float = 0.0, t_deep: Column | float = 0.0, beta: Column | float = 0.0, power=F.pow, positive=lambda net: F.greatest(net, F.lit(0.0))) -> Column:
     """Surface temperature (K) one semi-implicit step later: emission is taken along its tangent. k_deep conducts to a
-    reservoir at t_deep; beta is the share of positive net radiation that evaporates."""
-    net = absorbed - eps * SIGMA * F.pow(t, F.lit(4.0))
-    gain = net - h * (t - air) - k_deep * (t - t_deep) - beta * F.greatest(net, F.lit(0.0))
-    return t + dt * gain / (heat + dt * ((1.0 - beta) * 4.0 * eps * SIGMA * F.pow(t, F.lit(3.0)) + h + k_deep))
+    reservoir at t_deep; beta is the share of positive net radiation that evaporates. With numpy's power and positive: of arrays."""
+    net = absorbed - eps * SIGMA * power(t, 4.0)
+    gain = net - h * (t - air) - k_deep * (t - t_deep) - beta * positive(net)
+    return t + dt * gain / (heat + dt * ((1.0 - beta) * 4.0 * eps * SIGMA * power(t, 3.0) + h + k_deep))
 
 
 def explicit_step(heat: Column | float, eps: Column | float, h: Column | float, t: Column, k_deep: Column | float = 0.0) -> Column:
@@ -315,18 +317,38 @@ def march_day(clock: Column, start: Column, slots: int, eps: Column | float, hea
 
 def convection_for(series: Column, start: Column, target: Column, at: Column | int, low: float = 2.0, high: float = 60.0, steps: int = 40, eps: float = 0.95, heat: float = 2.5e5, dt: float = 3600.0) -> Column:
     """The convection coefficient with which a surface is at `target` (K) after step `at` (from 0) of a march over series (absorbed,
-    air): bisection as a fold, each step of which is a whole march. More convection cools a surface that is hotter than the air; a
-    target that no coefficient in the range meets gives the range's end."""
-    upto = F.slice(series, 1, at + 1)
-
-    def halve(s: Column, _: Column) -> Column:
-        middle = (s["low"] + s["high"]) / 2
-        hot = march(upto, start, middle, eps, heat, dt) > target
-        return F.struct(F.when(hot, middle).otherwise(s["low"]).alias("low"), F.when(hot, s["high"]).otherwise(middle).alias("high"))
-
-    begin = F.struct(F.lit(float(low)).alias("low"), F.lit(float(high)).alias("high"))
-    found = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), begin, halve, lambda s: (s["low"] + s["high"]) / 2)
-    return F.when(target.isNotNull() & (F.size(series) > at), found)
+    air): bisection, each step of which is a whole march; a task halves the ranges of a batch of rows together. More convection cools a surface that is
+    hotter than the air; a target that no coefficient in the range meets gives the range's end."""
+
+    def solve(absorbed: pa.Array, air: pa.Array, start: pa.Array, target: pa.Array, at: pa.Array) -> pa.Array:
+        floats = lambda x: x.cast(pa.float64()).to_numpy(zero_copy_only=False)
+        last = at.cast(pa.int64()).fill_null(-1).to_numpy()
+        offsets = absorbed.offsets.to_numpy()
+        known = (absorbed.is_valid().to_numpy(False) & target.is_valid().to_numpy(False) & at.is_valid().to_numpy(False)) & (np.diff(offsets) > last)
+        count = np.where(known, last + 1, 0)
+        order = np.argsort(-count, kind="stable")  # the rows that go on are the first ones
+        goal, begin, missing = floats(target)[order], floats(start)[order], start.is_null().to_numpy(False)[order]
+        marched = []
+        for j in range(int(count.max(initial=0))):
+            rows = order[: np.count_nonzero(count > j)]
+            q, a = absorbed.values.take(pa.array(offsets[rows] + j)), air.values.take(pa.array(air.offsets.to_numpy()[rows] + j))
+            missing[: len(rows)] |= q.is_null().to_numpy(False) | a.is_null().to_numpy(False)
+            marched.append((floats(q), floats(a)))
+        under, over = np.full(len(order), float(low)), np.full(len(order), float(high))
+        with np.errstate(all="ignore"):
+            for _ in range(steps):
+                middle, t = (under + over) / 2, begin.copy()
+                for q, a in marched:
+                    n = len(q)
+                    t[:n] = surface_step(t[:n], q, a, middle[:n], eps, heat, dt, power=np.power, positive=lambda net: np.maximum(net, 0.0))
+                hot = ~missing & ((t > goal) | (np.isnan(t) & ~np.isnan(goal)))  # as Spark orders NaN
+                under, over = np.where(hot, middle, under), np.where(hot, over, middle)
+        out = np.empty(len(order))
+        out[order] = (under + over) / 2
+        return pa.array(out, mask=~known)
+
+    at = F.lit(at) if isinstance(at, int) else at
+    return F.arrow_udf(solve, "double")(series["absorbed"], series["air"], start.cast("double"), target, at)
 
 
 def flux_mean(temperatures: Column) -> Column:

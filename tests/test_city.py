@@ -4,6 +4,7 @@ import heapq
 import math
 import os
 import random
+import time
 
 import numpy as np
 import pytest
@@ -275,6 +276,37 @@ def test_snapping_takes_few_rounds(spark):
     assert max(r["round"] for r in got) <= 12 < sum(k == 0 for _, _, k in want)
 
 
+def test_convection_is_found_for_many_days_at_once(spark):
+    """Like one day after the other; 20,000 days of 24 hours are 19 million steps, which take no minute."""
+    rng = random.Random(3)
+
+    def last(day, h, at):
+        t = 290.0
+        for q, air in day[: at + 1]:
+            if q is None:
+                return None
+            t += 3600.0 * (q - 0.95 * 5.670374419e-8 * t**4 - h * (t - air)) / (2.5e5 + 3600.0 * (4 * 0.95 * 5.670374419e-8 * t**3 + h))
+        return t
+
+    rows = [(i, [(rng.uniform(450, 850), rng.uniform(280, 305)) for _ in range(1 + i % 7)], i % 5) for i in range(60)]
+    rows += [(60, [(500.0, 290.0), (None, 290.0)], 1), (61, [], 0), (62, None, 0), (63, [(500.0, 290.0), (None, 290.0)], 0)]
+    df = spark.createDataFrame(rows, "id long, s array<struct<absorbed: double, air: double>>, at int").withColumn("goal", F.when(F.col("id") != 7, 300.0 + F.col("id") % 20))
+    got = {r.id: r.h for r in df.repartition(3).select("id", comfort.convection_for(F.col("s"), F.lit(290.0), F.col("goal"), F.col("at")).alias("h")).collect()}
+    for i, day, at in rows:
+        if i == 7 or not day or len(day) <= at:
+            assert got[i] is None
+            continue
+        low, high = 2.0, 60.0
+        for _ in range(40):
+            t = last(day, (low + high) / 2, at)
+            low, high = ((low + high) / 2, high) if t is not None and t > 300.0 + i % 20 else (low, (low + high) / 2)
+        assert got[i] == pytest.approx((low + high) / 2, abs=1e-6)
+    many = spark.range(20_000).select(F.transform(F.sequence(F.lit(1), F.lit(24)), lambda k: F.struct((450.0 + (F.col("id") + k) % 300).alias("absorbed"), (280.0 + k).alias("air"))).alias("s"))
+    start = time.monotonic()
+    found = many.repartition(1).select(comfort.convection_for(F.col("s"), F.lit(290.0), F.lit(305.0), F.lit(23)).alias("h")).agg(F.count("h"), F.min("h"), F.max("h")).first()
+    assert time.monotonic() - start < 60 and found[0] == 20_000 and 2.0 <= found[1] < found[2] <= 60.0
+
+
 def test_connectors_need_both_ends(spark):
     e = spark.createDataFrame([(1, 2), (2, 3)], "a long, b long")
     n = spark.createDataFrame([(1, 0.0, 0.0), (2, 0.2, 0.0), (3, 100.0, 0.0), (4, 5.0, 5.0)], NODES)
