@@ -7,13 +7,23 @@ from pyspark.sql.window import Window
 
 from heatloom.functions import comfort
 from heatloom.operators.skyline import pareto
-from heatloom.plans.tables import LEGS, OPTIONS, legs, options, table
+from heatloom.plans.tables import LEGS, OPTIONS, dealt, legs, options, table
 
 #: Walking speed (m/s), metres for a door, weight of stress: fixed values.
 SPEED, DOOR, K = 1.35, 45.0, 0.10
 ORDER = ("seq", "part", "price")
 
 
+def win_run_length(spark, sf_dir):
+    """Runs of legs of one state on each route: a run begins where the state is not that of the leg before."""
+    line = table(spark, sf_dir, "lineitem")
+    l = line.select(F.col("l_orderkey").alias("route"), F.col("l_linenumber").alias("seq"), F.col("l_returnflag").alias("state"), F.col("l_partkey").alias("part"), F.col("l_extendedprice").alias("price"))
+    w = Window.partitionBy("route").orderBy("seq", "part", "price")
+    l = dealt(l, line.count(), "route").withColumn("begins", (~F.col("state").eqNullSafe(F.lag("state").over(w))).cast("int"))
+    runs = l.withColumn("run", F.sum("begins").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return runs.groupBy("route", "state", "run").agg(F.min("seq").alias("first_seq"), F.count(F.lit(1)).alias("legs")).drop("run")
+
+
 def rise():
     return F.when(F.col("tax") > 0.02, F.col("tax") * 100)
 
@@ -213,6 +223,7 @@ MIN = "(len + CASE WHEN conveying OR NOT tax > 0.02 THEN 0 ELSE 300 * tax END) /
 RUNS = LEGS + ", a AS (SELECT *, row_number() OVER (PARTITION BY route ORDER BY seq, part, price) - row_number() OVER (PARTITION BY route, indoor ORDER BY seq, part, price) AS g FROM l), q AS (SELECT route, indoor, g, min((seq, part, price)) AS first_leg, sum(len) AS len, sum(shade * len) / sum(len) AS shade, string_agg(part::VARCHAR, ',' ORDER BY seq, part, price) AS path FROM a GROUP BY 1, 2, 3), u AS (SELECT route, row_number() OVER (PARTITION BY route ORDER BY first_leg) AS run, indoor, len, shade, path FROM q)"
 CHOSEN = OPTIONS + ", c AS (SELECT od, k, route, minutes, load FROM (SELECT o.*, k, row_number() OVER (PARTITION BY od, k ORDER BY minutes + k * load, route) AS i FROM o, (SELECT unnest([0e0, 0.03e0, 0.1e0, 0.3e0]) AS k)) WHERE i = 1)"
 PLANS = {
+    "win_run_length": (win_run_length, None),  # its SQL is in shared
     "agg_route_full": (agg_route_full, f"WITH {LEGS}, d AS (SELECT *, lag(indoor) OVER (PARTITION BY route ORDER BY seq, part, price) AS was FROM l), s AS (SELECT route, sum(len) AS metres, sum(CASE WHEN indoor THEN 0 ELSE len * (1 - shade) END) AS sun, sum(CASE WHEN indoor THEN len ELSE 0 END) AS inside, sum(CASE WHEN conveying OR NOT tax > 0.02 THEN 0 ELSE tax * 100 END) AS climb, sum({MIN}) AS minutes, sum({MIN} * greatest(0, utci - 26, 9 - utci)) AS load, count(*) FILTER (was <> indoor) AS doors FROM d GROUP BY 1) SELECT *, 100 * sun / metres AS sun_pct, minutes + 0.1e0 * load + doors * 45 / 81e0 AS weighted FROM s"),
     "agg_thermal_dose": (agg_thermal_dose, f"WITH {LEGS}, d AS (SELECT *, CASE WHEN part % 11 <> 0 THEN utci END AS u, {MIN} AS m FROM l) SELECT route, CASE WHEN count(u) > 0 THEN coalesce(sum((u - 26) * m) FILTER (u > 26), 0) END AS heat, CASE WHEN count(u) > 0 THEN coalesce(sum((9 - u) * m) FILTER (u < 9), 0) END AS cold, CASE WHEN count(u) > 0 THEN coalesce(sum(len) FILTER (u < 9 OR u > 26), 0) END AS exposed, max(u) AS peak, sum(u * len) FILTER (NOT indoor) / sum(len) FILTER (NOT indoor AND u IS NOT NULL) AS mean FROM d GROUP BY 1"),
     "agg_uv_dose": (agg_uv_dose, f"WITH {LEGS}, d AS (SELECT *, CASE WHEN indoor THEN 0 ELSE 1 - shade END AS f, {MIN} AS m FROM l) SELECT route, sum(8 * f * m) AS dose, coalesce(sum(m) FILTER (f > 0.5), 0) AS exposed, sum(f * len) / sum(len) AS mean, max(f) AS peak, 0.12e0 * sum(f * m) AS sed FROM d GROUP BY 1"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +19,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows that a task sorts, about.
+ROWS_A_TASK = 500_000
+
+
+def dealt(df: DataFrame, rows: int, by: str) -> DataFrame:
+    """df of so many rows, dealt by a key over as many partitions as keep tasks small: a fixed number of them would grow with the table."""
+    return df.repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / ROWS_A_TASK)), by)
+
+
 def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sensor readings: values outside the valid range are null."""
     e, v = table(spark, sf_dir, "events"), F.col("value")

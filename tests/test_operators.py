@@ -13,7 +13,7 @@ from heatloom.functions import comfort, earth, ways
 from heatloom.operators import graph, joins, raster, tiles
 from heatloom.operators.quantiles import exact_quantiles
 from heatloom.operators.skyline import pareto
-from heatloom.plans import catalog, routes
+from heatloom.plans import catalog, routes, tables
 
 DAY = dt.datetime(2024, 1, 31, 22)
 
@@ -307,3 +307,20 @@ def test_partners_at_one_place_grow_by_the_row(spark):
         want[place] = [(k, i, d) for k, (_, d, i) in enumerate([n for n in near if n[1] <= 5.0][:2])]
     assert sorted((r.id, r.place, r.id2, r.d) for r in got) == sorted((h[0], k, i, d) for h in here if h[0] % 3 == 0 for k, i, d in want[h[1:3]])
     assert made.value < 200
+
+
+def test_runs_are_dealt_by_rows(spark, monkeypatch):
+    """Tasks get more, not larger: with tasks of 1,000 rows none of 60,000 sorts many more, and the runs are those of plain Python."""
+    monkeypatch.setattr(tables, "ROWS_A_TASK", 1000, raising=False)
+    sf = "/root/testdata/sf0.01"
+    df = catalog.queries()["win_run_length"](spark, sf)
+    parts = df.select("legs", F.spark_partition_id().alias("p")).groupBy("p").agg(F.sum("legs").alias("n")).collect()
+    assert sum(r.n for r in parts) == 60_000 and max(r.n for r in parts) < 3000
+    want, was = [], None
+    for r in sorted(tables.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_returnflag").collect()):
+        if was == (r[0], r[4]):
+            want[-1][3] += 1
+        else:
+            want.append([r[0], r[4], r[1], 1])
+        was = (r[0], r[4])
+    assert sorted(map(list, df.select("route", "state", "first_seq", "legs").collect())) == sorted(want)
