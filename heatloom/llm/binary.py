@@ -32,6 +32,8 @@ CHECKPOINT = 128
 BLOCK_IDS = 1 << 17
 #: Characters tokenized at a time.
 CHARS = 4_000_000
+#: Chunks that a worker keeps: learning them anew costs more than all else, and no other work shares these workers.
+CHUNKS = 1_000_000
 
 
 def code_lengths(counts: np.ndarray, limit: int) -> np.ndarray:
@@ -131,7 +133,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id"
     def lay_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        shard, encoder, block = TaskContext.get().partitionId(), Encoder.of(tokenizer), 0
+        shard, encoder, block = TaskContext.get().partitionId(), Encoder.of(tokenizer, CHUNKS), 0
         held: list[np.ndarray] = []
         ids_held, sizes, total = [], [], 0
 

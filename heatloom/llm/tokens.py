@@ -2,7 +2,7 @@
 
 A vocabulary that drops white space and splits at it before anything else gives a text the ids of its
 chunks between spaces and line ends, in order. For such a vocabulary each worker keeps the ids of the
-chunks that it has met (at most MAX_CHUNKS, then it starts anew), so that most of a text is looked
+chunks that it has met (at most MAX_CHUNKS, or as many as it is told, then it starts anew), so that most of a text is looked
 up. A chunk of Latin letters, perhaps with one mark after it, goes to the library's model directly,
 in lower case and spelt in its byte alphabet; any other chunk goes through the whole tokenizer, and
 so do whole texts where the vocabulary is of another kind.
@@ -32,9 +32,9 @@ def byte_alphabet() -> dict[int, str]:
 class Encoder:
     """Ids of texts by a tokenizer file; one for each worker process."""
 
-    _own: dict[str, Encoder] = {}
+    _own: dict[tuple[str, int], Encoder] = {}
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, most: int = MAX_CHUNKS) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -45,14 +45,14 @@ class Encoder:
         steps = [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])]
         first = (spec["pre_tokenizer"] or {}).get("pretokenizers", [{}])[0]
         self.chunked = steps == ["NFC", "Replace", "Lowercase"] and first.get("behavior") == "Removed" and first.get("invert") is True
-        self.spell = byte_alphabet()
+        self.spell, self.most = byte_alphabet(), most
         self._start_anew()
 
     @classmethod
-    def of(cls, path: str) -> Encoder:
-        if path not in cls._own:
-            cls._own[path] = cls(path)
-        return cls._own[path]
+    def of(cls, path: str, most: int = MAX_CHUNKS) -> Encoder:
+        if (path, most) not in cls._own:
+            cls._own[path, most] = cls(path, most)
+        return cls._own[path, most]
 
     def _start_anew(self) -> None:
         self.place: dict[str, int] = {"": 0}  # chunk -> its number
@@ -89,7 +89,7 @@ class Encoder:
         if not self.chunked:
             each = [e.ids for e in self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
             return np.array([x for ids in each for x in ids], np.uint32), np.cumsum([0, *map(len, each)])
-        if len(self.place) > MAX_CHUNKS:
+        if len(self.place) > self.most:
             self._start_anew()
         chunks: list[str] = []
         ends = np.zeros(len(texts) + 1, np.int64)

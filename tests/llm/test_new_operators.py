@@ -194,3 +194,19 @@ def test_archive_of_others_and_of_nothing(spark, tmp_path):
     assert warc.read_records(spark.read.schema(warc.ARCHIVE).parquet(f"{tmp_path}/none")).collect() == []
     with pytest.raises(TypeError):
         warc.write_archive(spark.createDataFrame([("a", "b", "c")], "page_id string, url string, html string"), f"{tmp_path}/no")
+
+
+def test_encoder_keeps_as_many_chunks_as_told():
+    """One that may keep all learns each chunk once; a small one learns them again and gives the same ids."""
+    from heatloom.llm import binary, tokens
+    from heatloom.llm.queries import tokenizer_path
+
+    texts, counts, ids = [" ".join(f"word{chr(97 + i)}{chr(97 + k)}" for k in range(26)) for i in range(10)] * 2, [], []
+    for most in (30, 1000):
+        e, learnt = tokens.Encoder(tokenizer_path(), most), []
+        learn = e._learn
+        e._learn = lambda chunks, learn=learn, learnt=learnt: (learnt.extend(chunks), learn(chunks))
+        ids.append([e.encode([t])[0].tolist() for t in texts])
+        counts.append(len(learnt))
+    assert ids[0] == ids[1] and counts == [520, 260]
+    assert binary.CHUNKS > tokens.MAX_CHUNKS and tokens.Encoder.of(tokenizer_path(), binary.CHUNKS) is not tokens.Encoder.of(tokenizer_path())
