@@ -479,3 +479,76 @@ def test_many_regions_take_few_rounds(spark):
     t = overlay.trees(e, regions, spark.createDataFrame([(0, 0, 0)], "q long, variant int, node long"), {0: (0.0, 0.0)})
     assert {r.node: r.cost for r in overlay.tree_costs(t).collect()} == heap_search(edges, 0, 0.0, 0.0)
     assert len(tracker.getJobIdsForGroup("trees")) < 60
+
+
+def least_walks(edges, start, door, jump):
+    """(cost, edges, metres) of the best way to each node, the least of each in this order, by states; edges: a, b, cost, length, kind."""
+    out, length = {}, {}
+    for a, b, c, m, *kind in edges:
+        length[frozenset((a, b))] = min(m, length.get(frozenset((a, b)), m))
+        if c is not None:
+            out.setdefault(a, []).append((b, c, tuple(kind)))
+            out.setdefault(b, []).append((a, c, tuple(kind)))
+    done, heap, best = set(), [((0.0, 0, 0.0), start, ())], {}
+    while heap:
+        (cost, n, m), node, kind = heapq.heappop(heap)
+        if (node, kind) in done:
+            continue
+        done.add((node, kind))
+        best.setdefault(node, (cost, n, m))
+        for b, c, k in out.get(node, []):
+            more = 0.0
+            if kind:
+                more = door * (kind[0] != k[0]) + (0.0 if kind[2] or k[2] else jump * abs(kind[1] - k[1]))
+            heapq.heappush(heap, ((cost + c + more, n + 1, m + length[frozenset((node, b))]), b, k))
+    return best
+
+
+@pytest.mark.parametrize("block", [2, 100])
+def test_figures_of_ways_need_no_ways(spark, block):
+    nodes, plain = grid_graph(40, 4, seed=5)
+    edges = [(a, b, c, float((a * 7 + b) % 5), *kind) for a, b, c, *kind in plain]
+    edges += [(a, b, c + 1, m / 2, *kind) for a, b, c, m, *kind in edges[::9]] + [(0, 159, None, 1.0, False, 0, False), (1, 2, 0.0, 3.0, True, 1, False)]
+    nodes.append((900, 3.0, 3.0))
+    e = spark.createDataFrame(edges, "a long, b long, cost double, length double, indoor boolean, level int, stepped boolean").withColumn("variant", F.explode(F.array(F.lit(0), F.lit(1))))
+    costs = {0: (6.0, 3.0), 1: (0.0, 0.0)}
+    regions = overlay.regions_of(spark.createDataFrame(nodes, NODES), 10)
+    t = overlay.trees(e, regions, spark.createDataFrame([(5, 0, 0), (8, 0, 77), (6, 1, 100), (7, 0, 900)], "q long, variant int, node long"), costs, block)
+    ends = [(1000 * q + n, q, n) for q in (5, 6, 7, 8) for n in [*range(0, 160, 3), 900]]
+    got = {r.id: (r.cost, r.edges, r.walked) for r in overlay.tree_walks(t, spark.createDataFrame(ends, "id long, q long, node long")).collect()}
+    want = {q: least_walks(edges, start, *costs[v]) for q, v, start in ((5, 0, 0), (8, 0, 77), (6, 1, 100), (7, 0, 900))}
+    assert got == {i: want[q][n] for i, q, n in ends if n in want[q]}
+    _, steps = overlay.tree_paths(t, spark.createDataFrame(ends, "id long, q long, node long").where("q = 8"))
+    assert {r.id: r.n for r in steps.groupBy("id").agg(F.count("*").alias("n")).collect()} == {i: g[1] for i, g in got.items() if i >= 8000 and g[1]}
+
+
+def test_blocks_are_not_searched_backwards(spark):
+    nodes, edges = grid_graph(60, 4, plain=True)
+    e = spark.createDataFrame([(a, b, 1.0, *k) for a, b, _, *k in edges], EDGES).withColumn("variant", F.lit(0))
+    t = overlay.trees(e, overlay.regions_of(spark.createDataFrame(nodes, NODES), 20), spark.createDataFrame([(0, 0, 0)], "q long, variant int, node long"), {0: (0.0, 0.0)}, 3)
+    assert t.labels.where("pb >= 0").count() == 4 * 3  # four ways into each of three more blocks, none back
+
+
+def test_regions_are_runs_in_few_partitions(spark):
+    nodes = spark.createDataFrame(grid_graph(60, 50)[0], NODES)
+    regions = overlay.regions_of(nodes, 6)
+    assert regions.rdd.getNumPartitions() < 20
+    sizes = {r.region: r["count"] for r in regions.groupBy("region").count().collect()}
+    assert sorted(sizes) == list(range(500)) and set(sizes.values()) == {6}
+    assert overlay.regions_of(nodes.where("false"), 6).count() == 0
+
+
+def test_preferences_are_the_figures_of_preferred(spark):
+    nodes, edges = grid_graph(30, 4, seed=8)
+    e = spark.createDataFrame([(*x, float(i * 7 % 5)) for i, x in enumerate(edges)], EDGES.replace("cost", "length") + ", bad double")
+    pairs_ = spark.createDataFrame([(i, 9 * i, 0) for i in range(1, 13)] + [(20, 500, 0), (21, 0, 0)], "pair long, start long, target long")
+    regions = overlay.regions_of(spark.createDataFrame([*nodes, (500, 0.0, 90.0)], NODES), 8)
+    p = overlay.preferences(e, regions, pairs_, 0.8, F.col("bad"), 2.0, 1.0)
+    got = {r.pair: r for r in p.figures.collect()}
+    assert got[20].edges is None and got[21].edges == 0
+    length = {frozenset(x[:2]): x[2] for x in edges}
+    out, _ = overlay.preferred(e, regions, pairs_.where("pair < 20"), 0.8, F.col("bad"), None, 2.0, 1.0)
+    for r in out.collect():
+        assert (r.k, r.attempts, r.ratio, r.base, len(r.path)) == (got[r.pair].k, got[r.pair].attempts, got[r.pair].ratio, got[r.pair].base, got[r.pair].edges)
+        assert sum(length[frozenset((s.a, s.b))] for s in r.path) == pytest.approx(r.ratio * r.base)
+        assert r.path[0].a == 9 * r.pair and r.path[-1].b == 0
