@@ -349,6 +349,8 @@ def pack(pdf: pd.DataFrame, cost: str) -> tuple[bytes, int | None, int | None]:
     new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
     length = length[np.flatnonzero(new)][np.cumsum(new) - 1]
     price, kind, to, own = pdf[cost].to_numpy("f8")[order], pdf["kind"].to_numpy("i8")[order], pdf["to"].to_numpy("i8")[order], pdf["block"].to_numpy("i8")
+    if (price < 0).any():
+        raise ValueError("a cheapest way needs costs that are not negative")
     keep = ~np.isnan(price)
     a, b, length, price, kind, to = a[keep], b[keep], length[keep], price[keep], kind[keep], to[keep]
     nodes, src = np.unique(a, return_inverse=True)
@@ -529,7 +531,8 @@ def _trees(edges: DataFrame, regions: DataFrame, roots: DataFrame, costs: dict[i
     """trees over edges with a cost column of each variant, or a column variant."""
     spark = edges.sparkSession
     ensure_checkpoints(spark)
-    home = regions.select(F.col("node").cast("long").alias("node"), F.floor(F.col("region") / block).cast("long").alias("block"))
+    # a node that is given twice has one home; joins by node follow, which would deal the nodes anyway
+    home = regions.groupBy(F.col("node").cast("long").alias("node")).agg(F.floor(F.min("region") / block).cast("long").alias("block"))
     side = lambda n, to: home.select(F.col("node").alias(n), F.col("block").alias(to))
     own = ["variant"] if "variant" in edges.columns else []
     prices = sorted(set(columns.values()))
@@ -596,8 +599,8 @@ def tree_costs(t: Trees) -> DataFrame:
 
 
 def _legs(t: Trees, ends: DataFrame) -> DataFrame:
-    """Ends (id, q, node) at home: id, q, variant, block, exit."""
-    return ends.select("id", F.col("q").cast("long").alias("q"), F.col("node").cast("long").alias("exit")).join(t.home.withColumnRenamed("node", "exit"), "exit").join(t.roots.select("q", "variant"), "q").select("id", "q", "variant", "block", "exit")
+    """Ends (id, q, node) at home, each once: id, q, variant, block, exit."""
+    return ends.select("id", F.col("q").cast("long").alias("q"), F.col("node").cast("long").alias("exit")).distinct().join(t.home.withColumnRenamed("node", "exit"), "exit").join(t.roots.select("q", "variant").distinct(), "q").select("id", "q", "variant", "block", "exit")
 
 
 def _beside(t: Trees, legs: DataFrame) -> DataFrame:

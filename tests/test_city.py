@@ -552,3 +552,17 @@ def test_preferences_are_the_figures_of_preferred(spark):
         assert (r.k, r.attempts, r.ratio, r.base, len(r.path)) == (got[r.pair].k, got[r.pair].attempts, got[r.pair].ratio, got[r.pair].base, got[r.pair].edges)
         assert sum(length[frozenset((s.a, s.b))] for s in r.path) == pytest.approx(r.ratio * r.base)
         assert r.path[0].a == 9 * r.pair and r.path[-1].b == 0
+
+
+def test_odd_tables_of_streets(spark):
+    nodes, edges = grid_graph(12, 4, plain=True)
+    e = spark.createDataFrame(edges, EDGES).withColumn("variant", F.lit(0)).withColumn("length", F.col("cost"))
+    regions = overlay.regions_of(spark.createDataFrame(nodes + nodes[::2], NODES), 7)  # nodes given twice
+    roots = spark.createDataFrame([(0, 0, 0)] * 2, "q long, variant int, node long")
+    t = overlay.trees(e.union(e), regions, roots, {0: (0.0, 0.0)}, 2)
+    ends = spark.createDataFrame([(n, 0, n) for n in (6, 6, 30, 47)], "id long, q long, node long")
+    want = heap_search(edges, 0, 0.0, 0.0)
+    assert sorted((r.id, r.cost, r.walked) for r in overlay.tree_walks(t, ends).collect()) == [(n, want[n], want[n]) for n in (6, 30, 47)]
+    assert sorted((r.node, r.cost) for r in overlay.tree_costs(t).collect()) == sorted(want.items())
+    with pytest.raises(Exception, match="not negative"):
+        overlay.trees(e.withColumn("cost", -F.col("cost")), regions, roots, {0: (0.0, 0.0)}, 2)
